@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideway.llm import quality, simhash
+from tideway.llm import arrow_files, packing, quality, simhash
 
-QUERIES = {f.__name__: f for f in (simhash.op1_simhash_near_dedup, quality.op5_quality_rules)}
+QUERIES = {f.__name__: f for f in (simhash.op1_simhash_near_dedup, arrow_files.op4_token_id_output, quality.op5_quality_rules, packing.op8_best_fit_packing)}
 ORACLES = {"op5_quality_rules": quality.ORACLE}
 
 
