@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideway.llm import arrow_files, packing, quality, simhash
-
-QUERIES = {f.__name__: f for f in (simhash.op1_simhash_near_dedup, arrow_files.op4_token_id_output, quality.op5_quality_rules, packing.op8_best_fit_packing)}
-ORACLES = {"op5_quality_rules": quality.ORACLE}
+from tideway.llm import arrow_files, decontaminate, html, licences, packing, quality, secrets, simhash, url_filters
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        simhash.op1_simhash_near_dedup,
+        decontaminate.op2_benchmark_decontamination,
+        secrets.op3_secret_scans,
+        arrow_files.op4_token_id_output,
+        quality.op5_quality_rules,
+        html.op6_html_extraction,
+        licences.op7_license_scans,
+        packing.op8_best_fit_packing,
+        url_filters.op9_url_filters,
+    )
+}
+ORACLES = {"op5_quality_rules": quality.ORACLE, "op7_license_scans": licences.ORACLE, "op9_url_filters": url_filters.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
