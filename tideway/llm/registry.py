@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideway.llm import arrow_files, decontaminate, html, licences, packing, quality, secrets, simhash, url_filters
+from tideway.llm import arrow_files, decontaminate, html, licences, packing, quality, repeats, secrets, simhash, url_filters
 
 QUERIES = {
     f.__name__: f
@@ -20,6 +20,7 @@ QUERIES = {
         licences.op7_license_scans,
         packing.op8_best_fit_packing,
         url_filters.op9_url_filters,
+        repeats.op10_suffix_array_dedup,
     )
 }
 ORACLES = {"op5_quality_rules": quality.ORACLE, "op7_license_scans": licences.ORACLE, "op9_url_filters": url_filters.ORACLE}
