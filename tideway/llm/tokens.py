@@ -16,7 +16,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 #: Chunks kept per worker in each of two generations; the older one goes when the newer is full. It bounds memory only.
-CACHE = 400_000
+CACHE = 200_000
 _DOUBLE = re.compile(r"\s\s|^\s|\s$")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 #: Characters for which the piece pattern below gives the pre-tokenizers' pieces.
