@@ -75,7 +75,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     twice = "sort_array(transform(filter(_windows, (x, j) -> (j > 0 and get(_windows, j - 1).w = x.w) or (j < size(_windows) - 1 and get(_windows, j + 1).w = x.w)), x -> x.i))"
     df = df.withColumn("_starts", F.expr(twice)).drop("_windows")
     covered = f"aggregate(_starts, named_struct('n', 0L, 'end', 0), (s, i) -> named_struct('n', s.n + (i + {WINDOW} - greatest(i, s.end)), 'end', i + {WINDOW}), s -> s.n)"
-    return df.withColumn("n_repeat_words", F.expr(covered)).select(*kept, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+    # the generator keeps later filters from being pushed below with copies of these expressions
+    return df.withColumn("n_repeat_words", F.expr(covered)).select(*kept, F.inline(F.array(F.struct("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"))))
 
 
 def ledger(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -133,5 +134,4 @@ def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the current policy keeps, with their own columns."""
     row = F.struct(*docs.columns).alias("row")
     judged = apply_policy(ledger(measure(docs.select(row, F.col("text").alias("text")))))
-    # a filter would be pushed below the measurements, each time with copies of their expressions; a generator stays above
-    return judged.select(F.expr("inline(if(kept, array(row), array()))"))
+    return judged.where("kept").select("row.*")
