@@ -8,6 +8,7 @@ from tideway.engine import Engine
 from tideway.functions import values as V
 from tideway.operators import merge, state
 from tideway.plans.splits import equi_depth_scaled, equi_width, reader_ranges, split_count
+from tideway.sources import scan
 
 
 @given(st.integers(-50, 50), st.integers(0, 60), st.integers(1, 12))
@@ -35,6 +36,21 @@ def test_splits_of_small_tables(spark):
     assert found[0].above == -31 and found[-1].up_to == 69 and all(a.up_to == b.above for a, b in zip(found, found[1:]))
 
 
+def test_row_numbers_with_other_columns(spark):
+    sizes = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "300k"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 400_000, 1, 16).selectExpr("pmod(xxhash64(id), 1099511627776) * 1000000 + id as k", "repeat('x', cast(pmod(id, 90) as int)) as p")
+        found = scan.numbered(rows, ["k"])
+        assert tuple(found.agg(F.min("rn"), F.max("rn"), F.countDistinct("rn"), F.max("p")).first()) == (1, 400_000, 400_000, "x" * 89)
+        assert found.columns == ["k", "p", "rn"] and scan.numbered(rows.limit(0), ["k"]).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_connectors_and_names():
     assert catalog.canonical("MariaDB") == "mysql"
     with pytest.raises(ValueError, match="available"):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideway.catalog import TableSpec
+from tideway.storage import checkpointed
 
 
 def read(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
@@ -49,8 +50,11 @@ def row_number_page(df: DataFrame, key: list[str], columns: list[str], above: in
 
 def numbered(df: DataFrame, key: list[str], name: str = "rn") -> DataFrame:
     """df with row numbers in key order over all rows, without a single-task window: range partitions are sorted and each
-    continues where the ones before it end. Only a count per partition is aggregated on the way."""
-    placed = df.repartitionByRange(*key).withColumn("_part", F.spark_partition_id())
+    continues where the ones before it end. Only a count per partition is aggregated on the way.
+
+    The partition of each row is written to the shared folder first: the rows and the counts must see the same bounds, and
+    a range partitioning that is planned twice, or again after an executor is lost, may sample others."""
+    placed = checkpointed(df.repartitionByRange(*key).withColumn("_part", F.spark_partition_id()))
     local = placed.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*key)))
     sizes = placed.groupBy("_part").count()
     before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
