@@ -167,6 +167,11 @@ def test_html(spark):
     frame = lambda t: f"<body><div>Site name</div><p>{t}</p><p>All rights</p></body>"
     data = [(1, "http://h.org/a/1", frame("one")), (2, "http://h.org/a/2", frame("two")), (3, "http://other.org/", frame("three")), (4, None, None), (5, "http://h.org/z", page), (5, "http://h.org/z", page)]
     out = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    edges = [(1, None, "<p>a", 1), (1, None, "<p>a", 1), (None, "", "", 2), (2, "http://h/", "<article>" + "<p>word</p>" * 20000, 3)]
+    df = spark.createDataFrame(edges, "page_id long, url string, html string, text int")
+    found = {(r.page_id, r.n_chars) for r in html.main_text(df).collect()}
+    assert html.main_text(df).count() == 4 and (2, 20000 * 5 - 1) in found and (None, 0) in found
+    assert html.main_text(df.limit(0)).count() == 0
     assert out == {1: "one", 2: "two", 3: "Site name\nthree\nAll rights", 4: "", 5: "T & U\na b\nc\nd"}
 
 
@@ -183,6 +188,10 @@ def test_url_filters(spark):
     data = [(1, "https://www.cheap-pills.example.com/x", "2024-03-01 00:00:00"), (2, "https://cheap-pills.example.com:80/", "2024-02-29 23:59:59"), (3, "junk", "2024-06-01 00:00:00"), (4, None, None), (5, "http://a.example.net/es/1?q", "2024-08-01 00:00:00"), (5, "http://a.example.net/es/1?q", "2024-08-01 00:00:00")]
     df = spark.createDataFrame(data, "page_id long, url string, f string").selectExpr("page_id", "url", "cast(f as timestamp_ntz) as fetched_at")
     out = [(r.page_id, r.blocked, r.entries) for r in url_filters.judged(df, url_filters.entries_table(spark)).orderBy("page_id").collect()]
+    entries = url_filters.entries_table(spark)
+    clash = df.selectExpr("*", "1 as host", "2 as entries", "3 as blocked", "4 as other")
+    assert url_filters.judged(clash, entries).columns == ["page_id", "url", "fetched_at", "other", "host", "entries", "n_active", "blocked"]
+    assert url_filters.judged(df.limit(0), entries).count() == 0 and not url_filters.judged(df, entries.limit(0)).where("blocked").count()
     assert out == [(1, True, "spam:cheap-pills.example.com"), (2, False, ""), (3, False, ""), (4, False, ""), (5, True, "language:example.net/es/"), (5, True, "language:example.net/es/")]
 
 

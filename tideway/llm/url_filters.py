@@ -7,7 +7,8 @@ all captures is one row on the list side, so only its captures are many, and tho
 
 Nulls: a null, empty or unparsable url has the host '' and no entries; a null fetch time matches no entry. An entry that
 is added twice stays one interval; a removal without an addition before it does nothing. Of entries dated at one instant
-the removal comes first. Repeated captures are returned as often as they come; other columns stay as they are.
+the removal comes first. Repeated captures are returned as often as they come; other columns stay as they are, but those
+with the names of results (host, entries, n_active, blocked) are replaced.
 """
 
 from __future__ import annotations
@@ -47,7 +48,8 @@ def intervals(entries: DataFrame) -> DataFrame:
 def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures(url, fetched_at, ...) with host, entries (active ones, 'list:host/prefix' sorted, comma-joined), n_active and blocked."""
     address = F.coalesce(F.col("url").cast("string"), F.lit(""))
-    rows = captures.withColumns({"host": F.lower(F.regexp_extract(address, HOST, 1)), "_path": F.regexp_extract(address, PATH, 1)})
+    kept = [c for c in captures.columns if c not in ("host", "entries", "n_active", "blocked")]
+    rows = captures.select(*kept).withColumns({"host": F.lower(F.regexp_extract(address, HOST, 1)), "_path": F.regexp_extract(address, PATH, 1)})
     hosts = rows.select("host").distinct()
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -57,7 +59,7 @@ def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     active = F.filter("_of", lambda e: (e["since"] <= F.col("fetched_at")) & (e["until"].isNull() | (F.col("fetched_at") < e["until"])) & F.startswith(F.col("_path"), e["prefix"]))
     names = F.array_sort(F.array_distinct(F.transform(active, lambda e: F.concat(e["list"], F.lit(":"), e["host"], e["prefix"]))))
     out = rows.join(per_host, "host", "left").withColumn("_names", F.coalesce(names, F.array().cast("array<string>")))
-    return out.select(*captures.columns, "host", F.array_join("_names", ",").alias("entries"), F.size("_names").cast("long").alias("n_active"), (F.size("_names") > 0).alias("blocked"))
+    return out.select(*kept, "host", F.array_join("_names", ",").alias("entries"), F.size("_names").cast("long").alias("n_active"), (F.size("_names") > 0).alias("blocked"))
 
 
 def entries_table(spark: SparkSession) -> DataFrame:
