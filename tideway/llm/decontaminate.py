@@ -268,6 +268,23 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, ws, least(len(ws), {WINDOW}) AS size FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+bp AS (SELECT *, unnest(range(0, len(ws) - size + 1)) AS i FROM b),
+windows AS (SELECT DISTINCT item_id, size, array_to_string(ws[i + 1 : i + size], ' ') AS w FROM bp),
+dp AS (SELECT r, ws, size, unnest(range(0, greatest(len(ws) - size + 1, 0))) AS i FROM d, (SELECT DISTINCT size FROM windows)),
+dw AS (SELECT r, size, i, array_to_string(ws[i + 1 : i + size], ' ') AS w FROM dp),
+h AS (SELECT r, i, size, item_id FROM dw JOIN windows USING (size, w)),
+hit AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(range(i, i + size)) AS at FROM h) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item_id) AS n, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM h GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON hit.r = d.r LEFT JOIN items ON items.r = d.r
+"""
+
+
 def _clean(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

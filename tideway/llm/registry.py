@@ -23,7 +23,13 @@ QUERIES = {
         repeats.op10_suffix_array_dedup,
     )
 }
-ORACLES = {"op5_quality_rules": quality.ORACLE, "op7_license_scans": licences.ORACLE, "op9_url_filters": url_filters.ORACLE}
+ORACLES = {
+    "op2_benchmark_decontamination": decontaminate.ORACLE,
+    "op5_quality_rules": quality.ORACLE,
+    "op7_license_scans": licences.ORACLE,
+    "op9_url_filters": url_filters.ORACLE,
+    "op10_suffix_array_dedup": repeats.ORACLE,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -314,3 +314,19 @@ def without_repeats(docs: DataFrame, wide: int = 4000) -> DataFrame:
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(common.table(spark, sf_dir, "documents")).drop("spans")
+
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT r, h, unnest(range(0, greatest(n - {WINDOW - 1}, 0))) AS i FROM d),
+k AS (SELECT r, i, md5(substr(h, 2 * i + 1, {2 * WINDOW})) AS k FROM p),
+twice AS (SELECT r, i FROM k QUALIFY count(*) OVER (PARTITION BY k) > 1),
+marked AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > {WINDOW}, TRUE) AS opens FROM twice),
+numbered AS (SELECT r, i, sum(opens::INT) OVER (PARTITION BY r ORDER BY i) AS run FROM marked),
+runs AS (SELECT r, min(i) AS a, max(i) + {WINDOW} AS b FROM numbered GROUP BY r, run),
+before AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS since FROM runs),
+cut AS (SELECT d.r, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head, max(b) AS ended, sum(b - a) AS removed, count(*) AS spans FROM d JOIN before ON before.r = d.r GROUP BY d.r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(ended, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.r = d.r
+"""
