@@ -3,7 +3,8 @@
 Dated list entries (added or removed on a day) become validity intervals. Each distinct host of the captures is matched
 with the entries of its own name and of every parent domain once, which gives one row a host with its intervals; captures
 then join that row by host and keep the intervals that hold at their fetch time: an as-of join. A host with a third of
-all captures is one row on the list side, so only its captures are many, and those Spark can split.
+all captures is one row on the list side, which is repeated for each of SALTS shares of captures, so its captures are dealt
+over that many tasks.
 
 Nulls: a null, empty or unparsable url has the host '' and no entries; a null fetch time matches no entry. An entry that
 is added twice stays one interval; a removal without an addition before it does nothing. Of entries dated at one instant
@@ -20,6 +21,7 @@ from tideway.llm import common
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
+SALTS = 32
 #: The dated list of the query: (list, host, path prefix, action, time).
 ENTRIES = (
     ("spam", "spam-farm.example.org", "", "add", "2024-01-10 00:00:00"),
@@ -58,7 +60,9 @@ def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     per_host = matched.groupBy("host").agg(F.flatten(F.collect_list("of")).alias("_of"))
     active = F.filter("_of", lambda e: (e["since"] <= F.col("fetched_at")) & (e["until"].isNull() | (F.col("fetched_at") < e["until"])) & F.startswith(F.col("_path"), e["prefix"]))
     names = F.array_sort(F.array_distinct(F.transform(active, lambda e: F.concat(e["list"], F.lit(":"), e["host"], e["prefix"]))))
-    out = rows.join(per_host, "host", "left").withColumn("_names", F.coalesce(names, F.array().cast("array<string>")))
+    salted = per_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("url", "fetched_at"), F.lit(SALTS)).cast("int"))
+    out = dealt.join(salted, ["host", "_salt"], "left").withColumn("_names", F.coalesce(names, F.array().cast("array<string>")))
     return out.select(*kept, "host", F.array_join("_names", ",").alias("entries"), F.size("_names").cast("long").alias("n_active"), (F.size("_names") > 0).alias("blocked"))
 
 
