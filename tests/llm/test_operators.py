@@ -74,6 +74,42 @@ def test_links_of_a_dense_cloud(spark):
     assert (simhash.link_run(run) == 0).all()
 
 
+def test_similar_texts(spark, docs, edges):
+    r = random.Random(4)
+    data = [(d, t) for d, t in docs.collect()] + [(d, t) for d, t in EDGES if d]
+    for i in range(40):
+        base = [f"w{r.randint(0, 300)}" for _ in range(r.randint(1, 120))]
+        for j in range(4):
+            words = [w if r.random() > 0.012 * j else "new" for w in base]
+            data.append((1000 + 10 * i + j, "a line that very many texts share " * (i % 2) + " ".join(words)))
+    sets, prints, least = {}, {}, {}
+    for n, (_, t) in enumerate(data):
+        w = (t or "").lower().split()
+        sets[n] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        prints[n] = brute.fingerprint(t)
+    root = {n: n for n in sets}
+
+    def find(n):
+        return n if root[n] == n else find(root[n])
+
+    extra = 0
+    for a in sets:
+        for b in range(a):
+            alike = bool(sets[a]) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+            extra += alike and (prints[a] ^ prints[b]).bit_count() > 3
+            if alike or (prints[a] ^ prints[b]).bit_count() <= 3:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    for n, (d, _) in enumerate(data):
+        least[find(n)] = min(d, least.get(find(n), d))
+    want = sorted((d, least[find(n)]) for n, (d, _) in enumerate(data))
+    assert extra > 10
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for hot in (2000, 32):
+        assert sorted(map(tuple, simhash.near_duplicates(df, shingle=5, hot=hot).select("doc_id", "component_id").collect())) == want
+    kept = simhash.keep_representatives(spark, df, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want})
+
+
 def test_decontamination(spark, docs, edges, empty, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     want = sorted(brute.contamination(docs.collect(), bench.collect()), key=repr)

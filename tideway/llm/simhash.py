@@ -8,6 +8,9 @@ of 9 blocks: there at most 22 bits are free, so a run holds at most 2^22 distinc
 linked by looking up the 1,794 masks of up to 3 free bits once that is cheaper than comparing all. Runs return only
 a spanning forest of their links. Nothing is dropped or capped.
 
+Texts of five-word Jaccard similarity 0.8 are often 4 to 11 bits apart, too many for blocks. On request `similar` adds
+their links by prefix filtering: it finds candidates that share one of their first shingles and compares the whole sets.
+
 Nulls: a null text has no words and the fingerprint zero, as has an empty one; rows with a null doc_id get a fingerprint
 and count for links, but can't name a component unless all of its ids are null. Repeated rows are returned as often as
 they come. Other columns of the input are ignored.
@@ -186,23 +189,194 @@ def links(nodes: DataFrame, blocks: int = 5, keep: int = 2, hot: int = 2000, fin
     return linked(keys.join(full, ["n", "k"], "left_anti").select("n", "k", "fp")).union(linked(dealt(again, fine_blocks, fine_keep)))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id): every row of docs with the smallest doc_id that it reaches over links."""
+def near_duplicates(docs: DataFrame, shingle: int | None = None, least: int = 80, hot: int = 2000) -> DataFrame:
+    """(doc_id, fp, component_id): every row of docs with the smallest doc_id that it reaches over links.
+
+    Links are fingerprints at 3 bits or less and, if shingle is given, also texts whose sets of word shingles of that length have a Jaccard similarity of least percent or more.
+    """
     prints = common.written(fingerprints(docs), "fingerprints")
     nodes = common.checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = common.components(links(nodes))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
+    if shingle:
+        named = common.checkpointed(named)
+        wider = common.components(similar(docs, named.select("fp", "root"), shingle, least, hot)).withColumnRenamed("root", "wider")
+        named = named.join(wider, named.root == wider.node, "left").select("fp", "least", F.coalesce("wider", "root").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(smallest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingles(words: list[bytes], k: int) -> np.ndarray:
+    """The sorted distinct 64-bit hashes, as signed numbers, of the k-word shingles; fewer words are one shingle."""
+    if not words:
+        return np.empty(0, np.int64)
+    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], dtype=np.uint64)
+    n = max(1, len(words) - k + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    for j in range(min(k, len(words))):
+        out = (out ^ hashes[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out.view(np.int64))
+
+
+def _texts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple[int, str, np.ndarray]]]:
+    """For each batch (number of the text, text, shingles) of the texts with words; equal words have equal numbers."""
+    for batch in batches:
+        out = {}
+        for t in batch.column(0).to_pylist():
+            words = (t or "").encode("utf-8", "surrogatepass").lower().split()
+            if words:
+                node = xxhash.xxh64_intdigest(b" ".join(words), 42)
+                node -= (node >> 63) << 64
+                if node not in out:
+                    out[node] = (node, t, shingles(words, k))
+        yield list(out.values())
+
+
+def _frequent(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in _texts(batches, k):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s for n, _, s in texts if n % 16 == 0] or [np.empty(0, np.int64)]))], names=["k"])
+
+    return run
+
+
+def prefix(own: np.ndarray, order: np.ndarray, rank: np.ndarray, least: int) -> np.ndarray:
+    """The first shingles of a text in the order by (rank of frequent ones, hash): texts of `least` percent share one of them."""
+    size = len(own) + (-len(own) * least // 100) + 1
+    if len(order):
+        at = np.minimum(np.searchsorted(order, own), len(order) - 1)
+        often = order[at] == own
+        own = np.concatenate((own[~often], own[often][np.argsort(rank[at[often]])]))
+    return own[:size]
+
+
+def _prefixes(k: int, order: np.ndarray, rank: np.ndarray, least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in _texts(batches, k):
+            for i in range(0, len(texts), 500):
+                part = texts[i : i + 500]
+                keys = [prefix(s, order, rank, least) for _, _, s in part]
+                sizes = [len(x) for x in keys]
+                node, n = (np.repeat(np.array(x, np.int64), sizes) for x in ([t[0] for t in part], [len(t[2]) for t in part]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(node), pa.array(n)], names=["k", "node", "n"])
+
+    return run
+
+
+def _candidates(least: int):
+    """Batches come sorted by (k, node); the last run of each waits for the next batch."""
+
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        k, node, n = rows
+        fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (node[1:] != node[:-1])))
+        k, node, n = k[fresh], node[fresh], n[fresh]
+        starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        ends = np.append(starts[1:], len(k))
+        two = starts[ends - starts == 2]
+        found = [(two, two + 1)]
+        held = 0
+        for a, b in zip(starts, ends):
+            for i in range(a, b, 1024) if b - a > 2 else ():
+                for j in range(i, b, 1024):
+                    x, y = np.nonzero(np.arange(i, min(b, i + 1024))[:, None] < np.arange(j, min(b, j + 1024))[None])
+                    x, y = x + i, y + j
+                    near = np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * least
+                    found.append((x[near], y[near]))
+                    held += int(near.sum())
+                    if held > 1_000_000:
+                        yield from out(node, n, found)
+                        found, held = [], 0
+        yield from out(node, n, found)
+
+    def out(node: np.ndarray, n: np.ndarray, found: list) -> Iterator[pa.RecordBatch]:
+        if found:
+            x, y = (np.concatenate(c) for c in zip(*found))
+            near = np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * least
+            yield pa.RecordBatch.from_arrays([pa.array(node[x[near]]), pa.array(node[y[near]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [np.asarray(batch.column(i)).astype(np.int64, copy=False) for i in range(3)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            if cut or (held and held[-1][0][-1] != cols[0][0]):
+                held.append([c[:cut] for c in cols])
+                yield from pairs([np.concatenate(x) for x in zip(*held)])
+                held = []
+            held.append([c[cut:] for c in cols])
+        if held:
+            yield from pairs([np.concatenate(x) for x in zip(*held)])
+
+    return run
+
+
+#: Bits of the filter that lets only texts of some pair through; others that share a bit are dropped by the join.
+SLOTS = 1 << 26
+
+
+def _sets(k: int, bits: np.ndarray):
+    """(node, fp, s: the shingles' bytes) of the texts whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in _texts(batches, k):
+            few = [x for x in texts if int(bits[(x[0] % SLOTS) >> 6]) >> (x[0] & 63) & 1]
+            prints = np.array([fingerprint(t) for _, t, _ in few], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _, _ in few], pa.int64()), pa.array(prints), pa.array([s.tobytes() for _, _, s in few], pa.binary())], names=["node", "fp", "s"])
+
+    return run
+
+
+def _alike(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(c.as_buffer(), np.int64) for c in (a, b))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= least * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar(docs: DataFrame, roots: DataFrame, shingle: int = 5, least: int = 80, hot: int = 2000) -> DataFrame:
+    """(a, b): the different roots(fp, root) of every two texts whose shingle sets have a Jaccard similarity of least percent or more.
+
+    Two such sets share one of the first shingles of each in any common order, so all pairs are found. Shingles that a
+    sixteenth of the texts shows to be in about `hot` texts or more stand last in the order, which spares pairs but decides
+    none. Shingles and texts are told apart by 64-bit hashes.
+    """
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    often = texts.mapInArrow(_frequent(shingle), "k long").groupBy("k").count().where(F.col("count") >= max(2, hot // 16)).toArrow()
+    order, counts = (often.column(i).to_numpy() for i in range(2))
+    by = np.argsort(order)
+    order, rank = order[by], np.empty(len(order), np.int64)
+    rank[np.lexsort((order, counts[by]))] = np.arange(len(order))
+    keys = texts.mapInArrow(_prefixes(shingle, order, rank, least), "k long, node long, n long")
+    pairs = common.checkpointed(keys.repartition("k").sortWithinPartitions("k", "node").mapInArrow(_candidates(least), "a long, b long").distinct())
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    words = nodes.groupBy(F.expr(f"shiftright(pmod(node, {SLOTS}L), 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(node & 63L as int)))").alias("m")).toArrow()
+    bits = np.zeros(SLOTS >> 6, dtype=np.uint64)
+    bits[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    sets = texts.mapInArrow(_sets(shingle, bits), "node long, fp long, s binary").dropDuplicates(["node"]).join(roots, "fp").select("node", "root", "s")
+    sets = common.written(sets, "shingle-sets")
+    a, b = (sets.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    open_ = pairs.join(a, "a").join(b, "b").where("ra <> rb")
+    sa, sb = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    both = open_.join(sa, "a").join(sb, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "sa", "sb")
+    return both.mapInArrow(_alike(least), "a long, b long")
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without near copies: of each component the row with the smallest doc_id, once; rows with a null doc_id stay, as nothing names them."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """The documents without near copies (op1's links, and five-word shingles at 0.8 or more): of each component the row with the smallest doc_id, once; rows with a null doc_id stay, as nothing names them."""
+    kept = near_duplicates(docs, shingle=5).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null")).select(docs.columns)
