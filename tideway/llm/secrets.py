@@ -26,7 +26,15 @@ from pyspark.sql import types as T
 
 from tideway.llm import common
 
-CANDIDATE = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?!-----)[\s\S])*(?:-----END [A-Z ]*PRIVATE KEY-----)?|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\.[A-Za-z0-9_-]{16,}){0,2}={0,2}")
+_RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\.[A-Za-z0-9_-]{16,}){0,2}={0,2}"
+_GAP = r"(?:[\s\"',]|\\[rn])"
+#: Base64 and header lines only belong to a key block. Without an END it stops behind the last line of 16 characters or more, or a padded one.
+_BLOCK = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    rf"(?:(?:{_GAP}++(?:[A-Za-z][A-Za-z-]*+: [^\n]*+|[A-Za-z0-9+/=]++(?![^\s\"',\\-])))*+{_GAP}*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_GAP}++(?:(?:Proc-Type|DEK-Info|Content-Domain|Key-Info|MIC-Info): ?[A-Za-z0-9,+/=-]+|[A-Za-z0-9+/]{{16,}}+={{0,2}}(?![\w=+/-])))*+(?:{_GAP}++[A-Za-z0-9+/]{{1,15}}={{1,2}})?)"
+)
+CANDIDATE = re.compile(f"{_BLOCK}|{_RUN}")
 #: Prefixes that issuers give to their keys.
 PREFIXES = ("-----BEGIN", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "sk-", "AKIA", "ASIA", "AIza", "eyJ", "npm_", "hf_")
 #: Words that speak for a secret, and for a harmless identifier.
@@ -63,21 +71,19 @@ def features(text: str, start: int, end: int) -> list[float]:
     n, low = len(s), s.lower()
     before, after = text[max(0, start - 60) : start], text[end : end + 60]
     counts: dict[str, int] = {}
-    for c in s[:4096]:
+    for c in s:
         counts[c] = counts.get(c, 0) + 1
-    m = min(n, 4096)
-    entropy = -sum(v / m * math.log2(v / m) for v in counts.values())
-    digits = sum(v for c, v in counts.items() if c.isdigit()) / m
-    upper = sum(v for c, v in counts.items() if c.isupper()) / m
-    lower = sum(v for c, v in counts.items() if c.islower()) / m
-    head = low[:4096]
-    kind = ["d" if c.isdigit() else "l" if c.isalpha() else "o" for c in head]
-    switches = sum(a != b for a, b in zip(kind, kind[1:])) / max(1, m - 1)
+    entropy = -sum(v / n * math.log2(v / n) for v in counts.values())
+    digits = sum(v for c, v in counts.items() if c.isdigit()) / n
+    upper = sum(v for c, v in counts.items() if c.isupper()) / n
+    lower = sum(v for c, v in counts.items() if c.islower()) / n
+    kind = ["d" if c.isdigit() else "l" if c.isalpha() else "o" for c in low]
+    switches = sum(a != b for a, b in zip(kind, kind[1:])) / max(1, n - 1)
     known = _transitions()
-    transitions = sum(known.get(a + b, -2.0) for a, b in zip(head, head[1:])) / max(1, m - 1)
-    covered = sum(len(x) for x in _DICTIONARY.findall(head)) / m
+    transitions = sum(known.get(a + b, -2.0) for a, b in zip(low, low[1:])) / max(1, n - 1)
+    covered = sum(len(x) for x in _DICTIONARY.findall(low)) / n
     run = longest = 1
-    for a, b in zip(s, s[1:4096]):
+    for a, b in zip(s, s[1:]):
         run = run + 1 if a == b else 1
         longest = max(longest, run)
     near = [w.lower() for w in _WORDS.findall(before)[-4:]]
@@ -85,7 +91,7 @@ def features(text: str, start: int, end: int) -> list[float]:
     signs = s.count("/") + s.count("\\") + (before[-1:] in ("/", "\\", ".", "@")) * 2 + (after[:1] in ("/", "\\", "@"))
     return [
         float(min(n, 200)), entropy, digits, upper, lower, float(all(c in "0123456789abcdefABCDEF-" for c in counts)), switches, transitions, covered,
-        sum(counts.get(c, 0) + counts.get(c.upper(), 0) for c in _VOWELS) / m, float(longest), len(counts) / min(m, 64), float(signs), float(s.startswith(PREFIXES)),
+        sum(counts.get(c, 0) + counts.get(c.upper(), 0) for c in _VOWELS) / n, float(longest), len(counts) / min(n, 64), float(signs), float(s.startswith(PREFIXES)),
         float(any(f in w for w in near for f in FOR)), float(any(w in AGAINST or last.startswith(w) for w in near)) + any(a in low for a in ("example", "placeholder", "your", "dummy", "changeme")),
         float(before[-1:] in ("'", '"', "`")), float(bool(re.search(r"""[=:]\s*["'`]?$""", before))),
     ]
@@ -104,8 +110,10 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, int, int,
         if secret:
             kind = r.random()
             body = r.choice(PREFIXES[1:]) + draw(r.randint(16, 40), alphabets[3]) if kind < 0.2 else draw(r.choice((20, 24, 32, 40, 40, 64, r.randint(18, 80))), r.choice(alphabets))
-            if kind > 0.97:
-                body = "-----BEGIN RSA PRIVATE KEY-----\n" + draw(200, alphabets[4]) + "\n-----END RSA PRIVATE KEY-----"
+            if kind > 0.95:
+                lines = [draw(64, alphabets[4]) for _ in range(r.choice((2, 3, 12, 25, 50, 80)))]
+                title = r.choice(("RSA ", "", "EC ", "OPENSSH "))
+                body = f"-----BEGIN {title}PRIVATE KEY-----\n" + "\n".join(lines) + r.choice((f"\n-----END {title}PRIVATE KEY-----", ""))
             word, sign, quote = case(r.choice(FOR)), r.choice((" = ", "=", ": ", ":", " := ", " ")), r.choice(('"', "'", ""))
             lead = f"{prose(4)} {word}{sign}{quote}" if kind > 0.2 or r.random() < 0.6 else f"{prose(4)} "
         else:
