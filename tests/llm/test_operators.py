@@ -158,6 +158,19 @@ def test_key_blocks(spark):
     assert secrets.features(text, 0, 8000)[2] > 0.1
 
 
+def test_short_secrets(spark):
+    texts = [
+        ('say password = "hunter2!x" and go on', "hunter2!x"),
+        ("DB_PASSWORD=Tr0ub4dor&3 next", "Tr0ub4dor&3"),
+        ("see postgres://bob:s3cr3t!9@db.host.org/x now", "s3cr3t!9"),
+        ("mailto:bob@host.org has password: required and key = value", None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    out = {d.doc_id: d.text for d in secrets.redacted(df).collect()}
+    for i, (text, secret) in enumerate(texts):
+        assert out[i] == (text.replace(secret, "[SECRET]") if secret else text), text
+
+
 def test_tokens_equal_the_library():
     texts = ["", " a", "a ", "a  b", "a\n\nb  c \n d", "a\tb", "it's I'LL 'S", "中文 ² a1b2", "é é İ", "<|endoftext|> hi", "a\n b", "ΑΣ ΑΣΑ", "　a b", "x\x1cy z"]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):

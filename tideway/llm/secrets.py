@@ -1,6 +1,7 @@
 """Secret scans: a pattern finds candidates, a random forest removes the false ones.
 
-Candidates are long runs of key characters and private-key blocks in whole texts. Their features are length, character
+Candidates are runs of 16 or more key characters, private-key blocks, values of any length assigned to a key word, and
+passwords in user:password@host, in whole texts. Where they overlap, secrets count before false ones. Their features are length, character
 transitions, dictionary coverage, path signs and neighbouring words. The forest is grown here with numpy from labelled
 findings: `labelled_findings` draws a bounded, seeded sample (`n`, by default 3,000), and any other labelled
 findings can be given instead. Growing is deterministic, so every task and run scores alike.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -35,6 +37,13 @@ _BLOCK = (
     rf"|(?:{_GAP}++(?:(?:Proc-Type|DEK-Info|Content-Domain|Key-Info|MIC-Info): ?[A-Za-z0-9,+/=-]+|[A-Za-z0-9+/]{{16,}}+={{0,2}}(?![\w=+/-])))*+(?:{_GAP}++[A-Za-z0-9+/]{{1,15}}={{1,2}})?)"
 )
 CANDIDATE = re.compile(f"{_BLOCK}|{_RUN}")
+#: A key word, up to 40 more characters of its name, = or :, and a quoted or bare value of any length.
+ASSIGNED = re.compile(
+    r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth|authorization|bearer|credential|key)[\w-]{0,40}["'`\]]{0,2}[ \t]*(?::=|=>|==?|:)[ \t]*(?:(?i:bearer|basic|token)[ \t]+)?"""
+    r"""(?:"([^"\n]+)"|'([^'\n]+)'|`([^`\n]+)`|((?:(?!&\w+=)[^\s"'`<>])+))"""
+)
+#: user:password@host, with or without a scheme before it.
+IN_URL = re.compile(r"""(?:://|(?<![\w.+%~:/@-]))[\w.+%~-]*+:([^\s/"'<>`]+)@(?=[\w\[])""")
 #: Prefixes that issuers give to their keys.
 PREFIXES = ("-----BEGIN", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "sk-", "AKIA", "ASIA", "AIza", "eyJ", "npm_", "hf_")
 #: Words that speak for a secret, and for a harmless identifier.
@@ -48,7 +57,7 @@ PARTS = tuple(
     test user name file path home usr local lib src data value your key here example config index main class table
     get set function return default public static void string int type list node item page link image style""".split()
 )
-NAMES = ("length", "entropy", "digits", "upper", "lower", "hexadecimal", "switches", "transitions", "dictionary", "vowels", "longest_repeat", "distinct", "path", "prefix", "for", "against", "quoted", "assigned")
+NAMES = ("length", "entropy", "digits", "upper", "lower", "hexadecimal", "switches", "transitions", "dictionary", "vowels", "longest_repeat", "distinct", "path", "prefix", "for", "against", "quoted", "assigned", "signs", "kinds", "in_url")
 _WORDS = re.compile(r"[A-Za-z][A-Za-z_-]*")
 _DICTIONARY = re.compile("|".join(sorted(PARTS, key=len, reverse=True)))
 _VOWELS = set("aeiouäöüáéíóúàèêâ")
@@ -94,6 +103,7 @@ def features(text: str, start: int, end: int) -> list[float]:
         sum(counts.get(c, 0) + counts.get(c.upper(), 0) for c in _VOWELS) / n, float(longest), len(counts) / min(n, 64), float(signs), float(s.startswith(PREFIXES)),
         float(any(f in w for w in near for f in FOR)), float(any(w in AGAINST or last.startswith(w) for w in near)) + any(a in low for a in ("example", "placeholder", "your", "dummy", "changeme")),
         float(before[-1:] in ("'", '"', "`")), float(bool(re.search(r"""[=:]\s*["'`]?$""", before))),
+        sum(v for c, v in counts.items() if not c.isalnum() and c not in "+/_-=") / n, float((digits > 0) + (upper > 0) + (lower > 0) + any(not c.isalnum() for c in counts)), float(after[:1] == "@" and before[-1:] == ":" and not before.endswith("mailto:")),
     ]
 
 
@@ -104,9 +114,45 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, int, int,
     draw = lambda k, letters: "".join(r.choices(letters, k=k))
     prose = lambda k: " ".join("".join(r.choices(PARTS, k=r.randint(1, 4))) for _ in range(k))
     case = lambda w: r.choice((w, w, w.upper(), w.capitalize()))
+    word = lambda: "".join(r.choices(PARTS, k=r.randint(1, 3)))
+    names = ("password", "passwd", "pwd", "secret", "token", "api_key", "key", "auth", "DB_PASSWORD", "PASS", "admin_password", "passphrase")
+    hosts = lambda: r.choice(("db.", "git.", "", "mail.")) + word() + r.choice((".com", ".org/db", ":5432/main", ".net/x"))
+    signs = "!@#$%^&*?.,:;+-_~()"
     out = []
     for i in range(n):
         secret = i % 2 == 0
+        if i % 8 < 2:  # short values behind a key word, and in URLs
+            sign, quote = r.choice((" = ", "=", ": ", ":", " := ", '": ')), r.choice(('"', "'", ""))
+            lead, tail = f"{prose(4)} {case(r.choice(names))}{sign}{quote}", quote + r.choice((" ", "\n")) + prose(3)
+            if secret:
+                kind = r.randint(0, 3)
+                if kind == 0:  # words with digits and signs
+                    body = case(word()) + str(r.randint(1, 9999)) + r.choice(("", r.choice(signs[:5])))
+                elif kind == 1:
+                    body = draw(r.randint(6, 15), alphabets[3])
+                else:
+                    body = draw(r.randint(6, 18), alphabets[3] + signs) + r.choice(signs[:5]) + draw(2, "0123456789")
+                if r.random() < 0.3:
+                    body = "".join(c for c in body if c not in "/:@") if r.random() < 0.8 else word()
+                    lead, tail = f"{prose(4)} {r.choice(('postgres', 'https', 'mysql', 'redis', 'ftp'))}://{word()}:", f"@{hosts()} {prose(3)}"
+            else:
+                kind = r.randint(0, 5)
+                if kind == 0:
+                    body = case(r.choice(("required", "optional", "string", "None", "null", "true", "false", "value", "field", "text", "str", "undefined", "hidden", "name", "id", "default", "yes", "no")))
+                elif kind == 1:
+                    body = case(word())
+                elif kind == 2:  # places where the value stands
+                    body = r.choice(("${%s}", "$%s", "{{ %s }}", "os.environ[%s]", "get_%s()", "config.%s", "self.%s", "%s(),", "args.%s")) % r.choice((*names, word()))
+                    quote = '"' if " " in body else ""
+                    lead, tail = f"{prose(4)} {case(r.choice(names))}{sign}{quote}", quote + " " + prose(3)
+                elif kind == 3:
+                    body = r.choice((r.choice("*x.-_") * r.randint(1, 12), str(r.randint(0, 9999)), "changeme", "your_password", "example"))
+                elif kind == 4:  # words in quotes
+                    lead, body, tail = f'{prose(4)} {case(r.choice(names))}{sign}"', prose(r.randint(2, 5)), '" ' + prose(3)
+                else:
+                    lead, body, tail = f"{prose(4)} mailto:", word() + r.choice(("", str(r.randint(1, 99)), "." + word())), f"@{hosts()} {prose(3)}"
+            out.append((lead + body + tail, len(lead), len(lead) + len(body), secret))
+            continue
         if secret:
             kind = r.random()
             body = r.choice(PREFIXES[1:]) + draw(r.randint(16, 40), alphabets[3]) if kind < 0.2 else draw(r.choice((20, 24, 32, 40, 40, 64, r.randint(18, 80))), r.choice(alphabets))
@@ -114,8 +160,8 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, int, int,
                 lines = [draw(64, alphabets[4]) for _ in range(r.choice((2, 3, 12, 25, 50, 80)))]
                 title = r.choice(("RSA ", "", "EC ", "OPENSSH "))
                 body = f"-----BEGIN {title}PRIVATE KEY-----\n" + "\n".join(lines) + r.choice((f"\n-----END {title}PRIVATE KEY-----", ""))
-            word, sign, quote = case(r.choice(FOR)), r.choice((" = ", "=", ": ", ":", " := ", " ")), r.choice(('"', "'", ""))
-            lead = f"{prose(4)} {word}{sign}{quote}" if kind > 0.2 or r.random() < 0.6 else f"{prose(4)} "
+            name, sign, quote = case(r.choice(FOR)), r.choice((" = ", "=", ": ", ":", " := ", " ")), r.choice(('"', "'", ""))
+            lead = f"{prose(4)} {name}{sign}{quote}" if kind > 0.2 or r.random() < 0.6 else f"{prose(4)} "
         else:
             kind = r.randint(0, 8)
             quote = ""
@@ -207,24 +253,52 @@ def trained(n: int = 3000, seed: int = 7) -> Forest:
     return grow(np.array([features(*r[:3]) for r in rows]), np.array([float(r[3]) for r in rows]))
 
 
-def _score_batch(texts: list[str | None], forest: Forest) -> list[list[tuple[int, int, float]]]:
+def candidates(text: str) -> set[tuple[int, int]]:
+    """The spans of all candidates; a value or password may hold others, but none lies across the border of a key block."""
+    found = [m.span() for m in CANDIDATE.finditer(text)]
+    blocks = [x for x in found if text.startswith("-----BEGIN", x[0])]
+    more = [m.span(m.lastindex) for m in ASSIGNED.finditer(text)]
+    more = [(a, a + len(text[a:b].rstrip(",;)]}") or text[a:b])) if text[b : b + 1] not in ("'", '"', "`") else (a, b) for a, b in more]
+    if "@" in text:
+        more += [m.span(1) for m in IN_URL.finditer(text)]
+    return {*found, *(x for x in more if not any(x[0] < b and a < x[1] for a, b in blocks))}
+
+
+def _apart(found: list[tuple[int, int, float]], threshold: float) -> list[tuple[int, int, float]]:
+    """Disjoint spans in order: overlapping secrets become one, false candidates stay where no secret and no shorter one is."""
+    out: list[tuple[int, int, float]] = []
+    for a, b, s in sorted(x for x in found if x[2] >= threshold):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), max(s, out[-1][2]))
+        else:
+            out.append((a, b, s))
+    taken = [x[:2] for x in out]
+    for a, b, s in sorted((x for x in found if x[2] < threshold), key=lambda x: (x[1] - x[0], x)):
+        at = bisect_left(taken, (b, 0)) - 1
+        if at < 0 or taken[at][1] <= a:
+            out.append((a, b, s))
+            taken.insert(at + 1, (a, b))
+    return sorted(out)
+
+
+def _score_batch(texts: list[str | None], forest: Forest, threshold: float = 0.5) -> list[list[tuple[int, int, float]]]:
     where, rows = [], []
     for i, text in enumerate(texts):
-        for m in CANDIDATE.finditer(text or ""):
-            where.append((i, m.start(), m.end()))
-            rows.append(features(text, *m.span()))
+        for a, b in sorted(candidates(text)) if text else ():
+            where.append((i, a, b))
+            rows.append(features(text, a, b))
     out: list[list] = [[] for _ in texts]
     if rows:
         for (i, a, b), s in zip(where, forest.score(np.array(rows))):
             out[i].append((a, b, round(float(s), 6)))
-    return out
+    return [_apart(found, threshold) for found in out]
 
 
 def _scan(forest: Forest, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = [(i, a, b - a, s, s >= threshold) for i, found in zip(ids, _score_batch(texts, forest)) for a, b, s in found]
+            rows = [(i, a, b - a, s, s >= threshold) for i, found in zip(ids, _score_batch(texts, forest, threshold)) for a, b, s in found]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
             yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "start", "length", "score", "secret"])
 
@@ -241,7 +315,7 @@ def _redact(forest: Forest, threshold: float, at: int, mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            for i, found in enumerate(_score_batch(texts, forest)):
+            for i, found in enumerate(_score_batch(texts, forest, threshold)):
                 for a, b, s in reversed(found):
                     if s >= threshold:
                         texts[i] = texts[i][:a] + mark + texts[i][b:]
