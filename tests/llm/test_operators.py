@@ -181,6 +181,13 @@ def test_tokens_equal_the_library():
             assert np.frombuffer(enc.ids(t), enc.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
+def test_tokens_of_texts_with_nul():
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc, plain = tokens.encoder(tokens.vocabulary(name)), Tokenizer.from_file(tokens.vocabulary(name))
+        for t in ("a\0b c", "\0", "\0 a", "a \0", "a\n\0b  c", "a \0 b\nc\0\0d"):
+            assert np.frombuffer(enc.ids(t), enc.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
 def test_arrow_files(spark, docs, edges, empty, tmp_path):
     vocab, enc = tokens.vocabulary("byte_bpe_50k.json"), tokens.encoder(tokens.vocabulary("byte_bpe_50k.json"))
     files = arrow_files.write_sequences(docs, f"file://{tmp_path}/a", vocab, seq_len=64, rows=4)

@@ -71,7 +71,7 @@ class Encoder:
             if _ODD_SPACE.search(text):
                 return self._whole(text)
             chunks = text.split()
-        elif _DOUBLE.search(text):
+        elif "\0" in text or _DOUBLE.search(text):  # NUL separates the chunks below
             return self._runs(text)
         else:
             chunks = (" " + text.replace("\n", " \n")).replace(" ", "\0 ").split("\0")[1:]
@@ -81,7 +81,7 @@ class Encoder:
         return self._look_up(chunks)
 
     def _runs(self, text: str) -> bytes:
-        """Texts with runs of white space: split where a single space stands between two characters that aren't white space."""
+        """Texts with runs of white space or NUL: split where a single space stands between two characters that aren't white space."""
         parts = re.split(r"(?<=\S)(?= \S)", text)
         return self._look_up(parts)
 
