@@ -233,6 +233,13 @@ def test_quality(spark, edges, empty):
     assert total["base", "too_few_words"][0] == sum(r.failed & 1 for r in led.collect())
 
 
+def test_books_stay(spark):
+    book = "\n".join(" ".join(f"word{i + k}" for k in range(10)) for i in range(0, 110000, 10))
+    df = spark.createDataFrame([(1, book), (2, "few words")], "doc_id long, text string")
+    assert [r.doc_id for r in quality.accepted(spark, df, SF).select("doc_id").collect()] == [1]
+    assert quality.ledger(quality.measure(df)).where("failed & 4 <> 0").count() == 1
+
+
 def test_html(spark):
     page = "<html><head><title>x</title><script>var t='</p>'</script></head><body><header>H</header><nav>n</nav><div class='ad'>buy</div><article><header><h1>T &amp; U</h1></header><p>a\n  b<br>c<p>d<div class=comments><p>e</div></article><footer>f</footer>"
     assert [x for x, _ in html.lines_of(page)] == ["T & U", "a b", "c", "d"]
