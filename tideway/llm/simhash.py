@@ -9,7 +9,7 @@ linked by looking up the 1,794 masks of up to 3 free bits once that is cheaper t
 a spanning forest of their links. Nothing is dropped or capped.
 
 Texts of five-word Jaccard similarity 0.8 are often 4 to 11 bits apart, too many for blocks. On request `similar` adds
-their links by prefix filtering: it finds candidates that share one of their first shingles and compares the whole sets.
+their links by prefix filtering: it finds candidates that share one of their first shingles, drops by sketches those that can't be, and compares whole sets.
 
 Nulls: a null text has no words and the fingerprint zero, as has an empty one; rows with a null doc_id get a fingerprint
 and count for links, but can't name a component unless all of its ids are null. Repeated rows are returned as often as
@@ -18,6 +18,7 @@ they come. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -189,7 +190,7 @@ def links(nodes: DataFrame, blocks: int = 5, keep: int = 2, hot: int = 2000, fin
     return linked(keys.join(full, ["n", "k"], "left_anti").select("n", "k", "fp")).union(linked(dealt(again, fine_blocks, fine_keep)))
 
 
-def near_duplicates(docs: DataFrame, shingle: int | None = None, least: int = 80, hot: int = 2000) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int | None = None, least: int = 80, hot: int = 200) -> DataFrame:
     """(doc_id, fp, component_id): every row of docs with the smallest doc_id that it reaches over links.
 
     Links are fingerprints at 3 bits or less and, if shingle is given, also texts whose sets of word shingles of that length have a Jaccard similarity of least percent or more.
@@ -221,8 +222,8 @@ def shingles(words: list[bytes], k: int) -> np.ndarray:
 
 
 def _texts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple[int, str, np.ndarray]]]:
-    """For each batch (number of the text, text, shingles) of the texts with words; equal words have equal numbers."""
-    for batch in batches:
+    """For every few rows (number of the text, text, shingles) of the texts with words; equal words have equal numbers."""
+    for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
         out = {}
         for t in batch.column(0).to_pylist():
             words = (t or "").encode("utf-8", "surrogatepass").lower().split()
@@ -255,12 +256,10 @@ def prefix(own: np.ndarray, order: np.ndarray, rank: np.ndarray, least: int) ->
 def _prefixes(k: int, order: np.ndarray, rank: np.ndarray, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in _texts(batches, k):
-            for i in range(0, len(texts), 500):
-                part = texts[i : i + 500]
-                keys = [prefix(s, order, rank, least) for _, _, s in part]
-                sizes = [len(x) for x in keys]
-                node, n = (np.repeat(np.array(x, np.int64), sizes) for x in ([t[0] for t in part], [len(t[2]) for t in part]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(node), pa.array(n)], names=["k", "node", "n"])
+            keys = [prefix(s, order, rank, least) for _, _, s in texts]
+            sizes = [len(x) for x in keys]
+            node, n = (np.repeat(np.array(x, np.int64), sizes) for x in ([t[0] for t in texts], [len(t[2]) for t in texts]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.empty(0, np.int64)])), pa.array(node), pa.array(n)], names=["k", "node", "n"])
 
     return run
 
@@ -318,24 +317,56 @@ def _candidates(least: int):
 SLOTS = 1 << 26
 
 
-def _sets(k: int, bits: np.ndarray):
-    """(node, fp, s: the shingles' bytes) of the texts whose bit is set."""
+def sketch(own: np.ndarray) -> bytes:
+    """A bit for each of at least 2 n slots: whether an odd number of the shingles fall into it."""
+    slots = max(64, 1 << (2 * len(own) - 1).bit_length())
+    return np.packbits(np.bincount(own & (slots - 1), minlength=slots) & 1, bitorder="little").tobytes()
+
+
+def _held(k: int, bits: np.ndarray, whole: bool):
+    """(node, fp, n, s) of the texts whose bit is set: s is the compressed text or the sketch of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in _texts(batches, k):
             few = [x for x in texts if int(bits[(x[0] % SLOTS) >> 6]) >> (x[0] & 63) & 1]
-            prints = np.array([fingerprint(t) for _, t, _ in few], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _, _ in few], pa.int64()), pa.array(prints), pa.array([s.tobytes() for _, _, s in few], pa.binary())], names=["node", "fp", "s"])
+            prints = np.array([0 if whole else fingerprint(t) for _, t, _ in few], dtype=np.uint64).view(np.int64)
+            held = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) if whole else sketch(own) for _, t, own in few]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _, _ in few], pa.int64()), pa.array(prints), pa.array([len(own) for *_, own in few], pa.int64()), pa.array(held, pa.binary())], names=["node", "fp", "n", "s"])
 
     return run
 
 
-def _alike(least: int):
+def held(texts: DataFrame, pairs: DataFrame, k: int, whole: bool) -> DataFrame:
+    """The rows of _held for the nodes of pairs(a, b), each once. The driver makes a filter of fixed size from them; the join with the pairs drops others."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    words = nodes.groupBy(F.expr(f"shiftright(pmod(node, {SLOTS}L), 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(node & 63L as int)))").alias("m")).toArrow()
+    bits = np.zeros(SLOTS >> 6, dtype=np.uint64)
+    bits[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    return texts.mapInArrow(_held(k, bits, whole), "node long, fp long, n long, s binary").dropDuplicates(["node"])
+
+
+def _maybe(least: int):
+    """Pairs whose sketches differ in no more slots than sets of `least` percent can: each shingle of one side only changes one slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, x, y in zip(batch.column(4).to_pylist(), batch.column(5), batch.column(6)):
+                x, y = (np.frombuffer(c.as_buffer(), np.uint8) for c in (x, y))
+                size = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(c.reshape(-1, size)) for c in (x, y))
+                keep.append(int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) * (100 + least) <= n * (100 - least))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _alike(k: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(c.as_buffer(), np.int64) for c in (a, b))
+                x, y = (shingles(zlib.decompress(c.as_buffer()).lower().split(), k) for c in (a, b))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= least * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -343,12 +374,13 @@ def _alike(least: int):
     return run
 
 
-def similar(docs: DataFrame, roots: DataFrame, shingle: int = 5, least: int = 80, hot: int = 2000) -> DataFrame:
-    """(a, b): the different roots(fp, root) of every two texts whose shingle sets have a Jaccard similarity of least percent or more.
+def similar(docs: DataFrame, roots: DataFrame, shingle: int = 5, least: int = 80, hot: int = 200) -> DataFrame:
+    """(a, b): links over the roots(fp, root) of texts whose shingle sets have a Jaccard similarity of least percent or more; they reach whatever all such pairs reach.
 
     Two such sets share one of the first shingles of each in any common order, so all pairs are found. Shingles that a
     sixteenth of the texts shows to be in about `hot` texts or more stand last in the order, which spares pairs but decides
-    none. Shingles and texts are told apart by 64-bit hashes.
+    none. Sketches drop pairs that can't be similar enough; the others' whole sets are compared, first one pair for each
+    text, then those that are still apart. Shingles and texts are told apart by 64-bit hashes.
     """
     texts = docs.select(F.col("text").cast("string").alias("text"))
     often = texts.mapInArrow(_frequent(shingle), "k long").groupBy("k").count().where(F.col("count") >= max(2, hot // 16)).toArrow()
@@ -357,18 +389,25 @@ def similar(docs: DataFrame, roots: DataFrame, shingle: int = 5, least: int = 80
     order, rank = order[by], np.empty(len(order), np.int64)
     rank[np.lexsort((order, counts[by]))] = np.arange(len(order))
     keys = texts.mapInArrow(_prefixes(shingle, order, rank, least), "k long, node long, n long")
-    pairs = common.checkpointed(keys.repartition("k").sortWithinPartitions("k", "node").mapInArrow(_candidates(least), "a long, b long").distinct())
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-    words = nodes.groupBy(F.expr(f"shiftright(pmod(node, {SLOTS}L), 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(node & 63L as int)))").alias("m")).toArrow()
-    bits = np.zeros(SLOTS >> 6, dtype=np.uint64)
-    bits[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
-    sets = texts.mapInArrow(_sets(shingle, bits), "node long, fp long, s binary").dropDuplicates(["node"]).join(roots, "fp").select("node", "root", "s")
-    sets = common.written(sets, "shingle-sets")
-    a, b = (sets.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-    open_ = pairs.join(a, "a").join(b, "b").where("ra <> rb")
-    sa, sb = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    both = open_.join(sa, "a").join(sb, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "sa", "sb")
-    return both.mapInArrow(_alike(least), "a long, b long")
+    pairs = common.written(keys.repartition("k").sortWithinPartitions("k", "node").mapInArrow(_candidates(least), "a long, b long").distinct(), "candidates")
+    short = common.written(held(texts, pairs, shingle, False).join(roots, "fp").select("node", "root", "n", "s"), "sketches")
+    side = lambda x: short.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where("ra <> rb").select("a", "b", "ra", "rb", F.expr("na + nb").alias("n"), "sa", "sb")
+    maybe = common.written(both.mapInArrow(_maybe(least), "a long, b long, ra long, rb long"), "similar-pairs")
+    whole = common.written(held(texts, maybe, shingle, True).select("node", "s"), "similar-texts")
+
+    def checked(some: DataFrame) -> DataFrame:
+        sa, sb = (whole.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+        found = some.join(sa, "a").join(sb, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "sa", "sb")
+        return common.written(found.mapInArrow(_alike(shingle, least), "a long, b long").distinct(), "similar-links")
+
+    first = maybe.groupBy("b").agg(F.min_by(F.struct("a", "ra", "rb"), "a").alias("x")).select("x.a", "b", "x.ra", "x.rb")
+    links_ = checked(first)
+    met = common.components(links_)
+    rest = maybe
+    for x in ("ra", "rb"):
+        rest = rest.join(met.select(F.col("node").alias(x), F.col("root").alias(f"{x}_met")), x, "left")
+    return links_.union(checked(rest.where("coalesce(ra_met, ra) <> coalesce(rb_met, rb)").select("a", "b", "ra", "rb")))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
