@@ -7,7 +7,8 @@ from a memory map without a copy. A second IPC file holds (doc_id, start, n_toke
 runs again writes files of new names; only those that its result names are read.
 
 Nulls: a null text is empty, so it holds the end id alone; rows with a null doc_id come first. Rows of equal doc_id are
-ordered by text. Other columns aren't read. An empty table gives no files.
+ordered by text. A text of any length is encoded whole and runs over as many sequences as it needs. Other columns aren't
+read, whatever their names. An empty table gives no files.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideway.llm import common
-from tideway.llm.tokens import encoder, vocabulary
+from tideway.llm.tokens import encoder, groups, vocabulary
 
 SEQ_LEN, ROWS = 2048, 64
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -77,10 +78,12 @@ def _write(base: str, vocab: str, end: int, seq_len: int, rows: int):
             out, index = _Sequences(a, enc.width, seq_len, rows), pa.ipc.new_file(b, INDEX)
             for batch in _chain(first, batches):
                 sizes = np.empty(batch.num_rows, np.int64)
-                for i, text in enumerate(batch.column(1)):
-                    ids = enc.ids(text.as_py()) + tail
-                    sizes[i] = len(ids) // enc.width
-                    out.add(ids)
+                i = 0
+                for texts in groups(t.as_py() for t in batch.column(1)):
+                    for ids in enc.ids_of(texts):
+                        out.add(ids + tail)
+                        sizes[i] = len(ids) // enc.width + 1
+                        i += 1
                 starts = total + np.cumsum(sizes) - sizes
                 index.write_batch(pa.record_batch([batch.column(0), pa.array(starts), pa.array(sizes)], schema=INDEX))
                 docs, total = docs + batch.num_rows, total + int(sizes.sum())
@@ -118,10 +121,17 @@ class SequenceFile:
         self.file = pa.ipc.open_file(self.source)
         self.seq_len = self.file.schema.field("ids").type.list_size
         self.rows = self.file.get_batch(0).num_rows if self.file.num_record_batches else 1
+        self.held: tuple[int, pa.RecordBatch | None] = (-1, None)
+
+    def _batch(self, number: int) -> pa.RecordBatch:
+        """A batch of the file; the last one is kept, as a store that isn't mapped reads it anew each time."""
+        if self.held[0] != number:
+            self.held = (number, self.file.get_batch(number))
+        return self.held[1]
 
     def sequence(self, number: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, mask) of one sequence; ids without a copy where the file is mapped."""
-        batch, at = self.file.get_batch(number // self.rows), number % self.rows * self.seq_len
+        batch, at = self._batch(number // self.rows), number % self.rows * self.seq_len
         ids, mask = (batch.column(i).values.slice(at, self.seq_len) for i in (0, 1))
         return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
 
@@ -131,7 +141,7 @@ class SequenceFile:
         while count > 0:
             at = start % size
             n = min(count, size - at)
-            yield self.file.get_batch(start // size).column(0).values.slice(at, n).to_numpy()
+            yield self._batch(start // size).column(0).values.slice(at, n).to_numpy()
             start, count = start + n, count - n
 
     def close(self) -> None:

@@ -4,11 +4,12 @@ Texts are encoded and cut into pieces of at most `capacity` ids. Packing needs o
 at most `capacity` numbers whatever the corpus: lengths above a third of the capacity are matched first, at most two a
 sequence, the longest with the longest that fits; shorter ones then best-fit the remaining gaps, longest first. The plan
 says which ranks of a length go where, in runs of equal sequences, and each piece finds its place by its rank among the
-pieces of its length. Ranks are counted within 64 hashed shares of a length, so a length that a third of all pieces have
-is still dealt over many tasks.
+pieces of its length. Ranks are counted within hashed shares of a length of about `share_rows` pieces each, so a length
+that a third of all pieces have is dealt over many tasks; pieces of full length, most of them in long texts, need no rank.
 
 Nulls: a null text is empty and holds the end id alone; a null doc_id is kept. Repeated rows are packed each for itself.
-Other columns aren't read. An empty table gives no pieces.
+Texts of any length are cut into as many pieces as they need. Other columns of the documents aren't read, whatever their
+names; other columns of pieces stay. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideway.llm import common
-from tideway.llm.tokens import encoder, vocabulary
+from tideway.llm.tokens import encoder, groups, vocabulary
 
-CAPACITY, SHARES = 2048, 64
+CAPACITY, SHARE_ROWS = 2048, 200_000
 
 
 class Placed(NamedTuple):
@@ -107,8 +108,8 @@ def _pieces(vocab: str, end: int, capacity: int, with_ids: bool):
         tail = np.array([end], dtype="<u4")
         for batch in batches:
             ids_of, numbers, starts, sizes, crcs, cut = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = np.concatenate([np.frombuffer(enc.ids(text.as_py()), enc.dtype).astype("<u4"), tail])
+            for i, found in enumerate(x for texts in groups(t.as_py() for t in batch.column(1)) for x in enc.ids_of(texts)):
+                ids = np.concatenate([np.frombuffer(found, enc.dtype).astype("<u4"), tail])
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     piece = ids[at : at + capacity]
                     ids_of.append(i)
@@ -158,22 +159,26 @@ def _placed(placements: list[Placed]):
     return run
 
 
-def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces (see pieces()) with sequence_id and offset. cut should be a written table, as it is read three times."""
-    share = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SHARES)).cast("int")
-    cut = cut.withColumn("_share", share)
-    counts = common.checkpointed(cut.groupBy("length", "_share").agg(F.count(F.lit(1)).alias("_n")))
-    placements, _ = plan({r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).collect()}, capacity)
-    in_length = Window.partitionBy("length").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("length", "_share", F.coalesce(F.sum("_n").over(in_length), F.lit(0)).alias("_before"))
-    in_share = Window.partitionBy("length", "_share").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = cut.withColumn("rank", F.row_number().over(in_share).cast("long"))
-    # at most capacity * SHARES rows, whatever the input
-    ranked = ranked.join(F.broadcast(before), ["length", "_share"]).withColumn("rank", F.col("rank") - 1 + F.col("_before"))
-    names = [c for c in cut.columns if c != "_share"]
-    ranked = ranked.select(*names, "rank")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank") + ", sequence_id long, offset long"
-    return ranked.mapInArrow(_placed(placements), schema)
+def packed(cut: DataFrame, capacity: int = CAPACITY, share_rows: int = SHARE_ROWS) -> DataFrame:
+    """The pieces (see pieces()) with sequence_id and offset; columns of these names are replaced. cut should be a written table, as it is read four times."""
+    kept = [F.col(f"`{c}`") for c in cut.columns if c not in ("sequence_id", "offset")]
+    spark = cut.sparkSession
+    # at most capacity rows, whatever the input
+    counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
+    placements, opened = plan({k: n for k, n in counts.items() if k < capacity}, capacity)
+    whole = cut.where(F.col("length") == capacity).select(*kept, (F.monotonically_increasing_id() + opened).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    shares = spark.createDataFrame([(k, -(-n // share_rows)) for k, n in counts.items()], "length long, shares long")
+    share = F.pmod(F.xxhash64("row.doc_id", "row.piece", "row.ids_crc32"), F.col("shares")).alias("share")
+    rows = cut.where(F.col("length") < capacity).select(F.struct(*kept).alias("row"), "length").join(F.broadcast(shares), "length").select("row", "length", share)
+    sizes = rows.groupBy("length", "share").agg(F.count(F.lit(1)).alias("n"))
+    in_length = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
+    before = common.checkpointed(sizes.select("length", "share", F.coalesce(F.sum("n").over(in_length), F.lit(0)).alias("before")))
+    in_share = Window.partitionBy("length", "share").orderBy("row.doc_id", "row.piece", "row.ids_crc32")
+    ranked = rows.withColumn("rank", F.row_number().over(in_share).cast("long") - 1).join(before, ["length", "share"])
+    ranked = ranked.select("row", "length", (F.col("rank") + F.col("before")).alias("rank"))
+    row = ranked.schema["row"].dataType.simpleString()
+    placed = ranked.mapInArrow(_placed(placements), f"row {row}, length long, sequence_id long, offset long")
+    return placed.select("row.*", "sequence_id", "offset").union(whole)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
