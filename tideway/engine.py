@@ -1,4 +1,4 @@
-"""Runs: plan, load or merge, validate, remember. State is one JSON file of runs, tasks and sync marks, written by a single driver."""
+"""Runs: plan, split, load or merge, validate, remember. State is one JSON file of runs, tasks, progress and sync marks, written by a single driver."""
 
 from __future__ import annotations
 
@@ -8,124 +8,313 @@ import json
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as Late
+from dataclasses import dataclass
 from fnmatch import fnmatchcase
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideway import monitor
 from tideway.catalog import TableSpec
-from tideway.operators import merge, validate
+from tideway.operators import merge, metrics, validate
+from tideway.operators.analyze import EXIT_CODES, retryable_text  # noqa: F401
 from tideway.plans import splits
-from tideway.sources.scan import read
+from tideway.sources import jdbc, tables
+from tideway.sources.scan import key_range, read
+from tideway.statefile import StateFile
 
-EXIT_CODES = {"success": 0, "config": 1, "connection": 2, "state": 3, "transfer": 4, "validation": 5, "cancelled": 6, "io": 7}
+STATE = {"runs": [], "tasks": [], "marks": {}, "versions": {}, "sequences": {}, "garbage": []}
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
+
+@dataclass(frozen=True)
+class Job:
+    """A table, or one split of it: number and the keys (above, up_to] or some of its files."""
+
+    table: str
+    part: int | None = None
+    split: splits.Split | None = None
+    files: tuple[str, ...] = ()
+
+    @property
+    def key(self) -> str:
+        return f"transfer:{self.table}" + (f":p{self.part}" if self.part is not None else "")
+
+
+def _now() -> str:
+    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None).isoformat(timespec="seconds")
 
 
 class Engine:
-    """Replicates the tables of `source` into versioned Parquet folders below `target`.
+    """Replicates the tables of `source` into Parquet folders below `target`.
+
+    A table's current version is a list of folders in the state, by hash bucket of its key: a load becomes visible only
+    once it is whole, a path being read is never overwritten, and a run that dies leaves the old version in place. An
+    upsert reads and rewrites the buckets that its changes fall into; folders of other buckets stay in the list. Folders
+    that no version names any more go when the next run begins. One writer is assumed.
 
-    A table's current version is named in the state, so a load becomes visible only once it is whole, a path being read is
-    never overwritten, and a run that dies leaves the old version in place. One writer is assumed.
+    Tables of more than `threshold` rows are read in splits, JDBC tables by ranges of an integer key and files by groups of
+    files. Each split is a task with a folder of its own, so a run that resumes repeats only the splits that weren't done.
     """
 
-    def __init__(self, spark: SparkSession, source: str, target: str, state: str, specs: list[TableSpec], mode: str = "reload", workers: int = 4, retries: int = 3, wait: float = 1.0) -> None:
+    def __init__(self, spark: SparkSession, source: str, target: str, state: str, specs: list[TableSpec], mode: str = "reload", workers: int = 4, retries: int = 3, wait: float = 1.0, threshold: int = 5_000_000, chunk: int = 100_000, most: int = 8, bucket_rows: int = 1_000_000, cadence: int = 1, progress: str | None = None) -> None:
         if source.rstrip("/") == target.rstrip("/"):
             raise ValueError("source and target are the same")
-        self.spark, self.source, self.target, self.mode, self.workers, self.retries, self.wait = spark, source, target, mode, workers, retries, wait
+        self.spark, self.source, self.target, self.mode, self.workers, self.retries, self.wait = spark, source, target.rstrip("/"), mode, workers, retries, wait
+        self.threshold, self.chunk, self.most, self.bucket_rows, self.cadence, self.progress = threshold, chunk, most, bucket_rows, max(1, cadence), progress
         self.specs = {s.name: s for s in specs}
-        self.path = Path(state)
-        self.state = json.loads(self.path.read_text()) if self.path.exists() else {"runs": [], "tasks": [], "marks": {}, "versions": {}}
+        self.file = StateFile(spark, state)
+        self.state = self.file.load(json.loads(json.dumps(STATE)))
 
     def _save(self) -> None:
-        part = self.path.with_suffix(".part")
-        part.write_text(json.dumps(self.state, indent=1))
-        part.replace(self.path)
+        with self.file.lock:
+            self.file.save(self.state)
 
     def config_hash(self) -> str:
         text = json.dumps([self.source, self.target, self.mode, sorted(self.specs)])
         return hashlib.sha256(text.encode()).hexdigest()[:16]
 
-    def current(self, table: str) -> DataFrame | None:
+    # the target
+
+    def _folders(self, table: str, which: list[str] | None = None) -> list[str]:
         version = self.state["versions"].get(table)
-        return self.spark.read.parquet(f"{self.target}/{table}/{version}") if version else None
+        return [f for b, of in (version["paths"] if version else {}).items() if which is None or b in which for f in of]
+
+    def _stored(self, table: str, which: list[str] | None = None) -> DataFrame:
+        version, folders = self.state["versions"][table], self._folders(table, which)
+        reader = self.spark.read.schema(version["schema"])
+        return reader.parquet(*folders) if folders else self.spark.createDataFrame([], version["schema"])
+
+    def current(self, table: str) -> DataFrame | None:
+        return self._stored(table) if table in self.state["versions"] else None
+
+    def _bucket(self, table: str, buckets: int):
+        spec = self.specs[table]
+        return F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in spec.key)), F.lit(buckets)).cast("int") if spec.key else F.lit(0)
+
+    def _write(self, table: str, df: DataFrame, folder: str, buckets: int) -> None:
+        """df below folder, cut by bucket; a rewrite replaces what an earlier attempt left there."""
+        if buckets > 1:
+            df = df.withColumn("tideway_bucket", self._bucket(table, buckets)).repartition("tideway_bucket")
+            df.write.mode("overwrite").partitionBy("tideway_bucket").parquet(folder)
+        else:
+            df.write.mode("overwrite").parquet(folder)
+
+    def _paths(self, folder: str, buckets: int) -> dict[str, list[str]]:
+        if buckets == 1:
+            return {"0": [folder]}
+        names = [s.getPath().getName() for s in self.file.fs.listStatus(self.file.jvm.org.apache.hadoop.fs.Path(folder))]
+        return {n.removeprefix("tideway_bucket="): [f"{folder}/{n}"] for n in names if n.startswith("tideway_bucket=")}
+
+    def _publish(self, table: str, paths: dict[str, list[str]], buckets: int, schema: str) -> None:
+        with self.file.lock:
+            old = set(self._folders(table))
+            self.state["versions"][table] = {"paths": paths, "buckets": buckets, "schema": schema, "key": list(self.specs[table].key)}
+            self.state["garbage"] += sorted(old - set(self._folders(table)))
+
+    def clean(self) -> list[str]:
+        """Delete folders that earlier runs replaced; returns them. Readers that began before the last run may still need them, so runs call this first."""
+        with self.file.lock:
+            gone, self.state["garbage"] = self.state["garbage"], []
+        for folder in gone:
+            self.file.delete(folder)
+        self._save()
+        return gone
+
+    def upsert(self, table: str, rows: DataFrame) -> list[str]:
+        """Merge rows into the table; returns the buckets that were rewritten."""
+        spec, version = self.specs[table], self.state["versions"][table]
+        merge.assert_unique(rows, list(spec.key), "source")
+        buckets, schema = version["buckets"], version["schema"]
+        bucket = self._bucket(table, buckets)
+        # at most `buckets` numbers
+        touched = sorted(str(r[0]) for r in rows.select(bucket.alias("b")).distinct().collect())
+        if not touched:
+            return []
+        old = self._stored(table, touched)
+        merge.assert_unique(old, list(spec.key), "target")
+        folder = f"{self.target}/{table}/{uuid.uuid4().hex}"
+        self._write(table, merge.merge(old, rows, list(spec.key), spec.spatial).drop("_action"), folder, buckets)
+        paths = {b: f for b, f in version["paths"].items() if b not in touched} | self._paths(folder, buckets)
+        self._publish(table, paths, buckets, schema)
+        self._save()
+        return touched
+
+    # planning
 
     def selected(self, include: list[str] = (), exclude: list[str] = ()) -> list[str]:
         low = {t: t.lower() for t in self.specs}
         hit = lambda t, globs: any(fnmatchcase(low[t], g.lower()) for g in globs)
         return sorted(t for t in self.specs if (not include or hit(t, include)) and not hit(t, exclude))
 
-    def dry_run(self, threshold: int = 5_000_000, chunk: int = 100_000, most: int = 8) -> list[dict]:
+    def _source(self, table: str) -> DataFrame:
+        return read(self.spark, self.source, self.specs[table])
+
+    def _method(self, table: str, df: DataFrame, n: int) -> str:
+        spec = self.specs[table]
+        keyset = len(spec.key) == 1 and dict(df.dtypes)[spec.key[0]] in INTEGERS
+        return splits.strategy(n, keyset, bool(spec.key), self.threshold)
+
+    def dry_run(self, threshold: int | None = None, chunk: int | None = None, most: int | None = None, row_bytes: int = 500, buffers: int = 4) -> list[dict]:
+        """What a run would do with each table, and the bytes that its buffers would take."""
+        threshold, chunk, most = threshold or self.threshold, chunk or self.chunk, most or self.most
         out = []
         for t in self.selected():
-            df, spec = read(self.spark, self.source, self.specs[t]), self.specs[t]
+            df, spec = self._source(t), self.specs[t]
             n = df.count()
-            keyset = len(spec.key) == 1 and dict(df.dtypes)[spec.key[0]] in ("int", "bigint", "smallint", "tinyint")
+            keyset = len(spec.key) == 1 and dict(df.dtypes)[spec.key[0]] in INTEGERS
             method = splits.strategy(n, keyset, bool(spec.key), threshold)
-            out.append({"table": t, "rows": n, "method": method, "partitions": 1 if method == "full_table" else splits.split_count(n, chunk, most)})
+            out.append({"table": t, "rows": n, "method": method, "partitions": 1 if method == "full_table" else splits.split_count(n, chunk, most), "columns": len(df.columns), "has_key": bool(spec.key), "memory": self.workers * buffers * chunk * row_bytes})
         return out
 
-    def _publish(self, table: str, df: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        df.write.parquet(f"{self.target}/{table}/{version}")
-        self.state["versions"][table] = version
+    def jobs(self, table: str) -> list[Job]:
+        """The splits of a table, or the whole of it."""
+        if self.mode == "upsert":
+            return [Job(table)]
+        spec, df = self.specs[table], self._source(table)
+        n = df.count()
+        if self._method(table, df, n) == "full_table":
+            return [Job(table)]
+        parts = splits.split_count(n, self.chunk, self.most)
+        if spec.format != "jdbc" and len(files := sorted(df.inputFiles())) > 1:
+            size = -(-len(files) // min(parts, len(files)))
+            return [Job(table, i // size + 1, files=tuple(files[i : i + size])) for i in range(0, len(files), size)]
+        if dict(df.dtypes)[spec.key[0]] in INTEGERS:
+            ends = df.agg(F.min(f"`{spec.key[0]}`"), F.max(f"`{spec.key[0]}`")).first()
+            return [Job(table, s.number, s) for s in splits.reader_ranges(*ends, parts)] if ends[0] is not None else [Job(table)]
+        return [Job(table)]
 
-    def upsert(self, table: str, rows: DataFrame) -> None:
-        spec, old = self.specs[table], self.current(table)
-        merge.assert_unique(rows, list(spec.key), "source")
-        self._publish(table, merge.merge(old, rows, list(spec.key), spec.spatial).drop("_action"))
-        self._save()
+    def _rows(self, job: Job) -> DataFrame:
+        spec = self.specs[job.table]
+        if job.files:
+            return self.spark.read.format(spec.format).options(**spec.options).schema(self._source(job.table).schema).load(list(job.files))
+        df = self._source(job.table)
+        if job.split is None:
+            return df
+        if spec.format == "jdbc":
+            return jdbc.read_table(self.spark, spec.options["dbtable"], {k: v for k, v in spec.options.items() if k != "dbtable"}, spec.key[0], [job.split])
+        return df.where(key_range(f"`{spec.key[0]}`", job.split.above, job.split.up_to))
 
     def _preconditions(self, tables: list[str]) -> None:
         """Everything that stands against an upsert, in one error."""
-        wrong = [f"{t}: no primary key" for t in tables if not self.specs[t].key] + [f"{t}: target is missing" for t in tables if t not in self.state["versions"]]
+        versions = self.state["versions"]
+        wrong = [f"{t}: no primary key" for t in tables if not self.specs[t].key] + [f"{t}: target is missing" for t in tables if t not in versions]
+        wrong += [f"{t}: target has the key {','.join(versions[t]['key']) or 'none'}" for t in tables if t in versions and versions[t]["key"] != list(self.specs[t].key)]
         if self.mode == "upsert" and wrong:
             raise ValueError("; ".join(wrong))
 
-    def _load(self, table: str) -> None:
-        spec = self.specs[table]
-        began = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None).isoformat(timespec="seconds")  # before reading
-        rows = read(self.spark, self.source, spec)
+    # running
+
+    def _load(self, run: dict, job: Job, task: dict) -> None:
+        spec = self.specs[job.table]
+        rows = self._rows(job)
         if self.mode == "upsert":
-            mark = self.state["marks"].get(table)
-            self.upsert(table, rows.where(F.col(spec.date_column) >= F.lit(mark)) if mark and spec.date_column else rows)
-        else:
-            self._publish(table, rows)
-        self.state["marks"][table] = began
+            mark = self.state["marks"].get(spec.mark)
+            changed = rows.where(F.col(f"`{spec.date_column}`") >= F.lit(mark)) if mark and spec.date_column else rows
+            self.upsert(job.table, changed)
+            run["warnings"] += [f"{job.table}: rows break {c}" for c in spec.checks if not validate.broken(changed, c).isEmpty()]
+            return
+        folder, buckets = self._folder(run, job), run["buckets"][job.table]
+        self._write(job.table, rows, folder, buckets)
+        task["rows_done"] = task["rows_total"] = self.spark.read.schema(rows.schema).parquet(folder).count()
+        task["last_key"] = job.split.up_to if job.split else None
+
+    def _folder(self, run: dict, job: Job) -> str:
+        return f"{self.target}/{job.table}/{run['run_id']}/p{job.part or 0}"
 
-    def _task(self, run: dict, table: str) -> dict:
-        task = {"run_id": run["run_id"], "task_key": f"transfer:{table}", "status": "running", "error": None}
+    def _task(self, run: dict, job: Job) -> dict:
+        task = self._record(run, job)
+        if task["status"] == "success":
+            return task
+        task |= {"status": "running", "started_at": _now(), "error": None}
         for attempt in range(self.retries + 1):
+            task["retry_count"] = attempt
             try:
-                self._load(table)
-                task["status"] = "success"
+                self._load(run, job, task)
+                task |= {"status": "success", "completed_at": _now(), "error": None}
                 break
             except Exception as e:  # recorded; other tables go on
-                task |= {"status": "failed", "error": str(e)[:500]}
-                if attempt == self.retries or not any(x in str(e).lower() for x in ("connection", "timeout", "deadlock")):
+                task |= {"status": "failed", "completed_at": _now(), "error": str(e)[:500]}
+                if attempt == self.retries or not retryable_text(str(e)):
                     break
                 time.sleep(self.wait * 2**attempt)
+        self._done(run)
         return task
 
+    def _record(self, run: dict, job: Job) -> dict:
+        """The task of a job in this run: the one that is there, or a new one."""
+        with self.file.lock:
+            found = next((t for t in self.state["tasks"] if (t["run_id"], t["task_key"]) == (run["run_id"], job.key)), None)
+            if found is None:
+                found = {"task_id": len(self.state["tasks"]) + 1, "run_id": run["run_id"], "task_key": job.key, "table": job.table, "status": "pending", "retry_count": 0, "max_retries": self.retries, "error": None, "started_at": None, "completed_at": None, "rows_done": 0, "rows_total": 0, "last_key": None}
+                self.state["tasks"].append(found)
+            return found
+
+    def _done(self, run: dict) -> None:
+        """State goes to its file after every `cadence` finished tasks; a task that a lost state forgets is only repeated."""
+        with self.file.lock:
+            run["finished"] = run.get("finished", 0) + 1
+            if run["finished"] % self.cadence == 0:
+                self._save()
+            if self.progress:
+                mine = [t for t in self.state["tasks"] if t["run_id"] == run["run_id"]]
+                with Path(self.progress).open("a") as f:
+                    f.write(monitor.progress_line("transferring", mine, time.time() - run["began"]) + "\n")
+
     def run(self, include: list[str] = (), exclude: list[str] = ()) -> dict:
-        tables = self.selected(include, exclude)
-        self._preconditions(tables)
-        run = {"run_id": uuid.uuid4().hex[:8], "started_at": dt.datetime.now().isoformat(timespec="seconds"), "status": "running", "config_hash": self.config_hash(), "tables": tables}
+        names = self.selected(include, exclude)
+        self._preconditions(names)
+        self.clean()
+        run = {"run_id": uuid.uuid4().hex[:8], "started_at": _now(), "status": "running", "config_hash": self.config_hash(), "tables": names, "warnings": [], "buckets": {}}
         self.state["runs"].append(run)
         self._save()
-        return self._finish(run, tables)
+        return self._finish(run, names)
 
-    def _finish(self, run: dict, tables: list[str]) -> dict:
+    def _finish(self, run: dict, names: list[str]) -> dict:
+        run["began"] = time.time()
+        marks = {t: _now() for t in names}  # before reading
+        planned = run.setdefault("jobs", {})
         with ThreadPoolExecutor(self.workers) as pool:
-            done = list(pool.map(lambda t: self._task(run, t), tables))
-        self.state["tasks"] = [t for t in self.state["tasks"] if (t["run_id"], t["task_key"]) not in {(d["run_id"], d["task_key"]) for d in done}] + done
+            # a resumed run keeps its plan, as its finished splits belong to it
+            new = [t for t in names if t not in planned]
+            for t, of in zip(new, pool.map(self.jobs, new)):
+                planned[t] = [[j.part, None if j.split is None else [j.split.above, j.split.up_to], list(j.files)] for j in of]
+            keyed = [t for t in new if self.specs[t].key and self.mode != "upsert"]
+            sizes = dict(zip(keyed, pool.map(lambda t: self._source(t).count(), keyed)))
+            for t in new:
+                run["buckets"][t] = max(1, min(100_000, -(-sizes.get(t, 0) // self.bucket_rows)))
+            jobs = [Job(t, p, splits.Split(p, *s) if s else None, tuple(f)) for t in names for p, s, f in planned[t]]
+            for j in jobs:
+                self._record(run, j)
+            self._save()
+            # first splits and whole tables, then the rest
+            done = list(pool.map(lambda j: self._task(run, j), [j for j in jobs if j.part in (None, 1)]))
+            done += pool.map(lambda j: self._task(run, j), [j for j in jobs if j.part not in (None, 1)])
         failed = [t for t in done if t["status"] == "failed"]
-        run |= {"status": "success" if not failed else "partial" if len(failed) < len(done) else "failed", "completed_at": dt.datetime.now().isoformat(timespec="seconds")}
+        lost = {t["table"] for t in failed}
+        whole = [t for t in names if t not in lost]
+        for t in whole:
+            if self.mode != "upsert":
+                self._publish_splits(run, t, [j for j in jobs if j.table == t])
+            self.state["marks"][self.specs[t].mark] = marks[t]
+        run |= {"status": "success" if not failed else "partial" if whole else "failed", "completed_at": _now()}
         self._save()
-        return run | {"warnings": self.finalize([t["task_key"].split(":")[1] for t in done if t["status"] == "success"]), "errors": {t["task_key"]: t["error"] for t in failed}}
+        if self.mode != "upsert":
+            run["warnings"] = self.finalize(whole)
+            self._save()
+        return run | {"errors": {t["task_key"]: t["error"] for t in failed}}
+
+    def _publish_splits(self, run: dict, table: str, jobs: list[Job]) -> None:
+        buckets, paths = run["buckets"][table], {}
+        for j in jobs:
+            for b, of in self._paths(self._folder(run, j), buckets).items():
+                paths.setdefault(b, []).extend(of)
+        self._publish(table, paths, buckets, _ddl(self._rows(jobs[0])))
 
     def resume(self, force: bool = False) -> dict:
-        """The newest running run goes on with the tables that aren't whole in the target."""
+        """The newest running run goes on with the splits that aren't whole in the target."""
         running = [r for r in self.state["runs"] if r["status"] == "running"]
         if not running:
             raise ValueError("no running run")
@@ -136,25 +325,125 @@ class Engine:
             raise ValueError("a later run superseded it")
         if run["config_hash"] != self.config_hash() and not force:
             raise ValueError("settings changed since the run began")
-        done = {t["task_key"].split(":")[1] for t in self.state["tasks"] if t["run_id"] == run["run_id"] and t["status"] == "success"}
-        return self._finish(run, [t for t in run["tables"] if t not in done])
+        run.setdefault("warnings", [])
+        run.setdefault("buckets", {})
+        return self._finish(run, run["tables"])
 
-    def finalize(self, tables: list[str]) -> list[str]:
-        """Unique keys, foreign keys and checks of loaded tables, as warnings."""
+    def finalize(self, names: list[str]) -> list[str]:
+        """After a reload: the next value of integer keys is recorded; unique keys, foreign keys and checks that don't hold are warnings."""
         out = []
-        for t in tables:
+        for t in names:
             df, spec = self.current(t), self.specs[t]
+            if len(spec.key) == 1 and dict(df.dtypes)[spec.key[0]] in INTEGERS:
+                self.state["sequences"][t] = df.agg(F.coalesce(F.max(f"`{spec.key[0]}`"), F.lit(0)) + 1).first()[0]
             out += [f"{t}: repeated {','.join(k)}" for k in (spec.key, *spec.unique) if k and not validate.repeated(df, list(k)).isEmpty()]
             out += [f"{t}: orphans of {p}" for f, p, k in spec.foreign_keys if self.current(p) is not None and not validate.orphans(df, list(f), self.current(p), list(k)).isEmpty()]
             out += [f"{t}: rows break {c}" for c in spec.checks if not validate.broken(df, c).isEmpty()]
         return out
 
-    def validate(self) -> DataFrame:
-        source = {t: read(self.spark, self.source, s) for t, s in self.specs.items()}
-        return validate.count_diff(source, {t: df for t in self.specs if (df := self.current(t)) is not None})
+    # looking
+
+    def validate(self, timeout: float | None = None) -> DataFrame:
+        """Row counts of both sides by table. With a timeout in seconds, a table whose counts come too late is judged by its files' footers; a difference of those is only estimated."""
+        source = {t: self._source(t) for t in self.specs}
+        target = {t: df for t in self.specs if (df := self.current(t)) is not None}
+        if timeout is None:
+            return validate.count_diff(source, target)
+
+        def count(df: DataFrame) -> tuple[int | None, bool]:
+            tag = uuid.uuid4().hex
+
+            def exact() -> int:
+                self.spark.addTag(tag)
+                try:
+                    return df.count()
+                finally:
+                    self.spark.removeTag(tag)
+
+            pool = ThreadPoolExecutor(1)
+            try:
+                return pool.submit(exact).result(timeout), False
+            except Late:
+                self.spark.interruptTag(tag)
+                return (tables.footer_count(df) or None) if df.inputFiles() else None, True
+            finally:
+                pool.shutdown(wait=False)
+
+        rows = []
+        for t in sorted(self.specs):
+            a, late = count(source[t])
+            b, later = count(target[t]) if t in target else (None, False)
+            late |= later
+            same = a == b
+            status = "missing_target" if t not in target else "timeout" if late and (a is None or b is None) else ("ok" if same else "mismatch") + "_estimated" * late
+            rows.append((t, a, b, status))
+        return self.spark.createDataFrame(rows, "table_name string, source_rows bigint, target_rows bigint, status string")
+
+    def health_check(self) -> dict:
+        """Both sides at once: whether they answer, how fast, and how many tables the source has."""
+
+        def side(path: str) -> dict:
+            began = time.time()
+            try:
+                root = self.file.jvm.org.apache.hadoop.fs.Path(path)
+                there = root.getFileSystem(self.file.conf).exists(root)
+                n = len(tables.list_folder(self.spark, path)) if there else 0
+                return {"connected": True, "error": None, "tables": n, "latency_ms": int(1000 * (time.time() - began))}
+            except Exception as e:
+                return {"connected": False, "error": str(e)[:500], "tables": 0, "latency_ms": int(1000 * (time.time() - began))}
+
+        with ThreadPoolExecutor(2) as pool:
+            source, target = pool.map(side, (self.source, self.target))
+        return {"timestamp": _now(), "source": source, "target": target, "healthy": source["connected"] and target["connected"]}
+
+    def analyze(self, cores: int = 8) -> DataFrame:
+        """(table_name, n_rows, avg_bytes, exclude, date_columns, large): sizes and suggestions for each source table; see defaults()."""
+        from tideway.catalog import catalog
+        from tideway.operators.analyze import exclusion_candidate, ranked_date_columns
+
+        frames = {t: self._source(t) for t in self.specs}
+        sizes = metrics.table_sizes(frames)
+        ranked = ranked_date_columns(catalog(self.spark, frames)).groupBy("table_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "column_name"))), lambda x: x["column_name"]), ",").alias("date_columns"))
+        out = sizes.join(ranked, "table_name", "left")
+        return out.select("table_name", "n_rows", "avg_bytes", exclusion_candidate(F.col("table_name")).alias("exclude"), F.coalesce("date_columns", F.lit("")).alias("date_columns"), (F.col("n_rows") > self.threshold).alias("large"))
 
     def status(self) -> dict | None:
-        return self.state["runs"][-1] if self.state["runs"] else None
+        if not self.state["runs"]:
+            return None
+        run = self.state["runs"][-1]
+        mine = [t for t in self.state["tasks"] if t["run_id"] == run["run_id"]]
+        return run | {"tasks": {s: sum(t["status"] == s for t in mine) for s in ("pending", "running", "success", "failed")}}
 
     def history(self) -> list[dict]:
         return list(self.state["runs"])
+
+    def tasks(self) -> DataFrame:
+        """All tasks as rows, for the functions of operators.state."""
+        kinds = "task_id bigint, run_id string, task_key string, table string, status string, retry_count int, error string, started_at string, completed_at string, rows_done bigint, rows_total bigint, last_key bigint"
+        names = [c.split()[0] for c in kinds.split(", ")]
+        return self.spark.createDataFrame([tuple(t[n] for n in names) for t in self.state["tasks"]], kinds)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def defaults(cores: int, row_bytes: int) -> dict:
+    """Settings that go with a machine: workers leave two cores free, the rest follows from them."""
+    workers = max(2, cores - 2)
+    chunk = 50_000
+    return {
+        "workers": workers,
+        "chunk_size": chunk,
+        "read_ahead_buffers": 4,
+        "write_ahead_writers": 2,
+        "parallel_readers": 2,
+        "max_partitions": workers,
+        "large_table_threshold": 1_000_000,
+        "max_source_connections": workers + 4,
+        "max_target_connections": workers * 2 + 4,
+        "upsert_merge_chunk_size": 5000,
+        "checkpoint_frequency": 20,
+        "max_retries": 3,
+        "estimated_memory_mb": workers * 4 * chunk * row_bytes // 1024 // 1024,
+    }

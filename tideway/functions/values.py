@@ -52,16 +52,43 @@ def truncated(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 
 
-def redacted(text: Column) -> Column:
-    """Sample values for logs: cut to 100 characters, then addresses, SSN shapes and telephone numbers masked, first rule that fits."""
-    s = truncated(text, 100)
+def cut_bytes(text: Column, n: int) -> Column:
+    """The first n bytes of a text and '...' if it is longer. A character that the cut would break is left out, as a string can't hold half of one."""
+    head = F.substring(text, 1, n)
+    fits = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(head), F.lit(1))), lambda k: F.octet_length(head.substr(F.lit(1), k)) <= n))
+    return F.when(F.octet_length(text) > n, F.concat(head.substr(F.lit(1), fits), F.lit("..."))).otherwise(text)
+
+
+def redacted(text: Column, most: int = 100) -> Column:
+    """Sample values for logs: cut to `most` bytes, then addresses with a local part, SSN shapes and telephone numbers are masked in this order."""
+    s = cut_bytes(text, most)
+    s = F.when(s.contains(".") & s.rlike("^[^@]+@"), F.concat(F.lit("[EMAIL]"), F.regexp_replace(s, r"^[^@]+@", "@"))).otherwise(s)
+    s = F.when(s.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.lit("[SSN]")).otherwise(s)
     digits = F.length(F.regexp_replace(s, "[^0-9]", ""))
-    return (
-        F.when(s.contains("@") & s.contains("."), F.concat(F.lit("[EMAIL]"), F.regexp_replace(s, "^[^@]*@", "@")))
-        .when(s.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.lit("[SSN]"))
-        .when((digits >= 10) & (digits <= 15) & (F.length(s) - digits <= 4), F.lit("[PHONE]"))
-        .otherwise(s)
-    )
+    return F.when((digits >= 10) & (digits <= 15) & (F.octet_length(s) - digits <= 4), F.lit("[PHONE]")).otherwise(s)
+
+
+#: What keys begin with in error bodies.
+KEY_MARKS = ("sk-", "api-", "key-", "secret-", "token-")
+
+
+def redacted_body(body: Column, most: int = 200) -> Column:
+    """An error body for logs: cut to `most` bytes, and every key mark with the 40 characters behind it masked, one kind of mark after the other."""
+    out = cut_bytes(body, most)
+    for mark in KEY_MARKS:
+        out = F.regexp_replace(out, f"(?is){mark}.{{0,40}}", "[REDACTED]")
+    return out
+
+
+def key_number(key: Column) -> Column:
+    """A saved key as a whole number; null if it isn't one."""
+    text = key.cast("string")
+    return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
+
+
+def compared_keys(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 for keys of one type; keys that can't be compared, nulls among them, count as equal."""
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
 
 
 def humanized(n: Column) -> Column:
@@ -73,6 +100,25 @@ def grouped_digits(n: Column) -> Column:
     return F.format_number(n, 0)
 
 
+def duration_text(seconds: Column) -> Column:
+    """Rounded seconds as 1h 2m 3s, 2m 3s or 3s."""
+    n = F.floor(seconds + 0.5).cast("bigint")
+    whole = lambda x, by: F.floor(x / by).cast("bigint")
+    h, m, s = whole(n, 3600), whole(n % 3600, 60), n % 60
+    return F.when(h > 0, F.format_string("%dh %dm %ds", h, m, s)).when(m > 0, F.format_string("%dm %ds", m, s)).otherwise(F.format_string("%ds", s))
+
+
+def size_text(n: Column) -> Column:
+    """Bytes as 1.5 GB, 2.0 MB, 3.1 KB or 12 bytes."""
+    unit = lambda k: F.format_string("%.1f", F.bround(n / k, 1))
+    return F.when(n >= 1 << 30, F.concat(unit(1 << 30), F.lit(" GB"))).when(n >= 1 << 20, F.concat(unit(1 << 20), F.lit(" MB"))).when(n >= 1 << 10, F.concat(unit(1 << 10), F.lit(" KB"))).otherwise(F.concat(n.cast("string"), F.lit(" bytes")))
+
+
+def estimated_memory(workers: Column, buffers: Column, chunk: Column, row_bytes: Column) -> Column:
+    """Bytes in flight: each worker holds a read and a write queue of buffers; 500 bytes a row where the size isn't known."""
+    return (workers * buffers * 2 * chunk * F.when(row_bytes > 0, row_bytes).otherwise(F.lit(500))).cast("bigint")
+
+
 def short_hash(text: Column, size: int = 16) -> Column:
     return F.substring(F.sha2(text, 256), 1, size)
 
@@ -81,6 +127,47 @@ def capitalized(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))
 
 
+def task_key(table: Column, part: Column) -> Column:
+    """transfer:schema.table, with :pN for a split."""
+    return F.concat(F.lit("transfer:"), table, F.coalesce(F.concat(F.lit(":p"), part.cast("string")), F.lit("")))
+
+
+def adjustments_text(pairs: Column) -> Column:
+    """A map of settings as JSON; null as an empty one."""
+    return F.coalesce(F.to_json(pairs), F.lit("{}"))
+
+
+def adjustments(text: Column) -> Column:
+    """JSON of settings as a map; text that isn't such JSON as an empty one."""
+    return F.coalesce(F.from_json(text, "map<string,bigint>"), F.create_map().cast("map<string,bigint>"))
+
+
+#: Column names that databases reserve, and those that Oracle reserves beside them.
+RESERVED = (
+    "date", "time", "timestamp", "year", "month", "day",
+    "user", "order", "group", "table", "index", "key",
+    "type", "name", "value", "size", "number", "level",
+    "comment", "desc", "asc", "limit", "offset",
+    "select", "insert", "update", "delete", "from", "where",
+    "and", "or", "not", "null", "true", "false",
+    "primary", "foreign", "references", "constraint",
+    "create", "alter", "drop", "truncate",
+    "row", "rows", "column", "schema", "database",
+    "function", "procedure", "trigger", "view",
+)
+RESERVED_ORACLE = ("uid", "sysdate", "rownum", "rowid", "access", "file", "long", "raw", "session", "start")
+
+
+def is_reserved(name: Column, connector: str = "") -> Column:
+    return F.lower(name).isin(*RESERVED, *(RESERVED_ORACLE if connector == "oracle" else ()))
+
+
+def ddl_type(ddl: Column, name: Column) -> Column:
+    """The type that a CREATE TABLE text gives a column, without NULL, NOT NULL and DEFAULT; null if it isn't found."""
+    at = F.call_function("regexp_extract", ddl, F.concat(F.lit(r'(?i)(?:^|[\s,("\[`])\Q'), name, F.lit(r'\E["\]`]?[ \t]+([^,\n()]*(?:\([^)]*\))?)')), F.lit(1))
+    return F.nullif(F.trim(F.regexp_replace(at, r"(?i)\s+(NOT\s+NULL|NULL|DEFAULT)\b.*$", "")), F.lit(""))
+
+
 def task_table(task_key: Column) -> Column:
     """transfer:schema.table[:pN] → schema.table"""
     return F.regexp_extract(task_key, r"^transfer:(.*?)(?::p[0-9]+)?$", 1)

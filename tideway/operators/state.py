@@ -16,6 +16,28 @@ def task_progress(tasks: DataFrame, progress: DataFrame) -> DataFrame:
     return tasks.join(progress, "task_id", "left").select("task_id", "run_id", "task_key", "status", F.coalesce("rows_done", F.lit(0)).alias("rows_done"), F.coalesce("rows_total", F.lit(0)).alias("rows_total"))
 
 
+def saved_progress(progress: DataFrame, updates: DataFrame) -> DataFrame:
+    """Progress after updates of the same columns: a task's row is replaced or added."""
+    return progress.join(updates.select("task_id"), "task_id", "left_anti").unionByName(updates.select(progress.columns))
+
+
+def cleared_progress(progress: DataFrame, tasks: DataFrame) -> DataFrame:
+    return progress.join(tasks.select("task_id"), "task_id", "left_anti")
+
+
+def created_tasks(tasks: DataFrame, new: DataFrame) -> DataFrame:
+    """Tasks with new ones: a (run_id, task_key) that is there is kept as it is."""
+    key = ["run_id", "task_key"]
+    return tasks.unionByName(new.join(tasks.select(*key), key, "left_anti").select(tasks.columns))
+
+
+def history(runs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Runs with the counts of their tasks, by start, the newest first."""
+    counts = ("total", "pending", "running", "success", "failed")
+    joined = runs.join(run_stats(tasks), "run_id", "left")
+    return joined.select("run_id", "started_at", "completed_at", "status", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts]).orderBy(F.desc("started_at"))
+
+
 def run_stats(tasks: DataFrame) -> DataFrame:
     """(run_id, total, pending, running, success, failed)"""
     return tasks.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("pending", "running", "success", "failed")])

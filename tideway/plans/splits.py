@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideway.sources.scan import numbered
 
 @dataclass(frozen=True)
 class Split:
@@ -17,7 +18,9 @@ class Split:
     up_to: int | None
 
     def predicate(self, key: str) -> str:
-        parts = ([f"{key} > {self.above}"] if self.above is not None else []) + ([f"{key} <= {self.up_to}"] if self.up_to is not None else [])
+        """The range in Spark SQL, whatever the column is called; dialects.Dialect.predicate has the other databases' forms."""
+        own = "`" + key.replace("`", "``") + "`"
+        parts = ([f"{own} > {self.above}"] if self.above is not None else []) + ([f"{own} <= {self.up_to}"] if self.up_to is not None else [])
         return " AND ".join(parts) or "1 = 1"
 
 
@@ -65,6 +68,17 @@ def equi_depth_scaled(df: DataFrame, key: str, n: int, accuracy: int = 100_000)
     return [Split(i + 1, a, b) for i, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
 
 
+def equi_depth_numbered(df: DataFrame, key: str, n: int) -> DataFrame:
+    """equi_depth() without a single-task window: rows are numbered over a written range partitioning, and a number tells its bucket."""
+    rows = numbered(df.select(F.col(f"`{key}`").alias("k")), ["k"], "rn")
+    size, more = divmod(rows.count(), n)
+    # ntile: the first `more` buckets have a row more
+    at, wide = F.col("rn") - 1, more * (size + 1)
+    bucket = F.when(at < wide, F.floor(at / (size + 1)) + 1).otherwise(more + F.floor((at - wide) / max(size, 1)) + 1)
+    placed = rows.select("k", bucket.cast("long").alias("split"))
+    return placed.groupBy("split").agg(F.min("k").cast("long").alias("min_key"), F.max("k").cast("long").alias("max_key"), F.count(F.lit(1)).alias("n_rows"))
+
+
 def row_number_splits(rn: Column, size: int, n: int) -> Column:
     """The 1-based split of row number rn: pieces of `size` rows, the n-th takes the rest."""
     return F.least(F.floor((rn - 1) / size), F.lit(n - 1)) + 1

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideway import catalog
+from tideway import catalog, storage
+from tideway.engine import Engine
 from tideway.functions import values as V
 from tideway.operators import analyze, merge, metrics, state, validate
 from tideway.plans import splits
-from tideway.sources import scan
+from tideway.sources import dialects, scan, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,7 +106,7 @@ _NTILE = "SELECT 'orders' AS t, split, min(k) AS min_key, max(k) AS max_key, cou
 
 @query(_NTILE)
 def ntile_splits(spark, d):
-    parts = [splits.equi_depth(table(spark, d, t), k, n).withColumn("t", F.lit(t)) for t, k, n in (("orders", "o_orderkey", 8), ("customer", "c_custkey", 7))]
+    parts = [splits.equi_depth_numbered(table(spark, d, t), k, n).withColumn("t", F.lit(t)) for t, k, n in (("orders", "o_orderkey", 8), ("customer", "c_custkey", 7))]
     return parts[0].unionByName(parts[1])
 
 
@@ -157,15 +160,24 @@ def identifier_changes(spark, d):
     return catalog.identifier_changes(_NAMES.df(spark))
 
 
+_CLEAN = lambda c: f"CASE WHEN regexp_matches(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{Nd}}_]', '_', 'g'), '^\\p{{Nd}}') OR {c} = '' THEN 'col_' ELSE '' END || regexp_replace(lower({c}), '[^\\p{{L}}\\p{{Nd}}_]', '_', 'g')"
+_MORE_NAMES = Rows("table_name string, column_name string", [("t", "Id"), ("t", "ok"), ("Order Details", "id"), ("plain", "id"), ("plain", "name"), ("2nd", "x y"), ("2nd", "z")])
+
+
+@query(f"SELECT count(*) FILTER (own) AS table_changes, sum(n)::BIGINT AS column_changes, count(*) FILTER (own OR n > 0) AS tables_with_changes, count(*) FILTER (NOT own AND n = 0) AS tables_unchanged FROM (SELECT table_name, {_CLEAN('table_name')} <> table_name AS own, count(*) FILTER ({_CLEAN('column_name')} <> column_name) AS n FROM {_MORE_NAMES.sql()} GROUP BY table_name)")
+def identifier_totals(spark, d):
+    return catalog.change_totals(_MORE_NAMES.df(spark))
+
+
 @query(f"SELECT column_name, regexp_matches(column_name, '^[A-Za-z_][A-Za-z0-9_ $#]{{0,127}}$') AS valid FROM {_NAMES.sql()}")
 def identifier_valid(spark, d):
     return _NAMES.df(spark).select("column_name", catalog.valid_identifier(F.col("column_name")).alias("valid"))
 
 
-_KEY_TYPES = Rows("name string, type_name string, scale int, n_key int", [("a", "INT", None, 1), ("b", "bigint", None, 1), ("c", "NUMBER", 0, 1), ("d", "NUMBER", 2, 1), ("e", "uuid", None, 1), ("f", "int4", None, 2), ("g", "decimal", None, 1), ("h", "varchar", None, 1)])
+_KEY_TYPES = Rows("name string, type_name string, scale int, n_key int", [("a", "INT", None, 1), ("b", "bigint", None, 1), ("c", "NUMBER", 0, 1), ("d", "NUMBER", 2, 1), ("e", "uuid", None, 1), ("f", "int4", None, 2), ("g", "decimal", None, 1), ("h", "varchar", None, 1), ("i", "mediumint", None, 1), ("j", "numeric", 0, 1), ("k", "SmallSerial", None, 1), ("l", "number", None, 1), ("m", "int", None, 0)])
 
 
-@query(f"SELECT name, n_key = 1 AND (lower(type_name) IN ('int','bigint','smallint','tinyint','integer','serial','bigserial','smallserial','int2','int4','int8','mediumint') OR (lower(type_name) IN ('number','numeric','decimal') AND coalesce(scale, 0) = 0)) AS eligible FROM {_KEY_TYPES.sql()}")
+@query(f"SELECT name, n_key = 1 AND (lower(type_name) IN ('int','bigint','smallint','tinyint','integer','serial','bigserial','smallserial','int4','int8','int2') OR (lower(type_name) = 'number' AND coalesce(scale, 0) = 0)) AS eligible FROM {_KEY_TYPES.sql()}")
 def keyset_eligible(spark, d):
     return _KEY_TYPES.df(spark).select("name", catalog.keyset_eligible(F.col("type_name"), F.col("scale"), F.col("n_key")).alias("eligible"))
 
@@ -176,7 +188,7 @@ def incremental_rows(spark, d):
     return rows.where(scan.since("ts", "2024-01-20"))
 
 
-_TABLE_NAMES = Rows("table_name string", [(x,) for x in ("Users", "user_log", "tmp_users", "orders", "Orders_Archive", "temp_x", "audit_log", "log2", "sales/eu", "backup_orders", "orders_bak", "badges")])
+_TABLE_NAMES = Rows("table_name string", [(x,) for x in ("Users", "user_log", "tmp_users", "orders", "Orders_Archive", "temp_x", "audit_log", "log2", "sales/eu", "backup_orders", "orders_bak", "badges", "posts_archived", "test_users", "users_test", "__migrations", "sysdiagrams", "mysysdiagrams", "aspnet_Roles", "ELMAH_Error", "old_users", "users_old", "logs_2020", "app_logs", "bak_users", "sales_history", "staging_x", "y_staging")])
 
 
 @query(f"SELECT table_name FROM {_TABLE_NAMES.sql()} WHERE (regexp_matches(lower(table_name), '^user[^/]*$') OR regexp_matches(lower(table_name), '^[^/]*orders[^/]*$') OR regexp_matches(lower(table_name), '^log[0-9]$')) AND NOT regexp_matches(lower(table_name), '^[^/]*_archive$')")
@@ -184,12 +196,15 @@ def table_glob_filter(spark, d):
     return analyze.selected(_TABLE_NAMES.df(spark), ["user*", "*orders*", "log[0-9]"], ["*_archive"])
 
 
-@query(f"SELECT table_name, regexp_matches(lower(table_name), '^(temp|tmp)_|_(temp|tmp)$|^(log|logs|audit)_|_(log|logs|audit)$|^(archive|backup|bak|old|staging)_|_(archive|backup|bak|old|staging|history)$') AS candidate FROM {_TABLE_NAMES.sql()}")
+_EXCLUDED = " OR ".join(f"regexp_matches(lower(table_name), '{p}')" for p in "^temp_ _temp$ ^tmp_ _tmp$ ^log_ _log$ _logs$ ^audit_ _audit$ ^archive_ _archive$ _archived$ ^backup_ _backup$ _bak$ ^staging_ _staging$ ^test_ _test$ ^__ _history$ ^sysdiagrams$ ^aspnet_ ^elmah".split())
+
+
+@query(f"SELECT table_name, ({_EXCLUDED}) AS candidate FROM {_TABLE_NAMES.sql()}")
 def exclude_candidates(spark, d):
     return _TABLE_NAMES.df(spark).select("table_name", analyze.exclusion_candidate(F.col("table_name")).alias("candidate"))
 
 
-_SCHEMA = Rows("table_name string, column_name string, type_name string, ordinal int", [("a", "id", "int", 1), ("a", "CreatedAt", "datetime", 2), ("a", "LastModified", "datetime2", 3), ("b", "updated_at", "timestamp", 1), ("b", "birth", "date", 2), ("c", "modified", "varchar", 1), ("c", "ts", "timestamptz", 2)])
+_SCHEMA = Rows("table_name string, column_name string, type_name string, ordinal int", [("a", "id", "int", 1), ("a", "CreatedAt", "datetime", 2), ("a", "LastModified", "datetime2", 3), ("b", "updated_at", "timestamp", 1), ("b", "birth", "date", 2), ("c", "modified", "varchar", 1), ("c", "ts", "timestamptz", 2), ("d", "CreationDate", "datetime", 1), ("d", "record_created", "date", 2), ("d", "changed_at", "date", 3), ("d", "modified", "date", 4), ("d", "UpdatedAt", "date", 5), ("d", "last_update", "date", 6)])
 _CANDIDATES = Rows("pos int, candidate string", [(1, "modified"), (2, "updated_at"), (3, "createdat"), (4, "ts")])
 _DATES = "('date','datetime','datetime2','smalldatetime','datetimeoffset','timestamp','timestamptz','timestamp_ntz','timestamp without time zone','timestamp with time zone')"
 
@@ -199,7 +214,7 @@ def date_column_pick(spark, d):
     return analyze.date_column(_SCHEMA.df(spark), _CANDIDATES.df(spark))
 
 
-_SCORES = " ".join(f"WHEN regexp_matches(lower(column_name), '{p}') THEN {i}" for i, p in enumerate(analyze.DATE_PATTERNS, 1))
+_SCORES = " ".join(f"WHEN regexp_matches(lower(column_name), '{p}') THEN {i}" for i, p in enumerate(("^updated_?at$", "^modified_?(at|date|time)?$", "^last_?modified", "^changed_?(at|date)?$", "update", "modif", "^created_?at$", "^creation_?date$", "create")))
 
 
 @query(f"SELECT table_name, column_name, CASE {_SCORES} ELSE 10 END AS score, row_number() OVER (PARTITION BY table_name ORDER BY CASE {_SCORES} ELSE 10 END, ordinal) AS place FROM {_SCHEMA.sql()} WHERE lower(type_name) IN {_DATES}")
@@ -207,24 +222,44 @@ def date_column_rank(spark, d):
     return analyze.ranked_date_columns(_SCHEMA.df(spark))
 
 
-_MESSAGES = Rows("id int, message string", [(1, "open state.db: permission denied"), (2, "validation failed: row counts differ"), (3, "invalid config: no source"), (4, "dial tcp: connection refused"), (5, "deadlock victim"), (6, "context canceled"), (7, "checkpoint is corrupt"), (8, "something else"), (9, "i/o timeout while reading"), (10, "bulk insert failed")])
-_CODES = " ".join(f"WHEN regexp_matches(lower(message), '{p}') THEN {c}" for p, c in analyze.EXIT_RULES)
+@query(f"SELECT column_name, min(score) AS score FROM (SELECT column_name, CASE {_SCORES} ELSE 10 END AS score FROM {_SCHEMA.sql()} WHERE lower(type_name) IN {_DATES}) GROUP BY column_name")
+def suggested_date_columns(spark, d):
+    return analyze.suggested_columns(analyze.ranked_date_columns(_SCHEMA.df(spark)))
 
 
-@query(f"SELECT id, CASE {_CODES} ELSE 4 END AS code FROM {_MESSAGES.sql()}")
+_MESSAGES = Rows("id int, message string", [(i, m) for i, m in enumerate((
+    "open state.db: permission denied", "validation failed: 3 tables", "invalid configuration: no source", "dial tcp: connection refused", "deadlock victim", "context canceled",
+    "checkpoint is corrupt", "something else", "read: i/o timeout", "bulk insert failed", "row count differs in t", "yaml: line 3", "yaml: cannot connect", "json: bad value", "no pk on t",
+    "ping failed", "connection pool exhausted", "authentication failed for user", "login failed for user sa", "truncate t failed", "run not found", "interrupted by user", "too many connections",
+    "unexpected EOF", "server is shutting down", "please retry", "broken pipe", "connection reset by peer", "lock timeout exceeded", "context deadline exceeded", "temporarily unavailable",
+    "no such file or directory", "config changed since last run", "upsert requires a primary key", "schema extraction failed", "invalid value for chunk_size", "connection timed out", None,
+))])
+_ANY = lambda column, parts: "(" + " OR ".join(f"contains({column}, '{p}')" for p in parts.split("|")) + ")"
+_MESSAGE = "lower(message)"
+_CODES = f"""CASE WHEN message IS NULL THEN 0
+WHEN {_ANY(_MESSAGE, 'no such file|file not found|permission denied|is a directory|not a directory')} THEN 7
+WHEN {_ANY(_MESSAGE, 'row count|mismatch|primary key|no pk|upsert requires|validation failed')} THEN 4
+WHEN {_ANY(_MESSAGE, 'yaml:|json:|unmarshal|invalid configuration|missing required|invalid value|parsing config')} AND NOT {_ANY(_MESSAGE, 'connection|connect|dial')} THEN 1
+WHEN {_ANY(_MESSAGE, 'connection|connect|dial|refused|timeout|unreachable|no such host|network|pool|ping|login failed|authentication')} THEN 2
+WHEN {_ANY(_MESSAGE, 'transfer|copy|bulk|insert|schema extraction|create table|drop table|truncate')} THEN 3
+WHEN {_ANY(_MESSAGE, 'cancel|interrupt|context canceled|context deadline')} THEN 5
+WHEN {_ANY(_MESSAGE, 'state|checkpoint|resume|run not found|already completed|config changed')} THEN 6 ELSE 3 END"""
+
+
+@query(f"SELECT id, {_CODES} AS code, {_CODES} IN (2, 5, 7) AS recoverable FROM {_MESSAGES.sql()}")
 def exit_code(spark, d):
-    return _MESSAGES.df(spark).select("id", analyze.exit_code(F.col("message")).alias("code"))
+    return _MESSAGES.df(spark).select("id", analyze.exit_code(F.col("message")).alias("code"), analyze.recoverable(F.col("message")).alias("recoverable"))
 
 
-@query(f"SELECT id, regexp_matches(lower(message), '{analyze.RETRYABLE}') AS retryable FROM {_MESSAGES.sql()}")
+@query(f"SELECT id, coalesce({_ANY(_MESSAGE, 'connection reset|connection refused|connection timed out|deadlock|lock timeout|too many connections|server is shutting down|broken pipe|unexpected eof|i/o timeout|context deadline exceeded|retry')}, FALSE) AS retryable FROM {_MESSAGES.sql()}")
 def retryable_error(spark, d):
     return _MESSAGES.df(spark).select("id", analyze.retryable(F.col("message")).alias("retryable"))
 
 
-_SQLS = Rows("id int, q string", [(1, "SELECT 1"), (2, "delete from t"), (3, "select updated_at from t"), (4, "WITH x AS (SELECT 1) SELECT * FROM x"), (5, "EXEC p"), (6, " show variables ")])
+_SQLS = Rows("id int, q string", [(1, "SELECT 1"), (2, "delete from t"), (3, "select updated_at from t"), (4, "WITH x AS (SELECT 1) SELECT * FROM x"), (5, "EXEC p"), (6, " show variables "), (7, "select replace(a, 'b', 'c') from t"), (8, "merge into t"), (9, "explain select 1"), (10, "EXECUTE sp_rename 'a', 'b'"), (11, "describe t"), (12, "")])
 
 
-@query(f"SELECT id, NOT regexp_matches(upper(q), 'INSERT|UPDATE|DELETE|DROP|CREATE|ALTER|TRUNCATE|EXEC|GRANT|REVOKE|MERGE') AND regexp_matches(upper(trim(q)), '^(SELECT|SHOW|WITH|EXPLAIN|DESCRIBE)') AS allowed FROM {_SQLS.sql()}")
+@query(f"SELECT id, NOT {_ANY('upper(q)', 'DROP|DELETE|UPDATE|INSERT|ALTER|TRUNCATE|CREATE|GRANT|REVOKE|RENAME|REPLACE')} AND regexp_matches(upper(trim(q)), '^(SELECT|SHOW|EXEC|DESCRIBE|EXPLAIN)') AS allowed FROM {_SQLS.sql()}")
 def read_only_guard(spark, d):
     return _SQLS.df(spark).select("id", analyze.read_only(F.col("q")).alias("allowed"))
 
@@ -429,7 +464,7 @@ def first_failures(spark, d):
 
 _HOURLY = "SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, count(*)::DOUBLE AS throughput, (sum(user_id) % 100)::DOUBLE AS cpu, (sum(event_id) % 100)::DOUBLE AS memory FROM events GROUP BY 1"
 _TREND = f"""SELECT *, (n >= 3 AND decline > 0.2) AS decreasing, coalesce(memory > m1 * 1.05 AND m1 > m2 * 1.05, FALSE) AS memory_rising, cpu > 90 AS cpu_high, memory > 85 AS memory_high, n < 3 AS insufficient,
-max(CASE WHEN n = 3 THEN a3 END) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS baseline FROM (SELECT *, CASE WHEN x1 > 0 THEN (throughput - x1) / x1 * 100 ELSE 0 END AS change_pct, CASE WHEN x2 > 0 THEN greatest((x2 - throughput) / x2, 0) ELSE 0 END AS decline
+max(CASE WHEN n = 3 THEN a3 END) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS baseline FROM (SELECT *, CASE WHEN x1 > 0 THEN (throughput - x1) / x1 * 100 ELSE 0 END AS change_pct, CASE WHEN x2 > 0 AND throughput > 0 THEN greatest((x2 - throughput) / x2, 0) ELSE 0 END AS decline
 FROM (SELECT *, lag(throughput, 1) OVER w AS x1, lag(throughput, 2) OVER w AS x2, lag(memory, 1) OVER w AS m1, lag(memory, 2) OVER w AS m2, row_number() OVER w AS n, avg(throughput) OVER (ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS a3 FROM ({_HOURLY}) WINDOW w AS (ORDER BY ts)))"""
 
 
@@ -449,9 +484,36 @@ def metric_flags(spark, d):
     return _trend(spark, d).select("ts", "insufficient", "memory_rising", "cpu_high", "memory_high")
 
 
-@query(f"SELECT ts, CASE WHEN insufficient THEN 'insufficient' WHEN abs(throughput - baseline) <= 0.1 * baseline THEN 'continue' WHEN memory_high OR memory_rising THEN 'reduce_chunk' WHEN cpu_high THEN 'reduce_workers' WHEN decreasing THEN 'scale_up' ELSE 'stable' END AS decision FROM ({_TREND})")
+@query(f"SELECT ts, CASE WHEN insufficient OR coalesce(baseline > 0 AND abs(throughput - baseline) <= 0.1 * baseline, FALSE) THEN 'continue' WHEN memory_high THEN 'reduce_chunk' WHEN cpu_high THEN 'scale_down' WHEN decreasing THEN 'scale_up' ELSE 'continue' END AS decision, CASE WHEN insufficient OR coalesce(baseline > 0 AND abs(throughput - baseline) <= 0.1 * baseline, FALSE) THEN 'continue' ELSE 'continue' END AS at_limits FROM ({_TREND})")
 def tuning_decision(spark, d):
-    return _trend(spark, d).select("ts", metrics.decision().alias("decision"))
+    return _trend(spark, d).select("ts", metrics.decision().alias("decision"), metrics.decision(chunk=5000, workers=1, cores=1).alias("at_limits"))
+
+
+@query("SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events) WHERE n <= 3")
+def last_samples(spark, d):
+    return metrics.last_samples(table(spark, d, "events").select("event_type", "event_id", "value"), 3, "event_id", ["event_type"])
+
+
+_BYTES = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, coalesce(sum({b})::BIGINT // nullif(count(*), 0), 0) AS avg_bytes FROM {t}" for t, b in (("nation", "strlen(n_nationkey::VARCHAR) + strlen(n_name) + strlen(n_regionkey::VARCHAR)"), ("region", "strlen(r_regionkey::VARCHAR) + strlen(r_name)"), ("benchmark", "strlen(item_id::VARCHAR) + strlen(text)")))
+
+
+@query(_BYTES)
+def table_sizes(spark, d):
+    return metrics.table_sizes({t: table(spark, d, t) for t in ("nation", "region", "benchmark")})
+
+
+_TIMINGS = "SELECT l_linenumber AS part, l_tax AS query_s, l_discount AS scan_s, l_quantity / 100 AS write_s, l_partkey AS rows FROM lineitem"
+
+
+@query(f"SELECT part, sum(rows)::BIGINT AS rows, round(sum(query_s) / nullif(sum(query_s) + sum(scan_s) + sum(write_s), 0) * 100, 4) AS query_pct, round(sum(scan_s) / nullif(sum(query_s) + sum(scan_s) + sum(write_s), 0) * 100, 4) AS scan_pct, round(sum(write_s) / nullif(sum(query_s) + sum(scan_s) + sum(write_s), 0) * 100, 4) AS write_pct, round(sum(rows)::DOUBLE / nullif(sum(query_s) + sum(scan_s) + sum(write_s), 0), 2) AS rows_per_second FROM ({_TIMINGS}) GROUP BY part")
+def timing_profile(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("part"), F.col("l_tax").alias("query_s"), F.col("l_discount").alias("scan_s"), (F.col("l_quantity") / 100).alias("write_s"), F.col("l_partkey").alias("rows"))
+    return metrics.timing_profile(rows, ["part"]).withColumn("rows_per_second", F.round("rows_per_second", 2))
+
+
+@query(f"SELECT count(*) FILTER (status = 'success') AS tables_complete, count(*) AS tables_total, count(*) FILTER (running) AS tables_running, sum(done)::BIGINT AS rows_transferred, sum(total)::BIGINT AS rows_total, round(sum(done) * 100.0 / sum(total), 4)::DOUBLE AS progress_pct, (sum(done)::BIGINT // 10)::BIGINT AS rows_per_second, string_agg(CASE WHEN running THEN table_name END, ',' ORDER BY table_name) AS current_tables, count(*) FILTER (failed) AS error_count FROM (SELECT regexp_extract(task_key, '^transfer:(.*?)(?::p[0-9]+)?$', 1) AS table_name, sum(rows_done) AS done, sum(rows_total) AS total, bool_or(status = 'running') AS running, bool_or(status = 'failed') AS failed, CASE WHEN bool_and(status = 'success') THEN 'success' END AS status FROM {_JOINED} GROUP BY 1)")
+def progress_update(spark, d):
+    return metrics.progress_update(_joined(spark).select(V.task_table(F.col("task_key")).alias("table_name"), "status", "rows_done", "rows_total"), 10.0)
 
 
 _STATS = Rows("table_name string, n_rows bigint, avg_bytes bigint", [("a", 1000, 100), ("b", 5000, 3000), ("c", 10, 0), ("d", 200, 50), ("e", 9000, 120), ("f", 0, 10), ("g", 400, 80)])
@@ -504,17 +566,17 @@ def key_columns_agg(spark, d):
     return analyze.key_columns(_KEYCOLS.df(spark))
 
 
-_VALUES = Rows("id int, hex string, bit int, num string, ts timestamp_ntz", [(1, "00112233445566778899aabbccddeeff", 1, "12.5e3", "2024-01-01 00:00:00"), (2, "", 0, "+.5", "0001-01-01 00:00:00"), (3, "0a0b", 2, "1e", None), (4, None, None, None, "1999-12-31 23:59:59"), (5, "ff", 0, "12345678901234567890", None), (6, "00", 1, "1.2.3", None)])
-
-
-@query(f"SELECT id, CASE WHEN hex <> '' THEN lower(hex) END AS raw, bit <> 0 AS flag, ts FROM {_VALUES.sql()}")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN substr(md5(o_orderpriority), 1, (o_orderkey % 5 * 2)::INT) END AS raw, o_orderkey % 3 <> 0 AS flag, CASE WHEN o_orderkey % 4 > 0 THEN o_orderdate END AS ts FROM orders")
 def normalize_values(spark, d):
-    return _VALUES.df(spark).select("id", F.lower(F.hex(V.empty_to_null(F.unhex("hex")))).alias("raw"), V.bit_to_bool(F.col("bit")).alias("flag"), V.sane_timestamp(F.col("ts")).alias("ts"))
+    raw = F.unhex(F.expr("substr(md5(o_orderpriority), 1, cast(o_orderkey % 5 * 2 as int))"))
+    ts = F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderdate"))
+    return table(spark, d, "orders").select("o_orderkey", F.lower(F.hex(V.empty_to_null(raw))).alias("raw"), V.bit_to_bool(F.col("o_orderkey") % 3).alias("flag"), V.sane_timestamp(ts).alias("ts"))
 
 
-@query(f"SELECT id, CASE WHEN length(hex) = 32 THEN substr(hex, 7, 2) || substr(hex, 5, 2) || substr(hex, 3, 2) || substr(hex, 1, 2) || '-' || substr(hex, 11, 2) || substr(hex, 9, 2) || '-' || substr(hex, 15, 2) || substr(hex, 13, 2) || '-' || substr(hex, 17, 4) || '-' || substr(hex, 21, 12) ELSE hex END AS guid FROM {_VALUES.sql()}")
+@query("SELECT c_custkey, CASE WHEN length(hex) = 32 THEN substr(hex, 7, 2) || substr(hex, 5, 2) || substr(hex, 3, 2) || substr(hex, 1, 2) || '-' || substr(hex, 11, 2) || substr(hex, 9, 2) || '-' || substr(hex, 15, 2) || substr(hex, 13, 2) || '-' || substr(hex, 17, 4) || '-' || substr(hex, 21, 12) ELSE hex END AS guid FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN substr(md5(c_name), 1, 30) ELSE md5(c_name) END AS hex FROM customer)")
 def guid_text(spark, d):
-    return _VALUES.df(spark).select("id", V.guid_text(F.unhex("hex")).alias("guid"))
+    hex_ = F.when(F.col("c_custkey") % 4 == 0, F.substring(F.md5("c_name"), 1, 30)).otherwise(F.md5("c_name"))
+    return table(spark, d, "customer").select("c_custkey", V.guid_text(F.unhex(hex_)).alias("guid"))
 
 
 @query("SELECT o_orderkey, '\\x' || lower(hex(o_orderpriority)) AS hex_text FROM orders")
@@ -522,9 +584,12 @@ def hex_text(spark, d):
     return table(spark, d, "orders").select("o_orderkey", V.hex_text(F.col("o_orderpriority").cast("binary")).alias("hex_text"))
 
 
-@query(f"SELECT id, regexp_full_match(num, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') AS is_number FROM {_VALUES.sql()}")
+_NUMBER_TEXT = "CASE o_orderkey % 8 WHEN 0 THEN o_orderkey || '.' WHEN 1 THEN '+.' || o_orderkey WHEN 2 THEN o_orderkey || 'e' WHEN 3 THEN '-' || o_orderkey || '.25E-3' WHEN 4 THEN o_orderpriority WHEN 5 THEN '1.2.' || o_orderkey WHEN 6 THEN ' ' || o_orderkey END"
+
+
+@query(f"SELECT o_orderkey, regexp_full_match({_NUMBER_TEXT}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') AS is_number FROM orders")
 def ascii_numeric(spark, d):
-    return _VALUES.df(spark).select("id", V.is_number(F.col("num")).alias("is_number"))
+    return table(spark, d, "orders").select("o_orderkey", V.is_number(F.expr(_NUMBER_TEXT)).alias("is_number"))
 
 
 @query("SELECT o_orderkey, (o_totalprice > 100000)::INTEGER AS flag FROM orders")
@@ -532,16 +597,19 @@ def bool_int(spark, d):
     return table(spark, d, "orders").select("o_orderkey", V.bool_to_int(F.col("o_totalprice") > 100000).alias("flag"))
 
 
-_TEXTS = Rows("id int, text string", [(1, "a, b ,,c"), (2, ""), (3, None), (4, " , "), (5, "jane.doe@example.com"), (6, "123-45-6789"), (7, "+1 555 123 4567"), (8, "x" * 120), (9, "hello"), (10, "(555) 123-4567"), (11, "12345678901234567890")])
+_TEXTS = Rows("id int, text string", [(1, "a, b ,,c"), (2, ""), (3, None), (4, " , "), (5, "jane.doe@example.com"), (6, "123-45-6789"), (7, "+1 555 123 4567"), (8, "x" * 120), (9, "hello"), (10, "(555) 123-4567"), (11, "12345678901234567890"), (12, "@x.org"), (13, "@.1234567890"), (14, "é" * 60), (15, "a@b"), (16, "a@b@c.d"), (17, "x" * 99 + "é"), (18, "５５５1234567890")])
 
 
-@query(f"SELECT id, CASE WHEN text <> '' THEN array_to_string(list_filter([trim(x) for x in string_split(text, ',')], lambda x: x <> ''), '|') END AS items FROM {_TEXTS.sql()}")
+@query("SELECT doc_id, len(items) AS n_items, md5(array_to_string(items, '|')) AS digest FROM (SELECT doc_id, list_filter([trim(x) for x in string_split(text, ',')], lambda x: x <> '') AS items FROM documents)")
 def csv_split(spark, d):
-    return _TEXTS.df(spark).select("id", F.array_join(V.split_list(F.col("text")), "|").alias("items"))
+    items = V.split_list(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(items).cast("bigint").alias("n_items"), F.md5(F.array_join(items, "|")).alias("digest"))
 
 
-_REDACT = "CASE WHEN contains(s, '@') AND contains(s, '.') THEN '[EMAIL]' || regexp_replace(s, '^[^@]*@', '@') WHEN regexp_matches(s, '^[0-9]{3}-[0-9]{2}-[0-9]{4}$') THEN '[SSN]' WHEN dg BETWEEN 10 AND 15 AND length(s) - dg <= 4 THEN '[PHONE]' ELSE s END"
-_REDACTED = lambda source, key: f"SELECT {key}, {_REDACT} AS redacted FROM (SELECT *, length(regexp_replace(s, '[^0-9]', '', 'g')) AS dg FROM (SELECT {key}, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS s FROM {source}))"
+_CUT = lambda t, n: f"CASE WHEN strlen({t}) > {n} THEN substr({t}, 1, len(list_filter(range(1, {n} + 1), lambda k: k <= length({t}) AND strlen(substr({t}, 1, k)) <= {n}))) || '...' ELSE {t} END"
+_REDACTED = lambda source, key: f"""SELECT {key}, CASE WHEN dg BETWEEN 10 AND 15 AND strlen(b) - dg <= 4 THEN '[PHONE]' ELSE b END AS redacted FROM (SELECT *, length(regexp_replace(b, '[^0-9]', '', 'g')) AS dg FROM
+(SELECT {key}, CASE WHEN regexp_matches(a, '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$') THEN '[SSN]' ELSE a END AS b FROM (SELECT {key}, CASE WHEN contains(s, '.') AND regexp_matches(s, '^[^@]+@') THEN '[EMAIL]' || regexp_replace(s, '^[^@]+@', '@') ELSE s END AS a FROM
+(SELECT {key}, {_CUT('text', 100)} AS s FROM {source}))))"""
 
 
 @query(f"{_REDACTED('documents', 'doc_id')} UNION ALL {_REDACTED('(SELECT id::BIGINT AS doc_id, text FROM ' + _TEXTS.sql() + ')', 'doc_id')}")
@@ -550,17 +618,147 @@ def redact_text(spark, d):
     return out(table(spark, d, "documents"), "doc_id").union(out(_TEXTS.df(spark), "id"))
 
 
-_NUMBERS = Rows("id int, n bigint", [(1, 0), (2, 999), (3, 1000), (4, 15250), (5, 2500000), (6, 7300000000), (7, None)])
+_N = "(o_orderkey % 900 + 10) * CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 100 WHEN 2 THEN 100000 ELSE 100000000 END"
 
 
-@query(f"SELECT id, CASE WHEN n >= 1000000000 THEN printf('%.1fB', n / 1e9) WHEN n >= 1000000 THEN printf('%.1fM', n / 1e6) WHEN n >= 1000 THEN printf('%.1fK', n / 1e3) ELSE CAST(n AS VARCHAR) END AS human FROM {_NUMBERS.sql()}")
+@query(f"SELECT o_orderkey, CASE WHEN n >= 1000000000 THEN printf('%.1fB', n / 1e9) WHEN n >= 1000000 THEN printf('%.1fM', n / 1e6) WHEN n >= 1000 THEN printf('%.1fK', n / 1e3) ELSE CAST(n AS VARCHAR) END AS human FROM (SELECT o_orderkey, {_N} AS n FROM orders)")
 def humanize(spark, d):
-    return _NUMBERS.df(spark).select("id", V.humanized(F.col("n")).alias("human"))
+    return table(spark, d, "orders").select("o_orderkey", V.humanized(F.expr(_N)).alias("human"))
 
 
-@query(f"SELECT id, format('{{:,}}', n) AS digits FROM {_NUMBERS.sql()} WHERE n IS NOT NULL")
+@query("SELECT o_orderkey, format('{:,}', o_orderkey * 12345) AS digits FROM orders")
 def group_digits(spark, d):
-    return _NUMBERS.df(spark).where("n is not null").select("id", V.grouped_digits(F.col("n")).alias("digits"))
+    return table(spark, d, "orders").select("o_orderkey", V.grouped_digits(F.col("o_orderkey") * 12345).alias("digits"))
+
+
+@query("SELECT o_orderkey, CASE WHEN n // 3600 > 0 THEN (n // 3600) || 'h ' || (n % 3600 // 60) || 'm ' || (n % 60) || 's' WHEN n // 60 > 0 THEN (n // 60) || 'm ' || (n % 60) || 's' ELSE n || 's' END AS duration, CASE WHEN b >= 1073741824 THEN printf('%.1f GB', b / 1073741824.0) WHEN b >= 1048576 THEN printf('%.1f MB', b / 1048576.0) WHEN b >= 1024 THEN printf('%.1f KB', b / 1024.0) ELSE b || ' bytes' END AS size FROM (SELECT o_orderkey, floor(o_orderkey * 0.75 + 0.5)::BIGINT AS n, o_orderkey * o_orderkey * (o_orderkey % 7) AS b FROM orders)")
+def durations_and_sizes(spark, d):
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", V.duration_text(k * 0.75).alias("duration"), V.size_text(k * k * (k % 7)).alias("size"))
+
+
+@query("SELECT o_orderkey, (4 * 3 * 2 * (o_custkey % 1000) * CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 3 * 100 ELSE 500 END)::BIGINT AS bytes FROM orders")
+def memory_estimate(spark, d):
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", V.estimated_memory(F.lit(4), F.lit(3), F.col("o_custkey") % 1000, k % 3 * 100).alias("bytes"))
+
+
+_BODY = "CASE doc_id % 3 WHEN 0 THEN 'error: Api-' || text WHEN 1 THEN text ELSE 'sk-abc token-' || md5(text) || ' and SECRET-x ' || text END"
+_MASKED = _CUT("body", 200)
+for _mark in ("sk-", "api-", "key-", "secret-", "token-"):
+    _MASKED = f"regexp_replace({_MASKED}, '(?is){_mark}.{{0,40}}', '[REDACTED]', 'g')"
+
+
+@query(f"SELECT doc_id, {_MASKED} AS redacted FROM (SELECT doc_id, {_BODY} AS body FROM documents)")
+def redact_body(spark, d):
+    return table(spark, d, "documents").select("doc_id", V.redacted_body(F.expr(_BODY)).alias("redacted"))
+
+
+_KEY_TEXT = "CASE o_orderkey % 5 WHEN 0 THEN 'x' || o_orderkey WHEN 1 THEN '-' || o_orderkey WHEN 2 THEN '99999999999999999999' WHEN 3 THEN o_orderkey || '.5' ELSE '' || o_orderkey END"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN regexp_full_match({_KEY_TEXT}, '[+-]?[0-9]+') THEN TRY_CAST({_KEY_TEXT} AS BIGINT) END AS key_number, CASE WHEN o_orderkey < o_custkey THEN -1 WHEN o_orderkey > o_custkey THEN 1 ELSE 0 END AS compared FROM orders")
+def key_values(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", V.key_number(F.expr(_KEY_TEXT)).alias("key_number"), V.compared_keys(F.col("o_orderkey"), F.col("o_custkey")).alias("compared"))
+
+
+@query("""SELECT c_custkey, '[' || replace(n, ']', ']]') || ']' AS mssql, '"' || replace(n, '"', '""') || '"' AS postgres, '`' || replace(n, '`', '``') || '`' AS mysql,
+CASE WHEN c_custkey % 2 = 0 THEN 'SEGMENT_' || c_custkey ELSE '"' || upper(replace(n, '"', '""')) || '"' END AS oracle FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'segment_' || c_custkey ELSE c_name || ' ]"`' END AS n FROM customer)""")
+def quoted_names(spark, d):
+    name = F.expr("""CASE WHEN c_custkey % 2 = 0 THEN 'segment_' || c_custkey ELSE c_name || ' ]"`' END""")
+    return table(spark, d, "customer").select("c_custkey", *[dialects.quoted(name, c).alias(c) for c in ("mssql", "postgres", "mysql", "oracle")])
+
+
+_SPATIAL_SQL = [
+    ("postgres", 'SELECT "id", ST_AsText("place") AS "place", "shape" FROM "geo"."t"'), ("mssql", "SELECT [id], [place].STAsText() AS [place], [shape] FROM [geo].[t] WITH (NOLOCK)"),
+    ("mysql", "SELECT `id`, ST_AsText(`place`) AS `place`, ST_AsText(`shape`) AS `shape` FROM `geo`.`t`"), ("oracle", "SELECT ID, PLACE, SHAPE FROM GEO.T"),
+]
+
+
+@query(f"SELECT * FROM {Rows('connector string, sql string', _SPATIAL_SQL).sql()}")
+def spatial_projection(spark, d):
+    rows = [(c, dialects.dialect(c).read_query("geo", "t", [("id", "int"), ("place", "geometry"), ("shape", "point")], "other")) for c in ("postgres", "mssql", "mysql", "oracle")]
+    return spark.createDataFrame(rows, "connector string, sql string")
+
+
+_WORDS = Rows("name string", [(x,) for x in ("Order", "id", "User", "title", "rowid", "SESSION", "desc", "description", "view", "start")])
+
+
+@query(f"SELECT name, lower(name) IN ('order', 'user', 'desc', 'view') AS reserved, lower(name) IN ('order', 'user', 'desc', 'view', 'rowid', 'session', 'start') AS reserved_oracle FROM {_WORDS.sql()}")
+def reserved_words(spark, d):
+    return _WORDS.df(spark).select("name", V.is_reserved(F.col("name")).alias("reserved"), V.is_reserved(F.col("name"), "oracle").alias("reserved_oracle"))
+
+
+_DDL = "CREATE TABLE t (id BIGINT NOT NULL, name VARCHAR(20) NULL DEFAULT 'x', \"big one\" DECIMAL(10, 2), d DATE DEFAULT now()\n)"
+_DDL_TYPES = Rows("name string, kind string", [("id", "BIGINT"), ("name", "VARCHAR(20)"), ("big one", "DECIMAL(10, 2)"), ("d", "DATE"), ("none", None)])
+
+
+@query(f"SELECT * FROM {_DDL_TYPES.sql()}")
+def ddl_types(spark, d):
+    return _DDL_TYPES.df(spark).select("name", V.ddl_type(F.lit(_DDL), F.col("name")).alias("kind"))
+
+
+_ALL_TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in _ALL_TABLES))
+def table_list(spark, d):
+    return spark.createDataFrame([(t, tables.footer_count(table(spark, d, t))) for t in tables.list_folder(spark, d)], "table_name string, n_rows bigint")
+
+
+_CONSTRAINTS = Rows("constraint_name string, table_name string, constraint_type string", [("pk_o", "orders", "PRIMARY KEY"), ("pk_c", "conversations", "PRIMARY KEY"), ("fk_o", "orders", "FOREIGN KEY"), ("uq_c", "customer", "UNIQUE")])
+_KEY_USAGE = Rows("constraint_name string, table_name string, column_name string, pos int", [("pk_o", "orders", "o_orderkey", 1), ("pk_c", "conversations", "turn", 2), ("pk_c", "conversations", "conv_id", 1), ("fk_o", "orders", "o_custkey", 1), ("uq_c", "customer", "c_name", 1), ("pk_o", "other", "x", 1)])
+_COLUMN_ROWS = Rows("table_name string, column_name string, type_name string, ordinal int", [("orders", "o_orderkey", "bigint", 1), ("orders", "o_custkey", "bigint", 2), ("conversations", "conv_id", "bigint", 1), ("conversations", "turn", "bigint", 2), ("conversations", "role", "string", 3)])
+_PRIMARY = f"(SELECT c.table_name, k.column_name, k.pos FROM {_CONSTRAINTS.sql()} c JOIN {_KEY_USAGE.sql()} k ON c.constraint_name = k.constraint_name AND c.table_name = k.table_name WHERE constraint_type = 'PRIMARY KEY')"
+
+
+@query(f"SELECT table_name, string_agg(column_name, ',' ORDER BY pos) AS cols FROM {_PRIMARY} GROUP BY table_name")
+def primary_keys(spark, d):
+    return tables.primary_keys(_CONSTRAINTS.df(spark), _KEY_USAGE.df(spark))
+
+
+@query(f"SELECT c.*, p.pos AS key_pos FROM {_COLUMN_ROWS.sql()} c LEFT JOIN {_PRIMARY} p ON c.table_name = p.table_name AND c.column_name = p.column_name")
+def described_columns(spark, d):
+    return tables.described(_COLUMN_ROWS.df(spark), _CONSTRAINTS.df(spark), _KEY_USAGE.df(spark))
+
+
+def _engine(spark: SparkSession, source: str, specs: list, **more) -> Engine:
+    """An engine with a new target and state in the shared folder."""
+    base = f"{storage.shared_dir(spark)}/tideway/run-{uuid.uuid4().hex}"
+    return Engine(spark, source, f"{base}/target", f"{base}/state.json", specs, **more)
+
+
+@query("SELECT * FROM orders")
+def engine_reload(spark, d):
+    """A reload in four key splits, read back from the target."""
+    e = _engine(spark, d, [catalog.TableSpec("orders", ("o_orderkey",))], threshold=1000, chunk=100, most=4)
+    assert e.run()["status"] == "success"
+    return e.current("orders")
+
+
+@query("SELECT * FROM lineitem")
+def engine_reload_whole(spark, d):
+    e = _engine(spark, d, [catalog.TableSpec("lineitem")])
+    assert e.run()["status"] == "success"
+    return e.current("lineitem")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 50 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer UNION ALL SELECT c_custkey + 1000000000, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 100 = 1")
+def engine_upsert(spark, d):
+    """A reload of the table, then an upsert of changed and new rows that rewrites only the buckets they fall into."""
+    spec = catalog.TableSpec("customer", ("c_custkey",))
+    e = _engine(spark, d, [spec], bucket_rows=100)
+    assert e.run()["status"] == "success"
+    rows = table(spark, d, "customer")
+    changed = rows.where("c_custkey % 50 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    e.upsert("customer", changed.unionByName(rows.where("c_custkey % 100 = 1").withColumn("c_custkey", F.col("c_custkey") + 1000000000)))
+    return e.current("customer")
+
+
+@query("SELECT 'customer' AS table_name, count(*) AS n_rows, FALSE AS exclude, '' AS date_columns FROM customer UNION ALL SELECT 'events', count(*), FALSE, 'ts' FROM events UNION ALL SELECT 'orders', count(*), FALSE, 'o_orderdate' FROM orders")
+def analyze_tables(spark, d):
+    e = _engine(spark, d, [catalog.TableSpec(t) for t in ("orders", "events", "customer")])
+    return e.analyze().select("table_name", "n_rows", "exclude", "date_columns")
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END AS short, substr(sha256(text), 1, 16) AS config_hash, upper(substr(text, 1, 1)) || substr(text, 2) AS capitalized FROM documents")
@@ -569,17 +767,72 @@ def truncate_and_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", V.truncated(t, 50).alias("short"), V.short_hash(t).alias("config_hash"), V.capitalized(t).alias("capitalized"))
 
 
-@query(f"SELECT task_id, regexp_extract(task_key, '^transfer:(.*?)(?::p[0-9]+)?$', 1) AS table_name, CAST(nullif(regexp_extract(task_key, ':p([0-9]+)$', 1), '') AS BIGINT) AS part FROM {_TASKS.sql()}")
+@query(f"SELECT task_id, regexp_extract(task_key, '^transfer:(.*?)(?::p[0-9]+)?$', 1) AS table_name, CAST(nullif(regexp_extract(task_key, ':p([0-9]+)$', 1), '') AS BIGINT) AS part, task_key AS rebuilt FROM {_TASKS.sql()}")
 def task_key_parse(spark, d):
-    return _TASKS.df(spark).select("task_id", V.task_table(F.col("task_key")).alias("table_name"), V.task_part(F.col("task_key")).alias("part"))
+    return _TASKS.df(spark).select("task_id", V.task_table(F.col("task_key")).alias("table_name"), V.task_part(F.col("task_key")).alias("part"), V.task_key(V.task_table(F.col("task_key")), V.task_part(F.col("task_key"))).alias("rebuilt"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 3 = 0 THEN '{}' ELSE '{\"k\":' || CAST(json_extract(props, '$.k') AS BIGINT) || '}' END AS again FROM events")
 def adjustments_json(spark, d):
-    parsed = F.from_json("props", "map<string,bigint>")
-    return table(spark, d, "events").select("event_id", F.try_element_at(parsed, F.lit("k")).alias("k"))
+    parsed = V.adjustments(F.col("props"))
+    own = V.adjustments(F.when(F.col("event_id") % 3 != 0, F.col("props")).otherwise(F.lit("not json")))
+    return table(spark, d, "events").select("event_id", F.try_element_at(parsed, F.lit("k")).alias("k"), V.adjustments_text(own).alias("again"))
 
 
 @query("SELECT table_name, column_name, ordinal FROM (VALUES ('nation','n_nationkey',1),('nation','n_name',2),('nation','n_regionkey',3),('region','r_regionkey',1),('region','r_name',2)) AS t(table_name, column_name, ordinal)")
 def catalog_columns(spark, d):
     return catalog.catalog(spark, {t: table(spark, d, t) for t in ("nation", "region")}).select("table_name", "column_name", "ordinal")
+
+
+_UPDATES = Rows(state.PROGRESS, [(2, 900, 400, 400), (5, 100, 10, 40)])
+
+
+@query(f"SELECT * FROM {_PROGRESS.sql()} WHERE task_id NOT IN (2, 5, 4) UNION ALL SELECT * FROM {_UPDATES.sql()}")
+def progress_saved_and_cleared(spark, d):
+    saved = state.saved_progress(_PROGRESS.df(spark), _UPDATES.df(spark))
+    return state.cleared_progress(saved, spark.createDataFrame([(4,), (99,)], "task_id bigint"))
+
+
+_NEW_TASKS = Rows(state.TASKS, [(8, "r5", "transfer:sales.items", "pending", None), (9, "r5", "transfer:sales.more", "pending", None), (10, "r6", "transfer:sales.items", "pending", None)])
+
+
+@query(f"SELECT * FROM {_TASKS.sql()} UNION ALL SELECT * FROM {_NEW_TASKS.sql()} WHERE task_id <> 8")
+def tasks_created(spark, d):
+    return state.created_tasks(_TASKS.df(spark), _NEW_TASKS.df(spark))
+
+
+@query(f"SELECT r.run_id, started_at, completed_at, r.status, count(t.task_id) AS total, count(*) FILTER (t.status = 'pending') AS pending, count(*) FILTER (t.status = 'running') AS running, count(*) FILTER (t.status = 'success') AS success, count(*) FILTER (t.status = 'failed') AS failed FROM {_RUNS.sql()} r LEFT JOIN {_TASKS.sql()} t ON r.run_id = t.run_id GROUP BY ALL")
+def run_history(spark, d):
+    return state.history(_RUNS.df(spark), _TASKS.df(spark))
+
+
+@query("SELECT c_custkey, c_name AS opened, TRUE AS sealed FROM customer")
+def sealed_profiles(spark, d):
+    key, profile = F.lit(b"0123456789abcdef"), F.col("c_custkey").cast("string")
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", V.encrypted(F.col("c_name"), key, profile).alias("s"))
+    return rows.select("c_custkey", V.decrypted(F.col("s"), key, profile).alias("opened"), (F.col("s") != F.col("c_name")).alias("sealed"))
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 15")
+def capped_rows(spark, d):
+    return analyze.capped(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])[0]
+
+
+@query("SELECT t AS table_name, n AS n_rows, CASE WHEN n <= 2000 THEN 'full_table' WHEN t = 'conversations' THEN 'row_number' WHEN t = 'lineitem' THEN 'full_table' ELSE 'keyset' END AS method, CASE WHEN n <= 2000 OR t = 'lineitem' THEN 1 ELSE least(n // 1000 + 1, 6) END AS partitions FROM (SELECT 'orders' AS t, count(*) AS n FROM orders UNION ALL SELECT 'conversations', count(*) FROM conversations UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'lineitem', count(*) FROM lineitem)")
+def dry_run_plan(spark, d):
+    specs = [catalog.TableSpec("orders", ("o_orderkey",)), catalog.TableSpec("conversations", ("conv_id", "turn")), catalog.TableSpec("nation", ("n_nationkey",)), catalog.TableSpec("lineitem")]
+    rows = _engine(spark, d, specs).dry_run(2000, 1000, 6)
+    return spark.createDataFrame([(r["table"], r["rows"], r["method"], r["partitions"]) for r in rows], "table_name string, n_rows bigint, method string, partitions bigint")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey > 100 AND o_orderkey <= 700")
+def keyset_reader(spark, d):
+    """Pages one after another, put together again."""
+    pages = list(scan.keyset_pages(table(spark, d, "orders"), "o_orderkey", ["o_orderkey"], 200, 100, 700))
+    return functools.reduce(DataFrame.union, pages)
+
+
+@query("SELECT conv_id, turn FROM conversations")
+def row_number_reader(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn")
+    return functools.reduce(DataFrame.union, scan.row_number_pages(rows, ["conv_id", "turn"], ["conv_id", "turn"], -(-rows.count() // 4)))

@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tideway.plans.splits import Split
+from tideway.sources.dialects import Dialect
+
+#: What a JDBC URL calls a connector.
+_BY_URL = {"postgresql": "postgres", "sqlserver": "mssql", "mysql": "mysql", "mariadb": "mysql", "oracle": "oracle"}
+
+
+def dialect_of(options: dict) -> Dialect:
+    kind = options["url"].split(":")[1]
+    return Dialect(_BY_URL.get(kind, kind))
 
 
 def read_table(spark: SparkSession, table: str, options: dict, key: str | None = None, splits: list[Split] | None = None) -> DataFrame:
@@ -12,10 +23,51 @@ def read_table(spark: SparkSession, table: str, options: dict, key: str | None =
     url = options["url"]
     rest = {k: v for k, v in options.items() if k != "url"}
     if key and splits:
-        return spark.read.jdbc(url, table, predicates=[s.predicate(key) for s in splits], properties=rest)
+        own = dialect_of(options)
+        return spark.read.jdbc(url, table, predicates=[own.predicate(key, s) for s in splits], properties=rest)
     return spark.read.jdbc(url, table, properties=rest)
 
 
 def write_table(df: DataFrame, table: str, options: dict, mode: str = "append", batch: int = 10_000) -> None:
     rest = {k: v for k, v in options.items() if k != "url"} | {"batchsize": str(batch)}
     df.write.jdbc(options["url"], table, mode=mode, properties=rest)
+
+
+def execute(spark: SparkSession, options: dict, *statements: str) -> list[int]:
+    """Run statements in one transaction of the database; rows that each changed."""
+    jvm = spark.sparkContext._jvm
+    if options.get("driver"):
+        jvm.java.lang.Class.forName(options["driver"])
+    own = jvm.java.util.Properties()
+    for k, v in options.items():
+        if k not in ("url", "driver"):
+            own.setProperty(k, str(v))
+    con = jvm.java.sql.DriverManager.getConnection(options["url"], own)
+    try:
+        con.setAutoCommit(False)
+        statement = con.createStatement()
+        done = [statement.executeUpdate(s) for s in statements]
+        con.commit()
+        return done
+    except Exception:
+        con.rollback()
+        raise
+    finally:
+        con.close()
+
+
+def staging_name(table: str, writer: str = "0", most: int = 60) -> str:
+    """The staging table of one writer; a hash stands for the end of a name that would be too long."""
+    name = f"stg_{table}_{writer}"
+    return name if len(name) <= most else f"{name[: most - 17]}_{hashlib.sha256(name.encode()).hexdigest()[:16]}"
+
+
+def upsert_table(df: DataFrame, schema: str, table: str, key: list[str], options: dict, writer: str = "0") -> int:
+    """Merge rows into a database table: executors fill a staging table, then one statement of the database merges it. Returns the rows that it changed."""
+    own, spark = dialect_of(options), df.sparkSession
+    staging = own.table(schema, staging_name(table, writer))
+    write_table(df, staging, options, "overwrite")
+    try:
+        return execute(spark, options, own.upsert(schema, table, staging, df.columns, key))[0]
+    finally:
+        execute(spark, options, f"DROP TABLE {staging}")
