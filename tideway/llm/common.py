@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session. Only where that is unset (tests on one machine) a temporary folder takes its place."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Only where that is unset and Spark runs on this machine alone, a temporary folder takes its place."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir isn't set: on a cluster it must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tideway-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -33,7 +36,35 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tideway/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what written() wrote for tables that nothing reads any more: all that came from them must be written itself."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def joined(big: DataFrame, small: DataFrame, key: str, hot: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """big joined with small, whose keys are unique; big should be a written table, as it is read up to four times.
+
+    Keys that more than `hot` rows of big hold are looked up in a broadcast table of their own, so their rows aren't
+    shuffled into one task. By default that is a hundredth of the rows, but 1,000 at least and 200,000 at most, so there are
+    at most rows / 200,000 of these keys, or a hundred. Other keys join as Spark sees fit. counts(key, count) saves
+    counting if it is known.
+    """
+    if hot is None:
+        hot = min(200_000, max(1000, big.count() // 100))
+    counts = big.groupBy(key).count() if counts is None else counts
+    often = checkpointed(counts.where(F.col("count") > hot).select(key))
+    if often.isEmpty():
+        return big.join(small, key)
+    few = checkpointed(small.join(often, key, "left_semi"))
+    return big.join(F.broadcast(few), key).unionByName(big.join(F.broadcast(often), key, "left_anti").join(small, key))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -45,8 +76,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b").distinct()
     e = checkpointed(e)
-    before = None
-    for _ in range(max_rounds):
+    told = lambda x: x.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
+    before = told(e)
+    for _ in range(max_rounds if before[0] else 0):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -54,8 +86,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         hooked = large.join(low, "u").select("u", "v", "m")
         small = hooked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(hooked.select("u", F.col("m").alias("v"))).distinct()
         e = checkpointed(small)
-        now = e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
+        now = told(e)
         if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            break
         before = now
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+    else:
+        if before[0]:
+            raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,24 +1,26 @@
 """Removal of repeated 200-byte strings by prefix-free parsing.
 
-Trigger positions cut texts into phrases: the 32-byte strings whose rolling hash is least in some 200-byte window of
-their document. Every window holds a trigger, and equal windows have theirs at the same place, so a window can only
-recur where its trigger recurs. The steps:
-
-1. Parse: (trigger hash, context hash, document, place) for every trigger; the context is all that windows with this
-   trigger can cover. Most triggers are alone in the corpus and end here, after a pre-aggregated count.
-2. Dictionary: of recurring triggers, each distinct context once. A context that occurs twice repeats as a whole, so its
-   occurrences are marked without being compared; thousands of copies cost one dictionary entry.
-3. Suffix ranks: triggers with several contexts are sorted together, and the suffixes of their contexts are ranked by
-   prefix doubling on the bytes themselves (8, 16, ... 128, 200), which tells equal windows exactly. A trigger with more
-   than `wide` contexts is dealt again by hashes of its windows instead, so no task holds an unbounded group.
+A rolling hash of 32 bytes picks triggers: in each 200-byte window of a document the leftmost gram of least hash. The
+windows of one trigger follow each other; the text that they cover is the trigger's phrase. Equal windows have their
+trigger at the same place, so a window can only recur in another phrase of the same trigger. The steps:
+
+1. Parse: texts are written once, compressed and numbered; one pass over them writes (trigger, phrase digest, document,
+   place) for every phrase. Triggers that stand alone in the corpus end here, after a pre-aggregated count.
+2. Dictionary: each distinct phrase once, with how often it occurs. A phrase that occurs twice repeats as a whole, so
+   thousands of copies cost one entry.
+3. Suffix arrays: of each trigger's phrases, what stands before the trigger is sorted backwards (the phrase's suffixes)
+   and what follows it forwards (how the parse goes on), with the lengths that neighbours share. A window that begins l
+   bytes before the trigger needs l bytes of the one and 200 - l of the other; both orders together put windows in
+   corpus order, and equal ones side by side.
 4. Marks go back to their documents, which cut the covered bytes and hash the rest.
 
-Places are counted in one task from the text alone, texts cross the network compressed, and nothing is dropped: triggers
-and windows are all looked at. Contexts and documents are told apart by 64-bit hashes (contexts within a trigger, documents by
-doc_id and text).
+A trigger with more than `wide` distinct phrases would not fit in one task; its windows are dealt by their digests
+instead, which gives the same marks. Phrases, and windows there, are told apart by 128-bit digests, everything else by
+the bytes themselves. Places are counted from the text alone, and nothing is dropped.
 
 Nulls: a null text is empty; a null doc_id is kept. Repeated rows repeat each other, so texts of 200 bytes and more
-vanish from all of them. Texts under 200 bytes stay. Other columns aren't read.
+vanish from all of them, as do all copies of any tie. Texts under 200 bytes stay. Texts of any length are parsed in
+pieces of CHUNK bytes that overlap by a window, with the same phrases. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +39,9 @@ from tideway.llm import common
 
 GRAM, WINDOW = 32, 200
 SPAN = WINDOW - GRAM + 1
-CHUNK, MARGIN = 2_000_000, 1024
+CHUNK = 1 << 18
+#: Low bits of a hash that hold its place, so that the least value also tells where it is.
+PLACE = 20
 
 
 def _byte_table() -> np.ndarray:
@@ -48,7 +52,7 @@ _TABLE = _byte_table()
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A mixed, never zero hash of each GRAM bytes, by doubling."""
+    """A mixed hash of each GRAM bytes, by doubling."""
     h, width, power = _TABLE[data], 1, 0x9E3779B97F4A7C15
     while width < GRAM:
         h = h[:-width] * np.uint64(power) + h[width:]
@@ -56,221 +60,219 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    return h | np.uint64(1)
+    return h
 
 
-def _slide(x: np.ndarray, n: int, f: np.ufunc) -> np.ndarray:
-    """f over each n neighbours."""
+def _least(x: np.ndarray, n: int) -> np.ndarray:
+    """The least of each n neighbours."""
     width = 1
     while 2 * width <= n:
-        x = f(x[:-width], x[width:])
+        x = np.minimum(x[:-width], x[width:])
         width *= 2
-    return f(x[: len(x) - (n - width)], x[n - width :]) if n > width else x
+    return np.minimum(x[: len(x) - (n - width)], x[n - width :]) if n > width else x
 
 
-def triggers(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Trigger places in documents that follow each other (bounds: 0, their ends), and the hashes of all places."""
+def phrases(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(trigger's place, first window, number of windows, trigger hash) in documents that follow each other in data (bounds: 0, their ends)."""
     if len(data) < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     h = gram_hashes(data)
-    least = _slide(h, SPAN, np.minimum)
-    start = np.arange(len(least))
-    whole = start + WINDOW <= bounds[np.searchsorted(bounds, start, side="right")]
-    least = np.where(whole, least, np.uint64(0))
-    edge = np.zeros(SPAN - 1, np.uint64)
-    most = _slide(np.concatenate([edge, least, edge]), SPAN, np.maximum)
-    return np.flatnonzero(most == h), h
+    low = np.uint64((1 << PLACE) - 1)
+    at = (_least(h & ~low | np.arange(len(h), dtype=np.uint64), SPAN) & low).astype(np.int64)
+    end = np.repeat(bounds[1:], np.diff(bounds))[: len(at)]
+    whole = np.arange(len(at)) + WINDOW <= end
+    new = np.flatnonzero(whole & np.concatenate(([True], (at[1:] != at[:-1]) | ~whole[:-1])))
+    n = np.diff(np.append(new, len(at)))
+    gone = np.concatenate(([0], np.cumsum(~whole)))
+    n -= gone[new + n] - gone[new]  # windows behind a document's last one
+    return at[new], new, n, h[at[new]]
 
 
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _occurrences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, place, trigger hash, context hash) of the triggers of whole texts that fit in memory together."""
-    big = b"".join(texts)
-    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    places, h = triggers(np.frombuffer(big, np.uint8), bounds)
-    doc = np.searchsorted(bounds, places, side="right") - 1
-    first, end = np.maximum(bounds[doc], places - (SPAN - 1)), np.minimum(bounds[doc + 1], places + WINDOW)
-    digest = xxhash.xxh64_intdigest
-    context = np.fromiter((digest(big[a:b], t - a) for a, b, t in zip(first.tolist(), end.tolist(), places.tolist())), np.uint64, len(places))
-    return doc, places - bounds[doc], h[places], context
+PARSE = "gram long, phrase binary, id long, first int, n int, shift int"
 
 
-def _long(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for one text of any length, in overlapping pieces."""
-    out = []
-    for at in range(0, len(text), CHUNK):
-        low = max(0, at - MARGIN)
-        _, place, h, context = _occurrences([text[low : at + CHUNK + MARGIN]])
-        place += low
-        own = (place >= at) & (place < at + CHUNK)
-        out.append((place[own], h[own], context[own]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+def _row(ids: np.ndarray, base: np.ndarray, big: bytes, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    """Phrases of big as rows; base is what a place in big lies before the place in its text."""
+    place, first, n, h = found
+    digest = xxhash.xxh3_128_digest
+    shift = place - first
+    names = [digest(big[a:b], s) for a, b, s in zip(first.tolist(), (first + n + (WINDOW - 1)).tolist(), shift.tolist())]
+    columns = [pa.array(h.view(np.int64)), pa.array(names, pa.binary()), pa.array(ids), *(pa.array(x.astype(np.int32)) for x in (first + base, n, shift))]
+    return pa.record_batch(columns, names=["gram", "phrase", "id", "first", "n", "shift"])
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def row(keys: np.ndarray, place: np.ndarray, h: np.ndarray, context: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(keys), pa.array(place.astype(np.int32))], names=["gram", "context", "key", "place"])
+    unzip = zstandard.ZstdDecompressor()
+    held: list[tuple[int, bytes]] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        big = b"".join(t for _, t in held)
+        bounds = np.concatenate(([0], np.cumsum([len(t) for _, t in held])))
+        found = phrases(np.frombuffer(big, np.uint8), bounds)
+        doc = np.searchsorted(bounds, found[0], side="right") - 1
+        return _row(np.array([i for i, _ in held], np.int64)[doc], -bounds[doc], big, found)
 
     for batch in batches:
-        keys, held, size, first = np.asarray(batch.column(0)), [], 0, 0
-        for i in range(batch.num_rows):
-            text = _bytes(batch.column(1)[i].as_py())
+        for i, z in zip(batch.column(0).to_pylist(), batch.column(1)):
+            text = unzip.decompress(z.as_buffer())
             if len(text) > CHUNK:
-                if held:
-                    doc, *rest = _occurrences(held)
-                    yield row(keys[first:i][doc], *rest)
-                found = _long(text)
-                yield row(np.full(len(found[0]), keys[i]), *found)
-                held, size, first = [], 0, i + 1
-                continue
-            held.append(text)
-            size += len(text)
+                yield from _long(i, text)
+            elif len(text) >= WINDOW:
+                held.append((i, text))
+                size += len(text)
             if size > CHUNK:
-                doc, *rest = _occurrences(held)
-                yield row(keys[first : i + 1][doc], *rest)
-                held, size, first = [], 0, i + 1
-        if held:
-            doc, *rest = _occurrences(held)
-            yield row(keys[first:][doc], *rest)
+                yield out()
+                held, size = [], 0
+    if held:
+        yield out()
+
+
+def _long(i: int, text: bytes) -> Iterator[pa.RecordBatch]:
+    """The phrases of one text, by pieces: each has the triggers in its CHUNK bytes and sees all of their windows."""
+    for at in range(0, len(text), CHUNK):
+        low = max(0, at - SPAN)
+        part = text[low : at + CHUNK + WINDOW]
+        found = phrases(np.frombuffer(part, np.uint8), np.array([0, len(part)]))
+        own = (found[0] + low >= at) & (found[0] + low < at + CHUNK)
+        found = tuple(x[own] for x in found)
+        yield _row(np.full(len(found[0]), i), np.int64(low), part, found)
 
 
 def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    c = zstandard.ZstdCompressor(level=3)
+    c = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([c.compress(_bytes(t.as_py())) for t in batch.column(2)], pa.binary())], names=["key", "doc_id", "zipped"])
+        yield pa.record_batch([batch.column(0), pa.array([c.compress(_bytes(t.as_py())) for t in batch.column(1)], pa.binary())], names=["doc_id", "zipped"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows that belong to each chosen trigger, as one string: a window belongs to the first of its least hashes."""
-    d = zstandard.ZstdDecompressor()
+def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chosen phrases' texts."""
+    unzip = zstandard.ZstdDecompressor()
     for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for row in range(batch.num_rows):
-            text = d.decompress(batch.column("zipped")[row].as_py())
-            key, chosen = batch.column("key")[row].as_py(), batch.column("chosen")[row].values
-            place, gram, times = (chosen.field(n).to_numpy() for n in ("place", "gram", "times"))
-            data = np.frombuffer(text, np.uint8)
-            for at in range(0, len(text), CHUNK):
-                own = np.flatnonzero((place >= at) & (place < at + CHUNK))
-                if len(own) and len(text) >= WINDOW:
-                    low = max(0, at - MARGIN)
-                    h = gram_hashes(data[low : at + CHUNK + MARGIN])
-                    full = np.concatenate([np.zeros(SPAN, np.uint64), h, np.zeros(SPAN, np.uint64)])
-                    for part in np.array_split(own, -(-len(own) // 2000)):
-                        p = place[part] - low
-                        near = np.lib.stride_tricks.sliding_window_view(full, 2 * SPAN + 1)[p]  # places p - SPAN to p + SPAN
-                        mine = h[p][:, None]
-                        before = near[:, :SPAN] <= mine
-                        after = near[:, SPAN + 1 :] < mine
-                        first = p - np.where(before[:, 1:].any(axis=1), np.argmax(before[:, ::-1], axis=1), SPAN - 1)
-                        last = np.where(after.any(axis=1), p + np.argmax(after, axis=1) + 1 - SPAN, p)
-                        first, last = np.maximum(first, 0) + low, np.minimum(np.minimum(last, p) + low, len(text) - WINDOW)
-                        for a, b, g, n in zip(first.tolist(), last.tolist(), gram[part].tolist(), times[part].tolist()):
-                            if b >= a:
-                                for values, x in zip(out, (g, key, a, n, text[a : b + WINDOW])):
-                                    values.append(x)
-        yield pa.record_batch([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["gram", "key", "first", "times", "windows"])
-
-
-CONTEXTS = "gram long, key long, first int, times int, windows binary"
-MARKS = "key long, a int, b int"
-
-
-def window_ranks(data: np.ndarray) -> np.ndarray:
-    """A number for each WINDOW bytes of data, equal where the bytes are equal, by prefix doubling of suffix ranks."""
-    n = len(data) - 8 + 1
-    rank = np.zeros(n, np.uint64)
-    for k in range(8):
-        rank = rank << np.uint64(8) | data[k : k + n]
-    width = 8
-    while True:
-        rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
-        if width == WINDOW:
-            return rank
-        step = width if 2 * width <= WINDOW else WINDOW - width
-        rank = rank[:-step] << np.uint64(32) | rank[step:]
-        width += step
-
-
-def _equal_windows(grams: np.ndarray, keys: np.ndarray, firsts: np.ndarray, times: np.ndarray, strings: list[bytes]) -> pa.RecordBatch:
+        out: list[tuple] = []
+        size = 0
+        for i in range(batch.num_rows):
+            text, chosen = unzip.decompress(batch.column("zipped")[i].as_buffer()), batch.column("chosen")[i].as_py()
+            for c in chosen:
+                out.append((c["gram"], batch.column("id")[i].as_py(), c["first"], c["n"], c["shift"], c["times"], text[c["first"] : c["first"] + c["n"] + WINDOW - 1]))
+                size += c["n"] + WINDOW
+            if size > 4 * CHUNK:
+                yield _chosen(out)
+                out, size = [], 0
+        if out:
+            yield _chosen(out)
+
+
+TEXTS = "gram long, id long, first int, n int, shift int, times int, bytes binary"
+MARKS = "id long, a int, b int"
+
+
+def _chosen(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["gram", "id", "first", "n", "shift", "times", "bytes"])
+
+
+def _order(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A suffix array of byte rows within their groups: the order, and how many bytes each shares with the one before it (-1: another group)."""
+    words = np.ascontiguousarray(rows).view(">u8")
+    order = np.lexsort((*words.T[::-1], group))
+    a, b = rows[order[:-1]], rows[order[1:]]
+    other = a != b
+    shared = np.where(other.any(axis=1), np.argmax(other, axis=1), rows.shape[1])
+    shared[group[order[:-1]] != group[order[1:]]] = -1
+    return order, np.concatenate(([-1], shared))
+
+
+def equal_windows(group: np.ndarray, ids: np.ndarray, first: np.ndarray, n: np.ndarray, shift: np.ndarray, times: np.ndarray, strings: list[bytes]) -> pa.RecordBatch:
+    """Marks of the windows of phrases that occur once and are equal to a window of another phrase of their group (trigger)."""
+    m = len(strings)
+    big = np.frombuffer(b"".join(strings), np.uint8)
     sizes = np.array([len(s) for s in strings])
-    counts = sizes - WINDOW + 1
-    at = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(sizes)), counts)
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    rank = window_ranks(np.frombuffer(b"".join(strings), np.uint8))[at[owner] + within].astype(np.int64)
-    total = np.bincount(rank, weights=np.minimum(times, 2)[owner])
-    again = (total[rank] >= 2) & (times[owner] == 1)
-    owner, within = owner[again], within[again]
-    return _runs(keys[owner], firsts[owner] + within)
+    at = np.cumsum(sizes) - sizes + shift
+    reach = -(-(SPAN - 1) // 8) * 8  # whole words of eight bytes
+    behind, ahead = np.arange(reach), np.arange(WINDOW)
+    take = lambda places, real: np.where(real, big[np.clip(places, 0, len(big) - 1)], 0).astype(np.uint8)
+    before = take(at[:, None] - 1 - behind, behind < shift[:, None])
+    after = take(at[:, None] + ahead, ahead < (sizes - shift)[:, None])
+    by_suffix, suffix_shares = _order(group, before)
+    by_parse, parse_shares = _order(group, after)
+    weight = np.minimum(times, 2)
+    key, start = [], []
+    left, right = np.empty(m, np.int64), np.empty(m, np.int64)
+    for l in range(SPAN):  # noqa: E741
+        some = np.flatnonzero((l <= shift) & (l > shift - n))
+        if len(some) < 2:
+            continue
+        left[by_suffix] = np.cumsum(suffix_shares < l)
+        right[by_parse] = np.cumsum(parse_shares < WINDOW - l)
+        _, name = np.unique(left[some] * (m + 1) + right[some], return_inverse=True)
+        again = some[(np.bincount(name, weights=weight[some])[name] >= 2) & (times[some] == 1)]
+        key.append(ids[again])
+        start.append(first[again] + shift[again] - l)
+    key, start = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (key, start))
+    order = np.lexsort((start, key))
+    return _runs(key[order], start[order])
 
 
 def _runs(key: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     """Marks of windows that follow each other as runs [a, b)."""
-    if len(key):
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (start[1:] - start[:-1] != 1)])
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(key)) - 1
-        key, a, b = key[head], start[head], start[tail] + WINDOW
-    else:
-        a = b = start
-    return pa.record_batch([pa.array(key.astype(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["key", "a", "b"])
+    head = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (start[1:] - start[:-1] > 1)))) if len(key) else np.zeros(0, np.int64)
+    tail = np.append(head[1:], len(key)) - 1 if len(key) else head
+    return pa.record_batch([pa.array(key[head]), pa.array(start[head].astype(np.int32)), pa.array((start[tail] + WINDOW).astype(np.int32))], names=["id", "a", "b"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts come sorted by trigger; the last trigger of a batch waits for the next one."""
-    held: list[list] = []
+def _compare(most: int):
+    """Phrases come sorted by trigger; whole triggers are compared, about `most` phrases at a time."""
 
-    def out() -> pa.RecordBatch:
-        g, k, f, t, w = zip(*held)
-        return _equal_windows(*(np.concatenate(x) for x in (g, k, f, t)), [s for part in w for s in part])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        g, k, f, t = (np.asarray(batch.column(i)) for i in range(4))
-        w = batch.column(4).to_pylist()
-        other = np.flatnonzero(g != g[-1])
-        cut = int(other[-1]) + 1 if len(other) else 0
-        if cut or (held and held[-1][0][-1] != g[0]):
-            if cut:
-                held.append([g[:cut], k[:cut], f[:cut], t[:cut], w[:cut]])
-            yield out()
-            held = []
-        held.append([g[cut:], k[cut:], f[cut:], t[cut:], w[cut:]])
-    if held:
-        yield out()
+        def out(part: pa.Table) -> pa.RecordBatch:
+            g, i, f, n, s, t = (part.column(c).to_numpy().astype(np.int64, copy=False) for c in range(6))
+            return equal_windows(g, i, f, n, s, t, part.column(6).to_pylist())
 
+        for batch in (b.slice(k, most) for b in batches for k in range(0, b.num_rows, most)):
+            held.append(batch)
+            size += batch.num_rows
+            if size >= most:
+                whole = pa.Table.from_batches(held)
+                g = whole.column(0).to_numpy()
+                cut = int(np.searchsorted(g, g[-1]))
+                if cut:
+                    yield out(whole.slice(0, cut))
+                    held, size = whole.slice(cut).to_batches(), len(g) - cut
+        if size:
+            yield out(pa.Table.from_batches(held))
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of contexts by itself: (gram, hash, key, start, times)."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            g, k, f, t, w = (batch.column(c)[i].as_py() for c in range(5))
-            n = len(w) - WINDOW + 1
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w[s : s + WINDOW]) for s in range(n)), np.uint64, n)
-            columns = [np.full(n, g), hashes.view(np.int64), np.full(n, k), np.arange(f, f + n, dtype=np.int32), np.full(n, min(t, 2), np.int32)]
-            yield pa.record_batch([pa.array(c) for c in columns], names=["gram", "window", "key", "start", "times"])
+    return run
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of phrases by itself: (window digest, id, start, times)."""
+    for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+        ids, first, n, times = (batch.column(c).to_numpy() for c in ("id", "first", "n", "times"))
+        names = [xxhash.xxh3_128_digest(x[k : k + WINDOW]) for x, many in zip(batch.column("bytes").to_pylist(), n.tolist()) for k in range(many)]
+        start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        yield pa.record_batch([pa.array(names, pa.binary()), pa.array(np.repeat(ids, n)), pa.array(start.astype(np.int32)), pa.array(np.repeat(times, n))], names=["window", "id", "start", "times"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    d = zstandard.ZstdDecompressor()
+    unzip = zstandard.ZstdDecompressor()
     for batch in batches:
         rows = []
         for i in range(batch.num_rows):
-            text = d.decompress(batch.column("zipped")[i].as_py())
+            text = unzip.decompress(batch.column("zipped")[i].as_buffer())
             marks = batch.column("marks")[i].values
             runs: list[list[int]] = []
             if marks is not None and len(marks):
-                a, b = (marks.field(n).to_numpy().astype(np.int64) for n in ("a", "b"))
-                a, b = np.maximum(a, 0), np.minimum(b, len(text))
+                a, b = (marks.field(n).to_numpy() for n in ("a", "b"))
                 order = np.argsort(a, kind="stable")
                 for x, y in zip(a[order].tolist(), b[order].tolist()):
-                    if y - x < WINDOW:
-                        continue
                     if runs and x <= runs[-1][1]:
                         runs[-1][1] = max(runs[-1][1], y)
                     else:
@@ -287,29 +289,35 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeats(docs: DataFrame, wide: int = 4000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans): a row for each document; spans hold the first and end byte of each removed run in turn."""
-    few = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parse = few.select("key", "text").mapInArrow(_parse, "gram long, context long, key long, place int")
-    again = parse.groupBy("gram").count().where("count > 1").select("gram")
-    found = common.written(parse.join(again, "gram"), "recurring-triggers")
-    entries = found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "place")).alias("at"))
-    entries = common.written(entries, "phrases")
-    variants = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    marks = found.join(entries.where("times > 1").select("gram", "context"), ["gram", "context"]).select("key", (F.col("place") - (SPAN - 1)).alias("a"), (F.col("place") + WINDOW).alias("b")).distinct()
-    zipped = few.mapInArrow(_zip, "key long, doc_id long, zipped binary")
-
-    def contexts(which: DataFrame) -> DataFrame:
-        chosen = entries.join(which.select("gram"), "gram").select(F.col("at.key").alias("key"), F.struct(F.col("at.place").alias("place"), "gram", F.least("times", F.lit(2)).cast("int").alias("times")).alias("c"))
-        per_doc = chosen.groupBy("key").agg(F.collect_list("c").alias("chosen"))
-        return zipped.select("key", "zipped").join(per_doc, "key").mapInArrow(_contexts, CONTEXTS)
-
-    narrow = contexts(variants.where(F.col("n") <= wide)).repartition("gram").sortWithinPartitions("gram")
-    marks = marks.union(narrow.mapInArrow(_compare, MARKS))
-    if not variants.where(F.col("n") > wide).isEmpty():
-        windows = common.written(contexts(variants.where(F.col("n") > wide)).mapInArrow(_hashed, "gram long, window long, key long, start int, times int"), "wide-windows")
-        twice = windows.groupBy("gram", "window").agg(F.sum("times").alias("n")).where("n > 1").select("gram", "window")
-        marks = marks.union(windows.where("times = 1").join(twice, ["gram", "window"]).select("key", F.col("start").alias("a"), (F.col("start") + WINDOW).alias("b")))
-    per_doc = marks.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
-    return zipped.join(per_doc, "key", "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<int>")
+    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = common.written(few.mapInArrow(_zip, "doc_id long, zipped binary").withColumn("id", F.monotonically_increasing_id()), "texts")
+    parse = common.written(texts.select("id", "zipped").mapInArrow(_parse, PARSE), "parse")
+    counts = common.written(parse.groupBy("gram").count().where("count > 1"), "recurring-triggers")
+    found = common.written(common.joined(parse, counts.select("gram"), "gram", counts=counts), "recurring-phrases")
+    common.release(parse, counts)
+    entries = found.groupBy("phrase").agg(F.min("gram").alias("gram"), F.count(F.lit(1)).alias("count"), F.min(F.struct("id", "first", "n", "shift")).alias("at"))
+    entries = common.written(entries.withColumn("times", F.least("count", F.lit(2)).cast("int")), "dictionary")
+    repeated = entries.where("count > 1")
+    twice = common.joined(found.select("phrase", "id", "first", "n"), repeated.select("phrase"), "phrase", counts=repeated)
+    marks = twice.select("id", F.col("first").alias("a"), (F.col("first") + F.col("n") + (WINDOW - 1)).alias("b"))
+    several = common.written(entries.groupBy("gram").count().where("count > 1").withColumn("phrases", F.col("count")), "compared-triggers")
+    chosen = common.joined(entries.select("gram", "at", "times"), several.select("gram", "phrases"), "gram", counts=several)
+    chosen = chosen.select("phrases", F.col("at.id").alias("id"), F.struct("gram", "at.first", "at.n", "at.shift", "times").alias("c"))
+    chosen = common.written(chosen, "compared-phrases")
+
+    def texts_of(which: str) -> DataFrame:
+        per_doc = chosen.where(which).groupBy("id").agg(F.collect_list("c").alias("chosen"))
+        return texts.select("id", "zipped").join(per_doc, "id").mapInArrow(_texts_of, TEXTS)
+
+    narrow = texts_of(f"phrases <= {wide}").repartition("gram").sortWithinPartitions("gram")
+    marks = marks.union(narrow.mapInArrow(_compare(wide), MARKS))
+    if not chosen.where(f"phrases > {wide}").isEmpty():
+        windows = common.written(texts_of(f"phrases > {wide}").mapInArrow(_windows, "window binary, id long, start int, times int"), "wide-windows")
+        equal = common.written(windows.groupBy("window").agg(F.sum("times").alias("n"), F.count(F.lit(1)).alias("count")).where("n > 1"), "wide-equal")
+        single = common.joined(windows.where("times = 1"), equal.select("window"), "window", counts=equal)
+        marks = marks.union(single.select("id", F.col("start").alias("a"), (F.col("start") + WINDOW).alias("b")))
+    per_doc = marks.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
+    return texts.join(per_doc, "id", "left").select("doc_id", "zipped", "marks").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<int>")
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
