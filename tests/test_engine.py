@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideway import catalog, config, monitor
-from tideway.engine import Engine, defaults
+from tideway.engine import Engine, defaults, exit_code
 from tideway.functions import values as V
 from tideway.operators import analyze, metrics
 from tideway.sources import dialects, jdbc, tables
@@ -256,5 +256,7 @@ def test_constants_agree_with_their_cases(spark):
     df = spark.createDataFrame([(k,) for k in redacted], "t string").select("t", V.redacted(F.col("t")).alias("r"))
     assert {r.t: r.r for r in df.collect()} == redacted
     cases = {"validation failed": 4, "transfer broke": 3, "context canceled": 5, "state lost": 6, "row count": 4, "yaml: connect": 2, "json: x": 1, "???": 3}
+    assert {m: exit_code(RuntimeError(m)) for m in cases} == cases
+    assert [exit_code(x) for x in ({"errors": {}}, {"errors": {"t": "row count"}}, FileNotFoundError("x"), KeyboardInterrupt())] == [0, 4, 7, 5]
     got = spark.createDataFrame([(k,) for k in cases], "m string").select("m", analyze.exit_code(F.col("m")).alias("c")).collect()
     assert {r.m: r.c for r in got} == cases

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideway import monitor
-from tideway.catalog import TableSpec
+from tideway.catalog import TableSpec, catalog
 from tideway.operators import merge, metrics, validate
-from tideway.operators.analyze import EXIT_CODES, retryable_text  # noqa: F401
+from tideway.operators.analyze import EXIT_CODES, EXIT_RULES, NOT_CONFIG, exclusion_candidate, ranked_date_columns, retryable_text
 from tideway.plans import splits
 from tideway.sources import jdbc, tables
 from tideway.sources.scan import key_range, read
@@ -396,11 +396,8 @@ class Engine:
             source, target = pool.map(side, (self.source, self.target))
         return {"timestamp": _now(), "source": source, "target": target, "healthy": source["connected"] and target["connected"]}
 
-    def analyze(self, cores: int = 8) -> DataFrame:
+    def analyze(self) -> DataFrame:
         """(table_name, n_rows, avg_bytes, exclude, date_columns, large): sizes and suggestions for each source table; see defaults()."""
-        from tideway.catalog import catalog
-        from tideway.operators.analyze import exclusion_candidate, ranked_date_columns
-
         frames = {t: self._source(t) for t in self.specs}
         sizes = metrics.table_sizes(frames)
         ranked = ranked_date_columns(catalog(self.spark, frames)).groupBy("table_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "column_name"))), lambda x: x["column_name"]), ",").alias("date_columns"))
@@ -424,6 +421,22 @@ class Engine:
         return self.spark.createDataFrame([tuple(t[n] for n in names) for t in self.state["tasks"]], kinds)
 
 
+def exit_code(outcome: dict | BaseException) -> int:
+    """The exit code of a run's result or of an exception that stopped it: operators.analyze.exit_code for one message on the driver."""
+    if isinstance(outcome, dict):
+        errors = list(outcome.get("errors", {}).values())
+        return exit_code(RuntimeError(errors[0])) if errors else EXIT_CODES["success"]
+    if isinstance(outcome, OSError):
+        return EXIT_CODES["io"]
+    if isinstance(outcome, KeyboardInterrupt):
+        return EXIT_CODES["cancelled"]
+    low = str(outcome).lower()
+    for kind, parts in EXIT_RULES:
+        if any(p in low for p in parts) and not (kind == "config" and any(p in low for p in NOT_CONFIG)):
+            return EXIT_CODES[kind]
+    return EXIT_CODES["transfer"]
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 

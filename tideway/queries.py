@@ -321,10 +321,10 @@ def resume_cleanup(spark, d):
     return merge.before_resume(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 3000, 8000)
 
 
-@query("SELECT 'nation' AS table_name, (SELECT count(*) FROM nation) AS source_rows, (SELECT count(*) FROM nation) AS target_rows, 'ok' AS status UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), (SELECT count(*) FROM orders WHERE o_orderkey % 100 <> 7), 'mismatch' UNION ALL SELECT 'part', (SELECT count(*) FROM part), NULL, 'missing_target'")
+@query("SELECT coalesce(s.t, x.t) AS table_name, s.n AS source_rows, x.n AS target_rows, CASE WHEN x.n IS NULL THEN 'missing_target' WHEN s.n IS NULL THEN 'missing_source' WHEN s.n = x.n THEN 'ok' ELSE 'mismatch' END AS status FROM (SELECT 'nation' AS t, count(*) AS n FROM nation UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part) s FULL JOIN (SELECT 'nation' AS t, count(*) AS n FROM nation UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_orderkey % 100 <> 7 UNION ALL SELECT 'region', count(*) FROM region) x ON s.t = x.t")
 def row_count_diff(spark, d):
     source = {t: table(spark, d, t) for t in ("nation", "orders", "part")}
-    return validate.count_diff(source, {"nation": source["nation"], "orders": source["orders"].where("o_orderkey % 100 <> 7")})
+    return validate.count_diff(source, {"nation": source["nation"], "orders": source["orders"].where("o_orderkey % 100 <> 7"), "region": table(spark, d, "region")})
 
 
 _SAMPLE = "SELECT o_orderkey FROM orders ORDER BY md5(concat_ws(',', '', CAST(o_orderkey AS VARCHAR))), o_orderkey LIMIT 100"
@@ -779,9 +779,12 @@ def adjustments_json(spark, d):
     return table(spark, d, "events").select("event_id", F.try_element_at(parsed, F.lit("k")).alias("k"), V.adjustments_text(own).alias("again"))
 
 
-@query("SELECT table_name, column_name, ordinal FROM (VALUES ('nation','n_nationkey',1),('nation','n_name',2),('nation','n_regionkey',3),('region','r_regionkey',1),('region','r_name',2)) AS t(table_name, column_name, ordinal)")
+_TYPE = "CASE WHEN column_type = 'VARCHAR' THEN 'string' WHEN column_type = 'INTEGER' THEN 'int' WHEN column_type = 'FLOAT[]' THEN 'array<float>' WHEN column_type LIKE 'TIMESTAMP%' THEN 'timestamp_ntz' ELSE lower(column_type) END"
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name, {_TYPE} AS type_name, (row_number() OVER ())::INTEGER AS ordinal FROM (DESCRIBE {t})" for t in _ALL_TABLES))
 def catalog_columns(spark, d):
-    return catalog.catalog(spark, {t: table(spark, d, t) for t in ("nation", "region")}).select("table_name", "column_name", "ordinal")
+    return catalog.catalog(spark, {t: table(spark, d, t) for t in _ALL_TABLES}).select("table_name", "column_name", "type_name", "ordinal")
 
 
 _UPDATES = Rows(state.PROGRESS, [(2, 900, 400, 400), (5, 100, 10, 40)])
