@@ -1,15 +1,17 @@
 """URL filters as a temporal list join.
 
-Dated list entries (added or removed on a day) become validity intervals. Each distinct host of the captures is matched
-with the entries of its own name and of every parent domain once, which gives one row a host with its intervals; captures
-then join that row by host and keep the intervals that hold at their fetch time: an as-of join. A host with a third of
-all captures is one row on the list side, which is repeated for each of SALTS shares of captures, so its captures are dealt
-over that many tasks.
-
-Nulls: a null, empty or unparsable url has the host '' and no entries; a null fetch time matches no entry. An entry that
-is added twice stays one interval; a removal without an addition before it does nothing. Of entries dated at one instant
-the removal comes first. Repeated captures are returned as often as they come; other columns stay as they are, but those
-with the names of results (host, entries, n_active, blocked) are replaced.
+Dated list entries (added or removed on a day) become validity intervals. Three equi-joins bring captures and intervals
+together: each distinct host meets those of its own name and its parent domains that have entries; a capture of such a
+host is cut to the path prefix lengths that occur under that name; and (name, prefix) meets the interval list of exactly
+that entry, of which those that hold at the fetch time count: an as-of join. So a capture never scans the other entries of
+its host, and captures of hosts without entries are in none of the later joins. Names and entries that very many
+captures share are looked up in a broadcast table of such keys alone, whose size is bounded (see common.joined).
+
+Nulls: a null, empty or unparsable url has the host '' and no entries; a null fetch time matches no entry. A dot behind a
+host is dropped. An entry that is added twice stays one interval; a removal without an addition before it does nothing. Of
+entries dated at one instant the removal comes first. Repeated captures are returned as often as they come; urls of any
+length are read whole; other columns stay as they are, whatever their names, but those with the names of results (host,
+entries, n_active, blocked) are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from tideway.llm import common
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
-SALTS = 32
 #: The dated list of the query: (list, host, path prefix, action, time).
 ENTRIES = (
     ("spam", "spam-farm.example.org", "", "add", "2024-01-10 00:00:00"),
@@ -50,20 +51,27 @@ def intervals(entries: DataFrame) -> DataFrame:
 def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures(url, fetched_at, ...) with host, entries (active ones, 'list:host/prefix' sorted, comma-joined), n_active and blocked."""
     address = F.coalesce(F.col("url").cast("string"), F.lit(""))
-    kept = [c for c in captures.columns if c not in ("host", "entries", "n_active", "blocked")]
-    rows = captures.select(*kept).withColumns({"host": F.lower(F.regexp_extract(address, HOST, 1)), "_path": F.regexp_extract(address, PATH, 1)})
-    hosts = rows.select("host").distinct()
+    kept = [F.col(f"`{c}`") for c in captures.columns if c not in ("host", "entries", "n_active", "blocked")]
+    host = F.regexp_replace(F.lower(F.regexp_extract(address, HOST, 1)), r"\.$", "")
+    rows = captures.select(F.struct(*kept).alias("row"), host.alias("host"), F.regexp_extract(address, PATH, 1).alias("path"), F.col("fetched_at").alias("at"), F.monotonically_increasing_id().alias("id"))
+    rows = common.written(rows, "captures")
+    # one row an entry: its intervals; one row a name: the lengths of its entries' prefixes
+    valid = intervals(entries).groupBy("host", "prefix").agg(F.collect_list(F.struct("list", "since", "until")).alias("of"))
+    valid = common.checkpointed(valid.select(F.struct(F.col("host").alias("name"), "prefix").alias("entry"), "of"))
+    lengths = valid.groupBy(F.col("entry.name").alias("name")).agg(F.sort_array(F.collect_set(F.length("entry.prefix"))).alias("lengths"))
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    named = intervals(entries).groupBy("host").agg(F.collect_list(F.struct("list", "host", "prefix", "since", "until")).alias("of"))
-    matched = hosts.select("host", F.explode(parents).alias("name")).join(named.withColumnRenamed("host", "name"), "name")
-    per_host = matched.groupBy("host").agg(F.flatten(F.collect_list("of")).alias("_of"))
-    active = F.filter("_of", lambda e: (e["since"] <= F.col("fetched_at")) & (e["until"].isNull() | (F.col("fetched_at") < e["until"])) & F.startswith(F.col("_path"), e["prefix"]))
-    names = F.array_sort(F.array_distinct(F.transform(active, lambda e: F.concat(e["list"], F.lit(":"), e["host"], e["prefix"]))))
-    salted = per_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("url", "fetched_at"), F.lit(SALTS)).cast("int"))
-    out = dealt.join(salted, ["host", "_salt"], "left").withColumn("_names", F.coalesce(names, F.array().cast("array<string>")))
-    return out.select(*kept, "host", F.array_join("_names", ",").alias("entries"), F.size("_names").cast("long").alias("n_active"), (F.size("_names") > 0).alias("blocked"))
+    hosts = rows.select("host").distinct()
+    named = hosts.select("host", F.explode(parents).alias("name")).join(lengths, "name").groupBy("host").agg(F.collect_list(F.struct("name", "lengths")).alias("names"))
+    met = common.joined(rows.select("id", "host", "path", "at"), named, "host").select("id", "path", "at", F.explode("names").alias("n"))
+    met = met.select("id", "at", "path", "n.name", F.explode("n.lengths").alias("size")).where(F.length("path") >= F.col("size"))
+    met = common.written(met.select("id", "at", F.struct("name", F.expr("substring(path, 1, size)").alias("prefix")).alias("entry")), "captured-entries")
+    active = F.filter("of", lambda e: (e["since"] <= F.col("at")) & (e["until"].isNull() | (F.col("at") < e["until"])))
+    hit = common.joined(met, valid, "entry").select("id", "entry", F.explode(active).alias("e"))
+    name = F.concat("e.list", F.lit(":"), "entry.name", "entry.prefix")
+    found = hit.groupBy("id").agg(F.array_sort(F.collect_set(name)).alias("names"))
+    out = rows.join(found, "id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    return out.select("row.*", "host", F.array_join("names", ",").alias("entries"), F.size("names").cast("long").alias("n_active"), (F.size("names") > 0).alias("blocked"))
 
 
 def entries_table(spark: SparkSession) -> DataFrame:
@@ -84,7 +92,7 @@ k AS (SELECT * FROM c WHERE action <> coalesce(before, 'remove')),
 v AS (SELECT list, host, prefix, action, moment AS since, lead(moment) OVER (PARTITION BY list, host, prefix ORDER BY moment) AS until FROM k),
 i AS (SELECT * FROM v WHERE action = 'add'),
 p AS (SELECT row_number() OVER () AS r, page_id, url, TIMESTAMP '2024-01-01 06:00:00' + to_days((page_id % 366)::INT) AS fetched_at,
-  lower(regexp_extract(coalesce(url, ''), '{HOST}', 1)) AS host, regexp_extract(coalesce(url, ''), '{PATH}', 1) AS path FROM pages),
+  regexp_replace(lower(regexp_extract(coalesce(url, ''), '{HOST}', 1)), '\\.$', '') AS host, regexp_extract(coalesce(url, ''), '{PATH}', 1) AS path FROM pages),
 m AS (SELECT p.r, string_agg(DISTINCT i.list || ':' || i.host || i.prefix, ',' ORDER BY i.list || ':' || i.host || i.prefix) AS entries,
   count(DISTINCT i.list || ':' || i.host || i.prefix) AS n FROM p JOIN i ON (p.host = i.host OR ends_with(p.host, '.' || i.host))
   AND starts_with(p.path, i.prefix) AND i.since <= p.fetched_at AND (i.until IS NULL OR p.fetched_at < i.until) GROUP BY p.r)
