@@ -6,7 +6,8 @@ joins in a table of known licences and notices, canonicalised in the same way. A
 the same length, so lines of other lengths are dropped before they are hashed; that loses nothing.
 
 Nulls: a null or empty text has no canonical form, hence no licence; a null doc_id is kept. Repeated rows are returned as
-often as they come. Other columns aren't read.
+often as they come. Texts of any length are canonicalised whole, and lines of equal digest under several licences go to
+the alphabetically first. Other columns aren't read, whatever their names. `from_folder` reads further known texts.
 """
 
 from __future__ import annotations
@@ -24,20 +25,101 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+WARRANTY_BSD = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>"""
+WARRANTY_MIT = MIT[MIT.index("THE SOFTWARE IS") :]
+MIT0 = MIT[: MIT.index(", subject to")] + ".\n" + WARRANTY_MIT
+ZERO_BSD = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n" + ISC[ISC.index("THE SOFTWARE IS") :]
+BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+POSTGRES = """Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.
+IN NO EVENT SHALL THE UNIVERSITY OF CALIFORNIA BE LIABLE TO ANY PARTY FOR DIRECT, INDIRECT, SPECIAL, INCIDENTAL, OR CONSEQUENTIAL DAMAGES, INCLUDING LOST PROFITS, ARISING OUT OF THE USE OF THIS SOFTWARE AND ITS DOCUMENTATION, EVEN IF THE UNIVERSITY OF CALIFORNIA HAS BEEN ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+THE UNIVERSITY OF CALIFORNIA SPECIFICALLY DISCLAIMS ANY WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE. THE SOFTWARE PROVIDED HEREUNDER IS ON AN "AS IS" BASIS, AND THE UNIVERSITY OF CALIFORNIA HAS NO OBLIGATIONS TO PROVIDE MAINTENANCE, SUPPORT, UPDATES, ENHANCEMENTS, OR MODIFICATIONS."""
+WTFPL = """Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.
+DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
+0. You just DO WHAT THE FUCK YOU WANT TO."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def _gnu(name: str, version: str, lesser: bool, program: str, end: str) -> str:
+    """The notice of a GNU licence for files under this version or a later one."""
+    kind = f"GNU {name} General Public License"
+    return (
+        f"{program} is free software{';' if lesser or version == '2' else ':'} you can redistribute it and/or modify it under the terms of the {kind} as published by the Free Software Foundation"
+        f"{';' if version in ('2', '2.1') else ','} either version {version} of the License, or (at your option) any later version.\n"
+        f"{program} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {kind} for more details.\n{end.format(kind)}"
+    ).replace("GNU  General", "GNU General")
+
+
+_SEE = "You should have received a copy of the {} along with this program. If not, see <https://www.gnu.org/licenses/>."
+GPL2 = _gnu("", "2", False, "This program", "You should have received a copy of the {} along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.")
+GPL3 = _gnu("", "3", False, "This program", _SEE)
+AGPL3 = _gnu("Affero", "3", False, "This program", _SEE)
+LGPL21 = _gnu("Lesser", "2.1", True, "This library", "You should have received a copy of the {} along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA")
+LGPL3 = _gnu("Lesser", "3", False, "This program", _SEE)
+#: Licences of SPDX lines and their kinds.
+SPDX = {
+    "permissive": "0BSD Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC0-1.0 ISC MIT MIT-0 PostgreSQL Unlicense WTFPL Zlib",
+    "copyleft": "AGPL-3.0-only AGPL-3.0-or-later CC-BY-SA-4.0 EPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MPL-2.0",
+    "non-commercial": "CC-BY-NC-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0",
+}
 #: Fixed values: (licence, kind, text).
 KNOWN = (
     ("MIT", "permissive", MIT),
     ("MIT", "permissive", "The MIT License\n" + MIT),
+    ("MIT", "permissive", "The MIT License (MIT)\n" + MIT),
     ("MIT", "permissive", "MIT License\n" + MIT),
     ("MIT", "permissive", "Released under the MIT License."),
     ("MIT", "permissive", "Licensed under the MIT License."),
+    ("MIT-0", "permissive", MIT0),
+    ("MIT-0", "permissive", "MIT No Attribution\n" + MIT0),
     ("ISC", "permissive", ISC),
     ("ISC", "permissive", "ISC License\n" + ISC),
+    ("0BSD", "permissive", ZERO_BSD),
+    ("0BSD", "permissive", "BSD Zero Clause License\n" + ZERO_BSD),
+    ("BSD-2-Clause", "permissive", BSD2 + WARRANTY_BSD),
+    ("BSD-2-Clause", "permissive", "BSD 2-Clause License\n" + BSD2 + WARRANTY_BSD),
+    ("BSD-3-Clause", "permissive", BSD3 + WARRANTY_BSD),
+    ("BSD-3-Clause", "permissive", "BSD 3-Clause License\n" + BSD3 + WARRANTY_BSD),
+    ("Zlib", "permissive", ZLIB),
+    ("Zlib", "permissive", "zlib License\n" + ZLIB),
+    ("BSL-1.0", "permissive", BOOST),
+    ("BSL-1.0", "permissive", "Boost Software License - Version 1.0 - August 17th, 2003\n" + BOOST),
+    ("BSL-1.0", "permissive", "Distributed under the Boost Software License, Version 1.0."),
+    ("Unlicense", "permissive", UNLICENSE),
+    ("PostgreSQL", "permissive", POSTGRES),
+    ("PostgreSQL", "permissive", "PostgreSQL License\n" + POSTGRES),
+    ("WTFPL", "permissive", WTFPL),
+    ("WTFPL", "permissive", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004\n" + WTFPL),
     ("Apache-2.0", "permissive", APACHE),
     ("Apache-2.0", "permissive", "Licensed under the Apache License, Version 2.0."),
+    ("GPL-2.0-or-later", "copyleft", GPL2),
+    ("GPL-3.0-or-later", "copyleft", GPL3),
     ("GPL-3.0", "copyleft", "This work is licensed under the GNU General Public License, version 3."),
+    ("LGPL-2.1-or-later", "copyleft", LGPL21),
+    ("LGPL-3.0-or-later", "copyleft", LGPL3),
+    ("AGPL-3.0-or-later", "copyleft", AGPL3),
+    ("MPL-2.0", "copyleft", MPL),
     ("CC-BY-NC-4.0", "non-commercial", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "permissive", "Licensed under CC BY 4.0."),
+    *((name, kind, f"SPDX-License-Identifier: {name}") for kind, names in SPDX.items() for name in names.split()),
 )
 #: Fixed values: (pattern, replacement), applied in this order to small letters; the same in Java and RE2.
 STEPS = (
@@ -88,7 +170,10 @@ def scan(docs: DataFrame, licences: DataFrame) -> DataFrame:
     rows = common.written(rows.select("doc_id", "_row", F.when(F.col("_c") != "", F.sha2("_c", 256)).alias("digest"), "_lines"), "licence-digests")
     noted = rows.select("_row", F.explode("_lines").alias("digest")).join(known.select("digest", "licence"), "digest")
     noted = noted.groupBy("_row", "licence").count().groupBy("_row").agg(F.array_join(F.array_sort(F.collect_list("licence")), ",").alias("notices"), F.sum("count").alias("n_notice_lines"))
-    found = rows.drop("_lines").join(known.drop("size"), "digest", "left").join(noted, "_row", "left")
+    # a null digest equals none: its rows get keys of their own, so that they don't meet in one task
+    own = F.coalesce("digest", F.col("_row").cast("string"))
+    named = known.select(F.col("digest").alias("_key"), "licence", "kind")
+    found = rows.drop("_lines").withColumn("_key", own).join(named, "_key", "left").join(noted, "_row", "left")
     return found.select("doc_id", "digest", "licence", "kind", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notice_lines", F.lit(0)).cast("long").alias("n_notice_lines"))
 
 
@@ -96,6 +181,12 @@ def known_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(KNOWN), "licence string, kind string, text string")
 
 
+def from_folder(spark: SparkSession, path: str, kind: str = "unknown") -> DataFrame:
+    """Known texts from a folder of text files that are named by their licences; union them with known_table() for scan()."""
+    found = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    return found.select(F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.(txt|md)$", "").alias("licence"), F.lit(kind).alias("kind"), F.col("value").alias("text"))
+
+
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(common.table(spark, sf_dir, "documents"), known_table(spark))
 
