@@ -7,7 +7,9 @@ findings: `labelled_findings` draws a bounded, seeded sample (`n`, by default 3,
 findings can be given instead. Growing is deterministic, so every task and run scores alike.
 
 Nulls: a null or empty text has no findings; a null doc_id is reported as such. Repeated rows are scanned each for
-itself. Other columns stay as they are. Redaction replaces each secret and keeps its document.
+itself. Texts and candidates of any length are read whole. Of overlapping secrets one span is made with the higher score; of
+overlapping false candidates the shorter one stays, of equal ones the first. Other columns stay as they are, whatever
+their names. Redaction replaces each secret and keeps its document.
 """
 
 from __future__ import annotations
@@ -99,7 +101,7 @@ def features(text: str, start: int, end: int) -> list[float]:
     last = near[-1] if near else ""
     signs = s.count("/") + s.count("\\") + (before[-1:] in ("/", "\\", ".", "@")) * 2 + (after[:1] in ("/", "\\", "@"))
     return [
-        float(min(n, 200)), entropy, digits, upper, lower, float(all(c in "0123456789abcdefABCDEF-" for c in counts)), switches, transitions, covered,
+        math.log2(n), entropy, digits, upper, lower, float(all(c in "0123456789abcdefABCDEF-" for c in counts)), switches, transitions, covered,
         sum(counts.get(c, 0) + counts.get(c.upper(), 0) for c in _VOWELS) / n, float(longest), len(counts) / min(n, 64), float(signs), float(s.startswith(PREFIXES)),
         float(any(f in w for w in near for f in FOR)), float(any(w in AGAINST or last.startswith(w) for w in near)) + any(a in low for a in ("example", "placeholder", "your", "dummy", "changeme")),
         float(before[-1:] in ("'", '"', "`")), float(bool(re.search(r"""[=:]\s*["'`]?$""", before))),
@@ -142,7 +144,7 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, int, int,
                 elif kind == 1:
                     body = case(word())
                 elif kind == 2:  # places where the value stands
-                    body = r.choice(("${%s}", "$%s", "{{ %s }}", "os.environ[%s]", "get_%s()", "config.%s", "self.%s", "%s(),", "args.%s")) % r.choice((*names, word()))
+                    body = r.choice(("${%s}", "$%s", "{{ %s }}", "os.environ[%s]", "get_%s()", "config.%s", "self.%s", "%s(),", "args.%s", "self.%s()", "lib.%s()")) % r.choice((*names, word()))
                     quote = '"' if " " in body else ""
                     lead, tail = f"{prose(4)} {case(r.choice(names))}{sign}{quote}", quote + " " + prose(3)
                 elif kind == 3:
@@ -156,18 +158,24 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, int, int,
         if secret:
             kind = r.random()
             body = r.choice(PREFIXES[1:]) + draw(r.randint(16, 40), alphabets[3]) if kind < 0.2 else draw(r.choice((20, 24, 32, 40, 40, 64, r.randint(18, 80))), r.choice(alphabets))
-            if kind > 0.95:
+            if kind > 0.9:
                 lines = [draw(64, alphabets[4]) for _ in range(r.choice((2, 3, 12, 25, 50, 80)))]
                 title = r.choice(("RSA ", "", "EC ", "OPENSSH "))
                 body = f"-----BEGIN {title}PRIVATE KEY-----\n" + "\n".join(lines) + r.choice((f"\n-----END {title}PRIVATE KEY-----", ""))
             name, sign, quote = case(r.choice(FOR)), r.choice((" = ", "=", ": ", ":", " := ", " ")), r.choice(('"', "'", ""))
             lead = f"{prose(4)} {name}{sign}{quote}" if kind > 0.2 or r.random() < 0.6 else f"{prose(4)} "
+            if kind > 0.9 and r.random() < 0.5:  # key blocks mostly stand alone
+                lead, quote = r.choice(("", f"{prose(4)}\n")), ""
         else:
             kind = r.randint(0, 8)
             quote = ""
             lead = prose(4) + " "
             if kind == 0:  # checksums and revisions
                 body, lead = draw(r.choice((32, 40, 64)), alphabets[r.randint(0, 1)]), f"{prose(3)} {case(r.choice(AGAINST[:14]))}{r.choice((' ', ': ', '=', ' = '))}"
+                if r.random() < 0.3:  # in base64
+                    size = r.choice((43, 64, 86))
+                    body = r.choice(("sha256-", "sha384-", "sha512-", "")) + draw(size, alphabets[4]) + "=" * (-size % 4)
+                    lead += r.choice(("", '"', '": "'))
             elif kind == 1:  # numbers
                 body = draw(r.randint(16, 24), "0123456789")
             elif kind == 2:  # unique identifiers
@@ -311,24 +319,27 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5)
     return few.mapInArrow(_scan(forest or trained(), threshold), "doc_id long, start long, length long, score double, secret boolean")
 
 
-def _redact(forest: Forest, threshold: float, at: int, mark: str):
+def _redact(forest: Forest, threshold: float, mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
+            texts = batch.column(1).to_pylist()
             for i, found in enumerate(_score_batch(texts, forest, threshold)):
                 for a, b, s in reversed(found):
                     if s >= threshold:
                         texts[i] = texts[i][:a] + mark + texts[i][b:]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
     return run
 
 
 def redacted(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret in text replaced by mark, and n_chars, if there, counted anew; all rows and columns stay."""
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
-    out = docs.mapInArrow(_redact(forest or trained(), threshold, docs.columns.index("text"), mark), schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    """docs with every secret in text replaced by mark, and n_chars, if there, counted anew; all rows and columns stay, whatever their names."""
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    few = docs.select(F.struct(F.lit(True).alias("__row"), *(F.col(f"`{c}`") for c in others)).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([T.StructField("row", few.schema["row"].dataType), T.StructField("text", T.StringType())])
+    out = few.mapInArrow(_redact(forest or trained(), threshold, mark), schema)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
