@@ -6,12 +6,12 @@ in the shared folder and can serve any benchmark. A window of benchmark words is
 block: that term's positions less its place in the window are the candidate starts, and the other terms' lists, rarer
 ones first, are intersected after the same shift. Positions leave a gap between documents, so no match crosses them.
 
-The benchmark is read in parts of at most `part_words` words; the blocks are matched against one part after another, so
-its size isn't bounded by memory.
+The benchmark is read in parts of about `part_words` words, an item of more by itself; the stored blocks are matched
+against one part after another, each broadcast and freed in turn, so the benchmark may be larger than memory.
 
 Nulls: a null text has no words; a document with a null doc_id is reported as such; an item with a null id counts for
-hits but isn't listed. Repeated items count once by their id. Other columns aren't read. Empty tables give no rows, or no
-hits.
+hits but isn't listed. Repeated items count once by their id. A text beyond BLOCK_BYTES is a block of its own. Other
+columns aren't read, whatever their names. Empty tables give no rows, or no hits.
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ WINDOW = 10
 #: Bytes that belong to words stay (capital letters as small ones), others become spaces.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 BLOCK_BYTES = 4_000_000
-INDEX = "block string, doc_ids array<bigint>, n_words array<bigint>, terms array<string>, counts array<int>, postings array<int>"
+#: Words of the benchmark that tasks hold at a time.
+PART_WORDS = 1_000_000
+INDEX = "block string, doc_ids array<{id}>, n_words array<bigint>, terms array<string>, counts array<int>, postings array<int>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -64,13 +66,16 @@ class Block:
         return self.postings[self.starts[term] : self.starts[term] + self.counts[term]]
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for k, (ids, texts) in enumerate(_cut(batches)):
-        b = Block.of(texts)
-        gaps = np.diff(b.postings, prepend=np.int32(0)).astype(np.int32)  # small within a term's list
-        row = [[f"{TaskContext.get().partitionId()}-{k}"], [ids], [b.n_words], [[t.decode("utf-8", "surrogatepass") for t in b.terms]], [b.counts.astype(np.int32)], [gaps]]
-        kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        yield pa.record_batch([pa.array(v, t) for v, t in zip(row, kinds)], names=["block", "doc_ids", "n_words", "terms", "counts", "postings"])
+def _index(id_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, (ids, texts) in enumerate(_cut(batches)):
+            b = Block.of(texts)
+            gaps = np.diff(b.postings, prepend=np.int32(0)).astype(np.int32)  # small within a term's list
+            row = [[f"{TaskContext.get().partitionId()}-{k}"], [ids], [b.n_words], [[t.decode("utf-8", "surrogatepass") for t in b.terms]], [b.counts.astype(np.int32)], [gaps]]
+            kinds = (pa.string(), pa.list_(id_type), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.record_batch([pa.array(v, t) for v, t in zip(row, kinds)], names=["block", "doc_ids", "n_words", "terms", "counts", "postings"])
+
+    return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -89,9 +94,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
         yield ids, texts
 
 
-def build_index(docs: DataFrame) -> DataFrame:
-    """The index of docs(doc_id, text), one row a block. Write it before it is matched in several parts, as a block's name holds its task's number."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_index, INDEX)
+def build_index(docs: DataFrame, id_type: str = "bigint") -> DataFrame:
+    """The index of docs(doc_id, text), one row a block; doc_id may be a string instead. Write it before it is matched, as a block's name holds its task's number."""
+    few = docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return few.mapInArrow(_index(pa.string() if id_type == "string" else pa.int64()), INDEX.format(id=id_type))
 
 
 class Phrases:
@@ -168,7 +174,7 @@ class Phrases:
                         left += 1
 
 
-def phrases_in_parts(benchmark: DataFrame, size: int = WINDOW, part_words: int = 1_000_000) -> Iterator[Phrases]:
+def phrases_in_parts(benchmark: DataFrame, size: int = WINDOW, part_words: int = PART_WORDS) -> Iterator[Phrases]:
     """The benchmark's windows in parts; at least one, perhaps empty."""
     held, n, any_part = [], 0, False
     for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
@@ -223,15 +229,31 @@ def _matched(shared):
     return run
 
 
-def matches(index: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+def _in_parts(index: DataFrame, benchmark: DataFrame, size: int, run, schema: str, part_words: int = PART_WORDS) -> tuple[DataFrame, bool]:
+    """What run(broadcast phrases) gives for each part of the benchmark, and whether there were several. Parts come one after another: a part's rows are written and its broadcast is freed before the next one is read."""
+    parts, out = phrases_in_parts(benchmark, size, part_words), None
+    phrases = next(parts)
+    while True:
+        after = next(parts, None)
+        shared = index.sparkSession.sparkContext.broadcast(phrases)
+        found = index.mapInArrow(run(shared), schema)
+        if after is None and out is None:
+            return found, False
+        found = common.written(found, "benchmark-part")
+        shared.destroy()
+        out = found if out is None else out.union(found)
+        if after is None:
+            return out, True
+        phrases = after
+
+
+def matches(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
     """(block, at, doc_id, n_words, items, firsts, ends): a row for each document; items as sorted ids, hit words as runs [first, end)."""
-    schema = "block string, at int, doc_id bigint, n_words bigint, items array<bigint>, firsts array<bigint>, ends array<bigint>"
-    parts = [index.mapInArrow(_matched(index.sparkSession.sparkContext.broadcast(p)), schema) for p in phrases_in_parts(benchmark, size)]
-    if len(parts) == 1:
-        return parts[0]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.union(p)
+    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
+    schema = f"block string, at int, doc_id {kind}, n_words bigint, items array<bigint>, firsts array<bigint>, ends array<bigint>"
+    whole, several = _in_parts(index, benchmark, size, _matched, schema, part_words)
+    if not several:
+        return whole
     flat = lambda c: F.flatten(F.collect_list(c))
     merged = whole.groupBy("block", "at").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(flat("items"))).alias("items"), flat("firsts").alias("f"), flat("ends").alias("e"))
     joined = F.expr("""aggregate(array_sort(arrays_zip(f, e)), array(), (s, x) ->
@@ -253,11 +275,7 @@ def _near(shared, slop: int):
 
 def proximity_matches(index: DataFrame, benchmark: DataFrame, slop: int = 5, size: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, first, last): shortest spans of at most size + slop words of a document that hold all words of a window of the item, in any order."""
-    out = None
-    for p in phrases_in_parts(benchmark, size):
-        found = index.mapInArrow(_near(index.sparkSession.sparkContext.broadcast(p), slop), "doc_id bigint, item_id bigint, first bigint, last bigint")
-        out = found if out is None else out.union(found)
-    return out.distinct()
+    return _in_parts(index, benchmark, size, lambda shared: _near(shared, slop), "doc_id bigint, item_id bigint, first bigint, last bigint")[0].distinct()
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,24 +303,11 @@ FROM d LEFT JOIN hit ON hit.r = d.r LEFT JOIN items ON items.r = d.r
 """
 
 
-def _clean(shared, at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, start, size = batch.column(at), 0, 0
-            for i in range(batch.num_rows):
-                size += len(texts[i].as_py() or "")
-                if size > BLOCK_BYTES or i == batch.num_rows - 1:
-                    part = batch.slice(start, i + 1 - start)
-                    block = Block.of(part.column(at).to_pylist())
-                    yield part.filter(pa.array([not found[1] for found in judge(block, shared.value)], pa.bool_()))
-                    start, size = i + 1, 0
-
-    return run
-
-
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without a hit, with their own columns. Blocks are made and matched in the same task, so texts aren't shuffled."""
-    at = docs.columns.index("text")
-    for p in phrases_in_parts(common.table(spark, sf_dir, "benchmark")):
-        docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(p), at), docs.schema)
-    return docs
+    """The documents without a hit, with their own columns, whatever their names. Rows of one text share its verdict, so the index names documents by their text's digest."""
+    index = common.written(build_index(docs.select(F.md5("text").alias("doc_id"), "text"), "string"), "positions")
+    hit = matches(index, common.table(spark, sf_dir, "benchmark")).where(F.size("firsts") > 0)
+    bad = common.checkpointed(hit.select(F.col("doc_id").alias("digest")).where("digest is not null").distinct())
+    common.release(index)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return docs.select(row, F.md5("text").alias("digest")).join(bad, "digest", "left_anti").select("row.*")
