@@ -9,7 +9,7 @@ neighbours compared (equal windows have equal hashes, so none is missed), and on
 windows themselves, so the counts are exact.
 
 Nulls: a null text counts as an empty one, which fails too_few_words; other columns aren't read. Repeated rows are
-judged each for itself.
+judged each for itself. Long texts are measured whole, in arrays of their words; a text's arrays must fit in a task.
 """
 
 from __future__ import annotations
@@ -57,27 +57,32 @@ POLICIES = (Policy("base", BASE), Policy("v1", 0b1111111), Policy("v1-lenient",
 CURRENT = POLICIES[3]
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long); columns of these names are replaced."""
-    kept = [c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")]
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    df = docs.select(*kept, whole.alias("_text"))
-    words = F.array_remove(F.split("_text", f"[{SPACE}]+"), "")
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-    symbols = F.size(F.regexp_extract_all("_text", F.lit("[#*$%&|<>]"), F.lit(0)))
-    df = df.select(*kept, words.alias("_words"), lines.alias("_lines"), symbols.cast("long").alias("n_symbols"))
-    hashes = F.expr(f"if(size(_words) > {WINDOW}, sort_array(transform(sequence(0, size(_words) - {WINDOW}), i -> xxhash64({', '.join(f'get(_words, i + {k})' for k in range(WINDOW))}))), array())")
-    df = df.select(*kept, "_words", "n_symbols", F.length(F.array_join("_words", "")).cast("long").alias("word_chars"), F.size("_words").cast("long").alias("n_words"), F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), hashes.alias("_hashes"))
-    suspect = "size(_hashes) > size(array_distinct(_hashes))"
-    df = df.withColumn("_suspect", F.expr(suspect)).drop("_hashes")
+    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long); columns of these names are replaced, all others stay, whatever their names."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in MEASURES), F.lit(True).alias("__row")).alias("row")
+    df = docs.select(row, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
+    words = F.array_remove(F.split("t", f"[{SPACE}]+"), "")
+    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
+    symbols = F.size(F.regexp_extract_all("t", F.lit("[#*$%&|<>]"), F.lit(0)))
+    df = df.select("row", words.alias("words"), lines.alias("lines"), symbols.cast("long").alias("n_symbols"))
+    window = lambda f, before="": f"{f}({before}{', '.join(f'get(words, i + {k})' for k in range(WINDOW))})"
+    hashes = F.expr(f"if(size(words) > {WINDOW}, sort_array(transform(sequence(0, size(words) - {WINDOW}), i -> {window('xxhash64')})), array())")
+    df = df.select("row", "words", "n_symbols", F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.size("words").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), hashes.alias("hashes"))
+    suspect = "size(hashes) > size(array_distinct(hashes))"
+    df = df.withColumn("suspect", F.expr(suspect)).drop("hashes")
     # (window, start) in order; a start counts if a neighbour has the same window
-    windows = f"if(_suspect, sort_array(transform(sequence(0, size(_words) - {WINDOW}), i -> struct(concat_ws(' ', {', '.join(f'get(_words, i + {k})' for k in range(WINDOW))}) as w, i as i))), array())"
-    df = df.withColumn("_windows", F.expr(windows))
-    twice = "sort_array(transform(filter(_windows, (x, j) -> (j > 0 and get(_windows, j - 1).w = x.w) or (j < size(_windows) - 1 and get(_windows, j + 1).w = x.w)), x -> x.i))"
-    df = df.withColumn("_starts", F.expr(twice)).drop("_windows")
-    covered = f"aggregate(_starts, named_struct('n', 0L, 'end', 0), (s, i) -> named_struct('n', s.n + (i + {WINDOW} - greatest(i, s.end)), 'end', i + {WINDOW}), s -> s.n)"
+    joined = window("concat_ws", "' ', ")
+    windows = f"if(suspect, sort_array(transform(sequence(0, size(words) - {WINDOW}), i -> struct({joined} as w, i as i))), array())"
+    df = df.withColumn("windows", F.expr(windows))
+    twice = "sort_array(transform(filter(windows, (x, j) -> (j > 0 and get(windows, j - 1).w = x.w) or (j < size(windows) - 1 and get(windows, j + 1).w = x.w)), x -> x.i))"
+    df = df.withColumn("starts", F.expr(twice)).drop("windows")
+    covered = f"aggregate(starts, named_struct('n', 0L, 'end', 0), (s, i) -> named_struct('n', s.n + (i + {WINDOW} - greatest(i, s.end)), 'end', i + {WINDOW}), s -> s.n)"
     # the generator keeps later filters from being pushed below with copies of these expressions
-    return df.withColumn("n_repeat_words", F.expr(covered)).select(*kept, F.inline(F.array(F.struct("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"))))
+    measured = df.withColumn("n_repeat_words", F.expr(covered)).select("row", F.inline(F.array(F.struct(*MEASURES))))
+    return measured.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in MEASURES), *MEASURES)
 
 
 def ledger(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -133,7 +138,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 
 def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the current policy keeps, with their own columns."""
-    row = F.struct(*docs.columns).alias("row")
+    """The documents that the current policy keeps, with their own columns, whatever their names."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     judged = apply_policy(ledger(measure(docs.select(row, F.col("text").alias("text")))))
     return judged.where("kept").select("row.*")
