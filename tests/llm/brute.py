@@ -76,3 +76,59 @@ def repeats(docs):
             kept, at = kept + b[at:x], y
         out.append((d, len(b), sum(y - x for x, y in runs), len(runs), hashlib.sha256(kept + b[at:]).hexdigest()))
     return out
+
+
+def groups(rows):
+    """The smallest row number reachable from each of rows (texts): 3 fingerprint bits, or five-word shingle sets of Jaccard 0.8 or more."""
+    sets = []
+    for t in rows:
+        w = lowered(t).split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    prints = [fingerprint(t) for t in rows]
+    root = list(range(len(rows)))
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        alike = bool(sets[a]) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+        if alike or (prints[a] ^ prints[b]).bit_count() <= 3:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return [find(n) for n in range(len(rows))]
+
+
+def quality(text):
+    """(n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words)"""
+    t = text or ""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    seen = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    hit = {i + k for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for k in range(5)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines), len(lines) - len(set(lines)), len(hit)
+
+
+def accepted(text):
+    n, chars, symbols, lines, dup, repeat = quality(text)
+    return not (n < 10 or 100 * repeat > 20 * n or chars < 2 * n or chars > 20 * n or symbols > n or 2 * dup > lines)
+
+
+def pieces(docs, encode, size):
+    """{(doc_id, piece): (start, length, ids)} of unique doc_ids, each text ended by id 0."""
+    out = {}
+    for d, t in docs:
+        ids = encode(t or "") + [0]
+        for k in range(0, len(ids), size):
+            out[d, k // size] = (k, len(ids[k : k + size]), ids[k : k + size])
+    return out
+
+
+def common_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]

@@ -6,7 +6,7 @@ import pytest
 from compare import connect, differences
 from tokenizers import Tokenizer
 
-from llm import brute
+from llm import brute, findings
 from tideway.llm import arrow_files, common, decontaminate, html, licences, packing, quality, registry, repeats, secrets, simhash, tokens, url_filters
 
 SF = "/root/testdata/sf0.001"
@@ -107,19 +107,28 @@ def test_similar_texts(spark, docs, edges):
     for hot in (2000, 32):
         assert sorted(map(tuple, simhash.near_duplicates(df, shingle=5, hot=hot).select("doc_id", "component_id").collect())) == want
     kept = simhash.keep_representatives(spark, df, SF)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want})
+    # one row of each component, also where components share a doc_id
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
 
 
-def test_decontamination(spark, docs, edges, empty, monkeypatch):
+def test_rows_of_one_doc_id(spark):
+    text = "the quick brown fox jumps over the lazy dog and runs away from here at once"
+    data = [(1, text, "a"), (1, "something that has nothing to do with it at all, as anyone can see", "b"), (None, text, "c"), (None, None, "d"), (2, text, "e"), (1, text, "f"), (3, "", "g")]
+    df = spark.createDataFrame(data, "doc_id long, text string, `a.b` string")
+    kept = simhash.keep_representatives(spark, df, SF)
+    assert kept.columns == df.columns
+    out = sorted((r.doc_id, r.text or "", r["a.b"]) for r in kept.collect())
+    assert [x[:2] for x in out] == [(1, data[1][1]), (1, text), (3, "")] and out[1][2] in "af"
+    assert simhash.keep_representatives(spark, df.limit(0), SF).count() == 0
+
+
+def test_decontamination(spark, docs, edges, empty):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     want = sorted(brute.contamination(docs.collect(), bench.collect()), key=repr)
     assert rows(decontaminate.op2_benchmark_decontamination(spark, SF)) == want
     index = common.written(decontaminate.build_index(docs), "test-index")
     whole = rows(decontaminate.matches(index, bench).select("doc_id", "items", "firsts", "ends"))
-    parts = decontaminate.phrases_in_parts
-    monkeypatch.setattr(decontaminate, "phrases_in_parts", lambda b, size=10: parts(b, size, 100))
-    assert rows(decontaminate.matches(index, bench).select("doc_id", "items", "firsts", "ends")) == whole
-    monkeypatch.undo()
+    assert rows(decontaminate.matches(index, bench, part_words=100).select("doc_id", "items", "firsts", "ends")) == whole
     items = spark.createDataFrame([(9, "C, d! e"), (None, "one two"), (8, None), (8, "")], "item_id long, text string")
     found = {(r.doc_id, tuple(r["items"]), tuple(r.firsts)) for r in decontaminate.matches(common.written(decontaminate.build_index(edges), "e"), items).collect()}
     assert (1, (9,), (2,)) in found and (None, (), (0,)) in found and (3, (), ()) in found
@@ -140,6 +149,14 @@ def test_secrets(spark, edges, empty):
     assert secrets.scan(edges).where("secret").count() == 0 and secrets.scan(empty).count() == 0
 
 
+def test_findings_from_elsewhere(docs):
+    """Held-out findings whose words, names and forms the training sample doesn't share."""
+    forest = secrets.trained()
+    found = findings.findings([d.text or "" for d in docs.collect()], 2000)
+    total, caught, clean, hit = findings.judged(found, lambda t: secrets._score_batch([t], forest)[0])
+    assert total == clean == 1000 and caught >= 0.9 * total and hit <= 0.1 * clean, (caught, hit)
+
+
 def test_key_blocks(spark):
     r = random.Random(8)
     token = "0a9f8b7c6d5e4f30a9f8b7c6d5e4f30123456789"
@@ -171,14 +188,16 @@ def test_short_secrets(spark):
         assert out[i] == (text.replace(secret, "[SECRET]") if secret else text), text
 
 
-def test_tokens_equal_the_library():
-    texts = ["", " a", "a ", "a  b", "a\n\nb  c \n d", "a\tb", "it's I'LL 'S", "中文 ² a1b2", "é é İ", "<|endoftext|> hi", "a\n b", "ΑΣ ΑΣΑ", "　a b", "x\x1cy z"]
+def test_tokens_equal_the_library(docs):
+    texts = ["", " a", "a ", "a  b", "a\n\nb  c \n d", "a\tb", "it's I'LL 'S", "中文 ² a1b2", "é é İ", "<|endoftext|> hi", "a\n b", "ΑΣ ΑΣΑ", "　a b", "x\x1cy z", "a <|endoftext|>b <|startoftext|>\n c", "<|endoftext|>", "\u3000a\xa0b c", "\ta b\n"]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
-        enc = tokens.encoder(tokens.vocabulary(name))
-        plain = Tokenizer.from_file(tokens.vocabulary(name))
-        plain.encode_special_tokens = True
-        for t in texts:
-            assert np.frombuffer(enc.ids(t), enc.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids, t
+        for as_text in (False, True):
+            enc = tokens.Encoder(tokens.vocabulary(name), as_text)
+            plain = Tokenizer.from_file(tokens.vocabulary(name))
+            plain.encode_special_tokens = as_text
+            whole = [d.text for d in docs.collect()]
+            for t, ids in zip(texts + whole, enc.ids_of(texts + whole)):
+                assert np.frombuffer(ids, enc.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
 def test_tokens_of_texts_with_nul():

@@ -23,11 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideway.llm import common
 from tideway.llm.tokens import encoder, groups, vocabulary
 
-CAPACITY, SHARE_ROWS = 2048, 200_000
+CAPACITY, SHARE_ROWS = 2048, 10_000
 
 
 class Placed(NamedTuple):
@@ -176,8 +177,8 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, share_rows: int = SHARE_ROW
     in_share = Window.partitionBy("length", "share").orderBy("row.doc_id", "row.piece", "row.ids_crc32")
     ranked = rows.withColumn("rank", F.row_number().over(in_share).cast("long") - 1).join(before, ["length", "share"])
     ranked = ranked.select("row", "length", (F.col("rank") + F.col("before")).alias("rank"))
-    row = ranked.schema["row"].dataType.simpleString()
-    placed = ranked.mapInArrow(_placed(placements), f"row {row}, length long, sequence_id long, offset long")
+    schema = T.StructType([ranked.schema["row"], *(T.StructField(c, T.LongType()) for c in ("length", "sequence_id", "offset"))])
+    placed = ranked.mapInArrow(_placed(placements), schema)
     return placed.select("row.*", "sequence_id", "offset").union(whole)
 
 

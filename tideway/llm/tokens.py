@@ -21,7 +21,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 #: Chunks kept per worker in each of two generations; the older one goes when the newer is full. It bounds memory only.
-CACHE = 300_000
+CACHE = 200_000
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 _SINGLE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 #: Characters for which the piece pattern below gives the pre-tokenizers' pieces.
