@@ -13,7 +13,8 @@ their links by prefix filtering: it finds candidates that share one of their fir
 
 Nulls: a null text has no words and the fingerprint zero, as has an empty one; rows with a null doc_id get a fingerprint
 and count for links, but can't name a component unless all of its ids are null. Repeated rows are returned as often as
-they come. Other columns of the input are ignored.
+they come, and rows of one doc_id with other texts are told apart. A text of any length is hashed whole, 32,768 shingles
+at a time. Ties don't matter to components, whose name is their smallest id. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideway.llm import common
@@ -52,13 +53,19 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+        prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["doc_id", "key", "fp"])
+
+
+def row_key() -> Column:
+    """A digest of doc_id and text: rows that share it differ in other columns at most."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("text").isNull(), F.lit(":")).otherwise(F.concat(F.lit("=") , F.col("text").cast("string")))))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id long, fp long: the fingerprint's bits as a signed number), a row for each row of docs."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_prints, "doc_id long, fp long")
+    """(doc_id long, key string, fp long: the fingerprint's bits as a signed number), a row for each row of docs."""
+    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
+    return few.mapInArrow(_prints, "doc_id long, key string, fp long")
 
 
 def _edges_of(width: int) -> list[tuple[int, int]]:
@@ -191,10 +198,18 @@ def links(nodes: DataFrame, blocks: int = 5, keep: int = 2, hot: int = 2000, fin
 
 
 def near_duplicates(docs: DataFrame, shingle: int | None = None, least: int = 80, hot: int = 200) -> DataFrame:
-    """(doc_id, fp, component_id): every row of docs with the smallest doc_id that it reaches over links.
+    """(doc_id, fp, component_id, key): every row of docs with the smallest doc_id that it reaches over links; key tells rows of other doc_id or text apart.
 
     Links are fingerprints at 3 bits or less and, if shingle is given, also texts whose sets of word shingles of that length have a Jaccard similarity of least percent or more.
     """
+    prints, named = _components(docs, shingle, least, hot)
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = common.checkpointed(common.joined(named, smallest, "root").select("fp", "component_id"))
+    return common.joined(prints, named, "fp").select("doc_id", "fp", "component_id", "key")
+
+
+def _components(docs: DataFrame, shingle: int | None, least: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """prints(doc_id, key, fp), a row for each row of docs, and named(fp, least, root): the component of each distinct fingerprint."""
     prints = common.written(fingerprints(docs), "fingerprints")
     nodes = common.checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = common.components(links(nodes))
@@ -203,16 +218,27 @@ def near_duplicates(docs: DataFrame, shingle: int | None = None, least: int = 80
         named = common.checkpointed(named)
         wider = common.components(similar(docs, named.select("fp", "root"), shingle, least, hot)).withColumnRenamed("root", "wider")
         named = named.join(wider, named.root == wider.node, "left").select("fp", "least", F.coalesce("wider", "root").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints, common.checkpointed(named)
+
+
+class _Hashes(dict):
+    """XXH64 by word; clearing it forgets nothing but time."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = xxhash.xxh64_intdigest(word, 42)
+        return out
+
+
+_WORDS = _Hashes()
 
 
 def shingles(words: list[bytes], k: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes, as signed numbers, of the k-word shingles; fewer words are one shingle."""
     if not words:
         return np.empty(0, np.int64)
-    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], dtype=np.uint64)
+    hashes = np.array([_WORDS[w] for w in words], dtype=np.uint64)
+    if len(_WORDS) > 50_000:
+        _WORDS.clear()
     n = max(1, len(words) - k + 1)
     out = np.zeros(n, dtype=np.uint64)
     for j in range(min(k, len(words))):
@@ -221,17 +247,24 @@ def shingles(words: list[bytes], k: int) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
-def _texts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple[int, str, np.ndarray]]]:
-    """For every few rows (number of the text, text, shingles) of the texts with words; equal words have equal numbers."""
-    for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
-        out = {}
-        for t in batch.column(0).to_pylist():
-            words = (t or "").encode("utf-8", "surrogatepass").lower().split()
+def _texts(batches: Iterator[pa.RecordBatch], k: int, wanted=None) -> Iterator[list[tuple[int, str, np.ndarray | None]]]:
+    """(number of the text, text, shingles) of the texts with words, for about a megabyte of texts at a time; equal words have equal numbers. Texts whose number isn't wanted are left out; without k there are no shingles."""
+    out: dict[int, tuple] = {}
+    size = 0
+    for batch in batches:
+        for t in batch.column(0):
+            text = t.as_py()
+            words = (text or "").encode("utf-8", "surrogatepass").lower().split()
             if words:
                 node = xxhash.xxh64_intdigest(b" ".join(words), 42)
                 node -= (node >> 63) << 64
-                if node not in out:
-                    out[node] = (node, t, shingles(words, k))
+                if node not in out and (wanted is None or wanted(node)):
+                    out[node] = (node, text, shingles(words, k) if k else None)
+                    size += len(text)
+                if size > 1 << 20:
+                    yield list(out.values())
+                    out, size = {}, 0
+    if out:
         yield list(out.values())
 
 
@@ -243,76 +276,127 @@ def _frequent(k: int):
     return run
 
 
-def prefix(own: np.ndarray, order: np.ndarray, rank: np.ndarray, least: int) -> np.ndarray:
-    """The first shingles of a text in the order by (rank of frequent ones, hash): texts of `least` percent share one of them."""
-    size = len(own) + (-len(own) * least // 100) + 1
+def frequent(texts: DataFrame, k: int, hot: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles in ascending order, their ranks by frequency): those that a sixteenth of the texts shows to be in about `hot` texts or more.
+
+    If they are more than `most`, the most frequent ones of at most that number: 16 bytes each reach the driver and the tasks.
+    """
+    counts = common.written(texts.mapInArrow(_frequent(k), "k long").groupBy("k").count().where(F.col("count") >= max(2, hot // 16)), "frequent")
+    left = most
+    for row in counts.groupBy(F.expr("cast(log2(count) as int)").alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("p")).collect():
+        left -= row.n
+        if left < 0:
+            counts = counts.where(F.col("count") >= 2 ** (row.p + 1))
+            break
+    found = counts.toArrow()
+    order, often = (found.column(i).to_numpy() for i in range(2))
+    by = np.argsort(order)
+    order, rank = order[by], np.empty(len(order), np.int64)
+    rank[np.lexsort((order, often[by]))] = np.arange(len(order))
+    return order, rank
+
+
+def prefix(own: np.ndarray, order: np.ndarray, rank: np.ndarray, least: int) -> tuple[np.ndarray, int]:
+    """The first shingles of a text in the order by (rank of frequent ones, hash), and how many of them aren't frequent: texts of `least` percent share one of them."""
+    size, rare = len(own) + (-len(own) * least // 100) + 1, len(own)
     if len(order):
         at = np.minimum(np.searchsorted(order, own), len(order) - 1)
         often = order[at] == own
+        rare -= int(often.sum())
         own = np.concatenate((own[~often], own[often][np.argsort(rank[at[often]])]))
-    return own[:size]
+    return own[:size], min(rare, size)
 
 
 def _prefixes(k: int, order: np.ndarray, rank: np.ndarray, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in _texts(batches, k):
-            keys = [prefix(s, order, rank, least) for _, _, s in texts]
-            sizes = [len(x) for x in keys]
-            node, n = (np.repeat(np.array(x, np.int64), sizes) for x in ([t[0] for t in texts], [len(t[2]) for t in texts]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.empty(0, np.int64)])), pa.array(node), pa.array(n)], names=["k", "node", "n"])
+            found = [prefix(s, order, rank, least) for _, _, s in texts]
+            sizes = [len(x) for x, _ in found]
+            node, n, rare = (np.repeat(np.array(x, np.int64), sizes) for x in ([t[0] for t in texts], [len(t[2]) for t in texts], [r for _, r in found]))
+            at = np.concatenate([np.arange(x) for x in sizes])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate([x for x, _ in found]), node, n.astype(np.int32), at.astype(np.int32), at >= rare)], names=["k", "node", "n", "at", "often"])
+
+    return run
+
+
+KEYS = "k long, node long, n int, at int"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of whole runs of equal first column: batches come sorted by it; the last run of each waits for the next batch."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(c) for c in batch.columns]
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        if cut or (held and held[-1][0][-1] != cols[0][0]):
+            held.append([c[:cut] for c in cols])
+            yield [np.concatenate(x) for x in zip(*held)]
+            held = []
+        held.append([c[cut:] for c in cols])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _possible(n: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, least: int) -> np.ndarray:
+    """Whether sets x and y, whose first common shingle may be this one, can be similar enough by their sizes and what stands behind it in both."""
+    shared = np.minimum(n[x] - at[x], n[y] - at[y]).astype(np.int64)
+    return (np.minimum(n[x], n[y]).astype(np.int64) * 100 >= np.maximum(n[x], n[y]).astype(np.int64) * least) & (shared * (100 + least) >= least * (n[x].astype(np.int64) + n[y]))
+
+
+def _recurring(least: int):
+    """Rows of shingles that several texts begin with, each beside the run's first text: (k, node, n, at, lead, near), near if that pair is possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, node, n, at, *_ in _runs(batches):
+            fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (node[1:] != node[:-1])))
+            k, node, n, at = (c[fresh] for c in (k, node, n, at))
+            starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            sizes = np.diff(np.append(starts, len(k)))
+            head = np.repeat(starts, sizes)
+            keep = np.flatnonzero(np.repeat(sizes, sizes) > 1)
+            head = head[keep]
+            near = _possible(n, at, head, keep, least) & (head != keep)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k[keep], node[keep], n[keep], at[keep], node[head], near)], names=["k", "node", "n", "at", "lead", "near"])
 
     return run
 
 
-def _candidates(least: int):
-    """Batches come sorted by (k, node); the last run of each waits for the next batch."""
-
-    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        k, node, n = rows
-        fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (node[1:] != node[:-1])))
-        k, node, n = k[fresh], node[fresh], n[fresh]
-        starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        ends = np.append(starts[1:], len(k))
-        two = starts[ends - starts == 2]
-        found = [(two, two + 1)]
-        held = 0
-        for a, b in zip(starts, ends):
-            for i in range(a, b, 1024) if b - a > 2 else ():
-                for j in range(i, b, 1024):
-                    x, y = np.nonzero(np.arange(i, min(b, i + 1024))[:, None] < np.arange(j, min(b, j + 1024))[None])
-                    x, y = x + i, y + j
-                    near = np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * least
-                    found.append((x[near], y[near]))
-                    held += int(near.sum())
-                    if held > 1_000_000:
-                        yield from out(node, n, found)
-                        found, held = [], 0
-        yield from out(node, n, found)
-
-    def out(node: np.ndarray, n: np.ndarray, found: list) -> Iterator[pa.RecordBatch]:
-        if found:
-            x, y = (np.concatenate(c) for c in zip(*found))
-            near = np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * least
-            yield pa.RecordBatch.from_arrays([pa.array(node[x[near]]), pa.array(node[y[near]])], names=["a", "b"])
+def _crossing(least: int):
+    """Possible pairs of a run between other groups, without those of the run's first text; rows come as (k, root, node, n, at, lead)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [np.asarray(batch.column(i)).astype(np.int64, copy=False) for i in range(3)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))
-            if cut or (held and held[-1][0][-1] != cols[0][0]):
-                held.append([c[:cut] for c in cols])
-                yield from pairs([np.concatenate(x) for x in zip(*held)])
-                held = []
-            held.append([c[cut:] for c in cols])
-        if held:
-            yield from pairs([np.concatenate(x) for x in zip(*held)])
+        for k, root, node, n, at, lead in _runs(batches):
+            starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            ends = np.append(starts[1:], len(k))
+            mixed = np.concatenate(([False], (root[1:] != root[:-1]) & (k[1:] == k[:-1])))
+            found, held = [], 0
+            for a, b in zip(starts, ends):
+                if not mixed[a:b].any():
+                    continue
+                for i in range(a, b, 512):
+                    for j in range(i, b, 512):
+                        x, y = np.arange(i, min(b, i + 512)), np.arange(j, min(b, j + 512))
+                        x, y = np.nonzero((x[:, None] < y[None]) & (root[x][:, None] != root[y][None]))
+                        x, y = x + i, y + j
+                        some = _possible(n, at, x, y, least) & (node[x] != lead[x]) & (node[y] != lead[y])
+                        x, y = node[x[some]], node[y[some]]
+                        found.append((np.minimum(x, y), np.maximum(x, y)))
+                        held += len(x)
+                        if held > 200_000:
+                            yield _pairs(found)
+                            found, held = [], 0
+            if held:
+                yield _pairs(found)
 
     return run
 
 
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"])
+
+
 #: Bits of the filter that lets only texts of some pair through; others that share a bit are dropped by the join.
 SLOTS = 1 << 26
 
@@ -324,21 +408,21 @@ def sketch(own: np.ndarray) -> bytes:
 
 
 def _held(k: int, bits: np.ndarray, whole: bool):
-    """(node, fp, n, s) of the texts whose bit is set: s is the compressed text or the sketch of its shingles."""
+    """(node, fp, n, s) of the texts whose bit is set: s is the compressed text or the sketch of its n shingles."""
+    wanted = lambda node: int(bits[(node % SLOTS) >> 6]) >> (node & 63) & 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in _texts(batches, k):
-            few = [x for x in texts if int(bits[(x[0] % SLOTS) >> 6]) >> (x[0] & 63) & 1]
+        for few in _texts(batches, 0 if whole else k, wanted):
             prints = np.array([0 if whole else fingerprint(t) for _, t, _ in few], dtype=np.uint64).view(np.int64)
             held = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) if whole else sketch(own) for _, t, own in few]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _, _ in few], pa.int64()), pa.array(prints), pa.array([len(own) for *_, own in few], pa.int64()), pa.array(held, pa.binary())], names=["node", "fp", "n", "s"])
+            sizes = [0 if whole else len(own) for *_, own in few]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _, _ in few], pa.int64()), pa.array(prints), pa.array(sizes, pa.int64()), pa.array(held, pa.binary())], names=["node", "fp", "n", "s"])
 
     return run
 
 
-def held(texts: DataFrame, pairs: DataFrame, k: int, whole: bool) -> DataFrame:
-    """The rows of _held for the nodes of pairs(a, b), each once. The driver makes a filter of fixed size from them; the join with the pairs drops others."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+def held(texts: DataFrame, nodes: DataFrame, k: int, whole: bool) -> DataFrame:
+    """The rows of _held for nodes(node), each once. The driver makes a filter of fixed size from them; a join drops the others."""
     words = nodes.groupBy(F.expr(f"shiftright(pmod(node, {SLOTS}L), 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(node & 63L as int)))").alias("m")).toArrow()
     bits = np.zeros(SLOTS >> 6, dtype=np.uint64)
     bits[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
@@ -374,40 +458,50 @@ def _alike(k: int, least: int):
     return run
 
 
-def similar(docs: DataFrame, roots: DataFrame, shingle: int = 5, least: int = 80, hot: int = 200) -> DataFrame:
+def similar(docs: DataFrame, roots: DataFrame, shingle: int = 5, least: int = 80, hot: int = 200, most: int = 1 << 20) -> DataFrame:
     """(a, b): links over the roots(fp, root) of texts whose shingle sets have a Jaccard similarity of least percent or more; they reach whatever all such pairs reach.
 
-    Two such sets share one of the first shingles of each in any common order, so all pairs are found. Shingles that a
-    sixteenth of the texts shows to be in about `hot` texts or more stand last in the order, which spares pairs but decides
-    none. Sketches drop pairs that can't be similar enough; the others' whole sets are compared, first one pair for each
-    text, then those that are still apart. Shingles and texts are told apart by 64-bit hashes.
+    Two such sets share one of the first shingles of each in any common order, and behind the first one that they share
+    both hold enough others, so all pairs are found. Frequent shingles (see frequent()) stand last in the order, which
+    spares pairs but decides none. Sketches drop pairs that can't be similar enough; the others' whole sets are compared.
+    First each text is compared with one text of its run only; then pairs that are still apart, so a cloud of near copies
+    costs a pair for each text and shingle, not all pairs. Shingles and texts are told apart by 64-bit hashes.
     """
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    often = texts.mapInArrow(_frequent(shingle), "k long").groupBy("k").count().where(F.col("count") >= max(2, hot // 16)).toArrow()
-    order, counts = (often.column(i).to_numpy() for i in range(2))
-    by = np.argsort(order)
-    order, rank = order[by], np.empty(len(order), np.int64)
-    rank[np.lexsort((order, counts[by]))] = np.arange(len(order))
-    keys = texts.mapInArrow(_prefixes(shingle, order, rank, least), "k long, node long, n long")
-    pairs = common.written(keys.repartition("k").sortWithinPartitions("k", "node").mapInArrow(_candidates(least), "a long, b long").distinct(), "candidates")
-    short = common.written(held(texts, pairs, shingle, False).join(roots, "fp").select("node", "root", "n", "s"), "sketches")
+    order, rank = frequent(texts, shingle, hot, most)
+    keys = common.written(texts.mapInArrow(_prefixes(shingle, order, rank, least), KEYS + ", often boolean"), "prefixes")
+    rare = keys.where("not often").repartition("k").sortWithinPartitions("k", "node").mapInArrow(_recurring(least), KEYS + ", lead long, near boolean")
+    # frequent shingles, at most `most`: their first texts are looked up where the rows are
+    often = common.written(keys.where("often").drop("often").distinct(), "frequent-prefixes")
+    leads = often.groupBy("k").agg(F.min(F.struct("node", "n", "at")).alias("l"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    sizes = f"least(n, l.n) * 100L >= greatest(n, l.n) * {least}L and least(n - at, l.n - l.at) * {100 + least}L >= {least}L * (n + l.n)"
+    led = often.join(F.broadcast(leads), "k").select("k", "node", "n", "at", F.col("l.node").alias("lead"), F.expr(f"node <> l.node and {sizes}").alias("near"))
+    runs = common.written(rare.union(led), "shared-shingles")
+    common.release(keys, often)
+    short = common.written(held(texts, runs.select("node"), shingle, False).join(roots, "fp").select("node", "root", "n", "s"), "sketches")
     side = lambda x: short.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where("ra <> rb").select("a", "b", "ra", "rb", F.expr("na + nb").alias("n"), "sa", "sb")
-    maybe = common.written(both.mapInArrow(_maybe(least), "a long, b long, ra long, rb long"), "similar-pairs")
-    whole = common.written(held(texts, maybe, shingle, True).select("node", "s"), "similar-texts")
 
-    def checked(some: DataFrame) -> DataFrame:
+    def checked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side("a"), "a").join(side("b"), "b").where("ra <> rb").select("a", "b", "ra", "rb", F.expr("na + nb").alias("n"), "sa", "sb")
+        maybe = common.written(both.mapInArrow(_maybe(least), "a long, b long, ra long, rb long"), "similar-pairs")
+        nodes = maybe.select(F.col("a").alias("node")).union(maybe.select("b"))
+        whole = common.written(held(texts, nodes, shingle, True).select("node", "s"), "similar-texts")
         sa, sb = (whole.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-        found = some.join(sa, "a").join(sb, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "sa", "sb")
-        return common.written(found.mapInArrow(_alike(shingle, least), "a long, b long").distinct(), "similar-links")
-
-    first = maybe.groupBy("b").agg(F.min_by(F.struct("a", "ra", "rb"), "a").alias("x")).select("x.a", "b", "x.ra", "x.rb")
-    links_ = checked(first)
-    met = common.components(links_)
-    rest = maybe
-    for x in ("ra", "rb"):
-        rest = rest.join(met.select(F.col("node").alias(x), F.col("root").alias(f"{x}_met")), x, "left")
-    return links_.union(checked(rest.where("coalesce(ra_met, ra) <> coalesce(rb_met, rb)").select("a", "b", "ra", "rb")))
+        found = maybe.join(sa, "a").join(sb, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "sa", "sb")
+        links_ = common.written(found.mapInArrow(_alike(shingle, least), "a long, b long").distinct(), "similar-links")
+        common.release(maybe, whole)
+        return links_
+
+    first = checked(runs.where("near").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
+    met = common.components(first).withColumnRenamed("node", "own")
+    named = short.select("node", "root").join(met.withColumnRenamed("root", "met"), F.col("root") == F.col("own"), "left").select("node", F.coalesce("met", "root").alias("root"))
+    grouped = common.written(runs.join(named, "node").select("k", "root", "node", "n", "at", "lead"), "grouped-shingles")
+    common.release(runs)
+    mixed = grouped.groupBy("k").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u <> v").select("k")
+    apart = grouped.join(mixed, "k", "left_semi").select("k", "root", "node", "n", "at", "lead").repartition("k").sortWithinPartitions("k", "root")
+    rest = checked(apart.mapInArrow(_crossing(least), "a long, b long").distinct())
+    common.release(short, grouped)
+    return first.union(rest)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -416,6 +510,19 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without near copies (op1's links, and five-word shingles at 0.8 or more): of each component the row with the smallest doc_id, once; rows with a null doc_id stay, as nothing names them."""
-    kept = near_duplicates(docs, shingle=5).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null")).select(docs.columns)
+    """The documents without near copies (op1's links, and five-word shingles at 0.8 or more): of each component one row stays.
+
+    It is the row with the smallest doc_id (null comes last), of equal doc_ids that with the smallest digest of doc_id and
+    text, and of rows that share even these any one. Rows are told apart by that digest, so another text under the same
+    doc_id is judged for itself. Whole texts are shuffled once, by the join with the kept rows' digests.
+    """
+    prints, named = _components(docs, 5, 80, 200)
+    rows = common.joined(prints, named.select("fp", "root"), "fp")
+    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("r"))
+    kept = kept.select("r.key").distinct()
+    twice = common.checkpointed(prints.groupBy("key").count().where("count > 1").select("key").join(kept, "key", "left_semi"))
+    once = common.checkpointed(kept.join(twice, "key", "left_anti"))
+    keyed = docs.select(row_key().alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    single = keyed.join(once, "key", "left_semi").select("row.*")
+    several = keyed.join(twice, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row.*")
+    return single.union(several)
