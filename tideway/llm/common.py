@@ -5,7 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +45,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def spans(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose values (strings or bytes) hold about `size` bytes together; a longer value is a range of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(ends):
+        base = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, base + size, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def release(*tables: DataFrame) -> None:
     """Delete what written() wrote for tables that nothing reads any more: all that came from them must be written itself."""
     for df in tables:
