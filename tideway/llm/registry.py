@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideway.llm import arrow_files, decontaminate, html, licences, middles, packing, quality, repeats, secrets, simhash, url_filters
+from tideway.llm import arrow_files, decontaminate, html, licences, middles, packing, quality, repeats, runs, secrets, simhash, url_filters
 
 QUERIES = {
     f.__name__: f
@@ -21,6 +21,7 @@ QUERIES = {
         packing.op8_best_fit_packing,
         url_filters.op9_url_filters,
         repeats.op10_suffix_array_dedup,
+        runs.op11_periodic_runs,
         middles.op13_fill_in_middle,
     )
 }
@@ -30,6 +31,7 @@ ORACLES = {
     "op7_license_scans": licences.ORACLE,
     "op9_url_filters": url_filters.ORACLE,
     "op10_suffix_array_dedup": repeats.ORACLE,
+    "op11_periodic_runs": runs.ORACLE,
     "op13_fill_in_middle": middles.ORACLE,
 }
 
