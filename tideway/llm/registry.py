@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideway.llm import arrow_files, decontaminate, html, licences, middles, packing, quality, repeats, runs, secrets, simhash, url_filters
+from tideway.llm import arrow_files, decontaminate, html, licences, middles, mixtures, packing, quality, repeats, runs, secrets, simhash, url_filters
 
 QUERIES = {
     f.__name__: f
@@ -22,6 +22,7 @@ QUERIES = {
         url_filters.op9_url_filters,
         repeats.op10_suffix_array_dedup,
         runs.op11_periodic_runs,
+        mixtures.op12_language_id,
         middles.op13_fill_in_middle,
     )
 }
