@@ -1,4 +1,4 @@
-"""Runs: plan, split, load or merge, validate, remember. State is one JSON file of runs, tasks, progress and sync marks, written by a single driver."""
+"""Runs: plan, split, load or merge, validate, remember. State is one JSON file of runs, tasks and sync marks, written by a single driver; tables keep their own versions (targets)."""
 
 from __future__ import annotations
 
@@ -21,50 +21,82 @@ from tideway.catalog import TableSpec, catalog
 from tideway.operators import merge, metrics, validate
 from tideway.operators.analyze import EXIT_CODES, EXIT_RULES, NOT_CONFIG, exclusion_candidate, ranked_date_columns, retryable_text
 from tideway.plans import splits
+from tideway.plans.ranges import KeyRange, equal_ranges
 from tideway.sources import jdbc, tables
-from tideway.sources.scan import key_range, read
+from tideway.sources.scan import read
 from tideway.statefile import StateFile
+from tideway.targets import DatabaseTarget, FolderTarget, ddl
 
-STATE = {"runs": [], "tasks": [], "marks": {}, "versions": {}, "sequences": {}, "garbage": []}
+STATE = {"runs": [], "tasks": [], "marks": {}, "sequences": {}}
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 
+@dataclass(frozen=True)
+class Step:
+    """What is read and written at once: ranges of keys that follow each other, some files, or (both empty) the whole table."""
+
+    ranges: tuple[KeyRange, ...] = ()
+    files: tuple[str, ...] = ()
+
+
 @dataclass(frozen=True)
 class Job:
-    """A table, or one split of it: number and the keys (above, up_to] or some of its files."""
+    """A table, or one numbered split of it, in steps of which each is kept when it is done."""
 
     table: str
     part: int | None = None
-    split: splits.Split | None = None
-    files: tuple[str, ...] = ()
+    steps: tuple[Step, ...] = (Step(),)
 
     @property
     def key(self) -> str:
         return f"transfer:{self.table}" + (f":p{self.part}" if self.part is not None else "")
 
+    @property
+    def files(self) -> tuple[str, ...]:
+        return tuple(f for s in self.steps for f in s.files)
+
+    @property
+    def ranges(self) -> tuple[KeyRange, ...]:
+        return tuple(r for s in self.steps for r in s.ranges)
+
+    def to_json(self) -> list:
+        return [self.part, [[[r.to_json() for r in s.ranges], list(s.files)] for s in self.steps]]
+
+    @staticmethod
+    def from_json(table: str, text: list) -> Job:
+        return Job(table, text[0], tuple(Step(tuple(map(KeyRange.from_json, r)), tuple(f)) for r, f in text[1]))
+
+
+def _dealt(items: list, n: int) -> list[list]:
+    """items in at most n lists of nearly equal length, in order."""
+    size, more = divmod(len(items), n)
+    at = [i * size + min(i, more) for i in range(n + 1)]
+    return [items[a:b] for a, b in zip(at, at[1:]) if b > a]
+
 
 def _now() -> str:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None).isoformat(timespec="seconds")
 
 
 class Engine:
-    """Replicates the tables of `source` into Parquet folders below `target`.
+    """Replicates the tables of `source` into a folder (targets.FolderTarget) or a database (targets.DatabaseTarget; `target` is its JDBC options).
 
-    A table's current version is a list of folders in the state, by hash bucket of its key: a load becomes visible only
-    once it is whole, a path being read is never overwritten, and a run that dies leaves the old version in place. An
-    upsert reads and rewrites the buckets that its changes fall into; folders of other buckets stay in the list. Folders
-    that no version names any more go when the next run begins. One writer is assumed.
-
-    Tables of more than `threshold` rows are read in splits, JDBC tables by ranges of an integer key and files by groups of
-    files. Each split is a task with a folder of its own, so a run that resumes repeats only the splits that weren't done.
+    Tables of more than `threshold` rows are read in splits: files by groups, all else by ranges of whole keys, whatever
+    their columns and types. A split is read in `steps`, a database's steps by `readers` partitions each. Every step has
+    a folder or a staging table of its own and is recorded when it is done, after every `cadence` steps in the file too,
+    so a run that resumes goes on with the steps that are missing. A table is published once all of it is there and its
+    rows have been held against the source's. Runs that ended `keep_days` ago leave the state, unless they were partial.
     """
 
-    def __init__(self, spark: SparkSession, source: str, target: str, state: str, specs: list[TableSpec], mode: str = "reload", workers: int = 4, retries: int = 3, wait: float = 1.0, threshold: int = 5_000_000, chunk: int = 100_000, most: int = 8, bucket_rows: int = 1_000_000, cadence: int = 1, progress: str | None = None) -> None:
-        if source.rstrip("/") == target.rstrip("/"):
+    def __init__(self, spark: SparkSession, source: str, target: str | dict, state: str, specs: list[TableSpec], mode: str = "reload", workers: int = 4, retries: int = 3, wait: float = 1.0, threshold: int = 5_000_000, chunk: int = 100_000, most: int = 8, bucket_rows: int = 1_000_000, cadence: int = 1, progress: str | None = None, steps: int = 1, readers: int = 4, keep_days: int = 30, sample: int = 0) -> None:
+        if isinstance(target, str) and source.rstrip("/") == target.rstrip("/"):
             raise ValueError("source and target are the same")
-        self.spark, self.source, self.target, self.mode, self.workers, self.retries, self.wait = spark, source, target.rstrip("/"), mode, workers, retries, wait
-        self.threshold, self.chunk, self.most, self.bucket_rows, self.cadence, self.progress = threshold, chunk, most, bucket_rows, max(1, cadence), progress
+        self.spark, self.source, self.target, self.mode, self.workers, self.retries, self.wait = spark, source, target.rstrip("/") if isinstance(target, str) else target["url"], mode, workers, retries, wait
+        self.threshold, self.chunk, self.most, self.cadence, self.progress = threshold, chunk, most, max(1, cadence), progress
+        self.steps, self.readers, self.keep_days, self.sample = max(1, steps), max(1, readers), keep_days, sample
         self.specs = {s.name: s for s in specs}
+        self.folder = FolderTarget(spark, target, bucket_rows) if isinstance(target, str) else None
+        self.database = None if self.folder else DatabaseTarget(spark, target)
         self.file = StateFile(spark, state)
         self.state = self.file.load(json.loads(json.dumps(STATE)))
 
@@ -78,69 +110,31 @@ class Engine:
 
     # the target
 
-    def _folders(self, table: str, which: list[str] | None = None) -> list[str]:
-        version = self.state["versions"].get(table)
-        return [f for b, of in (version["paths"] if version else {}).items() if which is None or b in which for f in of]
-
-    def _stored(self, table: str, which: list[str] | None = None) -> DataFrame:
-        version, folders = self.state["versions"][table], self._folders(table, which)
-        reader = self.spark.read.schema(version["schema"])
-        return reader.parquet(*folders) if folders else self.spark.createDataFrame([], version["schema"])
-
     def current(self, table: str) -> DataFrame | None:
-        return self._stored(table) if table in self.state["versions"] else None
-
-    def _bucket(self, table: str, buckets: int):
-        spec = self.specs[table]
-        return F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in spec.key)), F.lit(buckets)).cast("int") if spec.key else F.lit(0)
-
-    def _write(self, table: str, df: DataFrame, folder: str, buckets: int) -> None:
-        """df below folder, cut by bucket; a rewrite replaces what an earlier attempt left there."""
-        if buckets > 1:
-            df = df.withColumn("tideway_bucket", self._bucket(table, buckets)).repartition("tideway_bucket")
-            df.write.mode("overwrite").partitionBy("tideway_bucket").parquet(folder)
-        else:
-            df.write.mode("overwrite").parquet(folder)
-
-    def _paths(self, folder: str, buckets: int) -> dict[str, list[str]]:
-        if buckets == 1:
-            return {"0": [folder]}
-        names = [s.getPath().getName() for s in self.file.fs.listStatus(self.file.jvm.org.apache.hadoop.fs.Path(folder))]
-        return {n.removeprefix("tideway_bucket="): [f"{folder}/{n}"] for n in names if n.startswith("tideway_bucket=")}
-
-    def _publish(self, table: str, paths: dict[str, list[str]], buckets: int, schema: str) -> None:
-        with self.file.lock:
-            old = set(self._folders(table))
-            self.state["versions"][table] = {"paths": paths, "buckets": buckets, "schema": schema, "key": list(self.specs[table].key)}
-            self.state["garbage"] += sorted(old - set(self._folders(table)))
+        return self.folder.current(table) if self.folder else self.database.current(self.specs[table])
 
     def clean(self) -> list[str]:
-        """Delete folders that earlier runs replaced; returns them. Readers that began before the last run may still need them, so runs call this first."""
+        """Delete what older versions of the tables need alone; returns these folders. Readers that began before the last run may still need them, so runs call this first."""
+        gone = [f for t in self.specs for f in self.folder.prune(t)] if self.folder else []
+        limit = (dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) - dt.timedelta(days=self.keep_days)).isoformat()
         with self.file.lock:
-            gone, self.state["garbage"] = self.state["garbage"], []
-        for folder in gone:
-            self.file.delete(folder)
-        self._save()
+            old = {r["run_id"] for r in self.state["runs"] if r["status"] in ("success", "failed") and r.get("completed_at", limit) < limit}
+            if old:
+                self.state["runs"] = [r for r in self.state["runs"] if r["run_id"] not in old]
+                self.state["tasks"] = [t for t in self.state["tasks"] if t["run_id"] not in old]
         return gone
 
     def upsert(self, table: str, rows: DataFrame) -> list[str]:
-        """Merge rows into the table; returns the buckets that were rewritten."""
-        spec, version = self.specs[table], self.state["versions"][table]
-        merge.assert_unique(rows, list(spec.key), "source")
-        buckets, schema = version["buckets"], version["schema"]
-        bucket = self._bucket(table, buckets)
-        # at most `buckets` numbers
-        touched = sorted(str(r[0]) for r in rows.select(bucket.alias("b")).distinct().collect())
-        if not touched:
-            return []
-        old = self._stored(table, touched)
-        merge.assert_unique(old, list(spec.key), "target")
-        folder = f"{self.target}/{table}/{uuid.uuid4().hex}"
-        self._write(table, merge.merge(old, rows, list(spec.key), spec.spatial).drop("_action"), folder, buckets)
-        paths = {b: f for b, f in version["paths"].items() if b not in touched} | self._paths(folder, buckets)
-        self._publish(table, paths, buckets, schema)
-        self._save()
-        return touched
+        """Merge rows into the table; returns the buckets that were rewritten, or for a database the number of rows that changed. See targets."""
+        spec = self.specs[table]
+        if self.folder:
+            return self.folder.upsert(spec, rows)
+        part = uuid.uuid4().hex[:8]
+        try:
+            self.database.stage(spec, rows, part)
+            return [str(self.database.merge(spec, part, rows.columns))]
+        finally:
+            self.database.drop(spec, [part])
 
     # planning
 
@@ -152,83 +146,101 @@ class Engine:
     def _source(self, table: str) -> DataFrame:
         return read(self.spark, self.source, self.specs[table])
 
-    def _method(self, table: str, df: DataFrame, n: int) -> str:
+    def _count(self, table: str) -> int:
         spec = self.specs[table]
+        return int(jdbc.scalar(self.spark, spec.options, f"SELECT COUNT(*) AS n FROM {spec.options['dbtable']}")) if spec.format == "jdbc" else self._source(table).count()
+
+    def plan(self, table: str, threshold: int | None = None, chunk: int | None = None, most: int | None = None) -> tuple[int, str, int, list[str]]:
+        """(rows, method, splits, files to deal) of a table, for dry_run() and run() alike."""
+        spec, df, n = self.specs[table], self._source(table), self._count(table)
         keyset = len(spec.key) == 1 and dict(df.dtypes)[spec.key[0]] in INTEGERS
-        return splits.strategy(n, keyset, bool(spec.key), self.threshold)
+        method = splits.strategy(n, keyset, bool(spec.key), threshold or self.threshold)
+        files = sorted(df.inputFiles()) if spec.format != "jdbc" else []
+        parts = 1 if method == "full_table" else splits.split_count(n, chunk or self.chunk, most or self.most)
+        return n, method, min(parts, len(files)) if len(files) > 1 else parts, files
 
     def dry_run(self, threshold: int | None = None, chunk: int | None = None, most: int | None = None, row_bytes: int = 500, buffers: int = 4) -> list[dict]:
         """What a run would do with each table, and the bytes that its buffers would take."""
-        threshold, chunk, most = threshold or self.threshold, chunk or self.chunk, most or self.most
         out = []
         for t in self.selected():
-            df, spec = self._source(t), self.specs[t]
-            n = df.count()
-            keyset = len(spec.key) == 1 and dict(df.dtypes)[spec.key[0]] in INTEGERS
-            method = splits.strategy(n, keyset, bool(spec.key), threshold)
-            out.append({"table": t, "rows": n, "method": method, "partitions": 1 if method == "full_table" else splits.split_count(n, chunk, most), "columns": len(df.columns), "has_key": bool(spec.key), "memory": self.workers * buffers * chunk * row_bytes})
+            n, method, parts, _ = self.plan(t, threshold, chunk, most)
+            out.append({"table": t, "rows": n, "method": method, "partitions": parts, "columns": len(self._source(t).columns), "has_key": bool(self.specs[t].key), "memory": self.workers * buffers * (chunk or self.chunk) * row_bytes})
         return out
 
     def jobs(self, table: str) -> list[Job]:
         """The splits of a table, or the whole of it."""
         if self.mode == "upsert":
             return [Job(table)]
-        spec, df = self.specs[table], self._source(table)
-        n = df.count()
-        if self._method(table, df, n) == "full_table":
+        spec, (_, method, parts, files) = self.specs[table], self.plan(table)
+        if method == "full_table":
             return [Job(table)]
-        parts = splits.split_count(n, self.chunk, self.most)
-        if spec.format != "jdbc" and len(files := sorted(df.inputFiles())) > 1:
-            size = -(-len(files) // min(parts, len(files)))
-            return [Job(table, i // size + 1, files=tuple(files[i : i + size])) for i in range(0, len(files), size)]
-        if dict(df.dtypes)[spec.key[0]] in INTEGERS:
-            ends = df.agg(F.min(f"`{spec.key[0]}`"), F.max(f"`{spec.key[0]}`")).first()
-            return [Job(table, s.number, s) for s in splits.reader_ranges(*ends, parts)] if ends[0] is not None else [Job(table)]
-        return [Job(table)]
-
-    def _rows(self, job: Job) -> DataFrame:
+        if len(files) > 1:
+            return [Job(table, i + 1, tuple(Step(files=tuple(f)) for f in _dealt(part, self.steps))) for i, part in enumerate(_dealt(files, parts))]
+        if spec.format == "jdbc":
+            ranges = jdbc.key_ranges(self.spark, spec.options["dbtable"], {k: v for k, v in spec.options.items() if k != "dbtable"}, list(spec.key), parts * self.steps * self.readers)
+        else:
+            ranges = equal_ranges(self._source(table), list(spec.key), parts * self.steps)
+        return [Job(table, i + 1, tuple(Step(tuple(r)) for r in _dealt(part, self.steps))) for i, part in enumerate(_dealt(ranges, parts))]
+
+    def _rows(self, job: Job, step: Step) -> DataFrame:
         spec = self.specs[job.table]
-        if job.files:
-            return self.spark.read.format(spec.format).options(**spec.options).schema(self._source(job.table).schema).load(list(job.files))
-        df = self._source(job.table)
-        if job.split is None:
-            return df
+        if step.files:
+            return self.spark.read.format(spec.format).options(**spec.options).schema(self._source(job.table).schema).load(list(step.files))
+        if not step.ranges:
+            return self._source(job.table)
         if spec.format == "jdbc":
-            return jdbc.read_table(self.spark, spec.options["dbtable"], {k: v for k, v in spec.options.items() if k != "dbtable"}, spec.key[0], [job.split])
-        return df.where(key_range(f"`{spec.key[0]}`", job.split.above, job.split.up_to))
+            return jdbc.read_table(self.spark, spec.options["dbtable"], {k: v for k, v in spec.options.items() if k != "dbtable"}, ranges=list(step.ranges))
+        return self._source(job.table).where(KeyRange(0, step.ranges[0].key, step.ranges[0].above, step.ranges[-1].up_to).where())
 
     def _preconditions(self, tables: list[str]) -> None:
         """Everything that stands against an upsert, in one error."""
-        versions = self.state["versions"]
-        wrong = [f"{t}: no primary key" for t in tables if not self.specs[t].key] + [f"{t}: target is missing" for t in tables if t not in versions]
-        wrong += [f"{t}: target has the key {','.join(versions[t]['key']) or 'none'}" for t in tables if t in versions and versions[t]["key"] != list(self.specs[t].key)]
-        if self.mode == "upsert" and wrong:
+        if self.mode != "upsert":
+            return
+        wrong = [f"{t}: no primary key" for t in tables if not self.specs[t].key]
+        if self.folder:
+            versions = {t: self.folder.version(t) for t in tables}
+            wrong += [f"{t}: target is missing" for t in tables if versions[t] is None]
+            wrong += [f"{t}: target has the key {','.join(versions[t]['key']) or 'none'}" for t in tables if versions[t] and versions[t]["key"] != list(self.specs[t].key)]
+        else:
+            wrong += [f"{t}: target is missing" for t in tables if not self.database.exists(self.database.name(self.specs[t]))]
+        if wrong:
             raise ValueError("; ".join(wrong))
 
     # running
 
     def _load(self, run: dict, job: Job, task: dict) -> None:
         spec = self.specs[job.table]
-        rows = self._rows(job)
         if self.mode == "upsert":
+            rows = self._source(job.table)
             mark = self.state["marks"].get(spec.mark)
             changed = rows.where(F.col(f"`{spec.date_column}`") >= F.lit(mark)) if mark and spec.date_column else rows
             self.upsert(job.table, changed)
-            run["warnings"] += [f"{job.table}: rows break {c}" for c in spec.checks if not validate.broken(changed, c).isEmpty()]
+            # a database has its checks
+            run["warnings"] += [f"{job.table}: rows break {c}" for c in spec.checks if self.folder and not validate.broken(changed, c).isEmpty()]
             return
-        folder, buckets = self._folder(run, job), run["buckets"][job.table]
-        self._write(job.table, rows, folder, buckets)
-        task["rows_done"] = task["rows_total"] = self.spark.read.schema(rows.schema).parquet(folder).count()
-        task["last_key"] = job.split.up_to if job.split else None
-
-    def _folder(self, run: dict, job: Job) -> str:
-        return f"{self.target}/{job.table}/{run['run_id']}/p{job.part or 0}"
+        done = task.setdefault("done", {})
+        for i, step in enumerate(job.steps):
+            if str(i) not in done:
+                rows = self._rows(job, step)
+                if self.folder:
+                    done[str(i)] = self.folder.write(job.table, list(spec.key), rows, self._folder(run, job, i), run["buckets"][job.table])
+                else:
+                    done[str(i)] = {"0": self.database.stage(spec, rows, self._folder(run, job, i).replace("/", "_"))}
+                task["rows_done"] = task["rows_total"] = sum(sum(c.values()) for c in done.values())
+                top = step.ranges[-1].top if step.ranges else None
+                task["last_key"] = top[0] if top and len(top) == 1 and isinstance(top[0], int) else None
+                self._done(run)
+
+    def _folder(self, run: dict, job: Job, step: int) -> str:
+        return f"{run['run_id']}/p{job.part or 0}" + (f"s{step}" if len(job.steps) > 1 else "")
 
     def _task(self, run: dict, job: Job) -> dict:
         task = self._record(run, job)
         if task["status"] == "success":
             return task
         task |= {"status": "running", "started_at": _now(), "error": None}
+        # with FAIR scheduling each table has its share, so small ones end beside large ones
+        self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", job.table)
         for attempt in range(self.retries + 1):
             task["retry_count"] = attempt
             try:
@@ -253,7 +265,7 @@ class Engine:
             return found
 
     def _done(self, run: dict) -> None:
-        """State goes to its file after every `cadence` finished tasks; a task that a lost state forgets is only repeated."""
+        """State goes to its file after every `cadence` finished steps and tasks; one that a lost state forgets is only repeated."""
         with self.file.lock:
             run["finished"] = run.get("finished", 0) + 1
             if run["finished"] % self.cadence == 0:
@@ -280,12 +292,12 @@ class Engine:
             # a resumed run keeps its plan, as its finished splits belong to it
             new = [t for t in names if t not in planned]
             for t, of in zip(new, pool.map(self.jobs, new)):
-                planned[t] = [[j.part, None if j.split is None else [j.split.above, j.split.up_to], list(j.files)] for j in of]
-            keyed = [t for t in new if self.specs[t].key and self.mode != "upsert"]
-            sizes = dict(zip(keyed, pool.map(lambda t: self._source(t).count(), keyed)))
-            for t in new:
-                run["buckets"][t] = max(1, min(100_000, -(-sizes.get(t, 0) // self.bucket_rows)))
-            jobs = [Job(t, p, splits.Split(p, *s) if s else None, tuple(f)) for t in names for p, s, f in planned[t]]
+                planned[t] = [j.to_json() for j in of]
+            sizes = dict(zip(new, pool.map(self._count, new))) if self.mode != "upsert" else {}
+            run.setdefault("sizes", {}).update(sizes)
+            for t in sizes:
+                run["buckets"][t] = self.folder.buckets_for(self.specs[t], sizes[t]) if self.folder else 1
+            jobs = [Job.from_json(t, of) for t in names for of in planned[t]]
             for j in jobs:
                 self._record(run, j)
             self._save()
@@ -294,24 +306,44 @@ class Engine:
             done += pool.map(lambda j: self._task(run, j), [j for j in jobs if j.part not in (None, 1)])
         failed = [t for t in done if t["status"] == "failed"]
         lost = {t["table"] for t in failed}
+        errors = {t["task_key"]: t["error"] for t in failed}
+        if self.database and self.mode != "upsert":
+            self.database.unfinalize([self.specs[t] for t in names if t not in lost])
+        for t in [t for t in names if t not in lost]:
+            try:
+                if self.mode != "upsert":
+                    self._publish(run, t, [j for j in jobs if j.table == t])
+                self.state["marks"][self.specs[t].mark] = marks[t]
+            except Exception as e:
+                lost.add(t)
+                errors[f"publish:{t}"] = str(e)[:500]
         whole = [t for t in names if t not in lost]
-        for t in whole:
-            if self.mode != "upsert":
-                self._publish_splits(run, t, [j for j in jobs if j.table == t])
-            self.state["marks"][self.specs[t].mark] = marks[t]
-        run |= {"status": "success" if not failed else "partial" if whole else "failed", "completed_at": _now()}
+        run |= {"status": "success" if not lost else "partial" if whole else "failed", "completed_at": _now()}
         self._save()
         if self.mode != "upsert":
-            run["warnings"] = self.finalize(whole)
-            self._save()
-        return run | {"errors": {t["task_key"]: t["error"] for t in failed}}
+            run["warnings"] += self.finalize(whole)
+        for t in whole if self.sample else []:
+            n = validate.sampled_keys(self._source(t), self.current(t), list(self.specs[t].key), self.sample).count() if self.specs[t].key else 0
+            run["warnings"] += [f"{t}: {n} of {self.sample} sampled keys are missing"] if n else []
+        self._save()
+        return run | {"errors": errors}
 
-    def _publish_splits(self, run: dict, table: str, jobs: list[Job]) -> None:
-        buckets, paths = run["buckets"][table], {}
-        for j in jobs:
-            for b, of in self._paths(self._folder(run, j), buckets).items():
-                paths.setdefault(b, []).extend(of)
-        self._publish(table, paths, buckets, _ddl(self._rows(jobs[0])))
+    def _publish(self, run: dict, table: str, jobs: list[Job]) -> None:
+        """Make the loaded table visible, if it has the rows that its source has: those counted when planning or, if the source changed since, those it has now."""
+        spec = self.specs[table]
+        tasks = [self._record(run, j) for j in jobs]
+        written = [(self._folder(run, j, int(i)), counts) for j, t in zip(jobs, tasks) for i, counts in sorted(t["done"].items(), key=lambda x: int(x[0]))]
+        rows = sum(sum(c.values()) for _, c in written)
+        if rows != run["sizes"][table]:
+            now = self._count(table)
+            if rows < min(now, run["sizes"][table]):
+                raise RuntimeError(f"row count of {table}: {rows} were loaded, its source had {run['sizes'][table]} and has {now}")
+            run["warnings"].append(f"{table}: the source changed while it was read ({run['sizes'][table]} rows before, {now} after, {rows} loaded)")
+        if self.folder:
+            version = self.folder.version(table)
+            self.folder.publish(spec, written, run["buckets"][table], ddl(self._source(table)), version["number"] if version else 0)
+        else:
+            self.database.publish(spec, [f.replace("/", "_") for f, _ in written], self._source(table).schema)
 
     def resume(self, force: bool = False) -> dict:
         """The newest running run goes on with the splits that aren't whole in the target."""
@@ -330,16 +362,18 @@ class Engine:
         return self._finish(run, run["tables"])
 
     def finalize(self, names: list[str]) -> list[str]:
-        """After a reload: the next value of integer keys is recorded; unique keys, foreign keys and checks that don't hold are warnings."""
+        """After a reload: the next value of integer keys is recorded; unique keys, foreign keys and checks that don't hold are warnings. A database gets its indexes and constraints, in this order."""
         out = []
         for t in names:
             df, spec = self.current(t), self.specs[t]
             if len(spec.key) == 1 and dict(df.dtypes)[spec.key[0]] in INTEGERS:
                 self.state["sequences"][t] = df.agg(F.coalesce(F.max(f"`{spec.key[0]}`"), F.lit(0)) + 1).first()[0]
+            if self.database:
+                continue
             out += [f"{t}: repeated {','.join(k)}" for k in (spec.key, *spec.unique) if k and not validate.repeated(df, list(k)).isEmpty()]
             out += [f"{t}: orphans of {p}" for f, p, k in spec.foreign_keys if self.current(p) is not None and not validate.orphans(df, list(f), self.current(p), list(k)).isEmpty()]
             out += [f"{t}: rows break {c}" for c in spec.checks if not validate.broken(df, c).isEmpty()]
-        return out
+        return out + (self.database.finalize([self.specs[t] for t in names], set(self.specs)) if self.database else [])
 
     # looking
 
@@ -382,9 +416,13 @@ class Engine:
     def health_check(self) -> dict:
         """Both sides at once: whether they answer, how fast, and how many tables the source has."""
 
-        def side(path: str) -> dict:
+        def side(path: str | DatabaseTarget) -> dict:
             began = time.time()
             try:
+                if isinstance(path, DatabaseTarget):
+                    n = sum(path.exists(path.name(s)) for s in self.specs.values())
+                    jdbc.ping(self.spark, path.options)
+                    return {"connected": True, "error": None, "tables": n, "latency_ms": int(1000 * (time.time() - began))}
                 root = self.file.jvm.org.apache.hadoop.fs.Path(path)
                 there = root.getFileSystem(self.file.conf).exists(root)
                 n = len(tables.list_folder(self.spark, path)) if there else 0
@@ -393,7 +431,7 @@ class Engine:
                 return {"connected": False, "error": str(e)[:500], "tables": 0, "latency_ms": int(1000 * (time.time() - began))}
 
         with ThreadPoolExecutor(2) as pool:
-            source, target = pool.map(side, (self.source, self.target))
+            source, target = pool.map(side, (self.source, self.target if self.folder else self.database))
         return {"timestamp": _now(), "source": source, "target": target, "healthy": source["connected"] and target["connected"]}
 
     def analyze(self) -> DataFrame:
@@ -437,10 +475,6 @@ def exit_code(outcome: dict | BaseException) -> int:
     return EXIT_CODES["transfer"]
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
 def defaults(cores: int, row_bytes: int) -> dict:
     """Settings that go with a machine: workers leave two cores free, the rest follows from them."""
     workers = max(2, cores - 2)

@@ -37,6 +37,20 @@ def merge(target: DataFrame, source: DataFrame, key: list[str], spatial: tuple[s
     return both.select(*[F.col(c) if c in key else F.when(new, F.col(f"_s.{c}")).otherwise(F.col(f"_t.{c}")).alias(c) for c in target.columns], "_action")
 
 
+def merge_small(target: DataFrame, source: DataFrame, key: list[str], spatial: tuple[str, ...] = ()) -> DataFrame:
+    """merge() for a source that fits into each task's memory, as the caller has checked: the target isn't shuffled and keeps its partitions."""
+    rest = [c for c in target.columns if c not in key]
+    held = F.broadcast(source.select(*key, F.struct(F.lit(True), *[F.col(c) for c in rest]).alias("_s")))
+    both = target.join(held, key, "left")
+    differs = _either([~F.col(c).eqNullSafe(F.col(f"_s.{c}")) for c in rest if c not in spatial])
+    action = F.when(F.col("_s").isNull(), "target_only").when(differs, "update").otherwise("unchanged")
+    new = F.col("_action") == "update"
+    old = both.withColumn("_action", action).select(*[F.col(c) if c in key else F.when(new, F.col(f"_s.{c}")).otherwise(F.col(c)).alias(c) for c in target.columns], "_action")
+    # keys that both sides have are no more than the source's
+    met = target.select(*key).join(F.broadcast(source.select(*key)), key, "left_semi").distinct()
+    return old.unionByName(source.join(met, key, "left_anti").select(*target.columns, F.lit("insert").alias("_action")))
+
+
 def insert_only(target: DataFrame, source: DataFrame, key: list[str]) -> DataFrame:
     """The target and the source rows whose keys it lacks."""
     return target.unionByName(source.join(target.select(*key), key, "left_anti").select(target.columns))

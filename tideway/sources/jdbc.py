@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tideway.plans.ranges import KeyRange, ansi_literal, literal, refined, stored_cuts
 from tideway.plans.splits import Split
 from tideway.sources.dialects import Dialect
 
@@ -18,16 +21,49 @@ def dialect_of(options: dict) -> Dialect:
     return Dialect(_BY_URL.get(kind, kind))
 
 
-def read_table(spark: SparkSession, table: str, options: dict, key: str | None = None, splits: list[Split] | None = None) -> DataFrame:
-    """A table, or one partition for each split of its key; filters and columns are pushed to the database."""
+def read_table(spark: SparkSession, table: str, options: dict, key: str | None = None, splits: list[Split] | None = None, ranges: list[KeyRange] = ()) -> DataFrame:
+    """A table, or one partition for each split or range of its key; filters and columns are pushed to the database."""
     url = options["url"]
     rest = {k: v for k, v in options.items() if k != "url"}
     if key and splits:
         own = dialect_of(options)
         return spark.read.jdbc(url, table, predicates=[own.predicate(key, s) for s in splits], properties=rest)
+    if ranges:
+        own = dialect_of(options)
+        write = literal if own.name == "mysql" else ansi_literal
+        return spark.read.jdbc(url, table, predicates=[r.predicate(own.quote, write) for r in ranges], properties=rest)
     return spark.read.jdbc(url, table, properties=rest)
 
 
+def key_ranges(spark: SparkSession, table: str, options: dict, key: list[str], n: int) -> list[KeyRange]:
+    """At most n ranges of about equal rows, planned by the database: histograms of an integer key, else every so many rows in key order.
+
+    Texts are cut in the database's own order, which its collation gives. Where it can't number rows, Spark reads the keys.
+    """
+    own, df = dialect_of(options), read_table(spark, table, options)
+    names = [own.quote(k) for k in key]
+    if len(key) == 1 and isinstance(df.schema[key[0]].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        low, high = query_rows(spark, options, f"SELECT MIN({names[0]}) AS lo, MAX({names[0]}) AS hi FROM {table}")[0]
+        if low is None:
+            return [KeyRange(1, tuple(key), n_rows=0)]
+        cell = {"mysql": "({k} - {low}) DIV {width}", "oracle": "FLOOR(({k} - {low}) / {width})"}.get(own.name, "({k} - {low}) / {width}")
+
+        def count(low: int, width: int, end: int) -> dict[int, int]:
+            at = cell.format(k=names[0], low=low, width=width)
+            return {int(r[0]): int(r[1]) for r in query_rows(spark, options, f"SELECT c, COUNT(*) AS n FROM (SELECT {at} AS c FROM {table} WHERE {names[0]} >= {low} AND {names[0]} < {end}) q GROUP BY c")}
+
+        return refined(count, low, high, n, key[0])
+    if own.name == "derby":
+        return stored_cuts(df, key, n)
+    rows = int(scalar(spark, options, f"SELECT COUNT(*) AS n FROM {table}"))
+    size = max(1, -(-rows // n))
+    cols = ", ".join(names)
+    rest = "MOD(rn, {0})".format(size) if own.name != "mssql" else f"rn % {size}"
+    tops = query_rows(spark, options, f"SELECT {cols} FROM (SELECT {cols}, ROW_NUMBER() OVER (ORDER BY {cols}) AS rn FROM {table}) q WHERE {rest} = 0 AND rn < {rows} ORDER BY {cols}")
+    edges = [None, *map(tuple, tops), None]
+    return [KeyRange(i + 1, tuple(key), a, b) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+
+
 def write_table(df: DataFrame, table: str, options: dict, mode: str = "append", batch: int = 10_000) -> None:
     rest = {k: v for k, v in options.items() if k != "url"} | {"batchsize": str(batch)}
     df.write.jdbc(options["url"], table, mode=mode, properties=rest)
@@ -56,6 +92,46 @@ def execute(spark: SparkSession, options: dict, *statements: str) -> list[int]:
         con.close()
 
 
+def table_exists(spark: SparkSession, options: dict, table: str) -> bool:
+    """Whether the database answers a query for the table; other errors than its absence come up with the query that follows."""
+    rest = {k: v for k, v in options.items() if k != "url"}
+    try:
+        spark.read.jdbc(options["url"], f"(SELECT * FROM {table} WHERE 1 = 0) tideway_q", properties=rest)
+    except Exception:
+        return False
+    return True
+
+
+def ping(spark: SparkSession, options: dict) -> None:
+    """Open a connection and close it."""
+    execute(spark, options)
+
+
+def scalar(spark: SparkSession, options: dict, query: str):
+    """The single value of a query that the database runs."""
+    return query_rows(spark, options, query)[0][0]
+
+
+def query_rows(spark: SparkSession, options: dict, query: str) -> list:
+    """The few rows of a query that the database runs."""
+    own = {k: v for k, v in options.items() if k != "dbtable"}
+    return spark.read.format("jdbc").options(**own).option("query", query).load().collect()
+
+
+def stage(df: DataFrame, table: str, options: dict, tries: int = 2) -> int:
+    """Fill a staging table anew, with the types that tables here have; returns its rows. Spark writes each partition in a transaction, and a task that is lost after
+    it may come twice, so the table is counted against the rows that finished tasks wrote and filled again if they differ."""
+    columns = ", ".join(f"{dialect_of(options).quote(f.name)} {dialect_of(options).type_of(f.dataType)}" for f in df.schema)
+    for _ in range(tries):
+        seen = Observation()
+        execute(df.sparkSession, options, *([f"DROP TABLE {table}"] if table_exists(df.sparkSession, options, table) else []), f"CREATE TABLE {table} ({columns})")
+        write_table(df.observe(seen, F.count(F.lit(1)).alias("n")), table, options)
+        n = scalar(df.sparkSession, options, f"SELECT COUNT(*) AS n FROM {table}")
+        if n == seen.get["n"]:
+            return n
+    raise RuntimeError(f"staging table {table} has {n} rows where {seen.get['n']} were written")
+
+
 def staging_name(table: str, writer: str = "0", most: int = 60) -> str:
     """The staging table of one writer; a hash stands for the end of a name that would be too long."""
     name = f"stg_{table}_{writer}"
