@@ -61,8 +61,9 @@ def latest_running(runs: DataFrame) -> DataFrame:
 
 def superseded(runs: DataFrame) -> DataFrame:
     """Running runs after which a run of the same schemas succeeded."""
-    later = runs.where("status = 'success'").select("source_schema", "target_schema", F.col("started_at").alias("_later"))
-    return runs.where("status = 'running'").join(later, (runs.source_schema == later.source_schema) & (runs.target_schema == later.target_schema) & (F.col("_later") > runs.started_at), "left_semi")
+    of = ["source_schema", "target_schema"]
+    later = runs.where("status = 'success'").groupBy(*of).agg(F.max("started_at").alias("_later"))
+    return runs.where("status = 'running'").join(later, of).where("_later > started_at").select(*runs.columns)
 
 
 def expired(runs: DataFrame, now: Column, days: int) -> DataFrame:

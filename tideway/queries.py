@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import uuid
 from collections.abc import Callable
 
@@ -13,8 +14,8 @@ from tideway import catalog, storage
 from tideway.engine import Engine
 from tideway.functions import values as V
 from tideway.operators import analyze, merge, metrics, state, validate
-from tideway.plans import splits
-from tideway.sources import dialects, scan, tables
+from tideway.plans import ranges, splits
+from tideway.sources import dialects, keyed, scan, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,13 +37,13 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 class Rows:
-    """Literal rows for both engines."""
+    """Literal rows for both engines: settings, and cases beside rows of tables."""
 
     def __init__(self, schema: str, rows: list[tuple]) -> None:
         self.schema, self.rows = schema, rows
         self.names = [c.strip().split()[0] for c in schema.split(",")]
 
-    def df(self, spark: SparkSession) -> DataFrame:
+    def df(self, spark: SparkSession, d: str = "") -> DataFrame:
         plain = self.schema.replace("timestamp_ntz", "string")
         out = spark.createDataFrame(self.rows, plain)
         for c in self.schema.split(","):
@@ -63,6 +64,24 @@ class Rows:
         return f"(SELECT * FROM (VALUES {rows}) AS t({', '.join(self.names)}))"
 
 
+class Derived:
+    """Rows that one SELECT, which both engines read alike, makes of the given tables; their names stand in braces."""
+
+    def __init__(self, select: str) -> None:
+        self.select, self.tables = select, sorted(set(re.findall(r"{(\w+)}", select)))
+
+    def df(self, spark: SparkSession, d: str) -> DataFrame:
+        return spark.sql(self.select, **{t: table(spark, d, t) for t in self.tables})
+
+    def sql(self) -> str:
+        return "(" + self.select.format(**{t: t for t in self.tables}) + ")"
+
+
+def _word(words: str, at: str, sep: str = ",") -> str:
+    """SQL for one of some words, by a number."""
+    return f"split_part('{words}', '{sep}', CAST(({at}) % {len(words.split(sep))} + 1 AS INT))"
+
+
 ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
 
 
@@ -140,10 +159,12 @@ _KEYS = Rows("table_name string, n_key int, keyset boolean", [("customer", 1, Tr
 
 @query(f"SELECT c.table_name, n_rows, CASE WHEN n_rows <= 5000 OR n_key = 0 THEN 'full_table' WHEN keyset THEN 'keyset' ELSE 'row_number' END AS method, CASE WHEN n_rows <= 5000 OR n_key = 0 THEN 1 ELSE least(n_rows // 2000 + 1, 8) END AS partitions FROM ({_COUNTS}) c JOIN {_KEYS.sql()} k ON c.table_name = k.table_name")
 def split_strategy(spark, d):
-    rows = validate.counts({t: table(spark, d, t) for t in TABLES}).join(F.broadcast(_KEYS.df(spark)), "table_name")
-    single = (F.col("n_rows") <= 5000) | (F.col("n_key") == 0)
-    method = F.when(single, "full_table").when(F.col("keyset"), "keyset").otherwise("row_number")
-    return rows.select("table_name", "n_rows", method.alias("method"), F.when(single, F.lit(1)).otherwise(F.least(F.floor(F.col("n_rows") / 2000) + 1, F.lit(8))).cast("bigint").alias("partitions"))
+    keys = {t: (n, keyset) for t, n, keyset in _KEYS.rows}
+    rows = []
+    for t, n in validate.counts({t: table(spark, d, t) for t in TABLES}).collect():
+        method = splits.strategy(n, keys[t][1], keys[t][0] > 0, 5000)
+        rows.append((t, n, method, 1 if method == "full_table" else splits.split_count(n, 2000, 8)))
+    return spark.createDataFrame(rows, "table_name string, n_rows bigint, method string, partitions bigint")
 
 
 @query('SELECT c_custkey, c_name, c_nationkey AS "nation_key_", c_acctbal AS "col_2nd_balance", c_mktsegment AS "märkt" FROM customer')
@@ -152,34 +173,34 @@ def project_rename(spark, d):
     return catalog.renamed(odd)
 
 
-_NAMES = Rows("table_name string, column_name string", [("t", x) for x in ("Id", "order date", "2nd", "", "ok_name", "Straße", "a-b.c", "ÉTÉ", "9", "x$y#z")])
+_NAMES = Derived("SELECT 't' || p_size AS table_name, CASE p_partkey % 5 WHEN 0 THEN p_brand || ' ' || p_type WHEN 1 THEN p_partkey || p_name WHEN 2 THEN 'ok_' || p_partkey WHEN 3 THEN '' ELSE 'Straße-' || p_size || '.É$' END AS column_name FROM {part}")
 
 
 @query(f"SELECT * FROM (SELECT table_name, column_name AS old_name, CASE WHEN regexp_matches(c, '^\\p{{Nd}}') OR c = '' THEN 'col_' || c ELSE c END AS new_name FROM (SELECT *, regexp_replace(lower(column_name), '[^\\p{{L}}\\p{{Nd}}_]', '_', 'g') AS c FROM {_NAMES.sql()})) WHERE old_name <> new_name")
 def identifier_changes(spark, d):
-    return catalog.identifier_changes(_NAMES.df(spark))
+    return catalog.identifier_changes(_NAMES.df(spark, d))
 
 
 _CLEAN = lambda c: f"CASE WHEN regexp_matches(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{Nd}}_]', '_', 'g'), '^\\p{{Nd}}') OR {c} = '' THEN 'col_' ELSE '' END || regexp_replace(lower({c}), '[^\\p{{L}}\\p{{Nd}}_]', '_', 'g')"
-_MORE_NAMES = Rows("table_name string, column_name string", [("t", "Id"), ("t", "ok"), ("Order Details", "id"), ("plain", "id"), ("plain", "name"), ("2nd", "x y"), ("2nd", "z")])
+_MORE_NAMES = Derived("SELECT CASE c_nationkey % 3 WHEN 0 THEN c_mktsegment || c_nationkey WHEN 1 THEN 'plain' || c_nationkey ELSE c_nationkey || 'x y' END AS table_name, CASE WHEN c_nationkey % 2 = 0 THEN 'c' || c_custkey ELSE c_name END AS column_name FROM {customer}")
 
 
 @query(f"SELECT count(*) FILTER (own) AS table_changes, sum(n)::BIGINT AS column_changes, count(*) FILTER (own OR n > 0) AS tables_with_changes, count(*) FILTER (NOT own AND n = 0) AS tables_unchanged FROM (SELECT table_name, {_CLEAN('table_name')} <> table_name AS own, count(*) FILTER ({_CLEAN('column_name')} <> column_name) AS n FROM {_MORE_NAMES.sql()} GROUP BY table_name)")
 def identifier_totals(spark, d):
-    return catalog.change_totals(_MORE_NAMES.df(spark))
+    return catalog.change_totals(_MORE_NAMES.df(spark, d))
 
 
 @query(f"SELECT column_name, regexp_matches(column_name, '^[A-Za-z_][A-Za-z0-9_ $#]{{0,127}}$') AS valid FROM {_NAMES.sql()}")
 def identifier_valid(spark, d):
-    return _NAMES.df(spark).select("column_name", catalog.valid_identifier(F.col("column_name")).alias("valid"))
+    return _NAMES.df(spark, d).select("column_name", catalog.valid_identifier(F.col("column_name")).alias("valid"))
 
 
-_KEY_TYPES = Rows("name string, type_name string, scale int, n_key int", [("a", "INT", None, 1), ("b", "bigint", None, 1), ("c", "NUMBER", 0, 1), ("d", "NUMBER", 2, 1), ("e", "uuid", None, 1), ("f", "int4", None, 2), ("g", "decimal", None, 1), ("h", "varchar", None, 1), ("i", "mediumint", None, 1), ("j", "numeric", 0, 1), ("k", "SmallSerial", None, 1), ("l", "number", None, 1), ("m", "int", None, 0)])
+_KEY_TYPES = Derived(f"SELECT 'c' || p_partkey AS name, {_word('INT,bigint,NUMBER,uuid,int4,decimal,varchar,mediumint,numeric,SmallSerial,number', 'p_partkey')} AS type_name, CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 END AS scale, p_size % 3 AS n_key FROM {{part}}")
 
 
 @query(f"SELECT name, n_key = 1 AND (lower(type_name) IN ('int','bigint','smallint','tinyint','integer','serial','bigserial','smallserial','int4','int8','int2') OR (lower(type_name) = 'number' AND coalesce(scale, 0) = 0)) AS eligible FROM {_KEY_TYPES.sql()}")
 def keyset_eligible(spark, d):
-    return _KEY_TYPES.df(spark).select("name", catalog.keyset_eligible(F.col("type_name"), F.col("scale"), F.col("n_key")).alias("eligible"))
+    return _KEY_TYPES.df(spark, d).select("name", catalog.keyset_eligible(F.col("type_name"), F.col("scale"), F.col("n_key")).alias("eligible"))
 
 
 @query("SELECT event_id, ts FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS ts FROM events) WHERE ts >= TIMESTAMP '2024-01-20'")
@@ -188,12 +209,12 @@ def incremental_rows(spark, d):
     return rows.where(scan.since("ts", "2024-01-20"))
 
 
-_TABLE_NAMES = Rows("table_name string", [(x,) for x in ("Users", "user_log", "tmp_users", "orders", "Orders_Archive", "temp_x", "audit_log", "log2", "sales/eu", "backup_orders", "orders_bak", "badges", "posts_archived", "test_users", "users_test", "__migrations", "sysdiagrams", "mysysdiagrams", "aspnet_Roles", "ELMAH_Error", "old_users", "users_old", "logs_2020", "app_logs", "bak_users", "sales_history", "staging_x", "y_staging")])
+_TABLE_NAMES = Derived(f"SELECT DISTINCT {_word('temp_,tmp_,,audit_,old_,log_,test_,__,elmah,', 'c_custkey')} || {_word('users,Orders,orders,badges,posts,log2,sales/eu,user', 'c_nationkey')} || {_word('_archive,_bak,,_logs,_history,s,_archived', 'c_custkey + c_nationkey')} AS table_name FROM {{customer}}")
 
 
 @query(f"SELECT table_name FROM {_TABLE_NAMES.sql()} WHERE (regexp_matches(lower(table_name), '^user[^/]*$') OR regexp_matches(lower(table_name), '^[^/]*orders[^/]*$') OR regexp_matches(lower(table_name), '^log[0-9]$')) AND NOT regexp_matches(lower(table_name), '^[^/]*_archive$')")
 def table_glob_filter(spark, d):
-    return analyze.selected(_TABLE_NAMES.df(spark), ["user*", "*orders*", "log[0-9]"], ["*_archive"])
+    return analyze.selected(_TABLE_NAMES.df(spark, d), ["user*", "*orders*", "log[0-9]"], ["*_archive"])
 
 
 _EXCLUDED = " OR ".join(f"regexp_matches(lower(table_name), '{p}')" for p in "^temp_ _temp$ ^tmp_ _tmp$ ^log_ _log$ _logs$ ^audit_ _audit$ ^archive_ _archive$ _archived$ ^backup_ _backup$ _bak$ ^staging_ _staging$ ^test_ _test$ ^__ _history$ ^sysdiagrams$ ^aspnet_ ^elmah".split())
@@ -201,17 +222,17 @@ _EXCLUDED = " OR ".join(f"regexp_matches(lower(table_name), '{p}')" for p in "^t
 
 @query(f"SELECT table_name, ({_EXCLUDED}) AS candidate FROM {_TABLE_NAMES.sql()}")
 def exclude_candidates(spark, d):
-    return _TABLE_NAMES.df(spark).select("table_name", analyze.exclusion_candidate(F.col("table_name")).alias("candidate"))
+    return _TABLE_NAMES.df(spark, d).select("table_name", analyze.exclusion_candidate(F.col("table_name")).alias("candidate"))
 
 
-_SCHEMA = Rows("table_name string, column_name string, type_name string, ordinal int", [("a", "id", "int", 1), ("a", "CreatedAt", "datetime", 2), ("a", "LastModified", "datetime2", 3), ("b", "updated_at", "timestamp", 1), ("b", "birth", "date", 2), ("c", "modified", "varchar", 1), ("c", "ts", "timestamptz", 2), ("d", "CreationDate", "datetime", 1), ("d", "record_created", "date", 2), ("d", "changed_at", "date", 3), ("d", "modified", "date", 4), ("d", "UpdatedAt", "date", 5), ("d", "last_update", "date", 6)])
+_SCHEMA = Derived(f"SELECT 't' || (p_partkey % 200) AS table_name, {_word('id,CreatedAt,LastModified,updated_at,birth,modified,ts,CreationDate,record_created,changed_at,last_update,UpdatedAt', 'p_size')} AS column_name, {_word('int,datetime,datetime2,timestamp,date,varchar,timestamptz', 'p_partkey')} AS type_name, CAST(floor(p_partkey / 200.0) AS INT) AS ordinal FROM {{part}}")
 _CANDIDATES = Rows("pos int, candidate string", [(1, "modified"), (2, "updated_at"), (3, "createdat"), (4, "ts")])
 _DATES = "('date','datetime','datetime2','smalldatetime','datetimeoffset','timestamp','timestamptz','timestamp_ntz','timestamp without time zone','timestamp with time zone')"
 
 
 @query(f"SELECT table_name, arg_min(column_name, pos) AS date_column FROM {_SCHEMA.sql()} s JOIN {_CANDIDATES.sql()} c ON lower(s.column_name) = lower(c.candidate) WHERE lower(type_name) IN {_DATES} GROUP BY table_name")
 def date_column_pick(spark, d):
-    return analyze.date_column(_SCHEMA.df(spark), _CANDIDATES.df(spark))
+    return analyze.date_column(_SCHEMA.df(spark, d), _CANDIDATES.df(spark, d))
 
 
 _SCORES = " ".join(f"WHEN regexp_matches(lower(column_name), '{p}') THEN {i}" for i, p in enumerate(("^updated_?at$", "^modified_?(at|date|time)?$", "^last_?modified", "^changed_?(at|date)?$", "update", "modif", "^created_?at$", "^creation_?date$", "create")))
@@ -219,21 +240,23 @@ _SCORES = " ".join(f"WHEN regexp_matches(lower(column_name), '{p}') THEN {i}" fo
 
 @query(f"SELECT table_name, column_name, CASE {_SCORES} ELSE 10 END AS score, row_number() OVER (PARTITION BY table_name ORDER BY CASE {_SCORES} ELSE 10 END, ordinal) AS place FROM {_SCHEMA.sql()} WHERE lower(type_name) IN {_DATES}")
 def date_column_rank(spark, d):
-    return analyze.ranked_date_columns(_SCHEMA.df(spark))
+    return analyze.ranked_date_columns(_SCHEMA.df(spark, d))
 
 
 @query(f"SELECT column_name, min(score) AS score FROM (SELECT column_name, CASE {_SCORES} ELSE 10 END AS score FROM {_SCHEMA.sql()} WHERE lower(type_name) IN {_DATES}) GROUP BY column_name")
 def suggested_date_columns(spark, d):
-    return analyze.suggested_columns(analyze.ranked_date_columns(_SCHEMA.df(spark)))
-
-
-_MESSAGES = Rows("id int, message string", [(i, m) for i, m in enumerate((
-    "open state.db: permission denied", "validation failed: 3 tables", "invalid configuration: no source", "dial tcp: connection refused", "deadlock victim", "context canceled",
-    "checkpoint is corrupt", "something else", "read: i/o timeout", "bulk insert failed", "row count differs in t", "yaml: line 3", "yaml: cannot connect", "json: bad value", "no pk on t",
-    "ping failed", "connection pool exhausted", "authentication failed for user", "login failed for user sa", "truncate t failed", "run not found", "interrupted by user", "too many connections",
-    "unexpected EOF", "server is shutting down", "please retry", "broken pipe", "connection reset by peer", "lock timeout exceeded", "context deadline exceeded", "temporarily unavailable",
-    "no such file or directory", "config changed since last run", "upsert requires a primary key", "schema extraction failed", "invalid value for chunk_size", "connection timed out", None,
-))])
+    return analyze.suggested_columns(analyze.ranked_date_columns(_SCHEMA.df(spark, d)))
+
+
+_MESSAGE_TEXTS = (
+    "open state.db: permission denied|validation failed: 3 tables|invalid configuration: no source|dial tcp: connection refused|deadlock victim"
+    "|context canceled|checkpoint is corrupt|something else|read: i/o timeout|bulk insert failed|row count differs in t|yaml: line 3|yaml: cannot connect"
+    "|json: bad value|no pk on t|ping failed|connection pool exhausted|authentication failed for user|login failed for user sa|truncate t failed"
+    "|run not found|interrupted by user|too many connections|unexpected EOF|server is shutting down|please retry|broken pipe|connection reset by peer"
+    "|lock timeout exceeded|context deadline exceeded|temporarily unavailable|no such file or directory|config changed since last run"
+    "|upsert requires a primary key|schema extraction failed|invalid value for chunk_size|connection timed out"
+)
+_MESSAGES = Derived(f"SELECT doc_id AS id, CASE WHEN doc_id % 41 > 0 THEN {_word(_MESSAGE_TEXTS, 'doc_id', '|')} || ' ' || substr(text, 1, 80) END AS message FROM {{documents}}")
 _ANY = lambda column, parts: "(" + " OR ".join(f"contains({column}, '{p}')" for p in parts.split("|")) + ")"
 _MESSAGE = "lower(message)"
 _CODES = f"""CASE WHEN message IS NULL THEN 0
@@ -248,20 +271,20 @@ WHEN {_ANY(_MESSAGE, 'state|checkpoint|resume|run not found|already completed|co
 
 @query(f"SELECT id, {_CODES} AS code, {_CODES} IN (2, 5, 7) AS recoverable FROM {_MESSAGES.sql()}")
 def exit_code(spark, d):
-    return _MESSAGES.df(spark).select("id", analyze.exit_code(F.col("message")).alias("code"), analyze.recoverable(F.col("message")).alias("recoverable"))
+    return _MESSAGES.df(spark, d).select("id", analyze.exit_code(F.col("message")).alias("code"), analyze.recoverable(F.col("message")).alias("recoverable"))
 
 
 @query(f"SELECT id, coalesce({_ANY(_MESSAGE, 'connection reset|connection refused|connection timed out|deadlock|lock timeout|too many connections|server is shutting down|broken pipe|unexpected eof|i/o timeout|context deadline exceeded|retry')}, FALSE) AS retryable FROM {_MESSAGES.sql()}")
 def retryable_error(spark, d):
-    return _MESSAGES.df(spark).select("id", analyze.retryable(F.col("message")).alias("retryable"))
+    return _MESSAGES.df(spark, d).select("id", analyze.retryable(F.col("message")).alias("retryable"))
 
 
-_SQLS = Rows("id int, q string", [(1, "SELECT 1"), (2, "delete from t"), (3, "select updated_at from t"), (4, "WITH x AS (SELECT 1) SELECT * FROM x"), (5, "EXEC p"), (6, " show variables "), (7, "select replace(a, 'b', 'c') from t"), (8, "merge into t"), (9, "explain select 1"), (10, "EXECUTE sp_rename 'a', 'b'"), (11, "describe t"), (12, "")])
+_SQLS = Derived(f"SELECT doc_id AS id, {_word('SELECT 1|delete from t|select updated_at from t|WITH x AS (SELECT 1) SELECT * FROM x|EXEC p| show variables |select replace(a, b, c) from t|merge into t|explain select 1|EXECUTE sp_rename a, b|describe t|', 'doc_id', '|')} || ' ' || substr(text, 1, 60) AS q FROM {{documents}}")
 
 
 @query(f"SELECT id, NOT {_ANY('upper(q)', 'DROP|DELETE|UPDATE|INSERT|ALTER|TRUNCATE|CREATE|GRANT|REVOKE|RENAME|REPLACE')} AND regexp_matches(upper(trim(q)), '^(SELECT|SHOW|EXEC|DESCRIBE|EXPLAIN)') AS allowed FROM {_SQLS.sql()}")
 def read_only_guard(spark, d):
-    return _SQLS.df(spark).select("id", analyze.read_only(F.col("q")).alias("allowed"))
+    return _SQLS.df(spark, d).select("id", analyze.read_only(F.col("q")).alias("allowed"))
 
 
 _TARGET = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 2"
@@ -365,101 +388,95 @@ def checksum_diff(spark, d):
     return validate.checksum_diff(source, target, ["o_orderkey"])
 
 
-_RUNS = Rows(state.RUNS.replace("string", "string"), [
-    ("r1", "2024-01-01 10:00:00", "2024-01-01 11:00:00", "success", "dbo", "public"), ("r2", "2024-01-02 10:00:00", None, "running", "dbo", "public"), ("r3", "2024-01-03 10:00:00", "2024-01-03 12:00:00", "success", "dbo", "public"),
-    ("r4", "2024-02-01 10:00:00", "2024-02-01 10:30:00", "partial", "dbo", "public"), ("r5", "2024-02-20 10:00:00", None, "running", "sales", "public"), ("r6", "2024-02-19 10:00:00", "2024-02-19 11:00:00", "failed", "sales", "public"),
-])
-_TASKS = Rows(state.TASKS, [
-    (1, "r5", "transfer:sales.orders:p1", "success", None), (2, "r5", "transfer:sales.orders:p2", "failed", "timeout"), (3, "r5", "transfer:sales.items", "success", None), (4, "r5", "transfer:sales.users:p1", "running", None),
-    (5, "r5", "transfer:sales.users:p2", "pending", None), (6, "r2", "transfer:dbo.t", "pending", None), (7, "r5", "transfer:sales.new", "pending", None),
-])
-_PROGRESS = Rows(state.PROGRESS, [(1, 500, 500, 500), (2, 700, 200, 400), (3, 90, 90, 90), (4, 10, 10, 40)])
+_RUNS = Derived(f"SELECT 'r' || o_orderkey AS run_id, o_orderdate AS started_at, CASE WHEN o_orderkey % 4 <> 1 THEN o_orderdate + INTERVAL '1' HOUR END AS completed_at, {_word('success,running,partial,failed', 'o_orderkey')} AS status, 's' || (o_custkey % 500) AS source_schema, 'public' AS target_schema FROM {{orders}}")
+_TASKS = Derived(f"SELECT event_id AS task_id, 'r' || user_id AS run_id, 'transfer:' || event_type || '.t' || (user_id % 20) || CASE WHEN event_id % 3 > 0 THEN ':p' || (event_id % 3) ELSE '' END AS task_key, CASE WHEN user_id % 20 > 12 THEN 'success' ELSE {_word('success,failed,running,pending', 'CASE WHEN user_id % 20 > 8 THEN 0 WHEN user_id % 20 > 5 THEN event_id % 2 * 2 ELSE event_id END')} END AS status, CASE WHEN event_id % 4 = 1 THEN 'timeout' END AS error FROM {{events}}")
+_PROGRESS = Derived("SELECT event_id AS task_id, user_id AS last_key, event_id % 700 AS rows_done, event_id % 700 + CASE WHEN user_id % 20 > 15 THEN 0 ELSE event_id % 3 * 10 END AS rows_total FROM {events} WHERE event_id % 4 <> 3")
 _JOINED = f"(SELECT t.task_id, run_id, task_key, status, coalesce(rows_done, 0) AS rows_done, coalesce(rows_total, 0) AS rows_total FROM {_TASKS.sql()} t LEFT JOIN {_PROGRESS.sql()} p ON t.task_id = p.task_id)"
 _ROLLUP = f"(SELECT regexp_extract(task_key, '^transfer:(.*?)(?::p[0-9]+)?$', 1) AS table_name, sum(rows_done)::BIGINT AS rows_done, sum(rows_total)::BIGINT AS rows_total, count(*) AS n_tasks, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'running') THEN 'running' WHEN bool_or(status = 'pending') THEN 'pending' ELSE 'success' END AS status FROM {_JOINED} GROUP BY 1)"
 
 
-def _joined(spark: SparkSession) -> DataFrame:
-    return state.task_progress(_TASKS.df(spark), _PROGRESS.df(spark))
+def _joined(spark: SparkSession, d: str) -> DataFrame:
+    return state.task_progress(_TASKS.df(spark, d), _PROGRESS.df(spark, d))
 
 
 @query(f"SELECT * FROM {_JOINED}")
 def task_progress(spark, d):
-    return _joined(spark)
+    return _joined(spark, d)
 
 
 @query(f"SELECT run_id, count(*) AS total, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failed') AS failed FROM {_TASKS.sql()} GROUP BY run_id")
 def run_stats(spark, d):
-    return state.run_stats(_TASKS.df(spark))
+    return state.run_stats(_TASKS.df(spark, d))
 
 
 @query(f"SELECT * FROM {_ROLLUP}")
 def table_rollup(spark, d):
-    return state.table_rollup(_joined(spark))
+    return state.table_rollup(_joined(spark, d))
 
 
 @query(f"SELECT run_id, sum(rows_done)::BIGINT AS rows_done, sum(rows_total)::BIGINT AS rows_total, CASE WHEN sum(rows_total) > 0 THEN round(100.0 * sum(rows_done)::DOUBLE / sum(rows_total)::DOUBLE, 4) ELSE 0.0 END::DOUBLE AS percent FROM {_JOINED} GROUP BY run_id")
 def run_progress(spark, d):
-    return state.run_progress(_joined(spark))
+    return state.run_progress(_joined(spark, d))
 
 
-@query(f"SELECT run_id, source_schema FROM {_RUNS.sql()} WHERE status = 'running' ORDER BY started_at DESC LIMIT 1")
+@query(f"SELECT run_id, source_schema FROM {_RUNS.sql()} WHERE status = 'running' ORDER BY started_at DESC, run_id DESC LIMIT 1")
 def latest_run(spark, d):
-    return state.latest_running(_RUNS.df(spark)).select("run_id", "source_schema")
+    return state.latest_running(_RUNS.df(spark, d)).select("run_id", "source_schema")
 
 
 @query(f"SELECT run_id FROM {_RUNS.sql()} a WHERE status = 'running' AND EXISTS (SELECT 1 FROM {_RUNS.sql()} b WHERE b.status = 'success' AND b.source_schema = a.source_schema AND b.target_schema = a.target_schema AND b.started_at > a.started_at)")
 def superseded_runs(spark, d):
-    return state.superseded(_RUNS.df(spark)).select("run_id")
+    return state.superseded(_RUNS.df(spark, d)).select("run_id")
 
 
-@query(f"SELECT run_id FROM {_RUNS.sql()} WHERE status IN ('success', 'failed') AND completed_at < TIMESTAMP '2024-03-01' - INTERVAL 30 DAY")
+@query(f"SELECT run_id FROM {_RUNS.sql()} WHERE status IN ('success', 'failed') AND completed_at < TIMESTAMP '1998-01-01' - INTERVAL 30 DAY")
 def expired_runs(spark, d):
-    return state.expired(_RUNS.df(spark), F.lit("2024-03-01").cast("timestamp_ntz"), 30).select("run_id")
+    return state.expired(_RUNS.df(spark, d), F.lit("1998-01-01").cast("timestamp_ntz"), 30).select("run_id")
 
 
-@query(f"SELECT task_id FROM {_TASKS.sql()} WHERE run_id NOT IN (SELECT run_id FROM {_RUNS.sql()} WHERE status IN ('success', 'failed', 'running') AND started_at < TIMESTAMP '2024-02-01')")
+@query(f"SELECT task_id FROM {_TASKS.sql()} WHERE run_id NOT IN (SELECT run_id FROM {_RUNS.sql()} WHERE status IN ('success', 'failed', 'running') AND started_at < TIMESTAMP '1995-02-01')")
 def retained_tasks(spark, d):
-    return state.without(_TASKS.df(spark), _RUNS.df(spark).where("status in ('success', 'failed', 'running') and started_at < timestamp_ntz'2024-02-01'")).select("task_id")
+    return state.without(_TASKS.df(spark, d), _RUNS.df(spark, d).where("status in ('success', 'failed', 'running') and started_at < timestamp_ntz'1995-02-01'")).select("task_id")
 
 
-_TARGET_ROWS = Rows("table_name string, n_rows bigint", [("sales.orders", 650), ("sales.items", 90), ("sales.users", 12), ("dbo.t", 0)])
+_TARGET_ROWS = Derived("SELECT event_type || '.t' || (user_id % 20) AS table_name, CAST(sum(CASE WHEN event_id % 4 <> 3 THEN event_id % 700 ELSE 0 END) + CASE user_id % 20 % 4 WHEN 0 THEN 0 WHEN 1 THEN -5 ELSE 5 END AS BIGINT) AS n_rows FROM {events} WHERE user_id % 20 <> 7 GROUP BY event_type, user_id % 20")
 
 
 @query(f"SELECT r.table_name, CASE WHEN n_rows IS NULL THEN 'create' WHEN status = 'success' AND n_rows = rows_total THEN 'skip' WHEN n_rows < rows_done THEN 'restart' ELSE 'continue' END AS action FROM {_ROLLUP} r LEFT JOIN {_TARGET_ROWS.sql()} t ON r.table_name = t.table_name")
 def resume_plan(spark, d):
-    return state.resume_plan(_joined(spark), _TARGET_ROWS.df(spark))
+    return state.resume_plan(_joined(spark, d), _TARGET_ROWS.df(spark, d))
 
 
-_ACKS = Rows("reader_id int, seq bigint, last_key bigint", [(1, 0, 150), (0, 1, 60), (0, 0, 40), (1, 2, 190), (0, 1, 60), (2, 1, 260)])
-_RANGES = Rows("reader_id int, above bigint, up_to bigint", [(0, 0, 99), (1, 100, 199), (2, 200, 299)])
+_ACKS = Derived("SELECT CAST(event_id % 100 AS INT) AS reader_id, CAST(floor(event_id / 100.0) AS BIGINT) AS seq, event_id AS last_key FROM {events} WHERE event_id % 977 <> 500")
+_RANGES = Derived("SELECT CAST(event_id % 100 AS INT) AS reader_id, min(event_id) - 1 AS above, max(event_id) AS up_to FROM {events} GROUP BY event_id % 100")
 _CONTIGUOUS = f"(SELECT reader_id, max(seq) AS seq, arg_max(last_key, seq) AS last_key FROM (SELECT *, row_number() OVER (PARTITION BY reader_id ORDER BY seq) - 1 AS n FROM (SELECT DISTINCT * FROM {_ACKS.sql()})) WHERE seq = n GROUP BY reader_id)"
 
 
 @query(f"SELECT * FROM {_CONTIGUOUS}")
 def contiguous_acks(spark, d):
-    return state.contiguous(_ACKS.df(spark))
+    return state.contiguous(_ACKS.df(spark, d))
 
 
 @query(f"SELECT coalesce(arg_min(last, reader_id) FILTER (last < up_to), max(up_to)) AS checkpoint FROM (SELECT r.*, coalesce(last_key, above) AS last FROM {_RANGES.sql()} r LEFT JOIN {_CONTIGUOUS} c ON r.reader_id = c.reader_id)")
 def safe_checkpoint(spark, d):
-    return state.safe_checkpoint(_ACKS.df(spark), _RANGES.df(spark))
+    return state.safe_checkpoint(_ACKS.df(spark, d), _RANGES.df(spark, d))
 
 
-_SYNC_TABLES = Rows("table_name string, date_column string", [("a", "ts"), ("b", None), ("c", "updated")])
-_MARKS = Rows("table_name string, mark timestamp_ntz", [("a", "2024-01-01 00:00:00")])
+_SYNC_TABLES = Derived("SELECT c_name AS table_name, CASE WHEN c_nationkey % 3 > 0 THEN 'ts' END AS date_column FROM {customer}")
+_MARKS = Derived("SELECT c_name AS table_name, max(o_orderdate) AS mark FROM {customer} JOIN {orders} ON c_custkey = o_custkey WHERE c_nationkey % 2 = 0 GROUP BY c_name")
 
 
 @query(f"SELECT t.table_name, CASE WHEN date_column IS NULL THEN 'no_date_column' WHEN mark IS NULL THEN 'first_sync' ELSE 'incremental' END AS mode FROM {_SYNC_TABLES.sql()} t LEFT JOIN {_MARKS.sql()} m ON t.table_name = m.table_name")
 def sync_classes(spark, d):
-    return state.sync_plan(_SYNC_TABLES.df(spark), _MARKS.df(spark))
+    return state.sync_plan(_SYNC_TABLES.df(spark, d), _MARKS.df(spark, d))
 
 
-_FAILS = Rows("table_name string, seq int, error string", [("a", 2, "late"), ("a", 1, "early"), ("b", 1, None), ("c", 5, "x")])
+_FAILS = Derived("SELECT event_type || (user_id % 50) AS table_name, event_id AS seq, CASE WHEN event_id % 3 > 0 THEN 'e' || event_id END AS error FROM {events}")
 
 
 @query(f"SELECT table_name, arg_min(error, seq) AS error FROM {_FAILS.sql()} WHERE error IS NOT NULL GROUP BY table_name")
 def first_failures(spark, d):
-    return state.first_failures(_FAILS.df(spark))
+    return state.first_failures(_FAILS.df(spark, d))
 
 
 _HOURLY = "SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, count(*)::DOUBLE AS throughput, (sum(user_id) % 100)::DOUBLE AS cpu, (sum(event_id) % 100)::DOUBLE AS memory FROM events GROUP BY 1"
@@ -513,33 +530,33 @@ def timing_profile(spark, d):
 
 @query(f"SELECT count(*) FILTER (status = 'success') AS tables_complete, count(*) AS tables_total, count(*) FILTER (running) AS tables_running, sum(done)::BIGINT AS rows_transferred, sum(total)::BIGINT AS rows_total, round(sum(done) * 100.0 / sum(total), 4)::DOUBLE AS progress_pct, (sum(done)::BIGINT // 10)::BIGINT AS rows_per_second, string_agg(CASE WHEN running THEN table_name END, ',' ORDER BY table_name) AS current_tables, count(*) FILTER (failed) AS error_count FROM (SELECT regexp_extract(task_key, '^transfer:(.*?)(?::p[0-9]+)?$', 1) AS table_name, sum(rows_done) AS done, sum(rows_total) AS total, bool_or(status = 'running') AS running, bool_or(status = 'failed') AS failed, CASE WHEN bool_and(status = 'success') THEN 'success' END AS status FROM {_JOINED} GROUP BY 1)")
 def progress_update(spark, d):
-    return metrics.progress_update(_joined(spark).select(V.task_table(F.col("task_key")).alias("table_name"), "status", "rows_done", "rows_total"), 10.0)
+    return metrics.progress_update(_joined(spark, d).select(V.task_table(F.col("task_key")).alias("table_name"), "status", "rows_done", "rows_total"), 10.0)
 
 
-_STATS = Rows("table_name string, n_rows bigint, avg_bytes bigint", [("a", 1000, 100), ("b", 5000, 3000), ("c", 10, 0), ("d", 200, 50), ("e", 9000, 120), ("f", 0, 10), ("g", 400, 80)])
+_STATS = Derived("SELECT p_brand || p_size AS table_name, count(*) AS n_rows, CASE WHEN min(p_partkey) % 9 = 0 THEN 0 ELSE max(p_partkey) END AS avg_bytes FROM {part} GROUP BY p_brand, p_size")
 
 
 @query(f"SELECT round(sum(n_rows * avg_bytes)::DOUBLE / sum(n_rows)::DOUBLE, 4) AS weighted, max(avg_bytes) AS largest, arg_max(table_name, avg_bytes) AS largest_table FROM {_STATS.sql()} WHERE avg_bytes > 0")
 def row_size_stats(spark, d):
-    return metrics.row_size_stats(_STATS.df(spark))
+    return metrics.row_size_stats(_STATS.df(spark, d))
 
 
 @query(f"SELECT * FROM {_STATS.sql()} ORDER BY n_rows DESC, table_name LIMIT 5")
 def largest_tables(spark, d):
-    return metrics.largest(_STATS.df(spark))
+    return metrics.largest(_STATS.df(spark, d))
 
 
 @query(f"SELECT least(coalesce(floor(avg(avg_bytes)), 500), 2000)::BIGINT AS row_bytes FROM (SELECT * FROM {_STATS.sql()} ORDER BY n_rows DESC, table_name LIMIT 5) WHERE n_rows > 0 AND avg_bytes > 0")
 def avg_row_size(spark, d):
-    return metrics.average_row_size(_STATS.df(spark))
+    return metrics.average_row_size(_STATS.df(spark, d))
 
 
-_ACTIONS = Rows("action string, before double, after double", [("scale_up", 100.0, 150.0), ("scale_up", 100.0, 130.0), ("reduce_chunk", 200.0, 210.0), ("more_readers", 50.0, 80.0), ("none", 0.0, 10.0), ("less_memory", 10.0, 12.0)])
+_ACTIONS = Derived("SELECT event_type || (user_id % 5) AS action, CAST(event_id % 100 AS DOUBLE) AS before, CAST(event_id % 100 + user_id % 5 * 4 AS DOUBLE) AS after FROM {events}")
 
 
 @query(f"SELECT action, count(*) AS n, round(avg((after - before) / before * 100), 4) AS mean_effect FROM {_ACTIONS.sql()} WHERE before > 0 GROUP BY action HAVING round(avg((after - before) / before * 100), 4) > 10 ORDER BY mean_effect DESC, action LIMIT 3")
 def action_effects(spark, d):
-    return metrics.action_effects(_ACTIONS.df(spark))
+    return metrics.action_effects(_ACTIONS.df(spark, d))
 
 
 @query("SELECT 'orders' AS table_name, coalesce(max(o_orderkey), 0) + 1 AS next_value FROM orders UNION ALL SELECT 'part', coalesce(max(p_partkey), 0) + 1 FROM part")
@@ -558,12 +575,12 @@ def row_sample(spark, d):
     return scan.row_sample(table(spark, d, "customer"), ["c_custkey"], ["c_name", "c_nationkey"])
 
 
-_KEYCOLS = Rows("index_name string, pos int, column_name string", [("pk", 2, "b"), ("pk", 1, "a"), ("ix", 1, "z"), ("pk", 3, "c")])
+_KEYCOLS = Derived("SELECT p_brand AS index_name, p_partkey AS pos, p_type AS column_name FROM {part}")
 
 
 @query(f"SELECT index_name, string_agg(column_name, ',' ORDER BY pos) AS cols FROM {_KEYCOLS.sql()} GROUP BY index_name")
 def key_columns_agg(spark, d):
-    return analyze.key_columns(_KEYCOLS.df(spark))
+    return analyze.key_columns(_KEYCOLS.df(spark, d))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN substr(md5(o_orderpriority), 1, (o_orderkey % 5 * 2)::INT) END AS raw, o_orderkey % 3 <> 0 AS flag, CASE WHEN o_orderkey % 4 > 0 THEN o_orderdate END AS ts FROM orders")
@@ -615,7 +632,7 @@ _REDACTED = lambda source, key: f"""SELECT {key}, CASE WHEN dg BETWEEN 10 AND 15
 @query(f"{_REDACTED('documents', 'doc_id')} UNION ALL {_REDACTED('(SELECT id::BIGINT AS doc_id, text FROM ' + _TEXTS.sql() + ')', 'doc_id')}")
 def redact_text(spark, d):
     out = lambda df, key: df.select(F.col(key).cast("bigint").alias("doc_id"), V.redacted(F.col("text")).alias("redacted"))
-    return out(table(spark, d, "documents"), "doc_id").union(out(_TEXTS.df(spark), "id"))
+    return out(table(spark, d, "documents"), "doc_id").union(out(_TEXTS.df(spark, d), "id"))
 
 
 _N = "(o_orderkey % 900 + 10) * CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 100 WHEN 2 THEN 100000 ELSE 100000000 END"
@@ -669,57 +686,62 @@ def quoted_names(spark, d):
     return table(spark, d, "customer").select("c_custkey", *[dialects.quoted(name, c).alias(c) for c in ("mssql", "postgres", "mysql", "oracle")])
 
 
-_SPATIAL_SQL = [
-    ("postgres", 'SELECT "id", ST_AsText("place") AS "place", "shape" FROM "geo"."t"'), ("mssql", "SELECT [id], [place].STAsText() AS [place], [shape] FROM [geo].[t] WITH (NOLOCK)"),
-    ("mysql", "SELECT `id`, ST_AsText(`place`) AS `place`, ST_AsText(`shape`) AS `shape` FROM `geo`.`t`"), ("oracle", "SELECT ID, PLACE, SHAPE FROM GEO.T"),
-]
+_CATALOG_TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
+_AS_TEXT = {"postgres": ('"{0}"', 'ST_AsText("{0}") AS "{0}"', '"geo"."{0}"'), "mssql": ("[{0}]", "[{0}].STAsText() AS [{0}]", "[geo].[{0}] WITH (NOLOCK)"), "mysql": ("`{0}`", "ST_AsText(`{0}`) AS `{0}`", "`geo`.`{0}`")}
+_SPATIAL_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS connector, '{t}' AS table_name, 'SELECT ' || string_agg(CASE WHEN column_type = 'VARCHAR' THEN replace('{text}', '{{0}}', column_name) ELSE replace('{plain}', '{{0}}', column_name) END, ', ') || ' FROM {place.format(t)}' AS sql FROM (DESCRIBE {t})"
+    for c, (plain, text, place) in _AS_TEXT.items()
+    for t in _CATALOG_TABLES
+)
 
 
-@query(f"SELECT * FROM {Rows('connector string, sql string', _SPATIAL_SQL).sql()}")
+@query(_SPATIAL_SQL)
 def spatial_projection(spark, d):
-    rows = [(c, dialects.dialect(c).read_query("geo", "t", [("id", "int"), ("place", "geometry"), ("shape", "point")], "other")) for c in ("postgres", "mssql", "mysql", "oracle")]
-    return spark.createDataFrame(rows, "connector string, sql string")
+    """The queries that would read every table of the folder, were its texts geometries."""
+    kinds = {t: [(c, "geometry" if k == "string" else k) for c, k in table(spark, d, t).dtypes] for t in tables.list_folder(spark, d)}
+    rows = [(c, t, dialects.dialect(c).read_query("geo", t, columns, "other")) for c in _AS_TEXT for t, columns in kinds.items()]
+    return spark.createDataFrame(rows, "connector string, table_name string, sql string")
 
 
-_WORDS = Rows("name string", [(x,) for x in ("Order", "id", "User", "title", "rowid", "SESSION", "desc", "description", "view", "start")])
+_WORDS = Derived(f"SELECT p_partkey, {_word('Order,id,User,title,rowid,SESSION,desc,description,view,start', 'p_partkey')} || CASE WHEN p_size % 2 = 0 THEN '' ELSE CAST(p_size AS STRING) END AS name FROM {{part}}")
 
 
-@query(f"SELECT name, lower(name) IN ('order', 'user', 'desc', 'view') AS reserved, lower(name) IN ('order', 'user', 'desc', 'view', 'rowid', 'session', 'start') AS reserved_oracle FROM {_WORDS.sql()}")
+@query(f"SELECT p_partkey, name, lower(name) IN ('order', 'user', 'desc', 'view') AS reserved, lower(name) IN ('order', 'user', 'desc', 'view', 'rowid', 'session', 'start') AS reserved_oracle FROM {_WORDS.sql()}")
 def reserved_words(spark, d):
-    return _WORDS.df(spark).select("name", V.is_reserved(F.col("name")).alias("reserved"), V.is_reserved(F.col("name"), "oracle").alias("reserved_oracle"))
+    return _WORDS.df(spark, d).select("p_partkey", "name", V.is_reserved(F.col("name")).alias("reserved"), V.is_reserved(F.col("name"), "oracle").alias("reserved_oracle"))
 
 
-_DDL = "CREATE TABLE t (id BIGINT NOT NULL, name VARCHAR(20) NULL DEFAULT 'x', \"big one\" DECIMAL(10, 2), d DATE DEFAULT now()\n)"
-_DDL_TYPES = Rows("name string, kind string", [("id", "BIGINT"), ("name", "VARCHAR(20)"), ("big one", "DECIMAL(10, 2)"), ("d", "DATE"), ("none", None)])
+_DDL = """'CREATE TABLE t (id BIGINT NOT NULL, c' || p_size || ' VARCHAR(' || p_partkey || ') NULL DEFAULT 2, "big one" DECIMAL(' || (p_size + 2) || ', 2), d DATE DEFAULT now())'"""
+_ASKED = "CASE p_partkey % 5 WHEN 0 THEN 'id' WHEN 1 THEN 'c' || p_size WHEN 2 THEN 'big one' WHEN 3 THEN 'd' ELSE 'none' END"
 
 
-@query(f"SELECT * FROM {_DDL_TYPES.sql()}")
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'BIGINT' WHEN 1 THEN 'VARCHAR(' || p_partkey || ')' WHEN 2 THEN 'DECIMAL(' || (p_size + 2) || ', 2)' WHEN 3 THEN 'DATE' END AS kind FROM part")
 def ddl_types(spark, d):
-    return _DDL_TYPES.df(spark).select("name", V.ddl_type(F.lit(_DDL), F.col("name")).alias("kind"))
+    return table(spark, d, "part").select("p_partkey", V.ddl_type(F.expr(_DDL), F.expr(_ASKED)).alias("kind"))
 
 
-_ALL_TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
+_ALL_TABLES = _CATALOG_TABLES
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in _ALL_TABLES))
 def table_list(spark, d):
-    return spark.createDataFrame([(t, tables.footer_count(table(spark, d, t))) for t in tables.list_folder(spark, d)], "table_name string, n_rows bigint")
+    return tables.footer_counts({t: table(spark, d, t) for t in tables.list_folder(spark, d)})
 
 
-_CONSTRAINTS = Rows("constraint_name string, table_name string, constraint_type string", [("pk_o", "orders", "PRIMARY KEY"), ("pk_c", "conversations", "PRIMARY KEY"), ("fk_o", "orders", "FOREIGN KEY"), ("uq_c", "customer", "UNIQUE")])
-_KEY_USAGE = Rows("constraint_name string, table_name string, column_name string, pos int", [("pk_o", "orders", "o_orderkey", 1), ("pk_c", "conversations", "turn", 2), ("pk_c", "conversations", "conv_id", 1), ("fk_o", "orders", "o_custkey", 1), ("uq_c", "customer", "c_name", 1), ("pk_o", "other", "x", 1)])
-_COLUMN_ROWS = Rows("table_name string, column_name string, type_name string, ordinal int", [("orders", "o_orderkey", "bigint", 1), ("orders", "o_custkey", "bigint", 2), ("conversations", "conv_id", "bigint", 1), ("conversations", "turn", "bigint", 2), ("conversations", "role", "string", 3)])
+_CONSTRAINTS = Derived("SELECT 'pk_' || p_brand AS constraint_name, p_brand AS table_name, 'PRIMARY KEY' AS constraint_type FROM {part} GROUP BY p_brand UNION ALL SELECT 'uq_' || p_brand, p_brand, 'UNIQUE' FROM {part} GROUP BY p_brand")
+_KEY_USAGE = Derived("SELECT CASE WHEN p_size < 6 THEN 'pk_' ELSE 'uq_' END || p_brand AS constraint_name, p_brand AS table_name, 'c' || p_size AS column_name, 10 - p_size AS pos FROM {part} WHERE p_size < 9 GROUP BY p_brand, p_size")
+_COLUMN_ROWS = Derived("SELECT p_brand AS table_name, 'c' || p_size AS column_name, CASE WHEN p_size % 2 = 0 THEN 'bigint' ELSE 'string' END AS type_name, p_size AS ordinal FROM {part} GROUP BY p_brand, p_size")
 _PRIMARY = f"(SELECT c.table_name, k.column_name, k.pos FROM {_CONSTRAINTS.sql()} c JOIN {_KEY_USAGE.sql()} k ON c.constraint_name = k.constraint_name AND c.table_name = k.table_name WHERE constraint_type = 'PRIMARY KEY')"
 
 
 @query(f"SELECT table_name, string_agg(column_name, ',' ORDER BY pos) AS cols FROM {_PRIMARY} GROUP BY table_name")
 def primary_keys(spark, d):
-    return tables.primary_keys(_CONSTRAINTS.df(spark), _KEY_USAGE.df(spark))
+    return tables.primary_keys(_CONSTRAINTS.df(spark, d), _KEY_USAGE.df(spark, d))
 
 
 @query(f"SELECT c.*, p.pos AS key_pos FROM {_COLUMN_ROWS.sql()} c LEFT JOIN {_PRIMARY} p ON c.table_name = p.table_name AND c.column_name = p.column_name")
 def described_columns(spark, d):
-    return tables.described(_COLUMN_ROWS.df(spark), _CONSTRAINTS.df(spark), _KEY_USAGE.df(spark))
+    return tables.described(_COLUMN_ROWS.df(spark, d), _CONSTRAINTS.df(spark, d), _KEY_USAGE.df(spark, d))
 
 
 def _engine(spark: SparkSession, source: str, specs: list, **more) -> Engine:
@@ -769,7 +791,7 @@ def truncate_and_hash(spark, d):
 
 @query(f"SELECT task_id, regexp_extract(task_key, '^transfer:(.*?)(?::p[0-9]+)?$', 1) AS table_name, CAST(nullif(regexp_extract(task_key, ':p([0-9]+)$', 1), '') AS BIGINT) AS part, task_key AS rebuilt FROM {_TASKS.sql()}")
 def task_key_parse(spark, d):
-    return _TASKS.df(spark).select("task_id", V.task_table(F.col("task_key")).alias("table_name"), V.task_part(F.col("task_key")).alias("part"), V.task_key(V.task_table(F.col("task_key")), V.task_part(F.col("task_key"))).alias("rebuilt"))
+    return _TASKS.df(spark, d).select("task_id", V.task_table(F.col("task_key")).alias("table_name"), V.task_part(F.col("task_key")).alias("part"), V.task_key(V.task_table(F.col("task_key")), V.task_part(F.col("task_key"))).alias("rebuilt"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 3 = 0 THEN '{}' ELSE '{\"k\":' || CAST(json_extract(props, '$.k') AS BIGINT) || '}' END AS again FROM events")
@@ -787,26 +809,26 @@ def catalog_columns(spark, d):
     return catalog.catalog(spark, {t: table(spark, d, t) for t in _ALL_TABLES}).select("table_name", "column_name", "type_name", "ordinal")
 
 
-_UPDATES = Rows(state.PROGRESS, [(2, 900, 400, 400), (5, 100, 10, 40)])
+_UPDATES = Derived("SELECT event_id AS task_id, 9 * user_id AS last_key, event_id AS rows_done, event_id + 7 AS rows_total FROM {events} WHERE event_id % 9 = 2")
 
 
-@query(f"SELECT * FROM {_PROGRESS.sql()} WHERE task_id NOT IN (2, 5, 4) UNION ALL SELECT * FROM {_UPDATES.sql()}")
+@query(f"SELECT * FROM {_PROGRESS.sql()} WHERE task_id % 9 <> 2 AND task_id % 11 <> 4 UNION ALL SELECT * FROM {_UPDATES.sql()} WHERE task_id % 11 <> 4")
 def progress_saved_and_cleared(spark, d):
-    saved = state.saved_progress(_PROGRESS.df(spark), _UPDATES.df(spark))
-    return state.cleared_progress(saved, spark.createDataFrame([(4,), (99,)], "task_id bigint"))
+    saved = state.saved_progress(_PROGRESS.df(spark, d), _UPDATES.df(spark, d))
+    return state.cleared_progress(saved, table(spark, d, "events").where("event_id % 11 = 4").select(F.col("event_id").alias("task_id")))
 
 
-_NEW_TASKS = Rows(state.TASKS, [(8, "r5", "transfer:sales.items", "pending", None), (9, "r5", "transfer:sales.more", "pending", None), (10, "r6", "transfer:sales.items", "pending", None)])
+_NEW_TASKS = Derived("SELECT event_id + 1000000000 AS task_id, 'r' || CASE WHEN event_id % 2 = 0 THEN user_id ELSE -1 - event_id END AS run_id, 'transfer:' || event_type || '.t' || (user_id % 20) AS task_key, 'pending' AS status, CAST(NULL AS STRING) AS error FROM {events} WHERE event_id % 7 = 0")
 
 
-@query(f"SELECT * FROM {_TASKS.sql()} UNION ALL SELECT * FROM {_NEW_TASKS.sql()} WHERE task_id <> 8")
+@query(f"SELECT * FROM {_TASKS.sql()} UNION ALL SELECT n.* FROM {_NEW_TASKS.sql()} n ANTI JOIN {_TASKS.sql()} t ON n.run_id = t.run_id AND n.task_key = t.task_key")
 def tasks_created(spark, d):
-    return state.created_tasks(_TASKS.df(spark), _NEW_TASKS.df(spark))
+    return state.created_tasks(_TASKS.df(spark, d), _NEW_TASKS.df(spark, d))
 
 
 @query(f"SELECT r.run_id, started_at, completed_at, r.status, count(t.task_id) AS total, count(*) FILTER (t.status = 'pending') AS pending, count(*) FILTER (t.status = 'running') AS running, count(*) FILTER (t.status = 'success') AS success, count(*) FILTER (t.status = 'failed') AS failed FROM {_RUNS.sql()} r LEFT JOIN {_TASKS.sql()} t ON r.run_id = t.run_id GROUP BY ALL")
 def run_history(spark, d):
-    return state.history(_RUNS.df(spark), _TASKS.df(spark))
+    return state.history(_RUNS.df(spark, d), _TASKS.df(spark, d))
 
 
 @query("SELECT c_custkey, c_name AS opened, TRUE AS sealed FROM customer")
@@ -816,9 +838,10 @@ def sealed_profiles(spark, d):
     return rows.select("c_custkey", V.decrypted(F.col("s"), key, profile).alias("opened"), (F.col("s") != F.col("c_name")).alias("sealed"))
 
 
-@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 15")
+@query("SELECT o_orderkey, (SELECT count(*) > 15 FROM orders) AS truncated FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 15)")
 def capped_rows(spark, d):
-    return analyze.capped(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])[0]
+    few, more = analyze.capped(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])
+    return few.withColumn("truncated", F.lit(more))
 
 
 @query("SELECT t AS table_name, n AS n_rows, CASE WHEN n <= 2000 THEN 'full_table' WHEN t = 'conversations' THEN 'row_number' WHEN t = 'lineitem' THEN 'full_table' ELSE 'keyset' END AS method, CASE WHEN n <= 2000 OR t = 'lineitem' THEN 1 ELSE least(n // 1000 + 1, 6) END AS partitions FROM (SELECT 'orders' AS t, count(*) AS n FROM orders UNION ALL SELECT 'conversations', count(*) FROM conversations UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'lineitem', count(*) FROM lineitem)")
@@ -828,14 +851,83 @@ def dry_run_plan(spark, d):
     return spark.createDataFrame([(r["table"], r["rows"], r["method"], r["partitions"]) for r in rows], "table_name string, n_rows bigint, method string, partitions bigint")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey > 100 AND o_orderkey <= 700")
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def keyset_reader(spark, d):
-    """Pages one after another, put together again."""
-    pages = list(scan.keyset_pages(table(spark, d, "orders"), "o_orderkey", ["o_orderkey"], 200, 100, 700))
-    return functools.reduce(DataFrame.union, pages)
+    """The whole table through the keyed source, a task for each range of row groups."""
+    keyed.register(spark)
+    return spark.read.format(keyed.NAME).options(path=f"{d}/orders.parquet", key="o_orderkey", splits="16").load().select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 45 AND l_orderkey <= 3000000 AND l_returnflag = 'R'")
+def keyed_source_filtered(spark, d):
+    """Comparisons with numbers reach the source, the other one stays."""
+    keyed.register(spark)
+    rows = spark.read.format(keyed.NAME).options(path=f"{d}/lineitem.parquet", key="l_orderkey").load()
+    return rows.where("l_quantity > 45 and l_orderkey <= 3000000 and l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def keyed_stream(spark, d):
+    """All rows of a growing table as a stream behind its last key, written by one batch and read back."""
+    keyed.register(spark)
+    base = f"{storage.shared_dir(spark)}/tideway/stream-{uuid.uuid4().hex}"
+    rows = spark.readStream.format(keyed.NAME).options(path=f"{d}/events.parquet", key="event_id").load()
+    rows.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{base}/rows").select("event_id", "user_id", "event_type")
 
 
 @query("SELECT conv_id, turn FROM conversations")
 def row_number_reader(spark, d):
+    """A table with a key of two columns, read in ranges that together hold each row once."""
     rows = table(spark, d, "conversations").select("conv_id", "turn")
-    return functools.reduce(DataFrame.union, scan.row_number_pages(rows, ["conv_id", "turn"], ["conv_id", "turn"], -(-rows.count() // 4)))
+    return functools.reduce(DataFrame.union, [rows.where(r.where()) for r in ranges.equal_ranges(rows, ["conv_id", "turn"], 6)])
+
+
+@query("SELECT 'conversations' AS table_name, count(*) AS n_rows, 0::BIGINT AS unplaced, TRUE AS balanced FROM conversations UNION ALL SELECT 'lineitem', count(*), 0, TRUE FROM lineitem")
+def composite_ranges(spark, d):
+    """Ranges of keys of several columns: no row is outside them, and none holds over twice the mean."""
+    return _placed(spark, d, [("conversations", ["conv_id", "turn"]), ("lineitem", ["l_orderkey", "l_linenumber", "l_partkey"])], lambda df, key: ranges.equal_ranges(df, key, 12))
+
+
+@query("SELECT 'events' AS table_name, count(*) AS n_rows, 0::BIGINT AS unplaced, TRUE AS balanced FROM events")
+def skewed_ranges(spark, d):
+    """An integer key whose values crowd at one end, cut by histograms: equal widths would put nearly all rows into one split."""
+    spread = F.col("event_id") * F.col("event_id") * F.col("event_id")
+    return _placed(spark, d, [("events", ["k"])], lambda df, key: ranges.refined(ranges.frame_counts(df, "k"), *df.agg(F.min("k"), F.max("k")).first(), 12, "k"), {"k": spread})
+
+
+def _placed(spark: SparkSession, d: str, keys: list, plan: Callable, more: dict | None = None) -> DataFrame:
+    out = []
+    for t, key in keys:
+        rows = table(spark, d, t).withColumns(more or {}).select(*key)
+        found = plan(rows, key)
+        sizes = ranges.counted(rows, found)
+        inside = F.col("range") > 0
+        one = sizes.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.when(~inside, F.col("n_rows"))), F.lit(0)).alias("unplaced"), F.coalesce(F.max(F.col("n_rows")) <= ranges.HEAVY * F.sum("n_rows") / 12, F.lit(True)).alias("balanced"))
+        out.append(one.select(F.lit(t).alias("table_name"), "n_rows", "unplaced", "balanced"))
+    return functools.reduce(DataFrame.union, out)
+
+
+@query("SELECT * FROM conversations")
+def engine_reload_composite(spark, d):
+    """A table with a key of two columns, reloaded in splits of two steps each."""
+    e = _engine(spark, d, [catalog.TableSpec("conversations", ("conv_id", "turn"))], threshold=100, chunk=50, most=3, steps=2)
+    out = e.run()
+    assert out["status"] == "success" and not out["warnings"]
+    return e.current("conversations")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def engine_growing(spark, d):
+    """A table that grows twenty times by upserts; its buckets split on the way."""
+    base = f"{storage.shared_dir(spark)}/tideway/grow-{uuid.uuid4().hex}"
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    n = max(1, orders.count() // 20)
+    orders.where("o_orderkey % 20 = 0").write.parquet(f"{base}/orders.parquet")
+    e = _engine(spark, base, [catalog.TableSpec("orders", ("o_orderkey",))], bucket_rows=n)
+    assert e.run()["status"] == "success"
+    for part in ("o_orderkey % 20 in (1, 2, 3)", "o_orderkey % 20 between 3 and 10", "o_orderkey % 20 > 9"):
+        e.upsert("orders", orders.where(part))
+    version = e.folder.version("orders")
+    assert version["buckets"] > 10 and max(version["rows"].values()) < 4 * n + 100
+    return e.current("orders")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,28 +39,6 @@ def keyset_page(df: DataFrame, key: str, columns: list[str], above: object | Non
     return out if limit is None else out.limit(limit)
 
 
-def keyset_pages(df: DataFrame, key: str, columns: list[str], size: int, above: object | None = None, up_to: object | None = None) -> Iterator[DataFrame]:
-    """The pages of a key range one after another, each after the last key of the one before; only that key reaches the driver. For whole tables, splits are the parallel way."""
-    while True:
-        page = keyset_page(df, key, columns, above, up_to, size)
-        last, n = page.agg(F.max(f"`{key}`"), F.count(F.lit(1))).first()
-        if n:
-            yield page
-        if n < size:
-            return
-        above = last
-
-
-def row_number_pages(df: DataFrame, key: list[str], columns: list[str], size: int) -> Iterator[DataFrame]:
-    """Pages of `size` rows in key order; the rows are numbered once."""
-    if not key:
-        raise ValueError("row-number pages need a primary key")
-    rows = numbered(df.select(*columns), key, "_rn")
-    total = rows.count()
-    for at in range(0, total, size):
-        yield rows.where((F.col("_rn") > at) & (F.col("_rn") <= at + size)).drop("_rn")
-
-
 def row_number_page(df: DataFrame, key: list[str], columns: list[str], above: int, up_to: int, changed: Column | None = None) -> DataFrame:
     """Rows above < n <= up_to, numbered by key after the filter. Spark turns the bound into a top-n below the window."""
     if not key:

@@ -63,17 +63,24 @@ def indexed_columns(indexes: DataFrame) -> DataFrame:
 def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for uri in batch.column(0).to_pylist():
+        for uri in batch.column("file").to_pylist():
             fs, path = pyarrow.fs.FileSystem.from_uri(uri)
             rows.append(pyarrow.parquet.read_metadata(path, filesystem=fs).num_rows)
-        yield pa.record_batch([pa.array(rows, pa.int64())], names=["n"])
+        yield pa.record_batch([batch.column("table_name"), pa.array(rows, pa.int64())], names=["table_name", "n"])
+
+
+def footer_counts(frames: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, n_rows) of Parquet tables by their files' footers, read in the tasks of one job; only file names pass through the driver."""
+    spark = next(iter(frames.values())).sparkSession
+    files = [(t, f) for t, df in frames.items() for f in df.inputFiles()]
+    names = spark.createDataFrame(files, "table_name string, file string").repartition(max(1, min(len(files) // 16, 10_000)))
+    counts = names.mapInArrow(_footers, "table_name string, n long").groupBy("table_name").agg(F.sum("n").alias("n"))
+    every = spark.createDataFrame([(t,) for t in frames], "table_name string")
+    return every.join(counts, "table_name", "left").select("table_name", F.coalesce("n", F.lit(0)).alias("n_rows"))
 
 
 def footer_count(df: DataFrame) -> int:
-    """The rows of a Parquet table by its files' footers, read in tasks; only file names pass through the driver."""
-    files = df.inputFiles()
-    names = df.sparkSession.createDataFrame([(f,) for f in files], "file string").repartition(max(1, min(len(files), 10_000)))
-    return names.mapInArrow(_footers, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return footer_counts({"": df}).first()["n_rows"]
 
 
 def statistics_count(spark: SparkSession, table: str) -> int | None:
