@@ -165,3 +165,63 @@ def test_skewed_joins(spark):
     for hot in (10, 100_000):
         out = common.joined(big, small, "k", hot)
         assert out.count() == 3000 and out.where("k * 2 <> v").count() == 0 and out.where("k = 7").count() == 1001
+
+
+def plain_lines(page):
+    """Lines of a page by the standard parser, without any choice of what is main text: blocks end lines, raw elements hold none."""
+    from html.parser import HTMLParser
+
+    class Lines(HTMLParser):
+        CDATA_CONTENT_ELEMENTS = ("script", "style")
+
+        def __init__(self):
+            super().__init__()
+            self.out, self.held, self.raw = [], [], 0
+
+        def flush(self):
+            if line := " ".join("".join(self.held).split()):
+                self.out.append(line)
+            self.held = []
+
+        def handle_starttag(self, tag, attrs):
+            self.raw += tag in ("script", "style")
+            if tag in html.BLOCKS:
+                self.flush()
+
+        def handle_endtag(self, tag):
+            self.raw -= tag in ("script", "style")
+            if tag in html.BLOCKS:
+                self.flush()
+
+        def handle_data(self, data):
+            if not self.raw:
+                self.held.append(data)
+
+    parser = Lines()
+    parser.feed(page)
+    parser.close()
+    parser.flush()
+    return parser.out
+
+
+SCRIPTS = ["<!-- hide ", 'var s="<!--";', "a{content:\"<p '\"}", "if (a<b && c>d) x='<div class=\"'", "// it's", "document.write('<p>no</p>')", "", "a\n<b", "</scrip", "<!doctype '", "x = `<a href=\"`"]
+
+
+def test_scripts_and_styles_hold_no_markup():
+    r = random.Random(5)
+    for _ in range(400):
+        parts, want = [], 0
+        for k in range(r.randint(1, 6)):
+            tag = r.choice(["script", "style", "SCRIPT"])
+            parts.append(r.choice(["", f"<{tag} type='x'>{r.choice(SCRIPTS)}</{tag}{r.choice(['', ' '])}>"]))
+            parts.append(r.choice([f"<p>one's <b>word</b> {k}</p>", f"<div>line {k} &amp; more</div>", f"text {k} 5 &lt; 6"]))
+        page = "<body>" + "".join(parts) + "</body>"
+        assert [x for x, _ in html.lines_of(page)] == plain_lines(page), page
+    for body in ("<script><!-- hide </script>", "<style>a{content:\"<p '\"}</style>", "<script>var s='<!--';</script>"):
+        page = f"<body>{body}<article><p>Hello <b>world</b></p><p>two's</p></article></body>"
+        assert [x for x, _ in html.lines_of(page)] == ["Hello world", "two's"]
+    assert html.lines_of("<script>a</script x='1'><p>b</p>") == [("b", 0)]
+    assert html.lines_of("<p>a</p><script>var x = '<p>b</p>'") == [("a", 0)]
+    began = time.time()
+    assert len(html.lines_of("<script><!-- '</script><p>x</p>" * 30_000)) == 30_000
+    assert time.time() - began < 20
