@@ -54,9 +54,11 @@ def truncated(text: Column, n: int) -> Column:
 
 def cut_bytes(text: Column, n: int) -> Column:
     """The first n bytes of a text and '...' if it is longer. A character that the cut would break is left out, as a string can't hold half of one."""
-    head = F.substring(text, 1, n)
-    fits = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(head), F.lit(1))), lambda k: F.octet_length(head.substr(F.lit(1), k)) <= n))
-    return F.when(F.octet_length(text) > n, F.concat(head.substr(F.lit(1), fits), F.lit("..."))).otherwise(text)
+    head = F.encode(F.substring(text, 1, n), "UTF-8")
+    # a character has four bytes at most, so one of the four longest heads is whole
+    heads = [F.substring(head, 1, n - i).cast("string") for i in range(4)]
+    whole = F.coalesce(*[F.when(F.is_valid_utf8(h), h) for h in heads])
+    return F.when(F.octet_length(text) > n, F.concat(whole, F.lit("..."))).otherwise(text)
 
 
 def redacted(text: Column, most: int = 100) -> Column:

@@ -5,15 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideway.sources.scan import numbered
 
-def with_trend(samples: DataFrame, order: str = "ts", by: str | None = None) -> DataFrame:
-    """samples(throughput, cpu, memory) with change, decline, baseline and flags. Trends are a job's own: give `by` to keep long histories parallel."""
-    w = (Window.partitionBy(by) if by else Window).orderBy(order)
+
+def with_trend(samples: DataFrame, order: str = "ts", by: str | None = None, block: int = 100_000) -> DataFrame:
+    """samples(throughput, cpu, memory) with change, decline, baseline and flags.
+
+    Trends are a job's own with `by`. Without it all rows are one history: they are numbered over a written range
+    partitioning and dealt to blocks of `block` rows; each block also gets the two rows before it, and the baseline is the
+    third row's, so no task sees more than a block.
+    """
+    if by is None:
+        rows = numbered(samples, [order], "_n")
+        head = rows.where("_n <= 3").agg(F.avg("throughput").alias("mean"), F.count(F.lit(1)).alias("n")).first()
+        own = F.expr(f"(_n - 1) div {block}")
+        # the last two rows of a block, and of blocks of one row those before them, are seen by the next ones too
+        reach = F.expr(f"(_n + 1) div {block}")
+        rows = rows.withColumn("_own", own).withColumn("_block", F.explode(F.sequence(own, reach)))
+        w = Window.partitionBy("_block").orderBy("_n")
+    else:
+        w = Window.partitionBy(by).orderBy(order)
+        rows = samples
     x1, x2 = F.lag("throughput", 1).over(w), F.lag("throughput", 2).over(w)
     m1, m2 = F.lag("memory", 1).over(w), F.lag("memory", 2).over(w)
-    rows = samples.select("*", x1.alias("_x1"), x2.alias("_x2"), m1.alias("_m1"), m2.alias("_m2"), F.avg("throughput").over(w.rowsBetween(-2, 0)).alias("_avg"), F.row_number().over(w).alias("_n"))
-    base = F.max(F.when(F.col("_n") == 3, F.col("_avg"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("baseline", base)
+    rows = rows.select("*", x1.alias("_x1"), x2.alias("_x2"), m1.alias("_m1"), m2.alias("_m2"))
+    if by is None:
+        third = F.lit(head["mean"] if head["n"] == 3 else None).cast("double")
+        rows = rows.where("_own = _block").drop("_own", "_block").withColumn("baseline", F.when(F.col("_n") >= 3, third))
+    else:
+        rows = rows.withColumns({"_avg": F.avg("throughput").over(w.rowsBetween(-2, 0)), "_n": F.row_number().over(w)})
+        rows = rows.withColumn("baseline", F.max(F.when(F.col("_n") == 3, F.col("_avg"))).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_avg")
     change = F.when(F.col("_x1") > 0, (F.col("throughput") - F.col("_x1")) / F.col("_x1") * 100).otherwise(F.lit(0.0))
     decline = F.when((F.col("_x2") > 0) & (F.col("throughput") > 0), F.greatest((F.col("_x2") - F.col("throughput")) / F.col("_x2"), F.lit(0.0))).otherwise(F.lit(0.0))
     rows = rows.withColumns({"change_pct": change, "decline": decline})
@@ -24,7 +45,7 @@ def with_trend(samples: DataFrame, order: str = "ts", by: str | None = None) ->
         "cpu_high": F.col("cpu") > 90,
         "memory_high": F.col("memory") > 85,
     }
-    return rows.withColumns(flags).drop("_x1", "_x2", "_m1", "_m2", "_avg", "_n")
+    return rows.withColumns(flags).drop("_x1", "_x2", "_m1", "_m2", "_n")
 
 
 def decision(chunk: int = 50_000, workers: int = 4, cores: int = 8, least_chunk: int = 5000) -> Column:

@@ -388,6 +388,21 @@ def checksum_diff(spark, d):
     return validate.checksum_diff(source, target, ["o_orderkey"])
 
 
+@query(f"SELECT o_orderkey, CASE WHEN _action = 'insert' THEN 'missing' WHEN _action = 'target_only' THEN 'extra' ELSE 'changed' END AS status FROM ({_MERGED}) WHERE _action <> 'unchanged'")
+def tree_diff_many(spark, d):
+    """Tables that differ everywhere: the tree stops at once and all rows are compared."""
+    target, source = _sides(spark, d)
+    return validate.tree_diff(source, target, ["o_orderkey"], 1000)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, 'changed' AS status FROM lineitem WHERE l_partkey % 5000 = 7 AND l_tax IS NOT NULL UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'missing' FROM lineitem WHERE l_partkey % 5000 = 9")
+def tree_diff(spark, d):
+    """Tables that differ in few rows, which alone are compared one by one."""
+    rows = table(spark, d, "lineitem")
+    other = rows.where("l_partkey % 5000 <> 9").withColumn("l_tax", F.when(F.col("l_partkey") % 5000 != 7, F.col("l_tax")))
+    return validate.tree_diff(rows, other, ["l_orderkey", "l_linenumber", "l_partkey"], 1000)
+
+
 _RUNS = Derived(f"SELECT 'r' || o_orderkey AS run_id, o_orderdate AS started_at, CASE WHEN o_orderkey % 4 <> 1 THEN o_orderdate + INTERVAL '1' HOUR END AS completed_at, {_word('success,running,partial,failed', 'o_orderkey')} AS status, 's' || (o_custkey % 500) AS source_schema, 'public' AS target_schema FROM {{orders}}")
 _TASKS = Derived(f"SELECT event_id AS task_id, 'r' || user_id AS run_id, 'transfer:' || event_type || '.t' || (user_id % 20) || CASE WHEN event_id % 3 > 0 THEN ':p' || (event_id % 3) ELSE '' END AS task_key, CASE WHEN user_id % 20 > 12 THEN 'success' ELSE {_word('success,failed,running,pending', 'CASE WHEN user_id % 20 > 8 THEN 0 WHEN user_id % 20 > 5 THEN event_id % 2 * 2 ELSE event_id END')} END AS status, CASE WHEN event_id % 4 = 1 THEN 'timeout' END AS error FROM {{events}}")
 _PROGRESS = Derived("SELECT event_id AS task_id, user_id AS last_key, event_id % 700 AS rows_done, event_id % 700 + CASE WHEN user_id % 20 > 15 THEN 0 ELSE event_id % 3 * 10 END AS rows_total FROM {events} WHERE event_id % 4 <> 3")
