@@ -128,9 +128,17 @@ def test_decontamination(spark, docs, edges, empty):
     assert rows(decontaminate.op2_benchmark_decontamination(spark, SF)) == want
     index = common.written(decontaminate.build_index(docs), "test-index")
     whole = rows(decontaminate.matches(index, bench).select("doc_id", "items", "firsts", "ends"))
-    assert rows(decontaminate.matches(index, bench, part_words=100).select("doc_id", "items", "firsts", "ends")) == whole
+    # a benchmark that is dealt by rarest terms, in lots of some windows
+    for lot in (7, 100_000):
+        assert rows(decontaminate.matches(index, bench, held=0, lot=lot).select("doc_id", "items", "firsts", "ends")) == whole
+    near = rows(decontaminate.proximity_matches(index, bench, 3))
+    assert near and rows(decontaminate.proximity_matches(index, bench, 3, held=0, lot=50)) == near
     items = spark.createDataFrame([(9, "C, d! e"), (None, "one two"), (8, None), (8, "")], "item_id long, text string")
     found = {(r.doc_id, tuple(r["items"]), tuple(r.firsts)) for r in decontaminate.matches(common.written(decontaminate.build_index(edges), "e"), items).collect()}
+    dealt = decontaminate.matches(common.written(decontaminate.build_index(edges), "e"), items, held=0, lot=1).collect()
+    assert {(r.doc_id, tuple(r["items"]), tuple(r.firsts)) for r in dealt} == found and len(dealt) == len(EDGES)
+    named = common.written(decontaminate.build_index(edges.selectExpr("cast(doc_id as string) as doc_id", "text"), "string"), "named")
+    assert ("1", 9, 2, 4) in rows(decontaminate.proximity_matches(named, items)) == rows(decontaminate.proximity_matches(named, items, held=0))
     assert (1, (9,), (2,)) in found and (None, (), (0,)) in found and (3, (), ()) in found
     near = decontaminate.proximity_matches(decontaminate.build_index(edges), spark.createDataFrame([(1, "f c a")], "item_id long, text string"), slop=3)
     assert (1, 1, 0, 5) in rows(near) and not rows(decontaminate.proximity_matches(decontaminate.build_index(edges), items, slop=0).where("item_id = 8"))

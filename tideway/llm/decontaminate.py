@@ -6,8 +6,10 @@ in the shared folder and can serve any benchmark. A window of benchmark words is
 block: that term's positions less its place in the window are the candidate starts, and the other terms' lists, rarer
 ones first, are intersected after the same shift. Positions leave a gap between documents, so no match crosses them.
 
-The benchmark is read in parts of about `part_words` words, an item of more by itself; the stored blocks are matched
-against one part after another, each broadcast and freed in turn, so the benchmark may be larger than memory.
+A benchmark of at most HELD_BYTES of text is broadcast whole and matched with every block where it lies. A larger one is
+dealt: its distinct windows are a table, each window finds its rarest term by the index's own totals, and that term's
+blocks are where the window may occur. Windows meet their block in lots of `lot` windows, so no task holds more than a
+block and a lot, whatever the benchmark's size, and windows of which a term is nowhere are never sent anywhere.
 
 Nulls: a null text has no words; a document with a null doc_id is reported as such; an item with a null id counts for
 hits but isn't listed. Repeated items count once by their id. A text beyond BLOCK_BYTES is a block of its own. Other
@@ -30,8 +32,8 @@ WINDOW = 10
 #: Bytes that belong to words stay (capital letters as small ones), others become spaces.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 BLOCK_BYTES = 4_000_000
-#: Words of the benchmark that tasks hold at a time.
-PART_WORDS = 1_000_000
+#: Text of a benchmark that every task may hold, and windows that meet a block at a time.
+HELD_BYTES, LOT = 8_000_000, 100_000
 INDEX = "block string, doc_ids array<{id}>, n_words array<bigint>, terms array<string>, counts array<int>, postings array<int>"
 
 
@@ -101,9 +103,9 @@ def build_index(docs: DataFrame, id_type: str = "bigint") -> DataFrame:
 
 
 class Phrases:
-    """The distinct windows of some benchmark items: rows of term numbers by length, and the items of each window."""
+    """The distinct windows of some benchmark items (or of labelled windows): rows of term numbers by length, and the items of each window."""
 
-    def __init__(self, items: list[tuple[int | None, list[bytes]]], size: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[int | str | None, list[bytes]]], size: int = WINDOW) -> None:
         self.vocabulary: dict[bytes, int] = {}
         found: dict[tuple, set] = {}
         for item, words in items:
@@ -174,20 +176,6 @@ class Phrases:
                         left += 1
 
 
-def phrases_in_parts(benchmark: DataFrame, size: int = WINDOW, part_words: int = PART_WORDS) -> Iterator[Phrases]:
-    """The benchmark's windows in parts; at least one, perhaps empty."""
-    held, n, any_part = [], 0, False
-    for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
-        words = words_of(row[1])
-        if held and n + len(words) > part_words:
-            yield Phrases(held, size)
-            held, n, any_part = [], 0, True
-        held.append((row[0], words))
-        n += len(words)
-    if held or not any_part:
-        yield Phrases(held, size)
-
-
 def judge(block: Block, phrases: Phrases) -> list[tuple[list[int], list[int], list[int]]]:
     """For each document of the block: the items with occurring windows, and the hit runs of words as firsts and ends."""
     hit = np.zeros(int(block.bounds[-1]) + 1, np.int32)
@@ -213,69 +201,140 @@ def _block_of(row: dict) -> Block:
     return Block(np.asarray(row["n_words"], np.int64), row["terms"], counts, np.cumsum(np.asarray(row["postings"], np.int64)))
 
 
-def _matched(shared):
+MATCHES = "block string, at int, doc_id {id}, n_words bigint, items array<{item}>, firsts array<bigint>, ends array<bigint>"
+
+
+def _stored(batch: pa.RecordBatch | pa.Table, i: int) -> tuple[Block, pa.Array]:
+    """Row i of an index as a block, and its documents."""
+    cell = lambda n: batch.column(n)[i].values
+    row = {n: cell(n).to_numpy(zero_copy_only=False) for n in ("n_words", "counts", "postings")} | {"terms": cell("terms").to_pylist()}
+    return _block_of(row), cell("doc_ids")
+
+
+def _judged(block: Block, name: str, ids: pa.Array, phrases: Phrases, item: pa.DataType) -> pa.RecordBatch:
+    found = judge(block, phrases)
+    n = len(found)
+    columns = [pa.array([name] * n, pa.string()), pa.array(range(n), pa.int32()), ids, pa.array(block.n_words)]
+    columns += [pa.array([f[k] for f in found], pa.list_(pa.int64() if k else item)) for k in range(3)]
+    return pa.record_batch(columns, names=["block", "at", "doc_id", "n_words", "items", "firsts", "ends"])
+
+
+def _near(block: Block, ids: pa.Array, phrases: Phrases, slop: int, item: pa.DataType) -> pa.RecordBatch:
+    names = ids.to_pylist()
+    rows = [(names[d], i, a, b) for d, a, b, items in phrases.near(block, slop) for i in items]
+    return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((ids.type, item, pa.int64(), pa.int64()))], names=["doc_id", "item_id", "first", "last"])
+
+
+def _small(benchmark: DataFrame, size: int) -> Phrases | None:
+    """The windows of a benchmark of at most HELD_BYTES of text, else None."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    # short texts count too: an item takes as much as its place in a list
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    return Phrases([(r.item_id, words_of(r.text)) for r in items.collect()], size) if total <= HELD_BYTES else None
+
+
+def _windows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = shared.value
         for batch in batches:
-            for i in range(batch.num_rows):
-                cell = lambda n: batch.column(n)[i].values  # noqa: B023, E731
-                row = {n: cell(n).to_numpy(zero_copy_only=False) for n in ("n_words", "counts", "postings")} | {"terms": cell("terms").to_pylist()}
-                found = judge(_block_of(row), phrases)
-                n = len(found)
-                columns = [pa.array([batch.column("block")[i].as_py()] * n), pa.array(range(n), pa.int32()), cell("doc_ids"), cell("n_words")]
-                columns += [pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in range(3)]
-                yield pa.record_batch(columns, names=["block", "at", "doc_id", "n_words", "items", "firsts", "ends"])
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = [w.decode("utf-8", "surrogatepass") for w in words_of(text)]
+                of = [words[i : i + size] for i in range(max(1, len(words) - size + 1) if words else 0)]
+                for k in range(0, len(of), 10_000):
+                    part = of[k : k + 10_000]
+                    yield pa.record_batch([pa.array([item] * len(part), pa.int64()), pa.array(part, pa.list_(pa.string()))], names=["item_id", "terms"])
 
     return run
 
 
-def _in_parts(index: DataFrame, benchmark: DataFrame, size: int, run, schema: str, part_words: int = PART_WORDS) -> tuple[DataFrame, bool]:
-    """What run(broadcast phrases) gives for each part of the benchmark, and whether there were several. Parts come one after another: a part's rows are written and its broadcast is freed before the next one is read."""
-    parts, out = phrases_in_parts(benchmark, size, part_words), None
-    phrases = next(parts)
-    while True:
-        after = next(parts, None)
-        shared = index.sparkSession.sparkContext.broadcast(phrases)
-        found = index.mapInArrow(run(shared), schema)
-        if after is None and out is None:
-            return found, False
-        found = common.written(found, "benchmark-part")
-        shared.destroy()
-        out = found if out is None else out.union(found)
-        if after is None:
-            return out, True
-        phrases = after
-
-
-def matches(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
+def _dealt(index: DataFrame, benchmark: DataFrame, size: int, lot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(blocks with a lot's number, windows with block and lot, (window, item_id) pairs) of a benchmark of any size."""
+    few = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    each = few.mapInArrow(_windows(size), "item_id long, terms array<string>").withColumn("window", F.md5(F.array_join("terms", " ")))
+    each = common.written(each, "benchmark-windows")
+    windows = common.written(each.groupBy("window").agg(F.first("terms").alias("terms")), "distinct-windows")
+    terms = index.select("block", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("block", F.col("t.terms").alias("term"), F.col("t.counts").alias("n"))
+    totals = terms.groupBy("term").agg(F.sum("n").alias("total"))
+    needed = common.written(windows.select("window", F.explode(F.array_distinct("terms")).alias("term")), "window-terms")
+    known = common.joined(needed, totals, "term")
+    rarest = known.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min_by("term", F.struct("total", "term")).alias("term"))
+    able = common.written(windows.join(rarest, "window").where(F.col("n") == F.size(F.array_distinct("terms"))).select("window", "terms", "term"), "possible-windows")
+    places = common.written(terms.select("term", "block").join(able.select("term").distinct(), "term", "left_semi"), "term-blocks")
+    candidates = common.written(able.join(places, "term").select("block", "window", "terms"), "candidates")
+    lots = candidates.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / lot).cast("int").alias("lots"))
+    dealt = candidates.join(lots, "block").withColumn("lot", F.pmod(F.xxhash64("window"), F.col("lots")).cast("int")).drop("lots")
+    blocks = index.join(lots, "block").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+    return blocks, dealt, each.select("window", "item_id").distinct()
+
+
+def _met(act):
+    """For each block and lot of windows: what act(block, name, doc_ids, phrases) gives."""
+
+    def run(blocks: pa.Table, windows: pa.Table) -> pa.Table:
+        phrases = Phrases([], 1)
+        if windows.num_rows:
+            of = [(w, [t.encode("utf-8", "surrogatepass") for t in ts]) for w, ts in zip(windows.column("window").to_pylist(), windows.column("terms").to_pylist())]
+            phrases = Phrases(of, max(len(ts) for _, ts in of))
+        out = []
+        for i in range(blocks.num_rows):
+            block, ids = _stored(blocks.combine_chunks(), i)
+            out.append(act(block, blocks.column("block")[i].as_py(), ids, phrases))
+        return pa.Table.from_batches(out)
+
+    return run
+
+
+def _together(blocks: DataFrame, windows: DataFrame, act, schema: str) -> DataFrame:
+    return blocks.groupBy("block", "lot").cogroup(windows.groupBy("block", "lot")).applyInArrow(_met(act), schema)
+
+
+def matches(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, held: int | None = None, lot: int = LOT) -> DataFrame:
     """(block, at, doc_id, n_words, items, firsts, ends): a row for each document; items as sorted ids, hit words as runs [first, end)."""
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()
-    schema = f"block string, at int, doc_id {kind}, n_words bigint, items array<bigint>, firsts array<bigint>, ends array<bigint>"
-    whole, several = _in_parts(index, benchmark, size, _matched, schema, part_words)
-    if not several:
-        return whole
+    small = _small(benchmark, size) if held is None else None
+    if small is not None:
+        shared = index.sparkSession.sparkContext.broadcast(small)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    block, ids = _stored(batch, i)
+                    yield _judged(block, batch.column("block")[i].as_py(), ids, shared.value, pa.int64())
+
+        return index.mapInArrow(run, MATCHES.format(id=kind, item="bigint"))
+    blocks, windows, pairs = _dealt(index, benchmark, size, lot)
+    found = _together(blocks, windows, lambda *of: _judged(*of, pa.string()), MATCHES.format(id=kind, item="string"))
+    found = common.written(found.where(F.size("firsts") > 0), "matched-windows")
     flat = lambda c: F.flatten(F.collect_list(c))
-    merged = whole.groupBy("block", "at").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(flat("items"))).alias("items"), flat("firsts").alias("f"), flat("ends").alias("e"))
-    joined = F.expr("""aggregate(array_sort(arrays_zip(f, e)), array(), (s, x) ->
+    runs = found.groupBy("block", "at").agg(flat("firsts").alias("f"), flat("ends").alias("e"))
+    joined = F.expr("""aggregate(array_sort(arrays_zip(f, e)), cast(array() as array<struct<f:bigint,e:bigint>>), (s, x) ->
         if(size(s) > 0 and element_at(s, -1).e >= x.f,
            concat(slice(s, 1, size(s) - 1), array(named_struct('f', element_at(s, -1).f, 'e', greatest(element_at(s, -1).e, x.e)))),
-           concat(s, array(named_struct('f', x.f, 'e', x.e)))))""".replace("array(),", "cast(array() as array<struct<f:bigint,e:bigint>>),", 1))
-    return merged.withColumn("r", joined).select("block", "at", "doc_id", "n_words", "items", F.col("r.f").alias("firsts"), F.col("r.e").alias("ends"))
-
-
-def _near(shared, slop: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                rows = [(row["doc_ids"][d], item, a, b) for d, a, b, items in shared.value.near(_block_of(row), slop) for item in items]
-                yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["doc_id", "item_id", "first", "last"])
-
-    return run
+           concat(s, array(named_struct('f', x.f, 'e', x.e)))))""")
+    hit = common.written(found.select("block", "at", F.explode("items").alias("window")), "window-hits")
+    named = hit.join(pairs.where("item_id is not null"), "window").groupBy("block", "at").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    none = lambda c: F.coalesce(c, F.array().cast("array<bigint>"))
+    docs = index.select("block", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("at", "d")).select("block", "at", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").alias("n_words"))
+    out = docs.join(runs.withColumn("r", joined).select("block", "at", F.col("r.f").alias("firsts"), F.col("r.e").alias("ends")), ["block", "at"], "left").join(named, ["block", "at"], "left")
+    return out.select("block", "at", "doc_id", "n_words", none("items").alias("items"), none("firsts").alias("firsts"), none("ends").alias("ends"))
 
 
-def proximity_matches(index: DataFrame, benchmark: DataFrame, slop: int = 5, size: int = WINDOW) -> DataFrame:
+def proximity_matches(index: DataFrame, benchmark: DataFrame, slop: int = 5, size: int = WINDOW, held: int | None = None, lot: int = LOT) -> DataFrame:
     """(doc_id, item_id, first, last): shortest spans of at most size + slop words of a document that hold all words of a window of the item, in any order."""
-    return _in_parts(index, benchmark, size, lambda shared: _near(shared, slop), "doc_id bigint, item_id bigint, first bigint, last bigint")[0].distinct()
+    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
+    schema = f"doc_id {kind}, item_id {{item}}, first bigint, last bigint"
+    small = _small(benchmark, size) if held is None else None
+    if small is not None:
+        shared = index.sparkSession.sparkContext.broadcast(small)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield _near(*_stored(batch, i), shared.value, slop, pa.int64())
+
+        return index.mapInArrow(run, schema.format(item="bigint")).distinct()
+    blocks, windows, pairs = _dealt(index, benchmark, size, lot)
+    found = _together(blocks, windows, lambda block, _, ids, phrases: _near(block, ids, phrases, slop, pa.string()), schema.format(item="string"))
+    return found.withColumnRenamed("item_id", "window").join(pairs.where("item_id is not null"), "window").select("doc_id", "item_id", "first", "last").distinct()
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
