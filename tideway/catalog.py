@@ -35,7 +35,7 @@ DATE_TYPES = ("date", "datetime", "datetime2", "smalldatetime", "datetimeoffset"
 
 @dataclass(frozen=True)
 class TableSpec:
-    """A table to move: its data are a DataFrame, its keys are declared here as files have none."""
+    """A table to move: its data are a DataFrame, its keys are declared here as files have none. kinds are source types of columns whose values are normalised."""
 
     name: str
     key: tuple[str, ...] = ()
@@ -48,6 +48,8 @@ class TableSpec:
     options: dict = field(default_factory=dict)
     schema: str = ""
     target_schema: str = ""
+    kinds: dict = field(default_factory=dict)
+    srid: int = 4326
 
     @property
     def mark(self) -> str:

@@ -8,7 +8,11 @@ import re
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
-from tideway.catalog import canonical, connectors
+from pyspark.sql import SparkSession
+
+from tideway.catalog import canonical, connectors, jdbc_options
+from tideway.engine import Engine
+from tideway.sources import jdbc
 
 _FILE = re.compile(r"^\$\{file:([^}]+)\}$")
 _ENV = re.compile(r"^\$\{(?:env:)?([A-Za-z_][A-Za-z0-9_]*)\}$")
@@ -105,6 +109,20 @@ def load(text: str) -> Config:
     return out
 
 
+def engine(spark: SparkSession, settings: Config, state: str) -> Engine:
+    """The engine of a run between two databases: tables, keys and links come from the source's catalog, all else from the settings."""
+    a, b, m = settings.source, settings.target, settings.migration
+    source, target = (jdbc_options(e.type, e.host, e.database, e.user, e.password, e.port, e.options) for e in (a, b))
+    specs = jdbc.specs_of(spark, {k: v for k, v in source.items() if v}, a.schema, m.date_updated_columns, b.schema)
+    out = Engine(
+        spark, source["url"], {k: v for k, v in target.items() if v}, state, specs, "upsert" if m.target_mode == "upsert" else "reload", workers=m.workers, retries=m.max_retries, threshold=m.large_table_threshold,
+        chunk=m.chunk_size, most=m.max_partitions, cadence=m.checkpoint_frequency, sample=m.sample_size if m.sample_validation else 0,
+    )
+    chosen = out.selected(m.include_tables, m.exclude_tables)
+    out.specs = {t: out.specs[t] for t in chosen}
+    return out
+
+
 def yaml_text(values: dict, indent: int = 0) -> str:
     """Settings as YAML: nested mappings, lists of scalars, and scalars as JSON writes them."""
     out, pad = [], " " * indent

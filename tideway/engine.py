@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tideway import monitor
 from tideway.catalog import TableSpec, catalog
+from tideway.functions.values import normalized
 from tideway.operators import merge, metrics, validate
 from tideway.operators.analyze import EXIT_CODES, EXIT_RULES, NOT_CONFIG, exclusion_candidate, ranked_date_columns, retryable_text
 from tideway.plans import splits
@@ -144,7 +145,7 @@ class Engine:
         return sorted(t for t in self.specs if (not include or hit(t, include)) and not hit(t, exclude))
 
     def _source(self, table: str) -> DataFrame:
-        return read(self.spark, self.source, self.specs[table])
+        return normalized(read(self.spark, self.source, self.specs[table]), self.specs[table].kinds)
 
     def _count(self, table: str) -> int:
         spec = self.specs[table]
@@ -185,11 +186,13 @@ class Engine:
     def _rows(self, job: Job, step: Step) -> DataFrame:
         spec = self.specs[job.table]
         if step.files:
-            return self.spark.read.format(spec.format).options(**spec.options).schema(self._source(job.table).schema).load(list(step.files))
+            found = self.spark.read.format(spec.format).options(**spec.options).schema(read(self.spark, self.source, spec).schema).load(list(step.files))
+            return normalized(found, spec.kinds)
         if not step.ranges:
             return self._source(job.table)
         if spec.format == "jdbc":
-            return jdbc.read_table(self.spark, spec.options["dbtable"], {k: v for k, v in spec.options.items() if k != "dbtable"}, ranges=list(step.ranges))
+            found = jdbc.read_table(self.spark, spec.options["dbtable"], {k: v for k, v in spec.options.items() if k != "dbtable"}, ranges=list(step.ranges))
+            return normalized(found, spec.kinds)
         return self._source(job.table).where(KeyRange(0, step.ranges[0].key, step.ranges[0].above, step.ranges[-1].up_to).where())
 
     def _preconditions(self, tables: list[str]) -> None:

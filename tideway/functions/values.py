@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: What databases call types whose values are normalised.
+BINARY_TYPES = ("binary", "varbinary", "image")
+GUID_TYPES = ("uniqueidentifier",)
+BIT_TYPES = ("bit",)
+TIME_TYPES = ("datetime", "datetime2", "smalldatetime", "datetimeoffset")
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -42,6 +48,25 @@ def sane_timestamp(ts: Column) -> Column:
     return F.when(F.year(ts) >= 1, ts)
 
 
+def normal_value(value: Column, source_type: str, kind: T.DataType) -> Column:
+    """A value as targets want it, by the type that its source calls it: empty binaries and impossible times are null, identifiers are text, bits are flags."""
+    name = source_type.lower().split("(")[0].strip()
+    if name in BINARY_TYPES and isinstance(kind, T.BinaryType):
+        return empty_to_null(value)
+    if name in GUID_TYPES and isinstance(kind, T.BinaryType):
+        return guid_text(value)
+    if name in BIT_TYPES and isinstance(kind, (T.IntegralType, T.DecimalType)):
+        return bit_to_bool(value)
+    if name in TIME_TYPES and isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return sane_timestamp(value)
+    return value
+
+
+def normalized(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """df with normal_value() for each column whose source type is given; all are native expressions beside the scan."""
+    return df.select(*[normal_value(F.col(f"`{f.name}`"), kinds[f.name], f.dataType).alias(f.name) if f.name in kinds else F.col(f"`{f.name}`") for f in df.schema])
+
+
 def split_list(text: Column) -> Column:
     """Comma-separated items, trimmed, without empty ones; null for an empty text."""
     items = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")

@@ -37,18 +37,57 @@ def progress_line(phase: str, tasks: list[dict], seconds: float) -> str:
     )
 
 
+class SparkMetrics:
+    """What Spark's own status store says of the stages that began since this was made, and of the executors now."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.context = spark.sparkContext
+        self.store = self.context._jsc.sc().statusStore()
+        self.before = {s.stageId() for s in self._stages()}
+
+    def _list(self, seq) -> list:
+        return [seq.apply(i) for i in range(seq.size())]
+
+    def _stages(self) -> list:
+        none = self.context._gateway.new_array(self.context._jvm.double, 0)
+        empty = self.context._jvm.java.util.ArrayList()
+        return self._list(self.store.stageList(empty, False, False, none, empty))
+
+    def rows(self) -> int:
+        """Rows that stages have written to their outputs."""
+        return sum(s.outputRecords() for s in self._stages() if s.stageId() not in self.before)
+
+    def load(self) -> tuple[float, float]:
+        """Percent of all executors' cores at work, and of their memory in use."""
+        found = self._list(self.store.executorList(True))
+        # one machine alone runs tasks in its driver
+        workers = [e for e in found if e.id() != "driver"] or found
+        cores, most = sum(e.totalCores() for e in workers), sum(e.maxMemory() for e in workers)
+        busy, used = sum(e.activeTasks() for e in workers), sum(e.memoryUsed() for e in workers)
+        return 100.0 * min(busy, cores) / cores if cores else 0.0, 100.0 * used / most if most else 0.0
+
+
 class Collector:
-    """Samples every `interval` seconds while it is entered: rows by now over the time since the start, and the driver machine's load and memory. The newest `keep` samples stay."""
+    """Samples every `interval` seconds while it is entered: rows by now over the time since the start, and load and memory:
+    the executors' with a SparkMetrics (which can count the rows too), else the driver machine's. The newest `keep` stay."""
 
-    def __init__(self, rows: Callable[[], int], interval: float = 30.0, keep: int = 100) -> None:
-        self.rows, self.interval, self.keep, self.samples = rows, interval, keep, []
+    def __init__(self, rows: Callable[[], int] | None = None, interval: float = 30.0, keep: int = 100, spark: SparkSession | None = None) -> None:
+        self.metrics = SparkMetrics(spark) if spark else None
+        self.rows = rows or self.metrics.rows
+        self.interval, self.keep, self.samples = interval, keep, []
         self._stop, self._thread = threading.Event(), None
 
     def sample(self) -> None:
         n, seconds = self.rows(), time.time() - self.began
+        if self.metrics:
+            self._keep(n, seconds, *self.metrics.load())
+            return
         memory = {k: int(v.split()[0]) for k, v in (x.split(":") for x in Path("/proc/meminfo").read_text().splitlines())} if Path("/proc/meminfo").exists() else {}
         used = 100.0 * (1 - memory["MemAvailable"] / memory["MemTotal"]) if memory else 0.0
-        self.samples = [*self.samples, (time.time(), n / seconds if seconds > 0 else 0.0, min(100.0, 100.0 * os.getloadavg()[0] / (os.cpu_count() or 1)), used, n)][-self.keep :]
+        self._keep(n, seconds, min(100.0, 100.0 * os.getloadavg()[0] / (os.cpu_count() or 1)), used)
+
+    def _keep(self, n: int, seconds: float, cpu: float, memory: float) -> None:
+        self.samples = [*self.samples, (time.time(), n / seconds if seconds > 0 else 0.0, cpu, memory, n)][-self.keep :]
 
     def __enter__(self) -> Collector:
         self.began = time.time()

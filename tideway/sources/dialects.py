@@ -49,6 +49,21 @@ SPATIAL = {
     "mysql": (("geometry", "point", "linestring", "polygon", "multipoint", "multilinestring", "multipolygon", "geometrycollection"), "ST_AsText({0}) AS {0}"),
     "oracle": (("sdo_geometry",), "SDO_UTIL.TO_WKTGEOMETRY({0}) AS {0}"),
 }
+#: How each database reads a spatial value from its text.
+SPATIAL_SINK = {
+    "postgres": "ST_GeomFromText({0}, {srid})",
+    "mssql": "{kind}::STGeomFromText({0}, {srid})",
+    "mysql": "ST_GeomFromText({0}, {srid})",
+    "oracle": "SDO_GEOMETRY({0}, {srid})",
+}
+SPATIAL_TYPES = {"postgres": "GEOMETRY", "mssql": "GEOMETRY", "mysql": "GEOMETRY", "oracle": "SDO_GEOMETRY"}
+#: The row count that each database keeps for a table, by quoted literals of schema and name.
+ROW_STATISTICS = {
+    "postgres": "SELECT CAST(c.reltuples AS BIGINT) AS n FROM pg_class c JOIN pg_namespace s ON s.oid = c.relnamespace WHERE s.nspname = {schema} AND c.relname = {table}",
+    "mssql": "SELECT SUM(p.rows) AS n FROM sys.partitions p JOIN sys.tables t ON t.object_id = p.object_id JOIN sys.schemas s ON s.schema_id = t.schema_id WHERE p.index_id < 2 AND s.name = {schema} AND t.name = {table}",
+    "mysql": "SELECT table_rows AS n FROM information_schema.tables WHERE table_schema = {schema} AND table_name = {table}",
+    "oracle": "SELECT num_rows AS n FROM all_tables WHERE owner = {schema} AND table_name = {table}",
+}
 #: Each database's type for a Spark type; decimals keep their precision and scale.
 TYPES = {
     "postgres": {"boolean": "BOOLEAN", "byte": "SMALLINT", "short": "SMALLINT", "integer": "INTEGER", "long": "BIGINT", "float": "REAL", "double": "DOUBLE PRECISION", "string": "TEXT", "binary": "BYTEA", "date": "DATE", "timestamp": "TIMESTAMPTZ", "timestamp_ntz": "TIMESTAMP"},
@@ -75,6 +90,10 @@ class Dialect:
                 return name
         return opening + name.replace(closing, closing * 2) + closing
 
+    def from_text(self, value: str, kind: str = "geometry", srid: int = 4326) -> str:
+        """The spatial value that a text stands for; the text itself where a database has no such type."""
+        return SPATIAL_SINK[self.name].format(value, kind=kind, srid=srid) if self.name in SPATIAL_SINK else value
+
     def table(self, schema: str, name: str) -> str:
         return f"{self.quote(schema)}.{self.quote(name)}" if schema or self.name in ("postgres", "mssql") else self.quote(name)
 
@@ -103,10 +122,10 @@ class Dialect:
             return f"{'NUMBER' if self.name == 'oracle' else 'DECIMAL'}({kind.precision}, {kind.scale})"
         return TYPES.get(self.name, TYPES["ansi"])[kind.typeName()]
 
-    def create_table(self, schema: str, name: str, columns: T.StructType, key: list[str] = ()) -> str:
-        """A CREATE TABLE statement with its primary key; key columns of text get a length, as keys need one."""
+    def create_table(self, schema: str, name: str, columns: T.StructType, key: list[str] = (), spatial: list[str] = ()) -> str:
+        """A CREATE TABLE statement with its primary key; key columns of text get a length, as keys need one, and spatial ones their type."""
         short = {"mysql": "VARCHAR(255)", "mssql": "NVARCHAR(450)", "oracle": "VARCHAR2(255)"}.get(self.name, "VARCHAR(255)")
-        rows = [f"{self.quote(f.name)} {short if f.name in key and isinstance(f.dataType, T.StringType) else self.type_of(f.dataType)}{' NOT NULL' if f.name in key or not f.nullable else ''}" for f in columns]
+        rows = [f"{self.quote(f.name)} {SPATIAL_TYPES[self.name] if f.name in spatial and self.name in SPATIAL_TYPES else short if f.name in key and isinstance(f.dataType, T.StringType) else self.type_of(f.dataType)}{' NOT NULL' if f.name in key or not f.nullable else ''}" for f in columns]
         rows += [f"PRIMARY KEY ({', '.join(map(self.quote, key))})"] if key else []
         return f"CREATE TABLE {self.table(schema, name)} ({', '.join(rows)})"
 
@@ -125,9 +144,14 @@ class Dialect:
     def truncate(self, schema: str, name: str) -> str:
         return f"TRUNCATE TABLE {self.table(schema, name)}"
 
-    def upsert(self, schema: str, name: str, staging: str, columns: list[str], key: list[str]) -> str:
-        """One statement that merges a staging table into its target; rows of equal keys change only where a column differs."""
+    def upsert(self, schema: str, name: str, staging: str, columns: list[str], key: list[str], spatial: list[str] = (), srid: int = 4326) -> str:
+        """One statement that merges a staging table into its target; rows of equal keys change only where a column differs.
+        Spatial columns come from the texts that the staging table holds, and aren't compared."""
+        if spatial and self.name in SPATIAL_SINK:
+            chosen = ", ".join(f"{self.from_text(self.quote(c), srid=srid)} AS {self.quote(c)}" if c in spatial else self.quote(c) for c in columns)
+            staging = f"(SELECT {chosen} FROM {staging})" + (" x" if self.name in ("postgres", "mysql") else "")
         q, rest = self.quote, [c for c in columns if c not in key]
+        compared = [c for c in rest if c not in spatial]
         target, cols = self.table(schema, name), ", ".join(map(q, columns))
         if self.name in ("postgres", "mysql"):
             head = f"INSERT INTO {target} ({cols}) SELECT {cols} FROM {staging}"
@@ -137,16 +161,18 @@ class Dialect:
             on = f"{head} ON CONFLICT ({', '.join(map(q, key))}) DO "
             if not rest:
                 return on + "NOTHING"
-            before, after = (", ".join(f"{x}.{q(c)}" for c in rest) for x in (target, "EXCLUDED"))
+            if not compared:
+                return on + "NOTHING"
+            before, after = (", ".join(f"{x}.{q(c)}" for c in compared) for x in (target, "EXCLUDED"))
             return on + f"UPDATE SET {', '.join(f'{q(c)} = EXCLUDED.{q(c)}' for c in rest)} WHERE ({before}) IS DISTINCT FROM ({after})"
         match = " AND ".join(f"t.{q(k)} = s.{q(k)}" for k in key)
-        differs = " OR ".join(f"t.{q(c)} <> s.{q(c)} OR (t.{q(c)} IS NULL AND s.{q(c)} IS NOT NULL) OR (t.{q(c)} IS NOT NULL AND s.{q(c)} IS NULL)" for c in rest)
+        differs = " OR ".join(f"t.{q(c)} <> s.{q(c)} OR (t.{q(c)} IS NULL AND s.{q(c)} IS NOT NULL) OR (t.{q(c)} IS NOT NULL AND s.{q(c)} IS NULL)" for c in compared)
         sets = ", ".join(f"{q(c)} = s.{q(c)}" for c in rest)
         values = ", ".join(f"s.{q(c)}" for c in columns)
         if self.name == "oracle":
-            update = f" WHEN MATCHED THEN UPDATE SET {sets} WHERE {differs}" if rest else ""
+            update = f" WHEN MATCHED THEN UPDATE SET {sets} WHERE {differs}" if compared else ""
             return f"MERGE INTO {target} t USING {staging} s ON ({match}){update} WHEN NOT MATCHED THEN INSERT ({cols}) VALUES ({values})"
-        update = f" WHEN MATCHED AND ({differs}) THEN UPDATE SET {sets}" if rest else ""
+        update = f" WHEN MATCHED AND ({differs}) THEN UPDATE SET {sets}" if compared else ""
         end = ";" if self.name == "mssql" else ""
         return f"MERGE INTO {target} AS t USING {staging} AS s ON {match}{update} WHEN NOT MATCHED THEN INSERT ({cols}) VALUES ({values}){end}"
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideway.catalog import DATE_TYPES, TableSpec
 from tideway.plans.ranges import KeyRange, ansi_literal, literal, refined, stored_cuts
 from tideway.plans.splits import Split
-from tideway.sources.dialects import Dialect
+from tideway.sources.dialects import ROW_STATISTICS, SPATIAL, Dialect
 
 #: What a JDBC URL calls a connector.
 _BY_URL = {"postgresql": "postgres", "sqlserver": "mssql", "mysql": "mysql", "mariadb": "mysql", "oracle": "oracle"}
@@ -69,29 +71,37 @@ def write_table(df: DataFrame, table: str, options: dict, mode: str = "append",
     df.write.jdbc(options["url"], table, mode=mode, properties=rest)
 
 
-def execute(spark: SparkSession, options: dict, *statements: str) -> list[int]:
-    """Run statements in one transaction of the database; rows that each changed."""
+@contextlib.contextmanager
+def connection(spark: SparkSession, options: dict):
+    """A connection of the driver's own, closed at the end."""
     jvm = spark.sparkContext._jvm
     if options.get("driver"):
         jvm.java.lang.Class.forName(options["driver"])
     own = jvm.java.util.Properties()
     for k, v in options.items():
-        if k not in ("url", "driver"):
+        if k not in ("url", "driver", "dbtable"):
             own.setProperty(k, str(v))
     con = jvm.java.sql.DriverManager.getConnection(options["url"], own)
     try:
-        con.setAutoCommit(False)
-        statement = con.createStatement()
-        done = [statement.executeUpdate(s) for s in statements]
-        con.commit()
-        return done
-    except Exception:
-        con.rollback()
-        raise
+        yield con
     finally:
         con.close()
 
 
+def execute(spark: SparkSession, options: dict, *statements: str) -> list[int]:
+    """Run statements in one transaction of the database; rows that each changed."""
+    with connection(spark, options) as con:
+        try:
+            con.setAutoCommit(False)
+            statement = con.createStatement()
+            done = [statement.executeUpdate(s) for s in statements]
+            con.commit()
+            return done
+        except Exception:
+            con.rollback()
+            raise
+
+
 def table_exists(spark: SparkSession, options: dict, table: str) -> bool:
     """Whether the database answers a query for the table; other errors than its absence come up with the query that follows."""
     rest = {k: v for k, v in options.items() if k != "url"}
@@ -132,6 +142,67 @@ def stage(df: DataFrame, table: str, options: dict, tries: int = 2) -> int:
     raise RuntimeError(f"staging table {table} has {n} rows where {seen.get['n']} were written")
 
 
+def estimated_count(spark: SparkSession, options: dict, schema: str, table: str) -> int | None:
+    """The rows of a table by the statistics that its database keeps; None where it keeps none, or none yet."""
+    query = ROW_STATISTICS.get(dialect_of(options).name)
+    if query is None:
+        return None
+    n = scalar(spark, options, query.format(schema=ansi_literal(schema), table=ansi_literal(table)))
+    return int(n) if n is not None and n > 0 else None
+
+
+def tiered_count(spark: SparkSession, options: dict, schema: str, table: str) -> int:
+    """The database's own estimate if it has one, else the exact count."""
+    found = estimated_count(spark, options, schema, table)
+    return found if found is not None else int(scalar(spark, options, f"SELECT COUNT(*) AS n FROM {dialect_of(options).table(schema, table)}"))
+
+
+def live_catalog(spark: SparkSession, options: dict, schema: str) -> dict[str, list[tuple]]:
+    """tables (name), columns (table, column, type, ordinal, nullable), keys (table, column, place) and references
+    (table, constraint, place, column, other table, other column) of a schema, as any JDBC driver tells them."""
+
+    def told(ask, *names: str) -> list[tuple]:
+        found, out = ask(), []
+        try:
+            while found.next():
+                out.append(tuple(found.getString(n) for n in names))
+        finally:
+            found.close()
+        return out
+
+    with connection(spark, options) as con:
+        meta, any_ = con.getMetaData(), None
+        kinds = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.java.lang.String, 1)
+        kinds[0] = "TABLE"
+        # a catalog is what MySQL calls a schema
+        catalog = schema if dialect_of(options).name == "mysql" else any_
+        schema = any_ if dialect_of(options).name == "mysql" else schema or any_
+        names = [r[0] for r in told(lambda: meta.getTables(catalog, schema, "%", kinds), "TABLE_NAME")]
+        columns = [(t, c, k, int(n), x != "NO") for t, c, k, n, x in told(lambda: meta.getColumns(catalog, schema, "%", "%"), "TABLE_NAME", "COLUMN_NAME", "TYPE_NAME", "ORDINAL_POSITION", "IS_NULLABLE") if t in set(names)]
+        keys = [(t, c, int(n)) for name in names for t, c, n in told(lambda name=name: meta.getPrimaryKeys(catalog, schema, name), "TABLE_NAME", "COLUMN_NAME", "KEY_SEQ")]
+        references = [(t, x, int(n), c, o, k) for name in names for t, x, n, c, o, k in told(lambda name=name: meta.getImportedKeys(catalog, schema, name), "FKTABLE_NAME", "FK_NAME", "KEY_SEQ", "FKCOLUMN_NAME", "PKTABLE_NAME", "PKCOLUMN_NAME")]
+    return {"tables": sorted(names), "columns": columns, "keys": keys, "references": references}
+
+
+def specs_of(spark: SparkSession, options: dict, schema: str, dates: list[str] = (), target_schema: str = "") -> list[TableSpec]:
+    """What the engine needs to know of each table of a schema: its key, source types, foreign keys, and the first of `dates` that it has as a date column."""
+    found, own = live_catalog(spark, options, schema), dialect_of(options)
+    out = []
+    for t in found["tables"]:
+        columns = {c: k.lower() for x, c, k, *_ in found["columns"] if x == t}
+        low = {c.lower(): c for c, k in columns.items() if k in DATE_TYPES}
+        key = tuple(c for _, c, _n in sorted((r for r in found["keys"] if r[0] == t), key=lambda r: r[2]))
+        foreign: dict[str, list] = {}
+        for x, name, n, c, other, k in found["references"]:
+            if x == t:
+                foreign.setdefault(name, []).append((n, c, other, k))
+        links = tuple((tuple(c for _, c, _o, _k in sorted(of)), of[0][2], tuple(k for *_, k in sorted(of))) for of in foreign.values())
+        spatial = tuple(c for c, k in columns.items() if k in SPATIAL.get(own.name, ((), ""))[0])
+        date = next((low[d.lower()] for d in dates if d.lower() in low), None)
+        out.append(TableSpec(t, key, date, spatial, links, format="jdbc", options=options | {"dbtable": own.table(schema, t)}, schema=schema, target_schema=target_schema, kinds=columns))
+    return out
+
+
 def staging_name(table: str, writer: str = "0", most: int = 60) -> str:
     """The staging table of one writer; a hash stands for the end of a name that would be too long."""
     name = f"stg_{table}_{writer}"

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideway.sources import dialects
+from tideway.sources import dialects, jdbc
 
 _SPARK = dialects.Dialect("spark")
 
@@ -41,6 +41,18 @@ def load_catalog(spark: SparkSession, connector: str, options: dict, schema: str
     return {k: lower(spark.read.format("jdbc").options(**options).option("query", dialects.catalog_query(q, connector, schema)).load()) for k, q in names.items()}
 
 
+def live_catalog(spark: SparkSession, options: dict, schema: str) -> dict[str, DataFrame]:
+    """load_catalog() by what the JDBC driver tells, for any database."""
+    found = jdbc.live_catalog(spark, options, schema)
+    name = lambda t: f"pk_{t}"
+    return {
+        "tables": spark.createDataFrame([(t,) for t in found["tables"]], "table_name string"),
+        "columns": spark.createDataFrame(found["columns"], "table_name string, column_name string, type_name string, ordinal int, is_nullable boolean"),
+        "constraints": spark.createDataFrame([(name(t), t, "PRIMARY KEY") for t in sorted({k[0] for k in found["keys"]})], "constraint_name string, table_name string, constraint_type string"),
+        "key_columns": spark.createDataFrame([(name(t), t, c, n) for t, c, n in found["keys"]], "constraint_name string, table_name string, column_name string, pos int"),
+    }
+
+
 def primary_keys(constraints: DataFrame, key_columns: DataFrame) -> DataFrame:
     """(table_name, cols): the columns of each primary key in key order, comma-joined."""
     own = constraints.where("constraint_type = 'PRIMARY KEY'").select("constraint_name", "table_name")

@@ -213,16 +213,17 @@ class DatabaseTarget:
         if not self.exists(table):
             if not create:
                 raise ValueError(f"{table} is missing")
-            jdbc.execute(self.spark, self.options, self.own.create_table(spec.target_schema or self.schema, spec.name, schema, list(spec.key)))
+            jdbc.execute(self.spark, self.options, self.own.create_table(spec.target_schema or self.schema, spec.name, schema, list(spec.key), list(spec.spatial)))
         cols = ", ".join(map(self.own.quote, schema.names))
-        moves = [f"INSERT INTO {table} ({cols}) SELECT {cols} FROM {self.staging(spec, p)}" for p in parts]
+        chosen = ", ".join(self.own.from_text(self.own.quote(c), srid=spec.srid) if c in spec.spatial else self.own.quote(c) for c in schema.names)
+        moves = [f"INSERT INTO {table} ({cols}) SELECT {chosen} FROM {self.staging(spec, p)}" for p in parts]
         done = jdbc.execute(self.spark, self.options, f"DELETE FROM {table}", *moves)
         self.drop(spec, parts)
         return sum(done[1:])
 
     def merge(self, spec: TableSpec, part: str, columns: list[str]) -> int:
         """Merge a staging table into its table; returns the rows that changed."""
-        done = jdbc.execute(self.spark, self.options, self.own.upsert(spec.target_schema or self.schema, spec.name, self.staging(spec, part), columns, list(spec.key)))
+        done = jdbc.execute(self.spark, self.options, self.own.upsert(spec.target_schema or self.schema, spec.name, self.staging(spec, part), columns, list(spec.key), list(spec.spatial), spec.srid))
         self.drop(spec, [part])
         return done[0]
 
