@@ -8,6 +8,7 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from llm import brute
@@ -225,3 +226,12 @@ def test_scripts_and_styles_hold_no_markup():
     began = time.time()
     assert len(html.lines_of("<script><!-- '</script><p>x</p>" * 30_000)) == 30_000
     assert time.time() - began < 20
+
+
+def test_equal_pieces_are_dealt_to_many_shares(spark):
+    rows = spark.range(30_000).selectExpr("cast(null as long) as doc_id", "0 as piece", "0L as start", "1L as length", "5L as ids_crc32")
+    cut = common.written(rows.withColumn(packing.ROW, F.monotonically_increasing_id()), "equal")
+    out = packing.packed(cut, share_rows=1000)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    got = out.toPandas()
+    assert len(got) == 30_000 and not got.duplicated(["sequence_id", "offset"]).any() and got.sequence_id.nunique() == -(-30_000 // 2048)

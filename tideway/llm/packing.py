@@ -103,6 +103,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Placed]
     return out, opened
 
 
+#: The column that numbers written pieces.
+ROW = "__piece_row"
+
+
 def _pieces(vocab: str, end: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocab)
@@ -161,7 +165,10 @@ def _placed(placements: list[Placed]):
 
 
 def packed(cut: DataFrame, capacity: int = CAPACITY, share_rows: int = SHARE_ROWS) -> DataFrame:
-    """The pieces (see pieces()) with sequence_id and offset; columns of these names are replaced. cut should be a written table, as it is read four times."""
+    """The pieces (see pieces()) with sequence_id and offset; columns of these names are replaced. cut should be a written table, as it is read four times.
+
+    A column named ROW that numbers the pieces deals equal ones to different shares, and isn't returned."""
+    own = [F.col(f"row.{ROW}")] if ROW in cut.columns else []
     kept = [F.col(f"`{c}`") for c in cut.columns if c not in ("sequence_id", "offset")]
     spark = cut.sparkSession
     # at most capacity rows, whatever the input
@@ -169,7 +176,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, share_rows: int = SHARE_ROW
     placements, opened = plan({k: n for k, n in counts.items() if k < capacity}, capacity)
     whole = cut.where(F.col("length") == capacity).select(*kept, (F.monotonically_increasing_id() + opened).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     shares = spark.createDataFrame([(k, -(-n // share_rows)) for k, n in counts.items()], "length long, shares long")
-    share = F.pmod(F.xxhash64("row.doc_id", "row.piece", "row.ids_crc32"), F.col("shares")).alias("share")
+    share = F.pmod(F.xxhash64("row.doc_id", "row.piece", "row.ids_crc32", *own), F.col("shares")).alias("share")
     rows = cut.where(F.col("length") < capacity).select(F.struct(*kept).alias("row"), "length").join(F.broadcast(shares), "length").select("row", "length", share)
     sizes = rows.groupBy("length", "share").agg(F.count(F.lit(1)).alias("n"))
     in_length = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
@@ -179,7 +186,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, share_rows: int = SHARE_ROW
     ranked = ranked.select("row", "length", (F.col("rank") + F.col("before")).alias("rank"))
     schema = T.StructType([ranked.schema["row"], *(T.StructField(c, T.LongType()) for c in ("length", "sequence_id", "offset"))])
     placed = ranked.mapInArrow(_placed(placements), schema)
-    return placed.select("row.*", "sequence_id", "offset").union(whole)
+    return placed.select("row.*", "sequence_id", "offset").union(whole).drop(ROW)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,4 +194,5 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packed(common.written(pieces(docs, vocabulary("word_bpe_49k.json")), "pieces"))
+    cut = pieces(docs, vocabulary("word_bpe_49k.json")).withColumn(ROW, F.monotonically_increasing_id())
+    return packed(common.written(cut, "pieces"))
