@@ -5,6 +5,8 @@ but letters and digits to single spaces. The digests of the whole text and of ea
 joins in a table of known licences and notices, canonicalised in the same way. A line can only equal a known notice of
 the same length, so lines of other lengths are dropped before they are hashed; that loses nothing.
 
+Long licence texts are known by their digests alone (DIGESTS), so they needn't be here.
+
 Nulls: a null or empty text has no canonical form, hence no licence; a null doc_id is kept. Repeated rows are returned as
 often as they come. Texts of any length are canonicalised whole, and lines of equal digest under several licences go to
 the alphabetically first. Other columns aren't read, whatever their names. `from_folder` reads further known texts.
@@ -125,13 +127,54 @@ KNOWN = (
 STEPS = (
     (r"(^|\n)[ \t*#/]*(copyright|\(c\)|©)[^\n]*", r"\1"),
     (r"licence", "license"),
-    (r"sub-license", "sublicense"),
-    (r"copyright owner", "copyright holder"),
+    (r"sub[- \t]+license", "sublicense"),
+    (r"copyright([ \t\r\n]+)owner", r"copyright\1holder"),
+    (r"(authori|organi|capitali|categori|initiali|maximi|minimi|optimi|reali|recogni|utili|emphasi|customi)s(ation|e|ing)", r"\1z\2"),
+    (r"(fav|lab|col|hon|behavi)our", r"\1or"),
+    (r"(cent|calib)re", r"\1er"),
+    (r"(catalog|analog)ue", r"\1"),
+    (r"analyse", "analyze"),
+    (r"(label|model|signal|cancel)l(ed|ing)", r"\1\2"),
+    (r"(judg|acknowledg)ement", r"\1ment"),
+    (r"(off|def)ence", r"\1ense"),
+    (r"fulfil([^l])", r"fulfill\1"),
+    (r"artefact", "artifact"),
+    (r"practise", "practice"),
+    (r"programme([^dr])", r"program\1"),
+    (r"whilst", "while"),
+    (r"wilful", "willful"),
+    (r"per[ \t]+cent", "percent"),
+    (r"non-commercial", "noncommercial"),
     (r"https://", "http://"),
     (r"&", " and "),
 )
 
 
+#: Fixed values: (licence, kind, digest, length) of the canonical forms of long licence texts, with and without what stands behind their terms.
+DIGESTS = (
+    ("Apache-2.0", "permissive", "ebc600199db9838b4fc2d5288a12598c2702142177a89b3443f5cc87b137d94b", 9706),
+    ("Apache-2.0", "permissive", "98378616989e23431b15181388a001fdeac0999db741918e302c5162392bcfbd", 8690),
+    ("Artistic-1.0-Perl", "permissive", "cc2cd6cccfacd5fb622fb0e9b9a373fa9dcb86a8c152213a2b856dfbe24fe304", 5683),
+    ("BSD-3-Clause", "permissive", "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9", 1381),
+    ("CC0-1.0", "permissive", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", 6692),
+    ("GFDL-1.2", "copyleft", "19d29a7c800a0d85704b63b4c09d5cd01dd9a287c61e238f4717d8a9e75d214f", 19509),
+    ("GFDL-1.3", "copyleft", "e70f40f3a50995855f972521fe4eaa4af360a4597e5914977b6093cce5243480", 21877),
+    ("GPL-1.0", "copyleft", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224", 11765),
+    ("GPL-1.0", "copyleft", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc", 9415),
+    ("GPL-2.0", "copyleft", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1", 17053),
+    ("GPL-2.0", "copyleft", "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999", 14419),
+    ("GPL-3.0", "copyleft", "010ce52b3b970c80b5447205f4afc3b42084811cda2d11b95178b1fd3940764f", 33274),
+    ("GPL-3.0", "copyleft", "3dcf77ad8c25248618918aaff1de8a2cb80cea6ca922ef4a7a389cca96a7560b", 30836),
+    ("LGPL-2.0", "copyleft", "9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3", 23937),
+    ("LGPL-2.0", "copyleft", "ff773d8d898dfc51ae2dbf3baa20700673e8ceb153b13d26c525af34a59adf0c", 22084),
+    ("LGPL-2.1", "copyleft", "cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345", 25024),
+    ("LGPL-2.1", "copyleft", "963f79d48038eed98d8341c84d8d3b765e99508a738d00654c0112f70a7c370c", 23172),
+    ("LGPL-3.0", "copyleft", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", 7104),
+    ("MPL-1.1", "copyleft", "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6", 22339),
+    ("MPL-2.0", "copyleft", "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56", 14272),
+)
+
+
 def _steps(text: Column) -> Column:
     out = F.lower(text)
     for pattern, to in STEPS:
@@ -149,19 +192,22 @@ def canonical_lines(text: Column) -> Column:
     return F.split(F.regexp_replace(F.regexp_replace(_steps(text), r"[^\p{L}\p{N}\n]+", " "), r" ?\n ?", "\n"), "\n")
 
 
-def known_digests(licences: DataFrame) -> DataFrame:
-    """(digest, licence, kind, size) of licences(licence, kind, text): one row a digest, the alphabetically first licence if several share it."""
+def known_digests(licences: DataFrame, stored: tuple = ()) -> DataFrame:
+    """(digest, licence, kind, size) of licences(licence, kind, text) and of stored ones (see DIGESTS): one row a digest, the alphabetically first licence if several share it."""
     rows = licences.select("licence", "kind", canonical(F.col("text")).alias("c")).where("c <> ''")
-    return rows.groupBy(F.sha2("c", 256).alias("digest"), F.length("c").alias("size")).agg(F.min(F.struct("licence", "kind")).alias("l")).select("digest", "l.licence", "l.kind", "size")
+    rows = rows.select(F.sha2("c", 256).alias("digest"), F.length("c").alias("size"), "licence", "kind")
+    if stored:
+        rows = rows.union(licences.sparkSession.createDataFrame(list(stored), "licence string, kind string, digest string, size int").select("digest", "size", "licence", "kind"))
+    return rows.groupBy("digest", "size").agg(F.min(F.struct("licence", "kind")).alias("l")).select("digest", "l.licence", "l.kind", "size")
 
 
-def scan(docs: DataFrame, licences: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, licences: DataFrame, stored: tuple | None = None) -> DataFrame:
     """(doc_id, digest, licence, kind, notices, n_notice_lines): the licence that the whole text is, and those that its lines state.
 
     The sizes of known forms, at most a few hundred distinct numbers, are gathered once; digests are joined with the known
     table as Spark sees fit, and each row carries the distinct notices of its document only.
     """
-    known = known_digests(licences)
+    known = known_digests(licences, DIGESTS if stored is None else stored)
     sizes = sorted(r[0] for r in known.select("size").distinct().collect()) or [0]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     whole = canonical(text)
@@ -194,6 +240,7 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({', '.join(map(quoted, row))})" for row in KNOWN)
+    stored = ", ".join(f"({', '.join(map(quoted, row[:3]))})" for row in DIGESTS)
     steps = "lower(t)"
     for pattern, to in STEPS:
         steps = f"regexp_replace({steps}, {quoted(pattern)}, {quoted(to)}, 'g')"
@@ -201,7 +248,7 @@ def _oracle() -> str:
     split = f"string_split(regexp_replace(regexp_replace({steps}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), chr(10))"
     return f"""
 WITH known0(licence, kind, t) AS (VALUES {values}),
-known AS (SELECT sha256(c) AS digest, min({{'licence': licence, 'kind': kind}}) AS l FROM (SELECT licence, kind, {whole} AS c FROM known0) GROUP BY 1),
+known AS (SELECT digest, min({{'licence': licence, 'kind': kind}}) AS l FROM (SELECT licence, kind, sha256({whole}) AS digest FROM known0 UNION ALL SELECT * FROM (VALUES {stored}) AS s(licence, kind, digest)) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, {whole} AS c, {split} AS ls FROM d),
 n AS (SELECT r, k.l.licence AS licence FROM (SELECT r, sha256(trim(unnest(ls))) AS digest FROM w) x JOIN known k USING (digest)),
