@@ -96,6 +96,7 @@ class Engine:
         self.threshold, self.chunk, self.most, self.cadence, self.progress = threshold, chunk, most, max(1, cadence), progress
         self.steps, self.readers, self.keep_days, self.sample = max(1, steps), max(1, readers), keep_days, sample
         self.specs = {s.name: s for s in specs}
+        self.counted: dict[str, int] = {}
         self.folder = FolderTarget(spark, target, bucket_rows) if isinstance(target, str) else None
         self.database = None if self.folder else DatabaseTarget(spark, target)
         self.file = StateFile(spark, state)
@@ -156,6 +157,7 @@ class Engine:
         spec, df, n = self.specs[table], self._source(table), self._count(table)
         keyset = len(spec.key) == 1 and dict(df.dtypes)[spec.key[0]] in INTEGERS
         method = splits.strategy(n, keyset, bool(spec.key), threshold or self.threshold)
+        self.counted[table] = n
         files = sorted(df.inputFiles()) if spec.format != "jdbc" else []
         parts = 1 if method == "full_table" else splits.split_count(n, chunk or self.chunk, most or self.most)
         return n, method, min(parts, len(files)) if len(files) > 1 else parts, files
@@ -296,7 +298,8 @@ class Engine:
             new = [t for t in names if t not in planned]
             for t, of in zip(new, pool.map(self.jobs, new)):
                 planned[t] = [j.to_json() for j in of]
-            sizes = dict(zip(new, pool.map(self._count, new))) if self.mode != "upsert" else {}
+            # what the plan counted
+            sizes = {t: self.counted[t] for t in new} if self.mode != "upsert" else {}
             run.setdefault("sizes", {}).update(sizes)
             for t in sizes:
                 run["buckets"][t] = self.folder.buckets_for(self.specs[t], sizes[t]) if self.folder else 1

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideway.sources.scan import numbered
+from tideway.sources.scan import numbered_and_counted
 
 @dataclass(frozen=True)
 class Split:
@@ -70,8 +70,8 @@ def equi_depth_scaled(df: DataFrame, key: str, n: int, accuracy: int = 100_000)
 
 def equi_depth_numbered(df: DataFrame, key: str, n: int) -> DataFrame:
     """equi_depth() without a single-task window: rows are numbered over a written range partitioning, and a number tells its bucket."""
-    rows = numbered(df.select(F.col(f"`{key}`").alias("k")), ["k"], "rn")
-    size, more = divmod(rows.count(), n)
+    rows, total = numbered_and_counted(df.select(F.col(f"`{key}`").alias("k")), ["k"], "rn")
+    size, more = divmod(total, n)
     # ntile: the first `more` buckets have a row more
     at, wide = F.col("rn") - 1, more * (size + 1)
     bucket = F.when(at < wide, F.floor(at / (size + 1)) + 1).otherwise(more + F.floor((at - wide) / max(size, 1)) + 1)

@@ -49,17 +49,25 @@ def row_number_page(df: DataFrame, key: list[str], columns: list[str], above: in
 
 
 def numbered(df: DataFrame, key: list[str], name: str = "rn") -> DataFrame:
-    """df with row numbers in key order over all rows, without a single-task window: range partitions are sorted and each
-    continues where the ones before it end. Only a count per partition is aggregated on the way.
+    """df with row numbers in key order over all rows; see numbered_and_counted()."""
+    return numbered_and_counted(df, key, name)[0]
+
+
+def numbered_and_counted(df: DataFrame, key: list[str], name: str = "rn") -> tuple[DataFrame, int]:
+    """df with row numbers in key order over all rows, without a single-task window, and their count: range partitions are
+    sorted and each continues where the ones before it end. A count for each partition passes through the driver.
 
     The partition of each row is written to the shared folder first: the rows and the counts must see the same bounds, and
     a range partitioning that is planned twice, or again after an executor is lost, may sample others."""
     placed = checkpointed(df.repartitionByRange(*key).withColumn("_part", F.spark_partition_id()))
-    local = placed.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*key)))
-    sizes = placed.groupBy("_part").count()
-    before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    # one row a partition
-    return local.join(F.broadcast(before), "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+    before, bases = 0, []
+    for part, n in sorted(map(tuple, placed.groupBy("_part").count().collect())):
+        bases.append((part, before))
+        before += n
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(*key))
+    base = F.broadcast(df.sparkSession.createDataFrame(bases, "_part int, _before long"))
+    out = placed.withColumn("_at", at).join(base, "_part").withColumn(name, (F.col("_at") + F.col("_before")).cast("long"))
+    return out.drop("_part", "_at", "_before"), before
 
 
 def distinct_sample(df: DataFrame, column: str, limit: int = 5) -> DataFrame:
