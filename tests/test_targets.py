@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tideway.catalog import TableSpec
 from tideway.engine import Engine
 from tideway.sources import jdbc
+from tideway.streaming.incremental import merge_stream
 from tideway.targets import FolderTarget, bucket_of, parent
 from tideway.versions import Conflict, VersionLog
 
@@ -262,3 +263,38 @@ def test_rows_that_a_lost_task_wrote_twice_are_staged_again(spark, monkeypatch):
     monkeypatch.setattr(jdbc, "write_table", twice)
     assert jdbc.stage(rows_of(spark, 40), "STG", b) == 40 and len(calls) == 2
     assert jdbc.read_table(spark, "STG", b).count() == 40
+
+
+def test_generated_keys_go_on_behind_loaded_ones(spark, made, tmp_path):
+    source(spark, tmp_path, rows_of(spark, 30))
+    b = derby("identity")
+    jdbc.execute(spark, b, 'CREATE TABLE "t" ("k" BIGINT GENERATED BY DEFAULT AS IDENTITY PRIMARY KEY, "v" BIGINT)')
+    out = made([TableSpec("t", ("k",), identity="k")], target=b).run()
+    assert out["status"] == "success" and not out["warnings"]
+    jdbc.execute(spark, b, 'INSERT INTO "t" ("v") VALUES (77)')
+    assert jdbc.scalar(spark, b, 'SELECT "k" FROM "t" WHERE "v" = 77') == 30
+
+
+def test_a_stream_of_changes(spark, made, tmp_path):
+    spec = TableSpec("t", ("k",), date_column="at")
+    row = lambda k, v, day: (k, v, f"2024-01-0{day} 00:00:00")
+    frame = lambda rows: spark.createDataFrame(rows, "k long, v long, at string").selectExpr("k", "v", "cast(at as timestamp_ntz) as at")
+    source(spark, tmp_path, frame([row(k, 0, 1) for k in range(20)]))
+    e = made([spec], bucket_rows=5)
+    e.run()
+    folder = str(tmp_path / "changes")
+
+    def run():
+        changes = spark.readStream.schema("k long, v long, at timestamp_ntz").parquet(folder)
+        merge_stream(changes, e, "t", str(tmp_path / "checkpoint")).awaitTermination()
+        return {r.k: r.v for r in e.current("t").collect()}
+
+    # of repeated keys the last by date wins
+    frame([row(3, 5, 2), row(3, 9, 4), row(3, 7, 3), row(50, 1, 2)]).write.mode("append").parquet(folder)
+    found = run()
+    assert found[3] == 9 and found[50] == 1 and len(found) == 21
+    version = e.folder.version("t")["number"]
+    # nothing new: the checkpoint remembers what was merged
+    assert run() == found and e.folder.version("t")["number"] == version
+    frame([row(4, 8, 5)]).write.mode("append").parquet(folder)
+    assert run() == found | {4: 8}

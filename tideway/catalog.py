@@ -35,7 +35,7 @@ DATE_TYPES = ("date", "datetime", "datetime2", "smalldatetime", "datetimeoffset"
 
 @dataclass(frozen=True)
 class TableSpec:
-    """A table to move: its data are a DataFrame, its keys are declared here as files have none. kinds are source types of columns whose values are normalised."""
+    """A table to move: its data are a DataFrame, its keys are declared here as files have none. kinds are source types of columns whose values are normalised, identity a column that the target numbers itself."""
 
     name: str
     key: tuple[str, ...] = ()
@@ -50,6 +50,7 @@ class TableSpec:
     target_schema: str = ""
     kinds: dict = field(default_factory=dict)
     srid: int = 4326
+    identity: str = ""
 
     @property
     def mark(self) -> str:

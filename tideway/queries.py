@@ -16,6 +16,7 @@ from tideway.functions import values as V
 from tideway.operators import analyze, merge, metrics, state, validate
 from tideway.plans import ranges, splits
 from tideway.sources import dialects, keyed, scan, tables
+from tideway.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -948,3 +949,16 @@ def engine_growing(spark, d):
     version = e.folder.version("orders")
     assert version["buckets"] > 10 and max(version["rows"].values()) < 4 * n + 100
     return e.current("orders")
+
+
+@query("SELECT event_id, user_id, value FROM events")
+def engine_stream(spark, d):
+    """A table that is loaded in part and then merged from a stream of its rows, those that it has included."""
+    keyed.register(spark)
+    base = f"{storage.shared_dir(spark)}/tideway/stream-{uuid.uuid4().hex}"
+    table(spark, d, "events").where("event_id % 3 = 0").select("event_id", "user_id", F.lit(0.0).alias("value")).write.parquet(f"{base}/events.parquet")
+    e = _engine(spark, base, [catalog.TableSpec("events", ("event_id",))], bucket_rows=50_000)
+    assert e.run()["status"] == "success"
+    changes = spark.readStream.format(keyed.NAME).options(path=f"{d}/events.parquet", key="event_id").load().select("event_id", "user_id", "value")
+    incremental.merge_stream(changes, e, "events", f"{base}/checkpoint").awaitTermination()
+    return e.current("events")

@@ -57,6 +57,14 @@ SPATIAL_SINK = {
     "oracle": "SDO_GEOMETRY({0}, {srid})",
 }
 SPATIAL_TYPES = {"postgres": "GEOMETRY", "mssql": "GEOMETRY", "mysql": "GEOMETRY", "oracle": "SDO_GEOMETRY"}
+#: How each database sets what a generated key goes on with.
+IDENTITY = {
+    "postgres": "SELECT setval(pg_get_serial_sequence({text}, {name}), {value}, false)",
+    "mssql": "DBCC CHECKIDENT ({text}, RESEED, {last})",
+    "mysql": "ALTER TABLE {table} AUTO_INCREMENT = {value}",
+    "oracle": "ALTER TABLE {table} MODIFY ({column} GENERATED BY DEFAULT AS IDENTITY (START WITH {value}))",
+    "ansi": "ALTER TABLE {table} ALTER COLUMN {column} RESTART WITH {value}",
+}
 #: The row count that each database keeps for a table, by quoted literals of schema and name.
 ROW_STATISTICS = {
     "postgres": "SELECT CAST(c.reltuples AS BIGINT) AS n FROM pg_class c JOIN pg_namespace s ON s.oid = c.relnamespace WHERE s.nspname = {schema} AND c.relname = {table}",
@@ -141,6 +149,11 @@ class Dialect:
     def drop_table(self, schema: str, name: str) -> str:
         return f"DROP TABLE {'' if self.name in ('oracle', 'derby') else 'IF EXISTS '}{self.table(schema, name)}"
 
+    def restart_identity(self, schema: str, name: str, column: str, value: int) -> str:
+        """The statement after which a generated key goes on with a value."""
+        table = self.table(schema, name)
+        return IDENTITY.get(self.name, IDENTITY["ansi"]).format(table=table, text="'" + table.replace("'", "''") + "'", column=self.quote(column), name="'" + column.replace("'", "''") + "'", value=int(value), last=int(value) - 1)
+
     def truncate(self, schema: str, name: str) -> str:
         return f"TRUNCATE TABLE {self.table(schema, name)}"
 

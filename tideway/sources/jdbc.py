@@ -102,6 +102,12 @@ def execute(spark: SparkSession, options: dict, *statements: str) -> list[int]:
             raise
 
 
+def run(spark: SparkSession, options: dict, statement: str) -> None:
+    """Run one statement that may or may not give rows."""
+    with connection(spark, options) as con:
+        con.createStatement().execute(statement)
+
+
 def table_exists(spark: SparkSession, options: dict, table: str) -> bool:
     """Whether the database answers a query for the table; other errors than its absence come up with the query that follows."""
     rest = {k: v for k, v in options.items() if k != "url"}

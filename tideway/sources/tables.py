@@ -131,11 +131,8 @@ def table_key(spark: SparkSession, schema: str, table: str) -> list[str]:
 
 
 def ddl_of(spark: SparkSession, schema: str, table: str) -> str:
-    """The table's CREATE statement; empty if it can't be had."""
-    try:
-        return spark.sql(f"SHOW CREATE TABLE {name_of(schema, table)}").first()[0]
-    except Exception:
-        return ""
+    """The table's CREATE statement; empty if there is no such table."""
+    return spark.sql(f"SHOW CREATE TABLE {name_of(schema, table)}").first()[0] if exists(spark, schema, table) else ""
 
 
 def exists(spark: SparkSession, schema: str, table: str) -> bool:

@@ -248,8 +248,14 @@ class DatabaseTarget:
         return out
 
     def finalize(self, specs: list[TableSpec], tables: set[str]) -> list[str]:
-        """Indexes, foreign keys and checks of loaded tables; what the database refuses is a warning."""
+        """What generated keys go on with, then indexes, foreign keys and checks of loaded tables; what the database refuses is a warning."""
         out = []
+        for s in (s for s in specs if s.identity):
+            top = jdbc.scalar(self.spark, self.options, f"SELECT COALESCE(MAX({self.own.quote(s.identity)}), 0) + 1 AS n FROM {self.name(s)}")
+            try:
+                jdbc.run(self.spark, self.options, self.own.restart_identity(s.target_schema or self.schema, s.name, s.identity, int(top)))
+            except Exception as e:
+                out.append(f"{s.name}: {s.identity} wasn't set to {top}: {str(e)[:200]}")
         for _, table, what, statement in sorted((order, s.name, what, make) for s in specs for order, what, make, _ in self._constraints(s, tables)):
             try:
                 jdbc.execute(self.spark, self.options, statement)
