@@ -69,6 +69,7 @@ def _write(base: str, vocab: str, end: int, seq_len: int, rows: int):
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
+        common.worker_of("tokens", encoder.cache_clear)
         enc = encoder(vocab)
         fs, root = pyarrow.fs.FileSystem.from_uri(base)
         fs.create_dir(root, recursive=True)

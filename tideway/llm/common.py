@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -14,12 +16,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch between Spark and Python. Texts differ so much in length that a number of rows bounds nothing.
+BATCH_BYTES = 8 << 20
+_BYTES, _OWN = "spark.sql.execution.arrow.maxBytesPerBatch", [None, None]
+
+
+def bounded(spark: SparkSession) -> None:
+    """Let the session's Arrow batches be of BATCH_BYTES at most (a longer text is a batch of its own); a smaller setting stays."""
+    now = spark.conf.get(_BYTES).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
+
+
+def worker_of(operator: str, forget=None) -> None:
+    """Called in tasks: a Python worker serves one operator after another, and what the last one kept for its next task (`forget` drops it) goes when another begins."""
+    if _OWN[0] != operator:
+        if _OWN[1] is not None:
+            _OWN[1]()
+            gc.collect()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+        _OWN[:] = [operator, forget]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session. Only where that is unset and Spark runs on this machine alone, a temporary folder takes its place."""
+    bounded(spark)
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):

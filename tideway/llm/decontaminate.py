@@ -70,6 +70,7 @@ class Block:
 
 def _index(id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_of("decontamination")
         for k, (ids, texts) in enumerate(_cut(batches)):
             b = Block.of(texts)
             gaps = np.diff(b.postings, prepend=np.int32(0)).astype(np.int32)  # small within a term's list

@@ -109,6 +109,7 @@ ROW = "__piece_row"
 
 def _pieces(vocab: str, end: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_of("tokens", encoder.cache_clear)
         enc = encoder(vocab)
         tail = np.array([end], dtype="<u4")
         for batch in batches:
@@ -194,5 +195,6 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.bounded(spark)
     cut = pieces(docs, vocabulary("word_bpe_49k.json")).withColumn(ROW, F.monotonically_increasing_id())
     return packed(common.written(cut, "pieces"))

@@ -321,6 +321,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5)
 
 def _redact(forest: Forest, threshold: float, mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_of("secrets")
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for i, found in enumerate(_score_batch(texts, forest, threshold)):
@@ -334,6 +335,7 @@ def _redact(forest: Forest, threshold: float, mark: str):
 
 def redacted(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret in text replaced by mark, and n_chars, if there, counted anew; all rows and columns stay, whatever their names."""
+    common.bounded(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     few = docs.select(F.struct(F.lit(True).alias("__row"), *(F.col(f"`{c}`") for c in others)).alias("row"), F.col("text").cast("string").alias("text"))
     schema = T.StructType([T.StructField("row", few.schema["row"].dataType), T.StructField("text", T.StringType())])

@@ -52,6 +52,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.worker_of("simhash", _WORDS.clear)
     for batch in batches:
         prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["doc_id", "key", "fp"])
@@ -249,6 +250,7 @@ def shingles(words: list[bytes], k: int) -> np.ndarray:
 
 def _texts(batches: Iterator[pa.RecordBatch], k: int, wanted=None) -> Iterator[list[tuple[int, str, np.ndarray | None]]]:
     """(number of the text, text, shingles) of the texts with words, for about a megabyte of texts at a time; equal words have equal numbers. Texts whose number isn't wanted are left out; without k there are no shingles."""
+    common.worker_of("simhash", _WORDS.clear)
     out: dict[int, tuple] = {}
     size = 0
     for batch in batches:
