@@ -235,3 +235,9 @@ def test_equal_pieces_are_dealt_to_many_shares(spark):
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     got = out.toPandas()
     assert len(got) == 30_000 and not got.duplicated(["sequence_id", "offset"]).any() and got.sequence_id.nunique() == -(-30_000 // 2048)
+
+
+def test_entries_without_a_list(spark):
+    entries = spark.createDataFrame([(None, "x.org", None, "add", "2024-01-01"), ("l", None, "", "add", "2024-01-01"), ("l", "x.org", "", "add", None)], "list string, host string, prefix string, action string, at string").withColumn("at", F.to_timestamp_ntz("at"))
+    pages = spark.createDataFrame([(1, "http://x.org/a", "2024-02-01")], "page_id long, url string, fetched_at string").withColumn("fetched_at", F.to_timestamp_ntz("fetched_at"))
+    assert [r.entries for r in url_filters.judged(pages, entries).collect()] == [":x.org"]

@@ -8,7 +8,7 @@ its host, and captures of hosts without entries are in none of the later joins.
 captures share are looked up in a broadcast table of such keys alone, whose size is bounded (see common.joined).
 
 Nulls: a null, empty or unparsable url has the host '' and no entries; a null fetch time matches no entry. A dot behind a
-host is dropped. An entry that is added twice stays one interval; a removal without an addition before it does nothing. Of
+host is dropped. An entry that is added twice stays one interval; an entry without a list belongs to the list ''; one without host or time is no entry; a removal without an addition before it does nothing. Of
 entries dated at one instant the removal comes first. Repeated captures are returned as often as they come; urls of any
 length are read whole; other columns stay as they are, whatever their names, but those with the names of results (host,
 entries, n_active, blocked) are replaced.
@@ -43,7 +43,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     """(list, host, prefix, since, until): validity intervals [since, until) of entries(list, host, prefix, action, at); until is null while an entry holds."""
     one = ["list", "host", "prefix"]
     w = Window.partitionBy(*one).orderBy("at", F.col("action").desc())
-    cleaned = entries.where("at is not null and host is not null").select("list", F.lower("host").alias("host"), F.coalesce("prefix", F.lit("")).alias("prefix"), "action", "at").distinct()
+    cleaned = entries.where("at is not null and host is not null").select(F.coalesce("list", F.lit("")).alias("list"), F.lower("host").alias("host"), F.coalesce("prefix", F.lit("")).alias("prefix"), "action", "at").distinct()
     changes = cleaned.withColumn("before", F.lag("action").over(w)).where("action <> coalesce(before, 'remove')")
     return changes.withColumn("until", F.lead("at").over(w)).where("action = 'add'").select(*one, F.col("at").alias("since"), "until")
 
@@ -78,15 +78,30 @@ def entries_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(ENTRIES), "list string, host string, prefix string, action string, at string").withColumn("at", F.to_timestamp_ntz("at"))
 
 
+def seen_entries(pages: DataFrame) -> DataFrame:
+    """A dated list that grows with the pages: two fifths of their (host, first path segment) pairs are added on a day that a digest gives, half of these removed sixty days later."""
+    address = F.coalesce(F.col("url").cast("string"), F.lit(""))
+    host = F.regexp_replace(F.lower(F.regexp_extract(address, HOST, 1)), r"\.$", "")
+    pairs = pages.select(host.alias("host"), F.regexp_extract(F.regexp_extract(address, PATH, 1), "^/[^/]*", 0).alias("prefix")).where("host <> ''").distinct()
+    dated = pairs.withColumn("h", F.expr("cast(conv(substr(md5(concat(host, prefix)), 1, 4), 16, 10) as int)")).where("h % 5 < 2")
+    day = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(h % 366)")
+    row = lambda df, action, at: df.select(F.lit("seen").alias("list"), "host", "prefix", F.lit(action).alias("action"), at.alias("at"))
+    return row(dated, "add", day).union(row(dated.where("h % 5 = 1"), "remove", day + F.expr("interval 60 days")))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captures = common.table(spark, sf_dir, "pages").select("page_id", "url", F.expr(FETCHED).cast("timestamp_ntz").alias("fetched_at"))
-    return judged(captures, entries_table(spark))
+    pages = common.table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.expr(FETCHED).cast("timestamp_ntz").alias("fetched_at"))
+    return judged(captures, entries_table(spark).union(seen_entries(pages)))
 
 
 def _oracle() -> str:
     values = ", ".join(f"('{a}', '{b}', '{c}', '{d}', TIMESTAMP '{e}')" for a, b, c, d, e in ENTRIES)
     return f"""
-WITH e(list, host, prefix, action, moment) AS (VALUES {values}),
+WITH pairs AS (SELECT DISTINCT regexp_replace(lower(regexp_extract(coalesce(url, ''), '{HOST}', 1)), '\\.$', '') AS host, regexp_extract(regexp_extract(coalesce(url, ''), '{PATH}', 1), '^/[^/]*') AS prefix FROM pages),
+dated AS (SELECT host, prefix, ('0x' || substr(md5(host || prefix), 1, 4))::UINTEGER::INT AS h FROM pairs WHERE host <> ''),
+e(list, host, prefix, action, moment) AS (SELECT * FROM (VALUES {values}) UNION ALL SELECT 'seen', host, prefix, 'add', TIMESTAMP '2024-01-01' + to_days(h % 366) FROM dated WHERE h % 5 < 2
+  UNION ALL SELECT 'seen', host, prefix, 'remove', TIMESTAMP '2024-01-01' + to_days(h % 366 + 60) FROM dated WHERE h % 5 = 1),
 c AS (SELECT *, lag(action) OVER (PARTITION BY list, host, prefix ORDER BY moment, action DESC) AS before FROM e),
 k AS (SELECT * FROM c WHERE action <> coalesce(before, 'remove')),
 v AS (SELECT list, host, prefix, action, moment AS since, lead(moment) OVER (PARTITION BY list, host, prefix ORDER BY moment) AS until FROM k),
