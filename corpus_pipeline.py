@@ -1,4 +1,10 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the next one's docs."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the next one's docs.
+
+Nulls: a null or empty text has too few words and goes in the first stage; a null doc_id is kept. Repeated rows and ties:
+of rows that near-dedup links, those of one text among them, the one with the smallest doc_id and text stays. An empty
+table stays empty through all stages. Texts of any length are read whole. Columns beside doc_id and text stay, whatever
+their names, up to the last stage, which returns the pieces of documents and their places.
+"""
 
 from __future__ import annotations
 
