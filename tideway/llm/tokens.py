@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -21,7 +23,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 #: Chunks kept per worker in each of two generations; the older one goes when the newer is full. It bounds memory only.
-CACHE = 200_000
+CACHE = 300_000
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 _SINGLE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 #: Characters for which the piece pattern below gives the pre-tokenizers' pieces.
@@ -37,6 +39,10 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in shown else next(rest)) for b in range(256)}
 
 
+#: What the byte-level alphabet writes for a space, and whether this machine's numbers are laid out as the files want them.
+_SPACE, _LITTLE = _byte_letters()[32], sys.byteorder == "little"
+
+
 class _Cache(dict):
     """Ids by chunk. Missing chunks are taken from the older generation or encoded, many at a time, so that the vocabulary stays in the processor's caches."""
 
@@ -69,12 +75,22 @@ class Encoder:
         self.cutting = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
         self.at_specials = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")")
         self.known = all(self._plain(s) == self._whole(s) for s in ("Ab cd, 12x", "it's é!", "A" if self.lower else " A\nb"))
-        self.exact = _Cache(self._chunk)
+        #: Signs and digits that are a piece of their own behind letters.
+        self.single = {c: self._plain(c) for c in map(chr, range(33, 127)) if not c.isalpha()} if self.known else {}
+        self.exact = _Cache(self._word if self.lower else self._chunk)
         #: Keys stand behind a single space, unless they begin with a line feed.
-        self.spaced = _Cache(lambda c: self._chunk(c if c[0] == "\n" else " " + c))
+        self.spaced = _Cache(self._word)
 
     def _pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+        return array("H" if self.width == 2 else "I", ids).tobytes() if _LITTLE else struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
+    def _word(self, chunk: str) -> bytes:
+        """A chunk behind a single space, or a word-level one. Most are ASCII letters, perhaps with one sign behind them: one piece, or two."""
+        if self.known and chunk.isascii():
+            letters, tail = (chunk, b"") if chunk.isalpha() else (chunk[:-1], self.single.get(chunk[-1]))
+            if tail is not None and letters.isalpha():
+                return self._pack([t.id for t in self.model.tokenize(letters.lower() if self.lower else _SPACE + letters)]) + tail
+        return self._chunk(chunk if self.lower or chunk[0] == "\n" else " " + chunk)
 
     def _whole(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
