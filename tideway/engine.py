@@ -11,7 +11,6 @@ from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as Late
 from dataclasses import dataclass
 from fnmatch import fnmatchcase
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +96,7 @@ class Engine:
         self.steps, self.readers, self.keep_days, self.sample = max(1, steps), max(1, readers), keep_days, sample
         self.specs = {s.name: s for s in specs}
         self.counted: dict[str, int] = {}
+        self.lines: list[str] = []
         self.folder = FolderTarget(spark, target, bucket_rows) if isinstance(target, str) else None
         self.database = None if self.folder else DatabaseTarget(spark, target)
         self.file = StateFile(spark, state)
@@ -277,8 +277,8 @@ class Engine:
                 self._save()
             if self.progress:
                 mine = [t for t in self.state["tasks"] if t["run_id"] == run["run_id"]]
-                with Path(self.progress).open("a") as f:
-                    f.write(monitor.progress_line("transferring", mine, time.time() - run["began"]) + "\n")
+                self.lines.append(monitor.progress_line("transferring", mine, time.time() - run["began"]))
+                self.file.write(self.progress, "\n".join(self.lines) + "\n")
 
     def run(self, include: list[str] = (), exclude: list[str] = ()) -> dict:
         names = self.selected(include, exclude)

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import importlib
 import json
+import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -77,7 +78,7 @@ class Files:
         self.batch = int(options.get("batch", 65_536))
 
     def _found(self) -> tuple[pa.fs.FileSystem, list[str]]:
-        fs, path = pa.fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
+        fs, path = pa.fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{os.path.abspath(self.path)}")
         info = fs.get_file_info(path)
         if info.is_file:
             return fs, [path]

@@ -32,10 +32,16 @@ class StateFile:
         return default | json.loads(text)
 
     def save(self, state: dict) -> None:
+        self.write(self.path, json.dumps(state, indent=1))
+
+    def write(self, to, text: str) -> None:
+        """Replace a file, on whatever file system its path names, by one with this text."""
+        path = self.jvm.org.apache.hadoop.fs.Path(to) if isinstance(to, str) else to
         with self.lock:
-            text = json.dumps(state, indent=1)
-            part = self.jvm.org.apache.hadoop.fs.Path(self.path.getParent(), f".{self.path.getName()}.{uuid.uuid4().hex}")
-            stream = self.fs.create(part, True)
+            fs = path.getFileSystem(self.conf)
+            path = fs.makeQualified(path)
+            part = self.jvm.org.apache.hadoop.fs.Path(path.getParent(), f".{path.getName()}.{uuid.uuid4().hex}")
+            stream = fs.create(part, True)
             try:
                 stream.write(bytearray(text.encode()))
             finally:
@@ -43,7 +49,7 @@ class StateFile:
             rename = self.jvm.org.apache.hadoop.fs.Options.Rename
             over = self.gateway.new_array(rename, 1)
             over[0] = rename.OVERWRITE
-            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path.toUri(), self.conf).rename(part, self.path, over)
+            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.conf).rename(part, path, over)
 
     def delete(self, folder: str) -> None:
         path = self.jvm.org.apache.hadoop.fs.Path(folder)
