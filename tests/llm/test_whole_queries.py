@@ -8,7 +8,7 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
-from tideway.llm import common, html, licences, secrets
+from tideway.llm import html, licences, secrets
 
 SF = "/root/testdata/sf0.001"
 
