@@ -83,12 +83,20 @@ def spans(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def swept(spark: SparkSession) -> None:
+    """Let the driver find out which shuffles and checkpoints nothing refers to any more: their files go only then, and a driver with much memory would wait long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(*tables: DataFrame) -> None:
     """Delete what written() wrote for tables that nothing reads any more: all that came from them must be written itself."""
     for df in tables:
         context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(df.written_path)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        swept(tables[0].sparkSession)
 
 
 def joined(big: DataFrame, small: DataFrame, key: str, hot: int | None = None, counts: DataFrame | None = None) -> DataFrame:
@@ -129,6 +137,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = hooked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(hooked.select("u", F.col("m").alias("v"))).distinct()
         e = checkpointed(small)
         now = told(e)
+        del both, low, large, hooked, small
+        swept(edges.sparkSession)
         if now == before:
             break
         before = now
