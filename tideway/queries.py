@@ -787,7 +787,7 @@ def engine_reload_whole(spark, d):
 def engine_upsert(spark, d):
     """A reload of the table, then an upsert of changed and new rows that rewrites only the buckets they fall into."""
     spec = catalog.TableSpec("customer", ("c_custkey",))
-    e = _engine(spark, d, [spec], bucket_rows=100)
+    e = _engine(spark, d, [spec], bucket_rows=1500)
     assert e.run()["status"] == "success"
     rows = table(spark, d, "customer")
     changed = rows.where("c_custkey % 50 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
@@ -951,6 +951,18 @@ def engine_growing(spark, d):
     return e.current("orders")
 
 
+@query("SELECT * FROM orders")
+def engine_idle_sync(spark, d):
+    """A loaded table and a sync after it that finds no row changed since: nothing is written."""
+    base = f"{storage.shared_dir(spark)}/tideway/run-{uuid.uuid4().hex}"
+    specs = [catalog.TableSpec("orders", ("o_orderkey",), "o_orderdate")]
+    e, sync = (Engine(spark, d, f"{base}/target", f"{base}/state.json", specs, mode) for mode in ("reload", "upsert"))
+    assert e.run()["status"] == "success"
+    sync.state = e.state
+    assert sync.run()["status"] == "success" and sync.folder.version("orders")["number"] == 1
+    return sync.current("orders")
+
+
 @query("SELECT event_id, user_id, value FROM events")
 def engine_stream(spark, d):
     """A table that is loaded in part and then merged from a stream of its rows, those that it has included."""

@@ -59,16 +59,12 @@ class FolderTarget:
     def leaves(self, table: str, version: dict, buckets: set[int] | None = None) -> list[str]:
         """The folders of a version's buckets; one that is needed whole stands for its buckets."""
         base = f"{self.path}/{table}"
-        if buckets is None:
-            uses: dict[int, int] = {}
-            for at in version["of"].values():
-                for i in at:
-                    uses[i] = uses.get(i, 0) + 1
-            whole = {i for i, n in uses.items() if n == version["sizes"][i]}
-        else:
-            whole = set()
-        out = [f"{base}/{version['folders'][i]}" for i in sorted(whole)]
-        return out + [f"{base}/{version['folders'][i]}/{BUCKET}={b}" for b, at in version["of"].items() if buckets is None or int(b) in buckets for i in at if i not in whole]
+        wanted = [(i, b) for b, at in version["of"].items() if buckets is None or int(b) in buckets for i in at]
+        uses: dict[int, int] = {}
+        for i, _ in wanted:
+            uses[i] = uses.get(i, 0) + 1
+        whole = {i for i, n in uses.items() if n == version["sizes"][i]}
+        return [f"{base}/{version['folders'][i]}" for i in sorted(whole)] + [f"{base}/{version['folders'][i]}/{BUCKET}={b}" for i, b in wanted if i not in whole]
 
     def stored(self, table: str, version: dict, buckets: set[int] | None = None) -> DataFrame:
         paths = self.leaves(table, version, buckets)
@@ -87,7 +83,8 @@ class FolderTarget:
         path = f"{self.path}/{table}/{folder}"
         rows = df.withColumn(BUCKET, bucket_of(key, buckets))
         if buckets > 1 and not dealt:
-            rows = rows.repartition(min(buckets, 10_000), BUCKET)
+            # each bucket in one task; how many buckets a task has follows from their sizes
+            rows = rows.repartition(BUCKET)
         rows.write.mode("overwrite").partitionBy(BUCKET).parquet(path)
         # files by their footers: no column is read
         found = self.spark.read.schema(f"{ddl(df)}, {BUCKET} int").parquet(path).groupBy(BUCKET).count().collect()
