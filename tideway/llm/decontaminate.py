@@ -34,6 +34,8 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97
 BLOCK_BYTES = 4_000_000
 #: Text of a benchmark that every task may hold, and windows that meet a block at a time.
 HELD_BYTES, LOT = 8_000_000, 100_000
+#: Blocks of a file of the index; a task holds one file's at a time.
+FILE_BLOCKS = 4
 INDEX = "block string, doc_ids array<{id}>, n_words array<bigint>, terms array<string>, counts array<int>, postings array<int>"
 
 
@@ -98,11 +100,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
 
 
 def build_index(docs: DataFrame, id_type: str = "bigint") -> DataFrame:
-    """The index of docs(doc_id, text), one row a block; doc_id may be a string instead. Write it before it is matched, as a block's name holds its task's number."""
+    """The index of docs(doc_id, text), one row a block; doc_id may be a string instead. Write it before it is matched (written_index), as a block's name holds its task's number."""
     few = docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), F.col("text").cast("string").alias("text"))
     return few.mapInArrow(_index(pa.string() if id_type == "string" else pa.int64()), INDEX.format(id=id_type))
 
 
+def written_index(docs: DataFrame, id_type: str = "bigint") -> DataFrame:
+    """build_index() in files of few blocks."""
+    return common.written(build_index(docs, id_type), "positions", FILE_BLOCKS)
+
+
 class Phrases:
     """The distinct windows of some benchmark items (or of labelled windows): rows of term numbers by length, and the items of each window."""
 
@@ -339,7 +346,7 @@ def proximity_matches(index: DataFrame, benchmark: DataFrame, slop: int = 5, siz
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = common.written(build_index(common.table(spark, sf_dir, "documents")), "positions")
+    index = written_index(common.table(spark, sf_dir, "documents"))
     found = matches(index, common.table(spark, sf_dir, "benchmark"))
     n_hit = F.expr("aggregate(zip_with(firsts, ends, (a, b) -> b - a), 0L, (s, x) -> s + x)")
     names = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
@@ -365,7 +372,7 @@ FROM d LEFT JOIN hit ON hit.r = d.r LEFT JOIN items ON items.r = d.r
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without a hit, with their own columns, whatever their names. Rows of one text share its verdict, so the index names documents by their text's digest."""
-    index = common.written(build_index(docs.select(F.md5("text").alias("doc_id"), "text"), "string"), "positions")
+    index = written_index(docs.select(F.md5("text").alias("doc_id"), "text"), "string")
     hit = matches(index, common.table(spark, sf_dir, "benchmark")).where(F.size("firsts") > 0)
     bad = common.checkpointed(hit.select(F.col("doc_id").alias("digest")).where("digest is not null").distinct())
     common.release(index)
