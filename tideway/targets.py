@@ -44,11 +44,13 @@ class FolderTarget:
     A version names, for each bucket, the written folders that hold its rows, and how many there are. Nothing that a
     version names is ever overwritten, so readers keep what they began with; a version becomes visible whole, in one
     step that fails if another writer came first (VersionLog). An upsert rewrites the buckets that its changes fall into,
-    and splits buckets as the table grows past `bucket_rows` a bucket. prune() deletes what older versions alone need.
+    and splits buckets as the table grows past `bucket_rows` a bucket. Changes of at most `small` bytes of files and
+    `small_rows` rows are broadcast. prune() deletes what older versions alone need.
     """
 
-    def __init__(self, spark: SparkSession, path: str, bucket_rows: int = 1_000_000, most: int = 100_000, small: int = 64 << 20) -> None:
-        self.spark, self.path, self.bucket_rows, self.most, self.small = spark, path.rstrip("/"), bucket_rows, most, small
+    def __init__(self, spark: SparkSession, path: str, bucket_rows: int = 1_000_000, most: int = 100_000, small: int = 8 << 20, small_rows: int = 100_000) -> None:
+        self.spark, self.path, self.bucket_rows, self.most = spark, path.rstrip("/"), bucket_rows, most
+        self.small, self.small_rows = small, small_rows
 
     def log(self, table: str) -> VersionLog:
         return VersionLog(self.spark, f"{self.path}/{table}")
@@ -135,9 +137,10 @@ class FolderTarget:
             touched = set(counts) | {parent(b, before) for b in range(before, after)}
             old = self.stored(spec.name, version, touched)
             had = sum(version["rows"].get(str(b), 0) for b in touched)
-            size = log.fs.getContentSummary(log._path(path)).getLength()
-            merged = merge.merge_small(old, changes, key, spec.spatial) if size <= self.small else merge.merge(old, changes, key, spec.spatial)
-            written = self.write(spec.name, key, merged.drop("_action"), folder, after, dealt=size <= self.small and after == before)
+            # files may be far smaller than their rows are in memory, which the driver and each task hold
+            small = new <= self.small_rows and log.fs.getContentSummary(log._path(path)).getLength() <= self.small
+            merged = merge.merge_small(old, changes, key, spec.spatial) if small else merge.merge(old, changes, key, spec.spatial)
+            written = self.write(spec.name, key, merged.drop("_action"), folder, after, dealt=small and after == before)
             may = touched | set(range(before, after))
             if stray := {int(b) for b in written} - may:
                 raise RuntimeError(f"{spec.name}: rows fell into buckets {sorted(stray)[:5]} that weren't read")
