@@ -182,6 +182,7 @@ def refined(count: Callable[[int, int, int], dict[int, int]], low: int, high: in
         width = max(1, -(-(end - at) // n))
         return [(at + i * width, min(at + (i + 1) * width, end), c) for i, c in sorted(count(at, width, end).items())]
 
+    low, high = int(low), int(high)
     found = cells(low, high + 1, 8 * n)
     share = sum(c for *_, c in found) / n
     for _ in range(rounds):
@@ -200,11 +201,12 @@ def refined(count: Callable[[int, int, int], dict[int, int]], low: int, high: in
 
 
 def frame_counts(df: DataFrame, key: str) -> Callable[[int, int, int], dict[int, int]]:
-    """count() of refined() for a DataFrame: each call is one aggregate over the key column."""
-    k = F.col(quoted(key)).cast("long")
+    """count() of refined() for a DataFrame: each call is one aggregate over the key column. Keys are integers of any type, decimals without a fraction among them; their differences may go beyond a long."""
+    k = quoted(key)
 
     def count(low: int, width: int, end: int) -> dict[int, int]:
-        return {r[0]: r[1] for r in df.where((k >= low) & (k < end)).groupBy(F.expr(f"(cast({quoted(key)} as long) - {low}L) div {width}L")).count().collect()}
+        rows = df.where(f"{k} >= {low} and {k} < {end}")
+        return {r[0]: r[1] for r in rows.groupBy(F.expr(f"(cast({k} as decimal(38,0)) - {low}) div cast({width} as decimal(38,0))")).count().collect()}
 
     return count
 

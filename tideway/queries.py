@@ -910,7 +910,8 @@ def composite_ranges(spark, d):
 @query("SELECT 'events' AS table_name, count(*) AS n_rows, 0::BIGINT AS unplaced, TRUE AS balanced FROM events")
 def skewed_ranges(spark, d):
     """An integer key whose values crowd at one end, cut by histograms: equal widths would put nearly all rows into one split."""
-    spread = F.col("event_id") * F.col("event_id") * F.col("event_id")
+    one = F.col("event_id").cast("decimal(19,0)")
+    spread = one * one * one  # beyond a long from two million events on
     return _placed(spark, d, [("events", ["k"])], lambda df, key: ranges.refined(ranges.frame_counts(df, "k"), *df.agg(F.min("k"), F.max("k")).first(), 12, "k"), {"k": spread})
 
 
