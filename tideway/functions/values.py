@@ -150,8 +150,16 @@ def short_hash(text: Column, size: int = 16) -> Column:
     return F.substring(F.sha2(text, 256), 1, size)
 
 
+#: Characters whose capital is several characters (ß: SS), and the one character that takes their place: their title case, a capital ß, or themselves.
+_WIDE = [chr(c) for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000 and len(chr(c).upper()) > 1]
+_ONE = ["ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _WIDE]
+
+
 def capitalized(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))
+    """The text with its first character as a capital; a character stays one, so ß becomes ẞ."""
+    first = F.substring(text, 1, 1)
+    capital = F.when(first.isin(_WIDE), F.translate(first, "".join(_WIDE), "".join(_ONE))).otherwise(F.upper(first))
+    return F.concat(capital, F.substring(text, 2, 1 << 30))
 
 
 def task_key(table: Column, part: Column) -> Column:
