@@ -9,6 +9,10 @@ from tideway.catalog import TableSpec
 from tideway.storage import checkpointed
 
 
+#: A row-number page that ends within so many rows is found by a top-n.
+TOP = 10_000
+
+
 def read(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
     """The table's rows, whatever its format: files below path, or what the options say for JDBC."""
     reader = spark.read.format(spec.format).options(**spec.options)
@@ -40,12 +44,16 @@ def keyset_page(df: DataFrame, key: str, columns: list[str], above: object | Non
 
 
 def row_number_page(df: DataFrame, key: list[str], columns: list[str], above: int, up_to: int, changed: Column | None = None) -> DataFrame:
-    """Rows above < n <= up_to, numbered by key after the filter. Spark turns the bound into a top-n below the window."""
+    """Rows above < n <= up_to, numbered by key after the filter. A top-n finds the rows up to a page that ends within TOP rows, so
+    no task holds more than those; deeper pages are numbered over range partitions (numbered())."""
     if not key:
         raise ValueError("row-number pages need a primary key")
-    rows = df if changed is None else df.where(changed)
-    numbered = rows.select(*columns, F.row_number().over(Window.orderBy(*key)).alias("_rn"))
-    return numbered.where((F.col("_rn") > above) & (F.col("_rn") <= up_to)).drop("_rn")
+    rows = (df if changed is None else df.where(changed)).select(*dict.fromkeys([*key, *columns]))
+    if up_to <= TOP:
+        found = rows.orderBy(*key).limit(max(0, up_to)).withColumn("_rn", F.row_number().over(Window.orderBy(*key)))
+    else:
+        found = numbered(rows, key, "_rn")
+    return found.where((F.col("_rn") > above) & (F.col("_rn") <= up_to)).select(*columns)
 
 
 def numbered(df: DataFrame, key: list[str], name: str = "rn") -> DataFrame:
