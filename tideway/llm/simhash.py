@@ -365,11 +365,31 @@ def _recurring(least: int):
     return run
 
 
+def _near(n: np.ndarray, folded: list[bytes], x: np.ndarray, y: np.ndarray, least: int) -> np.ndarray:
+    """Whether texts x and y can be similar enough by their folded sketches (see sketch()); the longer one of a pair is folded to the shorter one's size."""
+    met, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+    n, folded = n[met].astype(np.int64), folded[met]
+    sizes = np.fromiter(map(len, folded), np.int64, len(folded))
+    x, y = at[: len(x)], at[len(x) :]
+    keep, both = np.zeros(len(x), bool), np.minimum(sizes[x], sizes[y])
+    for size in np.unique(both):
+        bits = np.zeros((len(folded), size // 8), np.uint64)
+        for i in np.flatnonzero(sizes >= size):
+            bits[i] = np.bitwise_xor.reduce(np.frombuffer(folded[i], np.uint64).reshape(-1, size // 8))
+        of = np.flatnonzero(both == size)
+        for part in np.array_split(of, len(of) // 50_000 + 1):
+            apart = np.bitwise_count(bits[x[part]] ^ bits[y[part]]).sum(axis=1, dtype=np.int64)
+            keep[part] = apart * (100 + least) <= (n[x[part]] + n[y[part]]) * (100 - least)
+    return keep
+
+
 def _crossing(least: int):
-    """Possible pairs of a run between other groups, without those of the run's first text; rows come as (k, root, node, n, at, lead)."""
+    """Possible pairs of a run between other groups, without those of the run's first text; rows come as (k, root, node, n, at, lead, f).
+
+    Folded sketches are compared here, so texts of a cloud that are too far apart never become a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, root, node, n, at, lead in _runs(batches):
+        for k, root, node, n, at, lead, folded in _runs(batches):
             starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
             ends = np.append(starts[1:], len(k))
             mixed = np.concatenate(([False], (root[1:] != root[:-1]) & (k[1:] == k[:-1])))
@@ -383,6 +403,8 @@ def _crossing(least: int):
                         x, y = np.nonzero((x[:, None] < y[None]) & (root[x][:, None] != root[y][None]))
                         x, y = x + i, y + j
                         some = _possible(n, at, x, y, least) & (node[x] != lead[x]) & (node[y] != lead[y])
+                        x, y = x[some], y[some]
+                        some = _near(n, folded, x, y, least)
                         x, y = node[x[some]], node[y[some]]
                         found.append((np.minimum(x, y), np.maximum(x, y)))
                         held += len(x)
@@ -403,14 +425,19 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 SLOTS = 1 << 26
 
 
-def sketch(own: np.ndarray) -> bytes:
-    """A bit for each of at least 2 n slots: whether an odd number of the shingles fall into it."""
+#: Slots of a sketch that goes along with each of a text's rows: enough for 512 shingles, of some use up to 2,300.
+FOLDED = 1024
+
+
+def sketch(own: np.ndarray, most: int | None = None) -> bytes:
+    """A bit for each of at least 2 n slots, but no more than `most`: whether an odd number of the shingles fall into it."""
     slots = max(64, 1 << (2 * len(own) - 1).bit_length())
+    slots = min(slots, most or slots)
     return np.packbits(np.bincount(own & (slots - 1), minlength=slots) & 1, bitorder="little").tobytes()
 
 
 def _held(k: int, bits: np.ndarray, whole: bool):
-    """(node, fp, n, s) of the texts whose bit is set: s is the compressed text or the sketch of its n shingles."""
+    """(node, fp, n, s, f) of the texts whose bit is set: s is the compressed text or the sketch of its n shingles, f the latter with FOLDED slots at most."""
     wanted = lambda node: int(bits[(node % SLOTS) >> 6]) >> (node & 63) & 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,7 +445,8 @@ def _held(k: int, bits: np.ndarray, whole: bool):
             prints = np.array([0 if whole else fingerprint(t) for _, t, _ in few], dtype=np.uint64).view(np.int64)
             held = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) if whole else sketch(own) for _, t, own in few]
             sizes = [0 if whole else len(own) for *_, own in few]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _, _ in few], pa.int64()), pa.array(prints), pa.array(sizes, pa.int64()), pa.array(held, pa.binary())], names=["node", "fp", "n", "s"])
+            folded = [b"" if whole else sketch(own, FOLDED) for *_, own in few]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _, _ in few], pa.int64()), pa.array(prints), pa.array(sizes, pa.int64()), pa.array(held, pa.binary()), pa.array(folded, pa.binary())], names=["node", "fp", "n", "s", "f"])
 
     return run
 
@@ -428,7 +456,7 @@ def held(texts: DataFrame, nodes: DataFrame, k: int, whole: bool) -> DataFrame:
     words = nodes.groupBy(F.expr(f"shiftright(pmod(node, {SLOTS}L), 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(node & 63L as int)))").alias("m")).toArrow()
     bits = np.zeros(SLOTS >> 6, dtype=np.uint64)
     bits[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
-    return texts.mapInArrow(_held(k, bits, whole), "node long, fp long, n long, s binary").dropDuplicates(["node"])
+    return texts.mapInArrow(_held(k, bits, whole), "node long, fp long, n long, s binary, f binary").dropDuplicates(["node"])
 
 
 def _maybe(least: int):
@@ -466,8 +494,9 @@ def similar(docs: DataFrame, roots: DataFrame, shingle: int = 5, least: int = 80
     Two such sets share one of the first shingles of each in any common order, and behind the first one that they share
     both hold enough others, so all pairs are found. Frequent shingles (see frequent()) stand last in the order, which
     spares pairs but decides none. Sketches drop pairs that can't be similar enough; the others' whole sets are compared.
-    First each text is compared with one text of its run only; then pairs that are still apart, so a cloud of near copies
-    costs a pair for each text and shingle, not all pairs. Shingles and texts are told apart by 64-bit hashes.
+    First each text is compared with one text of its run only; then those that are still apart, where sketches of a fixed size
+    decide before a pair becomes a row: a cloud of near copies costs a pair for each text and shingle, and pairs that are
+    about as similar as `least` asks, not all pairs. Shingles and texts are told apart by 64-bit hashes.
     """
     texts = docs.select(F.col("text").cast("string").alias("text"))
     order, rank = frequent(texts, shingle, hot, most)
@@ -480,7 +509,7 @@ def similar(docs: DataFrame, roots: DataFrame, shingle: int = 5, least: int = 80
     led = often.join(F.broadcast(leads), "k").select("k", "node", "n", "at", F.col("l.node").alias("lead"), F.expr(f"node <> l.node and {sizes}").alias("near"))
     runs = common.written(rare.union(led), "shared-shingles")
     common.release(keys, often)
-    short = common.written(held(texts, runs.select("node"), shingle, False).join(roots, "fp").select("node", "root", "n", "s"), "sketches")
+    short = common.written(held(texts, runs.select("node"), shingle, False).join(roots, "fp").select("node", "root", "n", "s", "f"), "sketches")
     side = lambda x: short.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -500,7 +529,8 @@ def similar(docs: DataFrame, roots: DataFrame, shingle: int = 5, least: int = 80
     grouped = common.written(runs.join(named, "node").select("k", "root", "node", "n", "at", "lead"), "grouped-shingles")
     common.release(runs)
     mixed = grouped.groupBy("k").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u <> v").select("k")
-    apart = grouped.join(mixed, "k", "left_semi").select("k", "root", "node", "n", "at", "lead").repartition("k").sortWithinPartitions("k", "root")
+    apart = grouped.join(mixed, "k", "left_semi").join(short.select("node", "f"), "node").select("k", "root", "node", "n", "at", "lead", "f")
+    apart = apart.repartition("k").sortWithinPartitions("k", "root")
     rest = checked(apart.mapInArrow(_crossing(least), "a long, b long").distinct())
     common.release(short, grouped)
     return first.union(rest)
