@@ -215,6 +215,19 @@ def test_tokens_of_texts_with_nul():
             assert np.frombuffer(enc.ids(t), enc.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
+def test_common_words_take_the_short_way(monkeypatch):
+    """Letters, accented or not, with up to three signs behind them, are tokenized as they are."""
+    words = ["plain", "ciónbo", "Éoique", "enßberü.", "onha.###", "étion***", "Àÿ", "a&&&", "x[~^", "Theded.%%%===="]
+    text = " ".join(["first", *words, *words])
+    odd = "a ªb µ× c÷d x'sé it's' é'll ab'''' a####b é1é ñ!!!! a\u00a0b naïve's ÀÉ'T ß's"
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc, plain = tokens.Encoder(tokens.vocabulary(name)), Tokenizer.from_file(tokens.vocabulary(name))
+        assert np.frombuffer(enc.ids(odd), enc.dtype).tolist() == plain.encode(odd, add_special_tokens=False).ids
+        enc.ids("first")
+        monkeypatch.setattr(enc, "_chunk", None)
+        assert np.frombuffer(enc.ids(text), enc.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_arrow_files(spark, docs, edges, empty, tmp_path):
     vocab, enc = tokens.vocabulary("byte_bpe_50k.json"), tokens.encoder(tokens.vocabulary("byte_bpe_50k.json"))
     files = arrow_files.write_sequences(docs, f"file://{tmp_path}/a", vocab, seq_len=64, rows=4)

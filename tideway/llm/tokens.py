@@ -30,6 +30,8 @@ _SINGLE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 _PLAIN = re.compile(r"[ \n!-~À-ÖØ-öø-ÿ]*")
 _BYTE_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
 _WORD_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+")
+#: Most chunks: letters, perhaps with a few signs behind them, which are one piece, or two.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -44,18 +46,22 @@ _SPACE, _LITTLE = _byte_letters()[32], sys.byteorder == "little"
 
 
 class _Cache(dict):
-    """Ids by chunk. Missing chunks are taken from the older generation or encoded, many at a time, so that the vocabulary stays in the processor's caches."""
+    """Ids by chunk. A missing chunk is taken from the older generation or encoded."""
 
     def __init__(self, encode) -> None:
         self.encode, self.old = encode, {}
 
-    def fill(self, lists: list[list[str]]) -> None:
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.old.get(chunk)
+        if found is None:
+            found = self.encode(chunk)
+        self[chunk] = found
+        return found
+
+    def turn(self) -> None:
         if len(self) > CACHE:
             self.old = dict(self)
             self.clear()
-        for chunk in [c for c in set().union(*lists) if c not in self]:
-            found = self.old.get(chunk)
-            self[chunk] = self.encode(chunk) if found is None else found
 
 
 class Encoder:
@@ -75,8 +81,10 @@ class Encoder:
         self.cutting = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
         self.at_specials = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")")
         self.known = all(self._plain(s) == self._whole(s) for s in ("Ab cd, 12x", "it's é!", "A" if self.lower else " A\nb"))
-        #: Signs and digits that are a piece of their own behind letters.
-        self.single = {c: self._plain(c) for c in map(chr, range(33, 127)) if not c.isalpha()} if self.known else {}
+        #: Ids of signs behind letters, which are a piece of their own.
+        self.signs = _Cache(self._plain)
+        #: What the byte-level alphabet writes for letters that take two bytes.
+        self.accented = {c: chr(c).encode().decode("latin-1").translate(self.letters) for c in range(192, 256)}
         self.exact = _Cache(self._word if self.lower else self._chunk)
         #: Keys stand behind a single space, unless they begin with a line feed.
         self.spaced = _Cache(self._word)
@@ -85,11 +93,13 @@ class Encoder:
         return array("H" if self.width == 2 else "I", ids).tobytes() if _LITTLE else struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def _word(self, chunk: str) -> bytes:
-        """A chunk behind a single space, or a word-level one. Most are ASCII letters, perhaps with one sign behind them: one piece, or two."""
-        if self.known and chunk.isascii():
-            letters, tail = (chunk, b"") if chunk.isalpha() else (chunk[:-1], self.single.get(chunk[-1]))
-            if tail is not None and letters.isalpha():
-                return self._pack([t.id for t in self.model.tokenize(letters.lower() if self.lower else _SPACE + letters)]) + tail
+        """A chunk behind a single space, or a word-level one."""
+        if self.known and (m := _SIMPLE.fullmatch(chunk)):
+            letters, signs = m.groups()
+            letters = letters.lower() if self.lower else _SPACE + letters
+            if not chunk.isascii():
+                letters = letters.translate(self.accented)
+            return self._pack([t.id for t in self.model.tokenize(letters)]) + self.signs[signs]
         return self._chunk(chunk if self.lower or chunk[0] == "\n" else " " + chunk)
 
     def _whole(self, text: str) -> bytes:
@@ -115,9 +125,8 @@ class Encoder:
     def ids_of(self, texts: list[str | None]) -> list[bytes]:
         """ids() of each text; for a list of about a megabyte it takes the least time."""
         parts = [self._parts(t) for t in texts]
-        flat = [p for of in parts for p in of]
-        self.exact.fill([p[0] for p in flat])
-        self.spaced.fill([p[1] for p in flat])
+        for cache in (self.exact, self.spaced, self.signs):
+            cache.turn()
         exact, spaced = self.exact.__getitem__, self.spaced.__getitem__
         return [b"".join([p[2] + b"".join(map(exact, p[0])) + b"".join(map(spaced, p[1])) for p in of]) for of in parts]
 
