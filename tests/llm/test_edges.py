@@ -133,6 +133,36 @@ def test_difference_of_whole_tables(spark):
     assert out == {i: f"Own words number {i}\nand more of {i * 7}" for i in range(300)}
 
 
+def test_difference_of_marked_pages(spark):
+    """Differencing holds every page against its nearest: template inside a main element or in articles of its own goes, article text that pages share stays."""
+    crumbs, more = "<p>Home</p><p>Blog</p>", "<p>Read on</p><p>Print</p>"
+    text = lambda i: f"<h2>Notes</h2><p>Own words number {i}</p><p>Examples</p><p>and more of {i * 7}</p><p>last {i}</p><p>end {i * 3}</p>"
+    plain = lambda i: [f"Own words number {i}", "Examples", f"and more of {i * 7}", f"last {i}", f"end {i * 3}"]
+    data, want = [], {}
+
+    def page(host, i, body, lines):
+        data.append((len(data), f"http://{host}.org/a/{i:03}", f"<body>{body}</body>"))
+        want[len(data) - 1] = "\n".join(lines)
+
+    for i in range(40):
+        page("main", i, f"<main>{crumbs}{text(i).replace('<h2>Notes</h2>', '')}{more}</main>", plain(i))
+        page("cards", i, f"<article><p>Hot offers</p><p>Buy two</p></article><article>{text(i).replace('Examples', f'part {i}').replace('Notes', f'note {i}')}</article><article>Imprint</article>", [f"note {i}", *(x.replace("Examples", f"part {i}") for x in plain(i))])
+        # articles stay whole: shared heads, copies, versions that differ in one line
+        page("heads", i, f"<article>{text(i)}</article>", ["Notes", *plain(i)])
+        page("copies", i, f"<main>{text(1)}</main>", ["Notes", *plain(1)])
+        page("versions", i, f"<main>{text(1)}<p>Edit {i}</p></main>", ["Notes", *plain(1), f"Edit {i}"])
+        page("open-copies", i, f"<div>{text(1)}</div>", ["Notes", *plain(1)])
+    # too few pages to tell
+    for i in range(3):
+        page("few", i, f"<main>{crumbs}{text(i)}</main>", ["Home", "Blog", "Notes", *plain(i)])
+    # an archive of whole articles beside their own pages
+    for i in range(1, 6):
+        page("archive", i, f"<article>{text(i)}</article>", ["Notes", *plain(i)])
+    page("archive", 0, "".join(f"<article>{text(i)}</article>" for i in range(1, 4)), [x for i in range(1, 4) for x in ["Notes", *plain(i)]])
+    out = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(data, "page_id long, url string, html string").repartition(5)).collect()}
+    assert out == want
+
+
 def test_known_licences(spark, tmp_path):
     known = licences.known_table(spark)
     texts = [(n, "Copyright 2021, A. Author\n\n" + t.replace(" ", "  ").upper()) for n, (_, _, t) in enumerate(licences.KNOWN)]

@@ -1,24 +1,35 @@
-"""Main text of web pages: markup decides where it can, differencing with the nearest page where it can't.
+"""Main text of web pages: markup cuts a page into zones, differencing with the nearest pages tells template from text in each.
 
 A page is cut into lines, one for each block. Lines inside menus, headers, footers, sidebars, notices, adverts, forms,
 comments, scripts and hidden elements go. If the page marks its article (article, main or the like), the lines inside
-are its text and nothing else can delete them: pages of one site may well share whole articles. Lines of pages without
-such a mark are open: pages are ordered by host, path and page_id, each open page is paired with the neighbour on its
-host that shares the longer path prefix, their lines are aligned by longest common subsequence, and shared lines go.
+are its text, otherwise all lines left are (the page is open). Every page is then held against its nearest: pages of a
+zone are ordered by host, path and page_id, and their lines are aligned by longest common subsequence with those of the
+three pages on either side on the host, those with longer common paths first. A page with the very same lines says
+nothing about templates and is passed over. What goes depends on what markup has settled:
+
+- open pages: every line that the nearest page has too;
+- pages with a main element only: lines before the first and behind the last line of their own, where the nearest four (or
+  all three that there are) have them; if that were over half of its lines, these pages are versions of it, and all stay;
+- pages with a marked article: articles that the nearest four (or all three) have whole (cards, notices), where another
+  article of the page shares no line with any of them. The lines of an article that stays are never cut, as pages of one site
+  may well share whole articles.
+
 Neighbours are found by global rank in a range-sorted table, so the pairs don't depend on partitions and a host with
-a third of all pages is spread over many tasks; only line hashes are sent to a neighbour.
+a third of all pages is spread over many tasks; only line hashes go to the block of ranks where a page meets its neighbours.
 
 Nulls: a null or empty html has the empty text; a null url belongs to the host ''. Repeated rows are taken each for
-itself, so an open page that comes twice loses what it shares with its copy only if no closer page stands beside it. If
-both neighbours share a prefix of one length, the one before decides. Long pages are read whole; the alignment takes
-memory for a fraction of len(a) * len(b) bits only. Other columns aren't read, whatever their names.
+itself. If two pages share a prefix of one length, the closer one comes first, then the one before. Long pages are read
+whole; the alignment takes memory for a fraction of len(a) * len(b) bits only. Other columns aren't read, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import deque
 from collections.abc import Iterator
+from itertools import chain, groupby, islice
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -39,6 +50,8 @@ CONTAINERS = frozenset("html body main article section div table tr td th ul ol
 NAMED = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended comment comments disqus reply replies respond footer pagination pager widget toolbar toc skip contentinfo complementary".split())
 IMPLIED = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 ARTICLE, MAIN, OPEN = 2, 1, 0
+#: Pages on either side that may be near, near pages that must agree about a marked page, and pages of a block that is looked at in one go.
+NEAR, WITNESSES, BLOCK = 3, 4, 1024
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -61,32 +74,32 @@ def _is_boilerplate(tag: str, a: dict[str, str], inside: int) -> bool:
     return bool(words & NAMED) or (not inside and "header" in words)
 
 
-def lines_of(page: str | None) -> list[tuple[str, int]]:
-    """(line, zone) of each block of the page that isn't boilerplate; zone tells the marked container that it is in, if any."""
-    out: list[tuple[str, int]] = []
+def blocks_of(page: str | None) -> list[tuple[str, int, int]]:
+    """(line, zone, box) of each block of the page that isn't boilerplate; zone tells the marked container that it is in, if any, and box numbers the outermost such container."""
+    out: list[tuple[str, int, int]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # element, and whether text in it drops and its zone, those around it included
+    stack: list[tuple[str, bool, int, int]] = []  # element, and whether text in it drops, its zone and its box, those around it included
     where: dict[str, list[int]] = {}  # the places of open elements in the stack, by name
     boxes: list[int] = []  # those of containers
-    drop, zone = False, OPEN
+    drop, zone, box, n_boxes = False, OPEN, 0, 0
 
     def close(deep: int) -> None:
-        nonlocal drop, zone
-        left = stack[deep - 1][1:] if deep else (False, OPEN)
-        if left != (drop, zone):
+        nonlocal drop, zone, box
+        left = stack[deep - 1][1:] if deep else (False, OPEN, 0)
+        if left != (drop, zone, box):
             flush()
         for name, *_ in reversed(stack[deep:]):
             where[name].pop()
             if name in CONTAINERS:
                 boxes.pop()
         del stack[deep:]
-        drop, zone = left
+        drop, zone, box = left
 
     def flush() -> None:
         if held:
             line = " ".join("".join(held).split())
             if line and not drop:
-                out.append((line, zone))
+                out.append((line, zone, box))
             held.clear()
 
     at, text, raw = 0, page or "", ""
@@ -127,25 +140,34 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
             where.setdefault(tag, []).append(len(stack))
             if tag in CONTAINERS:
                 boxes.append(len(stack))
-            drop, zone = drop or bad, max(zone, mark)
-            stack.append((tag, drop, zone))
+            if mark > zone:
+                n_boxes += 1
+                zone, box = mark, n_boxes
+            drop = drop or bad
+            stack.append((tag, drop, zone, box))
     if at < len(text) and not drop:
         held.append(entities.unescape(text[at:]))
     flush()
-    best = max((z for _, z in out), default=OPEN)
-    return [(x, z) for x, z in out if z == best]
+    best = max((z for _, z, _ in out), default=OPEN)
+    return [x for x in out if x[1] == best]
+
+
+def lines_of(page: str | None) -> list[tuple[str, int]]:
+    """(line, zone) of each block of blocks_of()."""
+    return [(x, z) for x, z, _ in blocks_of(page)]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [lines_of(h.as_py()) for h in batch.column(2)]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([[x for x, _ in f] for f in found], pa.list_(pa.string())), pa.array([bool(f) and f[0][1] == OPEN for f in found], pa.bool_())], names=["page_id", "url", "lines", "open"])
+        found = [blocks_of(h.as_py()) for h in batch.column(2)]
+        columns = [pa.array([[x for x, *_ in f] for f in found], pa.list_(pa.string())), pa.array([f[0][1] if f else OPEN for f in found], pa.int32()), pa.array([[x for *_, x in f] for f in found], pa.list_(pa.int32()))]
+        yield pa.record_batch([batch.column(0), batch.column(1), *columns], names=["page_id", "url", "lines", "zone", "boxes"])
 
 
 def lines(pages: DataFrame) -> DataFrame:
-    """(page_id, url, lines, open): the lines that markup leaves; open if no container marks them."""
+    """(page_id, url, lines, zone, boxes, row): the lines that markup leaves, the page's zone, the container of each line, and a number of the row once this is written."""
     few = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return few.mapInArrow(_parse, "page_id long, url string, lines array<string>, open boolean")
+    return few.mapInArrow(_parse, "page_id long, url string, lines array<string>, zone int, boxes array<int>").withColumn("row", F.monotonically_increasing_id())
 
 
 def _rows(a: list[int], places: dict[int, int], state: int, mask: int) -> list[int]:
@@ -210,45 +232,79 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
+def template_lines(zone: int, own: list[int], boxes: list[int], near: list[list[int]]) -> list[int]:
+    """The places of lines (hashes `own`) that differencing takes away, given the lines of near pages of the host, nearest first."""
+    witnesses = [x for x in near if x != own]
+    if zone == OPEN:
+        return common_lines(own, witnesses[0]) if witnesses else []
+    if len(witnesses) < 3:
+        return []
+    shared = [set(common_lines(own, x)) for x in witnesses[:WITNESSES]]
+    everywhere, somewhere = set.intersection(*shared), set.union(*shared)
+    if zone == MAIN:
+        rest = [i for i in range(len(own)) if i not in everywhere]
+        out = [*range(rest[0]), *range(rest[-1] + 1, len(own))] if rest else []
+        return out if 2 * len(out) <= len(own) else []
+    if set(boxes) == {boxes[i] for i in somewhere}:
+        return []
+    kept = {b for i, b in enumerate(boxes) if i not in everywhere}
+    return [i for i, b in enumerate(boxes) if b not in kept]
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bool]]]:
+    """(row, whether each line stays) of pages that lose lines, from pages in order of block and rank."""
+    for _, pages in groupby((r for b in batches for r in b.to_pylist()), key=lambda r: r["block"]):
+        window: deque = deque([None] * (2 * NEAR + 1), maxlen=2 * NEAR + 1)
+        for r in chain(pages, [None] * NEAR):
+            window.append(r)
+            page = window[NEAR]
+            if page is None or page["rank"] // BLOCK != page["block"]:
+                continue
+            others = [x for x in window if x and x is not page and (x["zone"], x["host"]) == (page["zone"], page["host"])]
+            others.sort(key=lambda x: (-_prefix(x["path"], page["path"]), abs(x["rank"] - page["rank"]), x["rank"]))  # noqa: B023
+            gone = set(template_lines(page["zone"], page["hashes"], page["boxes"], [x["hashes"] for x in others]))
+            if gone:
+                yield page["row"], [i not in gone for i in range(len(page["hashes"]))]
+
+
 def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        shared = []
-        for r in batch.to_pylist():
-            sides = [(r[f"{s}_path"], r[f"{s}_hashes"]) for s in ("prev", "next") if r[f"{s}_host"] == r["host"] and r[f"{s}_hashes"] is not None]
-            other = max(sides, key=lambda s: _prefix(s[0], r["path"])) if sides else None  # noqa: B023
-            shared.append(common_lines(r["hashes"], other[1]) if other else [])
-        yield pa.record_batch([batch.column("rank"), pa.array(shared, pa.list_(pa.int32()))], names=["rank", "shared"])
+    found = _kept(batches)
+    while some := list(islice(found, 256)):
+        yield pa.record_batch([pa.array([r for r, _ in some], pa.int64()), pa.array([k for _, k in some], pa.list_(pa.bool_()))], names=["row", "keep"])
 
 
 def differenced(found: DataFrame) -> DataFrame:
-    """Open rows of lines() with the lines that they don't share with their nearest page."""
+    """(row, keep): whether each line stays, for pages of written lines() that lose any by differencing with their nearest."""
     address = F.lower(F.coalesce("url", F.lit("")))
-    keyed = found.select("page_id", "url", "lines", F.regexp_extract(address, r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1).alias("host"), F.regexp_extract(address, r"^[a-z][a-z0-9+.-]*://[^/?#]*(.*)$", 1).alias("path"))
-    placed = keyed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    schema = "page_id long, url string, lines array<string>, host string, path string, part int, at long"
-    placed = common.written(placed.mapInArrow(_numbered, schema), "open-pages")
+    host, path = (F.regexp_extract(address, p, 1) for p in (r"^[a-z][a-z0-9+.-]*://([^/?#]*)", r"^[a-z][a-z0-9+.-]*://[^/?#]*(.*)$"))
+    keyed = found.where("size(lines) > 0").select("row", "page_id", "zone", host.alias("host"), path.alias("path"), F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), "boxes")
+    order = ["zone", "host", "path", "page_id", F.xxhash64("hashes"), "row"]
+    schema = "row long, page_id long, zone int, host string, path string, hashes array<long>, boxes array<int>, part int, at long"
+    placed = common.written(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_numbered, schema), "page-order")
     before, bases = 0, []
     for part, n in sorted(map(tuple, placed.groupBy("part").count().collect())):
         bases.append((part, before))
         before += n
-    spark = found.sparkSession
     # one row a partition
-    ranked = placed.join(F.broadcast(spark.createDataFrame(bases, "part int, base long")), "part").withColumn("rank", F.col("base") + F.col("at"))
-    small = common.checkpointed(ranked.select("rank", "host", "path", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes")))
-    side = lambda name, step: small.select((F.col("rank") + step).alias("rank"), *[F.col(c).alias(f"{name}_{c}") for c in ("host", "path", "hashes")])
-    shared = small.join(side("prev", 1), "rank", "left").join(side("next", -1), "rank", "left").mapInArrow(_differ, "rank long, shared array<int>")
-    own = F.filter("lines", lambda x, i: ~F.array_contains("shared", i))
-    return ranked.join(shared, "rank").select("page_id", "url", own.alias("lines"))
+    ranked = placed.join(F.broadcast(found.sparkSession.createDataFrame(bases, "part int, base long")), "part").withColumn("rank", F.col("base") + F.col("at"))
+    # a page goes to its block of ranks, and to the next one if it is near its end
+    blocks = F.array_distinct(F.transform(F.array(F.lit(-NEAR), F.lit(NEAR)), lambda d: F.floor((F.col("rank") + d) / BLOCK)))
+    sent = ranked.select("row", "rank", "zone", "host", "path", "hashes", "boxes", F.explode(blocks).alias("block"))
+    near = sent.repartition("block").sortWithinPartitions("block", "rank")
+    out = common.written(near.mapInArrow(_differ, "row long, keep array<boolean>"), "page-drops")
+    common.release(placed)
+    return out
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     found = common.written(lines(pages), "page-lines")
-    kept = found.where("not open").select("page_id", "url", "lines")
-    undecided = found.where("open")
-    if not undecided.isEmpty():
-        kept = kept.union(differenced(undecided))
-    return kept.select("page_id", "url", F.array_join("lines", "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    shorter, own = differenced(found), F.col("lines")
+    kept = found
+    if not shorter.isEmpty():
+        kept = found.join(shorter, "row", "left")
+        own = F.filter("lines", lambda x, i: F.coalesce(F.get("keep", i), F.lit(True)))
+    return kept.select("page_id", "url", F.array_join(own, "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
